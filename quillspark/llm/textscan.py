@@ -67,9 +67,8 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: in
             data = buf
         else:
             keep = np.zeros(len(buf) + 1, np.int8)
-            np.add.at(keep, starts[full], 1) if len(starts) < 64 else keep.__setitem__(starts[full], 1)
-            stop = ends[full]
-            keep[stop] -= 1
+            keep[starts[full]] = 1
+            keep[ends[full]] -= 1
             data = buf[np.cumsum(keep[:-1], dtype=np.int8).view(bool)]
         place = np.arange(total, dtype=np.int64) - np.repeat(first, lens)
         values = data.astype(np.uint64)
@@ -125,6 +124,13 @@ class Chunk:
         after[edge[1:] - 1 if len(edge) and edge[0] == 0 else edge - 1] = False
         return starts, np.flatnonzero(ink & ~after) + 1
 
+    def lines(self) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the lines of every row (cut at line feeds, which belong to none)."""
+        feeds = np.flatnonzero(self.buf == 10)
+        starts = np.sort(np.concatenate([self.offsets[:-1], feeds + 1]), kind="stable")
+        ends = np.sort(np.concatenate([self.offsets[1:], feeds]), kind="stable")
+        return starts, ends
+
     def row_of(self, places: np.ndarray) -> np.ndarray:
         """The row (within the chunk) that holds each byte place; places ascend."""
         return np.searchsorted(self.offsets, places, side="right") - 1
