@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from ..plans.shared import cut
 
 MOST_COPIES = 3
 WEIGHT_CYCLE = 3
