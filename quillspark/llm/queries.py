@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, jaccard_join, mixing, quality_rules
+from . import bpe, chat, embedding_dedup, jaccard_join, mixing, quality_rules, span_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,14 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op5_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_dedup.drop_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_components(_table(spark, sf_dir, "documents"))
 
@@ -37,7 +45,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op6_jaccard_join": op6_jaccard_join, "op7_chat": op7_chat, "op8_quality_rules": op8_quality_rules, "op10_mixing": op10_mixing}
+    return {
+        "op1_bpe": op1_bpe,
+        "op3_embedding_dedup": op3_embedding_dedup,
+        "op5_span_dedup": op5_span_dedup,
+        "op6_jaccard_join": op6_jaccard_join,
+        "op7_chat": op7_chat,
+        "op8_quality_rules": op8_quality_rules,
+        "op10_mixing": op10_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
