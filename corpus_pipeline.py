@@ -1,8 +1,63 @@
-"""Corpus pipeline: stages of training-data operators over ``documents``."""
+"""Corpus pipeline: from raw ``documents`` to token ids, in five stages.
 
-STAGES: list = []
+Each stage is a function (spark, docs, sf_dir) -> DataFrame over all rows that the
+stage before kept; ``run`` writes its result as Parquet to the shared folder and reads it
+again as the input of the next.  All stages but the last return the columns of
+``documents``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.llm import bpe, jaccard_join, mixing, quality_rules, span_dedup
+from quillspark.plans.shared import written
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: documents that the quality rules reject go."""
+    return quality_rules.keep_good(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: of each group of near-duplicates the document with the smallest id stays."""
+    return jaccard_join.one_of_each(docs)
+
+
+def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: repeated passages go; a document of which nothing is left goes too."""
+    cut = span_dedup.drop_repeats(docs).where("n_removed = 0 or text rlike '[^ \\\\t-\\\\r]'")
+    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("bigint")).select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: every document as often as the mixture takes it."""
+    return mixing.mixed_rows(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: the token ids of every text, checked by decoding them again."""
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", repeated_spans),
+    ("mixing sources to target weights", mixture),
+    ("BPE encoding and decoding", token_ids),
+]
+
+#: The stages on tokenisers and near-duplicates are not expressible in SQL; tests/llm holds them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir))
+    return docs

@@ -384,3 +384,45 @@ def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     by_class = firsts.join(names, "component").select(F.col("class").alias("_class"), "component_id")
     named = rows.join(by_class, (F.col("class") == F.col("_class")) & (F.col("n_shingles") > 0), "left")
     return named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class")
+
+
+def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` but for those whose component has a smaller id; columns as they are.
+
+    Of rows that agree in id and shingle set one stays.  Rows without shingles, and rows
+    with a null id in a component without other ids, stay.
+    """
+    named = written(near_components(docs, width, percent))
+    lead = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    later = named.where("n_shingles > 0").where(~lead).select("doc_id", "class")
+    twins = named.where("n_shingles > 0 and doc_id is not null").where(lead).groupBy("doc_id", "class").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    if twins.isEmpty():
+        # Ids tell the rows apart: what goes is known by its id alone, if no other row has the id.
+        reused = later.select("doc_id").join(named.where(lead).select("doc_id"), "doc_id", "left_semi")
+        if reused.isEmpty():
+            gone = later.select(F.col("doc_id").alias("_gone")).distinct()
+            return docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_gone")), "left_anti")
+    keyed = _with_class(docs, width)
+    gone = later.select(F.col("doc_id").alias("_gone"), F.col("class").alias("_gone_class")).distinct()
+    kept = keyed.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_gone")) & (F.col("_class") == F.col("_gone_class")), "left_anti")
+    whole = kept.where("_size = 0 or doc_id is null")
+    single = kept.where("_size > 0 and doc_id is not null").dropDuplicates(["doc_id", "_class"])
+    return whole.unionByName(single).select(*docs.columns)
+
+
+def _with_class(docs: DataFrame, width: int) -> DataFrame:
+    """``docs`` with (_size, _class) added."""
+    from pyspark.sql.types import LongType, StructType
+
+    at, names = docs.columns.index("text"), [*docs.columns, "_size", "_class"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, classes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for chunk in chunks(batch.column(at)):
+                owner, hashes, n = shingle_sets(chunk, width)
+                sizes.append(n)
+                classes.append(set_keys(owner, hashes, n).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(sizes), pa.int64()), pa.array(np.concatenate(classes))], names)
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("_size", LongType()).add("_class", LongType()))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embedding_dedup, jaccard_join, language_model, mixing, quality_rules, span_dedup
+from . import bpe, chat, embedding_dedup, jaccard_join, language_model, mixing, quality_model, quality_rules, span_dedup, wordpiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +18,18 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.learn_and_score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op4_wordpiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_dedup.drop_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -51,7 +59,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op2_quality_model": op2_quality_model,
         "op3_embedding_dedup": op3_embedding_dedup,
+        "op4_wordpiece": op4_wordpiece,
         "op5_span_dedup": op5_span_dedup,
         "op6_jaccard_join": op6_jaccard_join,
         "op7_chat": op7_chat,
