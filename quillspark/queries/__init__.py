@@ -1,5 +1,5 @@
 """All queries of the library, by area."""
 
-from . import search
+from . import lexicon, search, topics
 
-AREAS = [search.roster]
+AREAS = [search.roster, lexicon.roster, topics.roster]
