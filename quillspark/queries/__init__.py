@@ -1,5 +1,5 @@
 """All queries of the library, by area."""
 
-from . import lexicon, search, topics
+from . import lexicon, quality, search, topics
 
-AREAS = [search.roster, lexicon.roster, topics.roster]
+AREAS = [search.roster, lexicon.roster, topics.roster, quality.roster]
