@@ -1,5 +1,5 @@
 """All queries of the library, by area."""
 
-from . import lexicon, quality, search, topics
+from . import lexicon, quality, search, sources, topics, user
 
-AREAS = [search.roster, lexicon.roster, topics.roster, quality.roster]
+AREAS = [search.roster, lexicon.roster, topics.roster, quality.roster, user.roster, sources.roster]
