@@ -21,6 +21,11 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def new_path(spark: SparkSession, kind: str) -> str:
+    """A fresh place in the shared folder; all places of one application lie in one folder, to be removed after it."""
+    return f"{shared_dir(spark).rstrip('/')}/quillspark-{spark.sparkContext.applicationId}/{kind}-{uuid.uuid4().hex}"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
@@ -34,6 +39,6 @@ def cut(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again; unlike a checkpoint it is compressed and columnar."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/quillspark-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
