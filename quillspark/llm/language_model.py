@@ -25,7 +25,6 @@ empty table gives an empty table.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import shared_dir, written
+from ..plans.shared import new_path, written
 from ..plans.sharedfiles import mapped, save
 from .jaccard_join import _blocks, _bucket, _by_key, pack, partition_keys
 from .textscan import Chunk, chunks, span_hashes
@@ -177,9 +176,9 @@ def train(texts: DataFrame) -> Model:
     """Count all of ``texts`` (one column ``text``) into a model in the shared folder."""
     spark = texts.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = partition_keys(spark, parts)
+    keys = partition_keys(parts)
     number_of = {k: p for p, k in enumerate(keys)}
-    model = Model(f"{shared_dir(spark).rstrip('/')}/quillspark-lm-{uuid.uuid4().hex}", parts)
+    model = Model(new_path(spark, "lm"), parts)
     if "://" not in model.folder:
         model.folder = ("file://" if model.folder.startswith("/") else "file:///") + model.folder.removeprefix("file:")
     facts_type = "part int, rows bigint, total bigint, facts array<bigint>"
