@@ -12,11 +12,12 @@ Texts whose shingle sets agree form one class; only classes are compared.
    first, and a class whose prefix holds unique ones only can link with nothing.
 4. Classes with the same size and prefix form a group; groups are indexed by their
    prefix shingles.  Each posting list first pairs its groups with one pivot, the
-   group whose shingles are most widely shared.  Pairs pass the size filter, are
-   expanded to members, and are verified on the whole sets.  What is then linked
-   needs no further pair among itself: only lists that still hold several components
-   are paired in full, across components.  Every pair of classes that is similar is
-   thus either verified or already connected, so components are exact.
+   group whose shingles are most widely shared, then what is still apart with a
+   random one.  Pairs pass size, overlap and bitmap filters, are expanded to members,
+   and are verified on the whole sets.  What is then linked needs no further pair
+   among itself: only lists that still hold several components are paired in full,
+   across components.  Every pair of classes that is similar is thus either verified
+   or already connected, so components are exact.
 
 Defined results: ``n_shingles`` 0 (null, empty or blank text) links with nothing;
 a text of fewer words than a shingle counts as one shingle; repeated rows and texts
@@ -32,18 +33,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.graph import connected_components
-from ..plans.shared import cut, written
+from ..plans.shared import written
 from .textscan import Chunk, chunks, mix, row_runs, run_hashes, span_hashes
 
 WIDTH = 5
 PERCENT = 75
-FLUSH = 3_000_000
-#: Full pairing of a posting list waits while pivots still shrink the work; this many pivot rounds at most.
-PIVOT_ROUNDS = 4
+FLUSH = 1_500_000
+#: 64-bit words of a set's parity bitmap.
+PARITY_WORDS = 16
 _U = np.uint64
 
 
@@ -72,16 +73,26 @@ def unpack(block: bytes) -> list[np.ndarray]:
     return out
 
 
-def partition_keys(spark: SparkSession, parts: int) -> list[int]:
-    """For each partition number an integer that hash partitioning deals to it."""
-    found: dict[int, int] = {}
+def partition_keys(parts: int) -> list[int]:
+    """For each partition number an integer that Spark's hash partitioning (Murmur3, seed 42) deals to it."""
+    found = np.full(parts, -1, np.int64)
     upto = 0
-    while len(found) < parts:
-        more = spark.range(upto, upto + 16 * parts + 64).select(F.col("id").cast("int").alias("k")).select("k", F.pmod(F.hash("k"), F.lit(parts)).alias("p"))
-        for r in more.groupBy("p").agg(F.min("k").alias("k")).collect():
-            found.setdefault(r.p, r.k)
-        upto += 16 * parts + 64
-    return [found[i] for i in range(parts)]
+    while (found < 0).any():
+        k = np.arange(upto, upto + 16 * parts + 64, dtype=np.uint32)
+        upto += len(k)
+        h = _rotate(k * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593) ^ np.uint32(42)
+        h = (_rotate(h, 13) * np.uint32(5) + np.uint32(0xE6546B64)) ^ np.uint32(4)
+        h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+        h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        part = (h ^ (h >> np.uint32(16))).view(np.int32).astype(np.int64) % parts
+        where, first = np.unique(part, return_index=True)
+        fresh = found[where] < 0
+        found[where[fresh]] = k[first[fresh]]
+    return found.tolist()
+
+
+def _rotate(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint32(by)) | (x >> np.uint32(32 - by))
 
 
 def _bucket(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -247,7 +258,14 @@ def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
         yield key, got
 
 
-PROFILE = "class bigint, n bigint, spread double, signature bigint, prefix array<bigint>, members binary"
+PROFILE = "class bigint, n bigint, shared bigint, parity array<bigint>, spread double, signature bigint, prefix array<bigint>, members binary"
+
+
+def _parity(members: np.ndarray) -> np.ndarray:
+    """Bitmap in which each member flips one bit: two bitmaps differ in no more bits than their sets in members."""
+    bit = mix(members ^ _U(0x8CB92BA72F3D8DD7)) % _U(64 * PARITY_WORDS)
+    odd = np.bincount(bit.astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _profiles(shared: DataFrame, parts: int, percent: int) -> DataFrame:
@@ -271,7 +289,7 @@ def _profiles(shared: DataFrame, parts: int, percent: int) -> DataFrame:
                     continue
                 prefix = hashes[a : a + indexed]
                 signature = mix(np.array([mix(prefix).sum(dtype=_U) + _U(n)], _U)).view(np.int64)[0]
-                rows.append((int(names[a]), n, float(times[a:z].mean() * (z - a) / n), int(signature), prefix.view(np.int64), np.sort(hashes[a:z]).tobytes()))
+                rows.append((int(names[a]), n, z - a, _parity(hashes[a:z]), float(times[a:z].mean() * (z - a) / n), int(signature), prefix.view(np.int64), np.sort(hashes[a:z]).tobytes()))
                 if len(rows) >= 500:
                     yield _rows(rows)
                     rows = []
@@ -279,8 +297,8 @@ def _profiles(shared: DataFrame, parts: int, percent: int) -> DataFrame:
                 yield _rows(rows)
 
     def _rows(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["class", "n", "spread", "signature", "prefix", "members"])
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["class", "n", "shared", "parity", "spread", "signature", "prefix", "members"])
 
     return shared.repartition(parts, "to").sortWithinPartitions("to").mapInArrow(run, PROFILE)
 
@@ -311,62 +329,62 @@ def _verified(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a bigint, b bigint")
 
 
-def _near(a: str, b: str, percent: int) -> str:
-    return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
+def _may_link(a: str, b: str, percent: int) -> str:
+    """What must hold if two sets of x and y shingles are similar (t: the threshold).
+
+    Their sizes differ by t at most; they have t (x + y) / (1 + t) in common, and no
+    class has more in common with others than its shared shingles; and they differ in
+    (1 - t) (x + y) / (1 + t) shingles at most, namely in all unique ones and in the
+    shared ones of which the bitmaps tell.
+    """
+    sizes = f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n)"
+    common = f"{100 + percent} * least({a}.shared, {b}.shared) >= {percent} * ({a}.n + {b}.n)"
+    bits = " + ".join(f"bit_count({a}.p{i} ^ {b}.p{i})" for i in range(PARITY_WORDS))
+    apart = f"{100 + percent} * ({a}.n - {a}.shared + {b}.n - {b}.shared + {bits}) <= {100 - percent} * ({a}.n + {b}.n)"
+    return f"{sizes} and {common} and {apart}"
+
+
+def _facts() -> Column:
+    return F.struct("class", "n", "shared", *(F.col("parity")[i].alias(f"p{i}") for i in range(PARITY_WORDS)))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _class_components(profiles: DataFrame, percent: int) -> DataFrame:
     """Step 4: (node, component) of all classes that are linked."""
-    groups = profiles.groupBy("signature", "n").agg(
-        F.max_by("prefix", "class").alias("prefix"), F.max_by(F.struct("class", "spread"), F.struct("spread", "class")).alias("lead")
-    )
-    # Members of a group against its lead; afterwards leads stand for what is linked to them.
-    alike = profiles.join(groups.select("signature", "n", F.col("lead.class").alias("lead")), ["signature", "n"]).where("class <> lead").select(F.col("lead").alias("a"), F.col("class").alias("b"))
-    index = cut(groups.select(F.explode("prefix").alias("token"), F.col("lead.class").alias("class"), F.col("lead.spread").alias("spread"), "n"))
-    # Every member of a group stands in the lists of its group, so that members that differ from their lead are paired too.
-    members = profiles.select("class", "signature", "n", "spread")
-    links = None
-    labels = None
-    lists = index
-    for _ in range(PIVOT_ROUNDS):
-        pivots = lists.groupBy("token").agg(F.max_by(F.struct("class", "n"), F.struct("spread", "class")).alias("pivot"), F.count(F.lit(1)).alias("times")).where("times > 1")
-        pairs = lists.join(pivots, "token").where("class <> pivot.class").where(_near("n", "pivot.n", percent))
-        pairs = pairs.select(F.least("class", "pivot.class").alias("a"), F.greatest("class", "pivot.class").alias("b")).distinct()
-        if links is None:
-            pairs = pairs.unionByName(alike.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-        found = cut(_verified(pairs, profiles, percent))
-        links = found if links is None else links.unionByName(found)
-        labels = connected_components(links)
-        named = _named(members, labels)
-        lists = cut(_open_lists(profiles, named, groups))
-        size = lists.agg(F.count(F.lit(1)).alias("rows"), F.sum("others").alias("pairs")).first()
-        if not size["rows"]:
-            return labels
-        if size["pairs"] <= 16 * size["rows"]:
-            break
-        # Next pivots: one of the members outside the largest component of a list.
-        lists = lists.withColumn("spread", F.when(F.col("leading"), F.lit(-1.0)).otherwise(F.rand(7)))
-    x, y = lists.alias("x"), lists.alias("y")
-    pairs = x.join(y, F.col("x.token") == F.col("y.token")).where("x.class < y.class and x.component <> y.component").where(_near("x.n", "y.n", percent))
-    found = _verified(pairs.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct(), profiles, percent)
-    return connected_components(links.unionByName(found))
-
-
-def _named(members: DataFrame, labels: DataFrame) -> DataFrame:
-    return members.join(labels, members["class"] == labels["node"], "left").select("class", "signature", "n", "spread", F.coalesce("component", "class").alias("component"))
-
-
-def _open_lists(profiles: DataFrame, named: DataFrame, groups: DataFrame) -> DataFrame:
-    """Index rows of the lists that hold several components.
-
-    A component enters a list once for each (group, component), by any one member for
-    the count; pairing needs the members themselves, so they are kept.
-    """
-    rows = named.join(profiles.select("class", F.explode("prefix").alias("token")), "class")
-    sizes = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("mine"))
-    per_list = sizes.groupBy("token").agg(F.count(F.lit(1)).alias("components"), F.sum("mine").alias("all"), F.max_by("component", F.struct("mine", "component")).alias("largest")).where("components > 1")
-    sized = sizes.join(per_list, "token")
-    return rows.join(sized, ["token", "component"]).select("token", "class", "n", "spread", "component", (F.col("all") - F.col("mine")).alias("others"), (F.col("component") == F.col("largest")).alias("leading"))
+    groups = profiles.groupBy("signature", "n").agg(F.max_by("prefix", "class").alias("prefix"), F.max_by(_facts(), F.struct("spread", "class")).alias("one"), F.max("spread").alias("spread"))
+    # Within a group: members against their lead.
+    alike = profiles.join(groups.select("signature", "n", "one"), ["signature", "n"]).where("class <> one.class")
+    alike = alike.select(_facts().alias("x"), F.col("one").alias("y"))
+    # Between groups: the lead of each group in a list against the list's pivot.
+    index = groups.select(F.explode("prefix").alias("token"), F.col("one").alias("x"), "spread")
+    links = written(_verified(_pivot_pairs(index, F.col("spread"), percent, alike), profiles, percent))
+    # What is still apart, list by list; now each list takes a pivot of its own at random, so that a class meets many.
+    rest = written(_open_lists(profiles, written(connected_components(links))))
+    links = links.unionByName(written(_verified(_pivot_pairs(rest, F.xxhash64("x.class", "token"), percent), profiles, percent)))
+    rest = written(_open_lists(profiles, written(connected_components(links))))
+    x, y = rest.alias("x"), rest.alias("y")
+    apart = x.join(y, F.col("x.token") == F.col("y.token")).where("x.x.class < y.x.class and x.component <> y.component").where(_may_link("x.x", "y.x", percent))
+    found = _verified(apart.select(F.col("x.x.class").alias("a"), F.col("y.x.class").alias("b")).distinct(), profiles, percent)
+    return connected_components(links.unionByName(written(found)))
+
+
+def _pivot_pairs(index: DataFrame, rank: Column, percent: int, more: DataFrame | None = None) -> DataFrame:
+    """Each list's members against its highest-ranked one, as far as they may link; ``more``: further pairs (x, y)."""
+    pivots = index.groupBy("token").agg(F.max_by("x", F.struct(rank.alias("rank"), F.col("x.class").alias("class"))).alias("y"), F.count(F.lit(1)).alias("times")).where("times > 1").select("token", "y")
+    pairs = index.join(pivots, "token").select("x", "y")
+    pairs = pairs if more is None else pairs.unionByName(more)
+    pairs = pairs.where("x.class <> y.class").where(_may_link("x", "y", percent))
+    return _ordered(pairs.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")))
+
+
+def _open_lists(profiles: DataFrame, labels: DataFrame) -> DataFrame:
+    """Index rows, one for each member, of the lists that hold several components."""
+    named = profiles.join(labels, profiles["class"] == labels["node"], "left").select(_facts().alias("x"), "spread", F.coalesce("component", "class").alias("component"), F.explode("prefix").alias("token"))
+    several = named.groupBy("token").agg((F.min("component") != F.max("component")).alias("several")).where("several").select("token")
+    return named.join(several, "token", "left_semi")
 
 
 def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -374,7 +392,7 @@ def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = partition_keys(spark, parts)
+    keys = partition_keys(parts)
     profiles = written(_profiles(_shared_blocks(_posting_blocks(texts, width, keys), keys), parts, percent))
     rows = written(classes_of(texts, width))
     linked = _class_components(profiles, percent)
