@@ -126,10 +126,11 @@ def _span_blocks(texts: DataFrame, keys: list[int]) -> DataFrame:
     return texts.mapInArrow(run, "to int, block binary")
 
 
-def _repeats(blocks: DataFrame, parts: int) -> DataFrame:
-    """Rows (id, mark, covered): sentences covered by later occurrences, as (first, number) pairs, by text and hash range."""
+def _repeats(blocks: DataFrame, keys: list[int]) -> DataFrame:
+    """Rows (id, mark, covered), one for each text with repeats: sentences covered by later occurrences, as (first, number) pairs."""
+    parts = len(keys)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, got in _by_key(batches):
             hashes, check, place, covers = (np.concatenate([x[i] for x in got]) for i in (0, 1, 3, 4))
             ids, marks = np.concatenate([x[5][x[2]] for x in got]), np.concatenate([x[6][x[2]] for x in got])
@@ -148,30 +149,37 @@ def _repeats(blocks: DataFrame, parts: int) -> DataFrame:
             new = np.ones(len(hashes), bool)
             new[1:] = (hashes[1:] != hashes[:-1]) | (check[1:] != check[:-1])
             lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-            later = (ids != ids[lead]) | (marks != marks[lead]) | (place != place[lead])
-            place, covers, ids, marks = place[later], covers[later], ids[later], marks[later]
-            if not len(place):
-                continue
+            later = np.flatnonzero((ids != ids[lead]) | (marks != marks[lead]) | (place != place[lead]))
+            to = _bucket(mix(ids[later].view(_U)), parts).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            edges = np.searchsorted(to[order], np.arange(parts + 1))
+            out = [(p, later[order[edges[p] : edges[p + 1]]]) for p in range(parts) if edges[p] < edges[p + 1]]
+            if out:
+                yield _blocks(keys, [(p, pack(place[at], covers[at], ids[at], marks[at])) for p, at in out])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, got in _by_key(batches):
+            place, covers, ids, marks = (np.concatenate([x[i] for x in got]) for i in range(4))
             order = np.lexsort((place, marks, ids))
             place, covers, ids, marks = place[order], covers[order], ids[order], marks[order]
             edge = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])))
-            flat = np.stack([place, covers.astype(np.int32)], 1).astype(np.int32).ravel()
-            lists = pa.ListArray.from_arrays(pa.array(np.append(edge, len(place)) * 2, pa.int32()), pa.array(flat))
+            flat = np.stack([place, covers.astype(np.int32)], 1).ravel()
+            lists = pa.ListArray.from_arrays(pa.array(np.append(edge, len(place)) * 2, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(ids[edge]), pa.array(marks[edge]), lists], ["id", "mark", "covered"])
 
-    return blocks.repartition(parts, "to").sortWithinPartitions("to").mapInArrow(run, "id bigint, mark int, covered array<int>")
+    found = blocks.repartition(parts, "to").sortWithinPartitions("to").mapInArrow(find, "to int, block binary")
+    return found.repartition(parts, "to").sortWithinPartitions("to").mapInArrow(gather, "id bigint, mark int, covered array<int>")
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated spans cut out of the text, and (n_sentences, n_removed) added."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = partition_keys(spark, parts)
+    keys = partition_keys(parts)
     id_ = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID))
     mark = F.hash(F.col(text_col))
     texts = docs.select(id_.alias("id"), mark.alias("mark"), F.col(text_col).cast("string").alias("text"))
-    covered = _repeats(_span_blocks(texts, keys), parts).groupBy("id", "mark").agg(F.flatten(F.collect_list("covered")).alias("_covered"))
-    covered = covered.withColumnRenamed("id", "_id").withColumnRenamed("mark", "_mark")
+    covered = _repeats(_span_blocks(texts, keys), keys).select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), F.col("covered").alias("_covered"))
     keyed = docs.select(*(F.col(c) for c in docs.columns), id_.alias("_own_id"), mark.alias("_own_mark"))
     joined = keyed.join(covered, (F.col("_own_id") == F.col("_id")) & (F.col("_own_mark") == F.col("_mark")), "left").select(*docs.columns, "_covered")
     at, names = docs.columns.index(text_col), [*docs.columns, "n_sentences", "n_removed"]
