@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import frugal
 from .shared import cut, written
 
 #: So many edges are left to one task; more are first contracted by partition and then settled in rounds.
@@ -29,9 +30,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     loops are ignored, repeated edges do no harm.
     """
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v")
-    pairs = written(pairs.mapInArrow(_forest, "u bigint, v bigint"))
+    pairs = written(pairs.mapInArrow(frugal(_forest), "u bigint, v bigint"))
     if pairs.count() <= ONE_TASK_EDGES:
-        whole = pairs.coalesce(1).mapInArrow(_forest, "u bigint, v bigint")
+        whole = pairs.coalesce(1).mapInArrow(frugal(_forest), "u bigint, v bigint")
         return _with_roots(whole)
     seen = _mark(pairs)
     for _ in range(MOST_ROUNDS):
