@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.memory import frugal
 from .chat_template import compile_template, unguard, unguard_line
 
 BEGIN, END = "<|turn|>", "<|end|>\n"
@@ -121,7 +122,7 @@ def digests(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
         if out:
             yield packed()
 
-    return _sorted_turns(conversations).mapInArrow(run, SCHEMA)
+    return _sorted_turns(conversations).mapInArrow(frugal(run), SCHEMA)
 
 
 def formatted(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
@@ -139,7 +140,7 @@ def formatted(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
             kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
             yield pa.RecordBatch.from_arrays([pa.array([conv_id], pa.int64()), pa.array(["".join(pieces)], pa.string()), pa.array([spans], kind)], ["conv_id", "text", "loss_spans"])
 
-    return _sorted_turns(conversations).mapInArrow(run, "conv_id bigint, text string, loss_spans array<struct<start:bigint,stop:bigint>>")
+    return _sorted_turns(conversations).mapInArrow(frugal(run), "conv_id bigint, text string, loss_spans array<struct<start:bigint,stop:bigint>>")
 
 
 #: DuckDB SQL for ``digests`` over ``conversations`` and conversation -1.

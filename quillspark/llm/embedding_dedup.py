@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.graph import connected_components
+from ..plans.memory import frugal
 from ..plans.shared import written
 from .textscan import mix
 
@@ -86,7 +87,7 @@ def _codes(classes: DataFrame, tables: int, width: int, bucket: float) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), kind], ["vector", "class", "copies", "codes"])
 
     kind = classes.schema["vector"].dataType.simpleString()
-    return classes.select("vector", "class", "copies").mapInArrow(run, f"vector {kind}, class bigint, copies bigint, codes array<bigint>")
+    return classes.select("vector", "class", "copies").mapInArrow(frugal(run), f"vector {kind}, class bigint, copies bigint, codes array<bigint>")
 
 
 def _units(coded: DataFrame) -> DataFrame:
@@ -192,7 +193,7 @@ def _linked(units: DataFrame, threshold: float, shape: tuple) -> DataFrame:
             yield from solve(held)
 
     dealt = units.repartition(*order).sortWithinPartitions(*order)
-    return dealt.mapInArrow(run, "class bigint, links bigint, root bigint")
+    return dealt.mapInArrow(frugal(run), "class bigint, links bigint, root bigint")
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, width: int = WIDTH, bucket: float = BUCKET) -> DataFrame:

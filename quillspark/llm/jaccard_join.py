@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.graph import connected_components
+from ..plans.memory import frugal
 from ..plans.shared import written
 from .textscan import Chunk, chunks, mix, row_runs, run_hashes, span_hashes
 
@@ -145,7 +146,7 @@ def classes_of(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(chunk)), pa.array(sizes, pa.int64()), pa.array(keys)], ["doc_id", "n_shingles", "class"])
 
     picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id bigint, n_shingles bigint, class bigint")
+    return picked.mapInArrow(frugal(run), "doc_id bigint, n_shingles bigint, class bigint")
 
 
 def _blocks(keys: list[int], parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -197,7 +198,7 @@ def _posting_blocks(docs: DataFrame, width: int, keys: list[int]) -> DataFrame:
         if size:
             yield flush(held)
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "to int, block binary")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), "to int, block binary")
 
 
 def _shared_blocks(blocks: DataFrame, keys: list[int]) -> DataFrame:
@@ -241,7 +242,7 @@ def _shared_blocks(blocks: DataFrame, keys: list[int]) -> DataFrame:
             if out:
                 yield _blocks(keys, out)
 
-    return blocks.repartition(parts, "to").sortWithinPartitions("to").mapInArrow(run, "to int, block binary")
+    return blocks.repartition(parts, "to").sortWithinPartitions("to").mapInArrow(frugal(run), "to int, block binary")
 
 
 def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
@@ -300,7 +301,7 @@ def _profiles(shared: DataFrame, parts: int, percent: int) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["class", "n", "shared", "parity", "spread", "signature", "prefix", "members"])
 
-    return shared.repartition(parts, "to").sortWithinPartitions("to").mapInArrow(run, PROFILE)
+    return shared.repartition(parts, "to").sortWithinPartitions("to").mapInArrow(frugal(run), PROFILE)
 
 
 # -- pairs ------------------------------------------------------------------------------
@@ -326,7 +327,7 @@ def _verified(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "an", "am", "bn", "bm")
-    return joined.mapInArrow(run, "a bigint, b bigint")
+    return joined.mapInArrow(frugal(run), "a bigint, b bigint")
 
 
 def _may_link(a: str, b: str, percent: int) -> str:
@@ -443,4 +444,4 @@ def _with_class(docs: DataFrame, width: int) -> DataFrame:
                 classes.append(set_keys(owner, hashes, n).view(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(sizes), pa.int64()), pa.array(np.concatenate(classes))], names)
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("_size", LongType()).add("_class", LongType()))
+    return docs.mapInArrow(frugal(run), StructType([*docs.schema.fields]).add("_size", LongType()).add("_class", LongType()))

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.memory import frugal
 from ..plans.shared import new_path, written
 from ..plans.sharedfiles import mapped, save
 from .jaccard_join import _blocks, _bucket, _by_key, pack, partition_keys
@@ -156,7 +157,7 @@ def _counted_blocks(texts: DataFrame, keys: list[int], items, range_of) -> DataF
         if size:
             yield flush(held)
 
-    return texts.mapInArrow(run, "to int, block binary")
+    return texts.mapInArrow(frugal(run), "to int, block binary")
 
 
 def _small(counts: np.ndarray) -> np.ndarray:
@@ -192,7 +193,7 @@ def train(texts: DataFrame) -> Model:
             yield _facts(part, len(hashes), int(counts.sum()), [])
 
     blocks = _counted_blocks(texts, keys, lambda chunk: tokens(chunk)[0], lambda h: _bucket(h, parts))
-    facts = {r.part: r for r in blocks.repartition(parts, "to").sortWithinPartitions("to").mapInArrow(store_words, facts_type).collect()}
+    facts = {r.part: r for r in blocks.repartition(parts, "to").sortWithinPartitions("to").mapInArrow(frugal(store_words), facts_type).collect()}
     model.word_base = [0, *np.cumsum([facts[p].rows if p in facts else 0 for p in range(parts)]).tolist()]
     model.vocabulary, model.train_tokens = model.word_base[-1], sum(r.total for r in facts.values())
 
@@ -222,7 +223,7 @@ def train(texts: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary()), pa.array([part] * len(out), pa.int32()), pa.array(tally, pa.list_(pa.int64()))], ["to", "block", "part", "tally"])
 
     pair_blocks = _counted_blocks(texts, keys, pair_keys, lambda k: model.range_of(k >> _U(32)))
-    stored = written(pair_blocks.repartition(parts, "to").sortWithinPartitions("to").mapInArrow(store_pairs, "to int, block binary, part int, tally array<bigint>"))
+    stored = written(pair_blocks.repartition(parts, "to").sortWithinPartitions("to").mapInArrow(frugal(store_pairs), "to int, block binary, part int, tally array<bigint>"))
     tallies = {r.part: r.tally for r in stored.where("tally is not null").select("part", "tally").collect()}
     model.pair_discounts = _discounts(np.sum(list(tallies.values()), axis=0) if tallies else np.zeros(4))
     for p in set(range(parts)) - set(tallies):  # ranges without pairs
@@ -240,7 +241,7 @@ def train(texts: DataFrame) -> Model:
             save(model.at("places", part), table)
             yield _facts(part, len(follows), int(places.sum()), [*_tally(places), int((places > 2).sum())])
 
-    rows = stored.select("to", "block").repartition(parts, "to").sortWithinPartitions("to").mapInArrow(store_places, facts_type).collect()
+    rows = stored.select("to", "block").repartition(parts, "to").sortWithinPartitions("to").mapInArrow(frugal(store_places), facts_type).collect()
     for p in set(range(parts)) - {r.part for r in rows}:
         save(model.at("places", p), np.zeros((model.range_start(p + 1) - model.range_start(p), 1), np.int64))
     if rows:
@@ -314,7 +315,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 )
 
     picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, SCHEMA)
+    return picked.mapInArrow(frugal(run), SCHEMA)
 
 
 def train_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

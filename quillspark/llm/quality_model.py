@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.memory import frugal
 from .quality_rules import base_counts
 from .textscan import IS_SPACE, Chunk, chunks, mix, row_runs, run_hashes, span_hashes
 
@@ -180,7 +181,7 @@ def _statistics_rows(texts: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(chunk) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(chunk)), batch.column(1).slice(chunk.first, len(chunk)), lists], ["doc_id", "label", "x"])
 
-    return texts.mapInArrow(run, "doc_id bigint, label int, x array<double>")
+    return texts.mapInArrow(frugal(run), "doc_id bigint, label int, x array<double>")
 
 
 def learn(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Trees:
@@ -205,7 +206,7 @@ def score(docs: DataFrame, trees: Trees) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(chunk)), batch.column(1).slice(chunk.first, len(chunk)), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(run, SCHEMA)
+    return picked.mapInArrow(frugal(run), SCHEMA)
 
 
 def learn_and_score(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:

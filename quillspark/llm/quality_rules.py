@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.memory import frugal
 from .bpe import PairTable, merge_all, take_spans
 from .textscan import IS_SPACE, Chunk, chunks, mix, row_runs, run_hashes, span_hashes
 
@@ -210,7 +211,7 @@ def judge(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(chunk)), *(pa.array(out[k], kinds[t]) for k, t in fields)], ["doc_id", *(k for k, _ in fields)])
 
     picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, SCHEMA)
+    return picked.mapInArrow(frugal(run), SCHEMA)
 
 
 def keep_good(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
@@ -224,4 +225,4 @@ def keep_good(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataF
             if masks:
                 yield batch.filter(pa.array(np.concatenate(masks)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.memory import frugal
 from .jaccard_join import _blocks, _bucket, _by_key, pack, partition_keys
 from .textscan import Chunk, chunks, mix, span_hashes
 
@@ -123,7 +124,7 @@ def _span_blocks(texts: DataFrame, keys: list[int]) -> DataFrame:
         if size:
             yield flush(held)
 
-    return texts.mapInArrow(run, "to int, block binary")
+    return texts.mapInArrow(frugal(run), "to int, block binary")
 
 
 def _repeats(blocks: DataFrame, keys: list[int]) -> DataFrame:
@@ -167,8 +168,8 @@ def _repeats(blocks: DataFrame, keys: list[int]) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.append(edge, len(place)) * 2, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(ids[edge]), pa.array(marks[edge]), lists], ["id", "mark", "covered"])
 
-    found = blocks.repartition(parts, "to").sortWithinPartitions("to").mapInArrow(find, "to int, block binary")
-    return found.repartition(parts, "to").sortWithinPartitions("to").mapInArrow(gather, "id bigint, mark int, covered array<int>")
+    found = blocks.repartition(parts, "to").sortWithinPartitions("to").mapInArrow(frugal(find), "to int, block binary")
+    return found.repartition(parts, "to").sortWithinPartitions("to").mapInArrow(frugal(gather), "id bigint, mark int, covered array<int>")
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,7 +212,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     from pyspark.sql.types import LongType, StructType
 
     schema = StructType([*docs.schema.fields]).add("n_sentences", LongType()).add("n_removed", LongType())
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(frugal(run), schema)
 
 
 def _cut(chunk: Chunk, i: int, first: np.ndarray, last: np.ndarray, starts: np.ndarray, ends: np.ndarray, pairs: np.ndarray) -> tuple[str, int]:

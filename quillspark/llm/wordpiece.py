@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.memory import frugal
 from .bpe import byte_symbols, take_spans
 from .textscan import Chunk, chunks, span_hashes
 
@@ -152,4 +153,4 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(chunk)), pa.array(words, pa.int64()), pa.array(counts, pa.int64())], ["doc_id", "n_words", "n_tokens"])
 
     picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, SCHEMA)
+    return picked.mapInArrow(frugal(run), SCHEMA)
