@@ -1,14 +1,19 @@
 """Operator 5: substring dedup by sliding sentence spans.
 
 A text is cut into short sentences: after a mark such as ``. ! ? , ; :``, at a line
-end, and after words whose hash is a multiple of ``CUT_EVERY`` (so that text
-without marks is cut too, at the same words wherever it stands).  From every
-sentence a span runs over at least ``SENTENCES`` sentences and ``WORDS`` words.  Span
-hashes of all texts are brought together by hash range; where a span occurs
-again, in the same text or another, every sentence that a later occurrence covers
-is removed.  The first occurrence by (doc_id, text hash, place) stays whole.
+end, and after words whose hash is a multiple of ``CUT_EVERY``, which is every word:
+any rarer border leaves passages without a span, whole ones where few words repeat.
+A character of a script written without blanks (Han, kana, Thai, Lao, Khmer, Burmese,
+Tibetan) counts as a word.  From every sentence a span runs over at least ``SENTENCES``
+sentences and ``WORDS`` words.  A first pass brings the leading 40 bits of all span
+hashes together by hash range and keeps, in the shared folder, those that occur again;
+the second brings together the whole hashes of the spans that have one of them.  Where
+a span occurs again, in the same text or another, every sentence that a later occurrence
+covers is removed.  The first occurrence by (doc_id, text hash, place) stays whole, but
+for what a repeat that overlaps it covers.
 
-A repeated passage of 50 words holds such a span but for about one passage in six hundred.
+So every repeated passage of ``WORDS`` words or more is found, wherever it begins and
+whatever marks it has.
 
 Defined results: comparison ignores the case of A-Z and the kind of white space;
 null and empty texts, and texts too short for a span, stay as they are; rows that
@@ -27,24 +32,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.memory import frugal
+from ..plans.shared import new_path
+from ..plans.sharedfiles import mapped, save
 from .jaccard_join import _blocks, _bucket, _by_key, pack, partition_keys
 from .textscan import Chunk, chunks, mix, span_hashes
 
-SENTENCES, WORDS, CUT_EVERY = 3, 20, 8
+SENTENCES, WORDS, CUT_EVERY = 3, 20, 1
 FLUSH = 2_000_000
+#: Low bits of a hash that the first pass leaves out.
+SHORT = 24
 NO_ID = -(2**63)
 _U = np.uint64
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?,;:"]] = True
 
+#: First two bytes of the characters that count as words.
+_ALONE = np.zeros(1 << 16, bool)
+for _first, _last in ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3000, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)):
+    _ALONE[int.from_bytes(chr(_first).encode()[:2]) : int.from_bytes(chr(_last).encode()[:2]) + 1] = True
+_ALONE.reshape(256, 256)[:, [*range(0x80), *range(0xC0, 0x100)]] = False
+
 
 def _inverse(odd: int) -> int:
     return pow(odd, -1, 1 << 64)
 
 
+def units(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words, and of the characters that count as words."""
+    starts, ends = chunk.words()
+    buf = chunk.buf
+    lead = np.flatnonzero(buf[:-1] >= 0xE0)
+    lead = lead[_ALONE[buf[lead].astype(np.int64) << 8 | buf[lead + 1]]]
+    if not len(lead):
+        return starts, ends
+    stop = lead + np.where(buf[lead] >= 0xF0, 4, 3)
+    return np.union1d(starts, np.append(lead, np.setdiff1d(stop, ends))), np.union1d(ends, np.append(stop, np.setdiff1d(lead, starts)))
+
+
 def sentences(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first word, word after the last) of each sentence, and the words' starts and ends."""
-    starts, ends = chunk.words()
+    starts, ends = units(chunk)
     if not len(starts):
         none = np.zeros(0, np.int64)
         return none, none, starts, ends
@@ -87,7 +114,69 @@ def spans(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
     return row[begin], place, stop[begin] - begin + 1, found[0], (found[1] >> _U(32)).astype(np.uint32)
 
 
-def _span_blocks(texts: DataFrame, keys: list[int]) -> DataFrame:
+def _halves(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lower and upper 16 bits, which compress better apart."""
+    return (place & 0xFFFF).astype(np.uint16), (place >> 16).astype(np.uint16)
+
+
+def _whole(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(np.int32) | high.astype(np.int32) << 16
+
+
+def _seen_again(texts: DataFrame, keys: list[int]) -> dict[int, str]:
+    """For each hash range the array of the shortened hashes that occur more than once, ascending."""
+    parts, number_of = len(keys), {k: p for p, k in enumerate(keys)}
+    folder = new_path(texts.sparkSession, "spans")
+    if "://" not in folder:
+        folder = ("file://" if folder.startswith("/") else "file:///") + folder.removeprefix("file:")
+    at = lambda part: f"{folder}/seen-{part:05d}.npy"
+
+    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
+        short, times = np.unique(np.concatenate(held), return_counts=True)
+        edges = np.searchsorted(_bucket(short << _U(SHORT), parts), np.arange(parts + 1).astype(_U))
+        return _blocks(keys, [(p, pack(short[edges[p] : edges[p + 1]], times[edges[p] : edges[p + 1]] > 1)) for p in range(parts) if edges[p] < edges[p + 1]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for chunk in chunks(batch.column(0)):
+                held.append(spans(chunk)[3] >> _U(SHORT))
+                size += len(held[-1])
+                if size >= FLUSH:
+                    yield flush(held)
+                    held, size = [], 0
+        if size:
+            yield flush(held)
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, got in _by_key(batches):
+            short, again = (np.concatenate([x[i] for x in got]) for i in range(2))
+            del got
+            order = np.argsort(short)
+            short, again = short[order], again[order]
+            again[1:] |= short[1:] == short[:-1]
+            short = short[again]
+            save(at(number_of[key]), short[np.append(True, short[1:] != short[:-1])[: len(short)]])
+            yield pa.RecordBatch.from_arrays([pa.array([number_of[key]], pa.int32())], ["part"])
+
+    blocks = texts.select("text").mapInArrow(frugal(run), "to int, block binary")
+    stored = blocks.repartition(parts, "to").sortWithinPartitions("to").mapInArrow(frugal(store), "part int").collect()
+    return {r.part: at(r.part) for r in stored}
+
+
+def _among(hashes: np.ndarray, seen: dict[int, str], parts: int) -> np.ndarray:
+    """Mask of the ascending hashes that are, shortened, in ``seen``."""
+    edges = np.searchsorted(_bucket(hashes, parts), np.arange(parts + 1).astype(_U))
+    out = np.zeros(len(hashes), bool)
+    for p in np.flatnonzero(np.diff(edges)).tolist():
+        known, short = mapped(seen[p]), hashes[edges[p] : edges[p + 1]] >> _U(SHORT)
+        if len(known):
+            out[edges[p] : edges[p + 1]] = known[np.minimum(np.searchsorted(known, short), len(known) - 1)] == short
+    return out
+
+
+def _span_blocks(texts: DataFrame, keys: list[int], seen: dict[int, str]) -> DataFrame:
+    """The spans whose shortened hash occurs more than once."""
     parts = len(keys)
 
     def flush(held: list) -> pa.RecordBatch:
@@ -99,6 +188,7 @@ def _span_blocks(texts: DataFrame, keys: list[int]) -> DataFrame:
         place, covers, hashes, check = (np.concatenate([h[i] for h in held]) for i in range(1, 5))
         ids, marks = np.concatenate([h[5] for h in held]), np.concatenate([h[6] for h in held])
         order = np.argsort(hashes)
+        order = order[_among(hashes[order], seen, parts)]
         owner_, place, covers, hashes, check = owner_[order], place[order], covers[order], hashes[order], check[order]
         edges = np.searchsorted(_bucket(hashes, parts), np.arange(parts + 1).astype(_U))
         out = []
@@ -106,7 +196,7 @@ def _span_blocks(texts: DataFrame, keys: list[int]) -> DataFrame:
             a, z = edges[p], edges[p + 1]
             if a < z:
                 local, back = np.unique(owner_[a:z], return_inverse=True)
-                out.append((p, pack(hashes[a:z], check[a:z], back.astype(np.uint16 if len(local) < 65536 else np.uint32), place[a:z].astype(np.int32), np.minimum(covers[a:z], 65535).astype(np.uint16), ids[local], marks[local])))
+                out.append((p, pack(hashes[a:z], check[a:z], back.astype(np.uint16 if len(local) < 65536 else np.uint32), *_halves(place[a:z]), np.minimum(covers[a:z], 65535).astype(np.uint16), ids[local], marks[local])))
         return _blocks(keys, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,8 +223,9 @@ def _repeats(blocks: DataFrame, keys: list[int]) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, got in _by_key(batches):
-            hashes, check, place, covers = (np.concatenate([x[i] for x in got]) for i in (0, 1, 3, 4))
-            ids, marks = np.concatenate([x[5][x[2]] for x in got]), np.concatenate([x[6][x[2]] for x in got])
+            hashes, check, covers = (np.concatenate([x[i] for x in got]) for i in (0, 1, 5))
+            place = np.concatenate([_whole(x[3], x[4]) for x in got])
+            ids, marks = np.concatenate([x[6][x[2]] for x in got]), np.concatenate([x[7][x[2]] for x in got])
             del got
             order = np.argsort(hashes)
             sorted_ = hashes[order]
@@ -152,15 +243,16 @@ def _repeats(blocks: DataFrame, keys: list[int]) -> DataFrame:
             lead = np.flatnonzero(new)[np.cumsum(new) - 1]
             later = np.flatnonzero((ids != ids[lead]) | (marks != marks[lead]) | (place != place[lead]))
             to = _bucket(mix(ids[later].view(_U)), parts).astype(np.int64)
-            order = np.argsort(to, kind="stable")
+            order = np.lexsort((place[later], marks[later], ids[later].view(_U), to))
             edges = np.searchsorted(to[order], np.arange(parts + 1))
             out = [(p, later[order[edges[p] : edges[p + 1]]]) for p in range(parts) if edges[p] < edges[p + 1]]
             if out:
-                yield _blocks(keys, [(p, pack(place[at], covers[at], ids[at], marks[at])) for p, at in out])
+                yield _blocks(keys, [(p, pack(*_halves(place[at]), covers[at], ids[at].view(_U), marks[at])) for p, at in out])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, got in _by_key(batches):
-            place, covers, ids, marks = (np.concatenate([x[i] for x in got]) for i in range(4))
+            covers, ids, marks = (np.concatenate([x[i] for x in got]) for i in (2, 3, 4))
+            place, ids = np.concatenate([_whole(x[0], x[1]) for x in got]), ids.view(np.int64)
             order = np.lexsort((place, marks, ids))
             place, covers, ids, marks = place[order], covers[order], ids[order], marks[order]
             edge = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])))
@@ -180,7 +272,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id_ = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID))
     mark = F.hash(F.col(text_col))
     texts = docs.select(id_.alias("id"), mark.alias("mark"), F.col(text_col).cast("string").alias("text"))
-    covered = _repeats(_span_blocks(texts, keys), keys).select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), F.col("covered").alias("_covered"))
+    covered = _repeats(_span_blocks(texts, keys, _seen_again(texts, keys)), keys).select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), F.col("covered").alias("_covered"))
     keyed = docs.select(*(F.col(c) for c in docs.columns), id_.alias("_own_id"), mark.alias("_own_mark"))
     joined = keyed.join(covered, (F.col("_own_id") == F.col("_id")) & (F.col("_own_mark") == F.col("_mark")), "left").select(*docs.columns, "_covered")
     at, names = docs.columns.index(text_col), [*docs.columns, "n_sentences", "n_removed"]

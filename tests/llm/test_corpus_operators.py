@@ -161,6 +161,31 @@ def test_span_dedup_repeated_ids(spark):
     assert got == sorted([(1, True), (1, True), (1, True), (None, False)], key=str)
 
 
+def planted(kind, n, seed):
+    """Passages of 50 to 60 words without marks, each in an early and a late text, at places of their own."""
+    rng = random.Random(seed)
+    new = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(8))
+    make = {
+        "words": lambda: " ".join(new() for _ in range(rng.randint(50, 60))),
+        "few words": lambda: " ".join([new(), new(), new()][rng.randrange(3)] for _ in range(rng.randint(50, 60))),
+        "one word": lambda: " ".join([new()] * rng.randint(50, 60)),
+        "han": lambda: "".join(chr(rng.randint(0x4E00, 0x9F00)) for _ in range(rng.randint(50, 60))),
+    }[kind]
+    passages = [make() for _ in range(n)]
+    around = lambda p: " ".join(new() for _ in range(rng.randint(0, 70))) + f" {p} " + " ".join(new() for _ in range(rng.randint(0, 70)))
+    return passages, {i: around(p) for i, p in enumerate(passages)}, {n + i: around(p) for i, p in enumerate(passages)}
+
+
+@pytest.mark.parametrize("kind", ["words", "few words", "one word", "han"])
+def test_span_dedup_finds_every_passage_without_marks(spark, kind):
+    passages, early, late = planted(kind, 300, 5)
+    got = {r.doc_id: r for r in span_dedup.drop_repeats(spark.createDataFrame(list((early | late).items()), "doc_id long, text string")).collect()}
+    for i, p in enumerate(passages):
+        assert p in late[300 + i] and p not in got[300 + i].text and got[300 + i].n_removed > 0
+        assert len(late[300 + i]) - len(got[300 + i].text) <= len(p) + 1
+        assert kind == "one word" or got[i].text == early[i]
+
+
 # -- embeddings -------------------------------------------------------------------------
 
 
