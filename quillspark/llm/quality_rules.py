@@ -94,9 +94,12 @@ class Fertility:
             if len(piece) == 1:
                 self.symbol[ord(piece)] = i
         self.mark = spell["▁"]
+        self.bytes = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
+        self.is_byte = np.zeros(size, bool)
+        self.is_byte[self.bytes] = True
 
     def encode_words(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words laid end to end and the number of each; a fallback of n bytes is one id ``size + n``."""
+        """Ids of all words laid end to end and the number of each."""
         lens = ends - starts
         data = take_spans(buf, starts, lens)
         points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
@@ -104,7 +107,17 @@ class Fertility:
         stop = np.cumsum(lens)
         n_points = head[stop] - head[stop - lens]
         symbols = np.insert(self.symbol[points], np.cumsum(n_points) - n_points, self.mark)
-        return merge_all(symbols, n_points + 1, self.table)
+        ids, counts = merge_all(symbols, n_points + 1, self.table)
+        # Fallback characters merge with nothing: they come out in the order of the text, as one id each.
+        width = np.where(ids > self.size, ids - self.size, 1)
+        if not (ids > self.size).any():
+            return ids, counts
+        upto = np.append(0, np.cumsum(width))
+        edge = np.append(0, np.cumsum(counts))
+        ids = np.repeat(ids, width)
+        fallen = self.symbol[points] > self.size
+        ids[ids > self.size] = self.bytes[data[np.repeat(fallen, np.diff(np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))))]]
+        return ids, np.diff(upto[edge])
 
 
 @lru_cache(maxsize=2)
@@ -169,16 +182,13 @@ def fertility(chunk: Chunk, starts: np.ndarray, ends: np.ndarray, hashes: np.nda
     each = counts[back]
     tokens = take_spans(ids, first, each).astype(np.int64)
     rows = np.repeat(chunk.row_of(starts), each)
-    over = tokens - vocabulary.size
-    weight = np.where(over > 0, over, 1)
-    total = np.bincount(rows, weight, minlength=n)
-    fallback = np.bincount(rows[over > 0], over[over > 0], minlength=n)
+    total = np.bincount(rows, minlength=n)
+    fallback = np.bincount(rows[vocabulary.is_byte[tokens]], minlength=n)
     keys = np.sort(rows * np.int64(1 << 20) + tokens)
     edge = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     times = np.diff(np.append(edge, len(keys)))
-    units = np.bincount(rows, minlength=n)
     surprise = np.bincount(keys[edge] >> 20, times * np.log2(times), minlength=n)
-    entropy = np.where(units > 0, np.log2(np.maximum(units, 1)) - surprise / np.maximum(units, 1), 0.0)
+    entropy = np.where(total > 0, np.log2(np.maximum(total, 1)) - surprise / np.maximum(total, 1), 0.0)
     return {"n_tokens": total.astype(np.int64), "fallback_share": fallback / np.maximum(total, 1), "token_entropy": np.maximum(entropy, 0.0)}
 
 

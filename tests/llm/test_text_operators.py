@@ -144,6 +144,22 @@ def test_quality_rules_bands():
     assert quality_rules.judge_chunk(chunk, quality_rules.load(PIECES))["kept"].tolist() == [True, False, False]
 
 
+ODIA = "ସବୁ ମନୁଷ୍ୟ ଜନ୍ମକାଳରୁ ସ୍ୱାଧୀନ । ସେମାନଙ୍କର ମର୍ଯ୍ୟାଦା ଓ ଅଧିକାର ସମାନ । ସେମାନଙ୍କଠାରେ ପ୍ରଜ୍ଞା ଓ ବିବେକ ନିହିତ ଅଛି । ସେମାନେ ପରସ୍ପର ପ୍ରତି ଭ୍ରାତୃତ୍ୱ ମନୋଭାବରେ ବ୍ୟବହାର କରିବା ଉଚିତ ।"
+CHEROKEE = "ᏂᎦᏓ ᎠᏂᏴᏫ ᏂᎨᎫᏓᎸᎾ ᎠᎴ ᎤᏂᎶᏍᏗ ᎤᎾᏕᎿ ᏚᏳᎧᏛ ᎨᏒᎢ. ᎨᎥᏁᎳ ᎤᎾᏓᏅᏖᏗ ᎠᎴ ᎤᏃᏟᏍᏗ ᎠᎴ ᏌᏊ ᎨᏒ ᏧᏂᎸᏫᏍᏓᏁᏗ ᎠᎾᏟᏅᏢ ᎠᏓᏅᏙ ᎬᏗ. ᏂᎦᏓ ᎠᏂᏴᏫ."
+
+
+def test_quality_rules_count_fallback_bytes_as_tokens():
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = [ODIA, CHEROKEE, "ଅ" * 300 + " ଅ" * 30, "plain words 🙂 and ὅ, é 日本 \U00010348"]
+    got = quality_rules.judge_chunk(next(chunks(pa.array(texts))), quality_rules.load(PIECES))
+    for i, text in enumerate(texts):
+        ids = [x for w in WORD.findall(text) for x in model.encode(w)]
+        entropy = -sum(k / len(ids) * np.log2(k / len(ids)) for k in Counter(ids).values())
+        assert got["n_tokens"][i] == len(ids) and abs(got["token_entropy"][i] - entropy) < 1e-9
+        assert abs(got["fallback_share"][i] - sum(map(model.is_byte, ids)) / len(ids)) < 1e-9
+    assert got["kept"].tolist()[:3] == [True, True, False]
+
+
 def test_token_counts_rows(spark, texts):
     to_byte = {c: b for b, c in enumerate(bpe.byte_symbols())}
     vocabulary = {bytes(to_byte[c] for c in t) for t in json.load(open(BPE))["model"]["vocab"] if t != "<|endoftext|>"}
