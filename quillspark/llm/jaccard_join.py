@@ -19,6 +19,13 @@ Texts whose shingle sets agree form one class; only classes are compared.
    across components.  Every pair of classes that is similar is thus either verified
    or already connected, so components are exact.
 
+``near_components`` does no more than that.  ``near_links`` gives the join itself: all
+pairs of groups that share a prefix shingle and may link by size and shared shingles are
+expanded to their members, and every pair of members that passes the filters is verified.
+It returns each pair of similar classes once; with the rows of ``classes_of`` they are all
+links between rows, and ``link_counts`` counts them.  A family of k different near copies
+has up to k (k - 1) / 2 such pairs, so this work grows with the square of a family.
+
 Defined results: ``n_shingles`` 0 (null, empty or blank text) links with nothing;
 a text of fewer words than a shingle counts as one shingle; repeated rows and texts
 with equal sets fall into one component; a null id is never a component's name
@@ -372,6 +379,21 @@ def _class_components(profiles: DataFrame, percent: int) -> DataFrame:
     return connected_components(links.unionByName(written(found)))
 
 
+def _class_links(profiles: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of similar classes, a < b."""
+    own = profiles.groupBy("signature", "n").agg(F.max_by("prefix", "class").alias("prefix"), F.max("shared").alias("shared"), F.count(F.lit(1)).alias("times"))
+    groups = written(own.select(F.struct("signature", "n").alias("group"), "n", "shared", "prefix", "times"))
+    index = groups.select("group", "n", "shared", F.explode("prefix").alias("token"))
+    x, y = index.alias("x"), index.alias("y")
+    sizes = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {100 + percent} * least(x.shared, y.shared) >= {percent} * (x.n + y.n)"
+    apart = x.join(y, F.col("x.token") == F.col("y.token")).where("x.group < y.group").where(sizes).select(F.col("x.group").alias("g"), F.col("y.group").alias("h")).distinct()
+    pairs = apart.unionByName(groups.where("times > 1").select(F.col("group").alias("g"), F.col("group").alias("h")))
+    members = profiles.select(F.struct("signature", "n").alias("group"), _facts().alias("x"))
+    left, right = members.select(F.col("group").alias("g"), "x"), members.select(F.col("group").alias("h"), F.col("x").alias("y"))
+    met = pairs.join(left, "g").join(right, "h").where("g <> h or x.class < y.class").where(_may_link("x", "y", percent))
+    return _verified(_ordered(met.select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))), profiles, percent)
+
+
 def _pivot_pairs(index: DataFrame, rank: Column, percent: int, more: DataFrame | None = None) -> DataFrame:
     """Each list's members against its highest-ranked one, as far as they may link; ``more``: further pairs (x, y)."""
     pivots = index.groupBy("token").agg(F.max_by("x", F.struct(rank.alias("rank"), F.col("x.class").alias("class"))).alias("y"), F.count(F.lit(1)).alias("times")).where("times > 1").select("token", "y")
@@ -390,13 +412,42 @@ def _open_lists(profiles: DataFrame, labels: DataFrame) -> DataFrame:
 
 def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, class), one for each row of ``docs``."""
-    spark = docs.sparkSession
+    rows, profiles = _prepared(docs, width, percent, id_col, text_col)
+    return _named(rows, _class_components(profiles, percent))
+
+
+def near_links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All pairs (a, b) of similar classes, a < b, and the rows (doc_id, n_shingles, class) of their members.
+
+    Rows of one class are similar to each other, if they have shingles.
+    """
+    rows, profiles = _prepared(docs, width, percent, id_col, text_col)
+    return written(_class_links(profiles, percent)), rows
+
+
+def link_counts(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``near_components`` with ``n_links``: to how many other rows each is similar."""
+    links, rows = near_links(docs, width, percent, id_col, text_col)
+    sizes = rows.where("n_shingles > 0").groupBy("class").agg(F.count(F.lit(1)).alias("times"))
+    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = ends.join(sizes, ends["b"] == sizes["class"]).groupBy("a").agg(F.sum("times").alias("others"))
+    counts = sizes.join(others, sizes["class"] == others["a"], "left").select(F.col("class").alias("_class"), (F.col("times") - 1 + F.coalesce("others", F.lit(0))).alias("_links"))
+    named = _named(rows, written(connected_components(links)))
+    joined = named.join(counts, (F.col("class") == F.col("_class")) & (F.col("n_shingles") > 0), "left")
+    return joined.select("doc_id", "n_shingles", "component_id", "class", F.coalesce("_links", F.lit(0)).alias("n_links"))
+
+
+def _prepared(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``classes_of`` and the profiles of the classes."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = partition_keys(parts)
     profiles = written(_profiles(_shared_blocks(_posting_blocks(texts, width, keys), keys), parts, percent))
-    rows = written(classes_of(texts, width))
-    linked = _class_components(profiles, percent)
+    return written(classes_of(texts, width)), profiles
+
+
+def _named(rows: DataFrame, linked: DataFrame) -> DataFrame:
+    """``rows`` with the least id of their component; ``linked``: (node, component) of the linked classes."""
     firsts = rows.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first"))
     firsts = firsts.join(linked, firsts["class"] == linked["node"], "left").select("class", "first", F.coalesce("component", "class").alias("component"))
     names = firsts.groupBy("component").agg(F.min("first").alias("component_id"))

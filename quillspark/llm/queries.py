@@ -38,6 +38,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_components(_table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_counts(_table(spark, sf_dir, "documents"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
@@ -64,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_wordpiece": op4_wordpiece,
         "op5_span_dedup": op5_span_dedup,
         "op6_jaccard_join": op6_jaccard_join,
+        "op6_jaccard_links": op6_jaccard_links,
         "op7_chat": op7_chat,
         "op8_quality_rules": op8_quality_rules,
         "op9_language_model": op9_language_model,

@@ -85,6 +85,28 @@ def test_jaccard_join_repeated_rows_and_nulls(spark):
     assert jaccard_join.near_components(df.limit(0)).count() == 0
 
 
+def test_jaccard_links(spark, sf_dir):
+    texts = near_texts(160, 4) + [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    words = [f"x{i}" for i in range(120)]
+    texts += [" ".join([*words[:k], "odd", *words[k:]]) for k in range(5, 120, 12)]  # near copies of each other
+    texts += [" ".join(words[:40] + [f"{t}{i}" for t in "ab"[:k] for i in range(k)]) for k in (0, 1, 2)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = {i: shingles(t) for i, t in enumerate(texts)}
+    links = similar_links(sets)
+    pairs, rows = jaccard_join.near_links(df)
+    members = defaultdict(list)
+    for r in rows.collect():
+        members[r["class"]].append(r.doc_id)
+    found = pairs.collect()
+    between = sorted((min(i, j), max(i, j)) for a, b in found for i in members[a] for j in members[b])
+    assert between == sorted((i, j) for i, j in links if sets[i] != sets[j]) and len(between) > 100
+    times = Counter(x for p in links for x in p)
+    want = union_find(links, sets)
+    got = jaccard_join.link_counts(df).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got} == {i: (len(sets[i]), want[i], times[i]) for i in sets}
+    assert jaccard_join.link_counts(df.limit(0)).count() == 0
+
+
 def test_partition_keys(spark):
     from pyspark.sql import functions as F
 
