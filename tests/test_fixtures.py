@@ -196,3 +196,20 @@ def test_stream_history(spark, sf_dir, tmp_path):
     assert isinstance(got, pd.DataFrame)
     batch = history.windowed_counts(marks).agg(F.sum("n")).first()[0]
     assert batch == marks.count()
+
+
+def test_rewrite_pipeline_keeps_texts_with_accents(spark, tmp_path):
+    import re
+
+    from quillspark.queries import AREAS, quality
+
+    texts = ["café of the day", "éof the x", "of theé x", "out of the é of the", "„a“ of the b  , c ## ;", "über of the_ of the-of the", "ასof the", "of the", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in next(a.queries["rewrite_pipeline"] for a in AREAS if "rewrite_pipeline" in a.queries)(spark, str(tmp_path)).collect()}
+
+    def rewritten(text):
+        for a, b in quality.REWRITES:
+            text = re.sub(a, b, text)
+        return text
+
+    assert got == {i: t if t is None else rewritten(t) for i, t in enumerate(texts)}
