@@ -72,12 +72,13 @@ def drop_adjacent_repeats(text: Column, least: int = 4) -> Column:
     """Words equal to the last kept word go, marks at their ends aside, if they have ``least`` letters."""
     bare = lambda w: F.rtrim(w, F.lit(",.;:"))
 
-    def step(kept: Column, word: Column) -> Column:
-        repeat = (F.size(kept) > 0) & (bare(F.element_at(kept, -1)) == bare(word)) & (F.length(bare(word)) >= least)
-        return F.when(repeat, kept).otherwise(F.array_append(kept, word))
+    def kept(before: Column, word: Column) -> Column:
+        # What was dropped before equals the last kept word, marks aside: the word before decides.
+        return F.when((bare(before) != bare(word)) | (F.length(bare(word)) < least), word)
 
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    return F.array_join(F.aggregate(words, F.array().cast("array<string>"), step), " ")
+    marked = F.zip_with(F.concat(F.array(F.lit("")), words), words, kept)
+    return F.array_join(F.filter(marked, lambda w: w.isNotNull()), " ")
 
 
 def table_diff(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -89,6 +89,16 @@ def edit_distance(v: Views) -> DataFrame:
     return a.join(b, "b").select("a", "b", F.levenshtein("x", "y").alias("distance"))
 
 
+@query("edit_distance_whole", None)
+def edit_distance_whole(v: Views) -> DataFrame:
+    """``edit_distance`` over whole texts."""
+    ascii_text = F.regexp_replace("text", "[^ -~]", "")
+    items = v.table("benchmark")
+    a = items.select(F.col("item_id").alias("a"), (F.col("item_id") + 1).alias("b"), ascii_text.alias("x"))
+    b = items.select(F.col("item_id").alias("b"), ascii_text.alias("y"))
+    return a.join(b, "b").select("a", "b", F.levenshtein("x", "y").alias("distance"))
+
+
 @query("lookup_cascade", "select p_partkey, coalesce(a.put, b.put, c.put, upper(left(p_name, 1)) || substr(p_name, 2)) as name, case when a.put is not null then 'root' when b.put is not null then 'topic' when c.put is not null then 'name' else 'case' end as from_level from part left join (values ('small ring', 'RING')) a(k, put) on p_name = a.k left join (select p_brand as k, min(p_name) as put from part where p_brand in ('Brand#1', 'Brand#2') group by 1) b on p_brand = b.k left join (select 'LARGE' as k, r_name as put from region where r_regionkey = 2) c on p_type = c.k")
 def lookup_cascade(v: Views) -> DataFrame:
     part = v.table("part")
@@ -147,6 +157,12 @@ def dedupe_adjacent(v: Views) -> DataFrame:
     return v.table("documents").select("doc_id", op.drop_adjacent_repeats(F.substring("text", 1, 300)).alias("text"))
 
 
+@query("dedupe_adjacent_whole", None)
+def dedupe_adjacent_whole(v: Views) -> DataFrame:
+    """``dedupe_adjacent`` over whole texts."""
+    return v.table("documents").select("doc_id", op.drop_adjacent_repeats(F.col("text")).alias("text"))
+
+
 @query("clean_text", r"select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as text from documents")
 def clean_text(v: Views) -> DataFrame:
     return v.table("documents").select("doc_id", tx.collapse_space(F.col("text")).alias("text"))
@@ -159,6 +175,13 @@ def script_fold(v: Views) -> DataFrame:
     return v.table("documents").select("doc_id", tx.fold_script(old).alias("folded"))
 
 
+@query("script_fold_whole", None)
+def script_fold_whole(v: Views) -> DataFrame:
+    """``script_fold`` over whole texts."""
+    old = F.translate("text", "ea", tx.ASOMTAVRULI[4] + tx.NUSKHURI[0])
+    return v.table("documents").select("doc_id", tx.fold_script(old).alias("folded"))
+
+
 @query("morph_suffix", "select p_name, w, case when suffix(w, 'is') then w when right(w, 1) in ('a', 'e', 'i', 'y') then left(w, length(w) - 1) || 'is' when right(w, 1) in ('o', 'u') then w || 's' else w || 'is' end as genitive from (select distinct p_name, split_part(p_name, ' ', 2) as w from part)")
 def morph_suffix(v: Views) -> DataFrame:
     return v.table("part").select("p_name", F.split_part("p_name", F.lit(" "), F.lit(2)).alias("w")).distinct().withColumn("genitive", op.genitive(F.col("w")))
@@ -232,6 +255,17 @@ def fix_validate(v: Views) -> DataFrame:
     return v.table("documents").select("doc_id", (refs(x) == refs(y)).alias("refs_kept"), fit.alias("length_ok"), (F.length(F.regexp_replace(y, "[^a-z]", "")) >= F.length(y) * 0.3).alias("script_ok"))
 
 
+@query("fix_validate_whole", None)
+def fix_validate_whole(v: Views) -> DataFrame:
+    """``fix_validate`` over whole texts; the correction is the text with its white space cleaned."""
+    i = F.col("doc_id")
+    x = F.concat("text", F.lit(" "), i.cast("string"), F.lit(":1"))
+    y = F.concat(tx.collapse_space(F.col("text")), F.lit(" "), (i - i % 2).cast("string"), F.lit(":1"))
+    refs = lambda c: F.regexp_extract_all(c, F.lit(r"\d+:\d+(?:-\d+)?"), F.lit(0))
+    fit = (F.length(y) >= F.length(x) * 0.4) & (F.length(y) <= F.length(x) * 2.5)
+    return v.table("documents").select("doc_id", (refs(x) == refs(y)).alias("refs_kept"), fit.alias("length_ok"), (F.length(F.regexp_replace(y, "[^a-z]", "")) >= F.length(y) * 0.3).alias("script_ok"))
+
+
 PENALTIES = "- 10 * least(len(regexp_extract_all(line, '[A-Z]{3,}')), 5) - case when length(line) > 200 then 10 else 0 end - case when length(line) < 5 then 50 else 0 end - case when regexp_matches(line, '[#*$%&]{3}') then 20 else 0 end"
 
 
@@ -271,6 +305,14 @@ def src_priority(v: Views) -> DataFrame:
     return op.first_source(first, second, key="key").select("key", "text", "source")
 
 
+@query("src_priority_whole", None)
+def src_priority_whole(v: Views) -> DataFrame:
+    """``src_priority`` over whole texts and all items."""
+    first = v.table("benchmark").select(F.col("item_id").alias("key"), "text", F.lit("benchmark").alias("source"))
+    second = v.table("documents").select(F.col("doc_id").alias("key"), "text", F.lit("documents").alias("source"))
+    return op.first_source(first, second, key="key").select("key", "text", "source")
+
+
 @query("src_union", "select 'documents' as source, count(*) as n, sum(length(text))::bigint as chars from documents union all select 'benchmark', count(*), sum(length(text))::bigint from benchmark")
 def src_union(v: Views) -> DataFrame:
     both = v.table("documents").select(F.lit("documents").alias("source"), "text").unionByName(v.table("benchmark").select(F.lit("benchmark").alias("source"), "text"))

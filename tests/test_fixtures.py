@@ -213,3 +213,44 @@ def test_rewrite_pipeline_keeps_texts_with_accents(spark, tmp_path):
         return text
 
     assert got == {i: t if t is None else rewritten(t) for i, t in enumerate(texts)}
+
+
+def test_whole_text_queries(spark, tmp_path):
+    import re
+
+    from quillspark.queries import AREAS
+
+    rng = random.Random(8)
+    word = lambda: rng.choice(["alpha", "alpha,", "alpha.", "beta", "of", "of,", "é", ";;", "3:16", "gamma-"])
+    docs = {i: rng.choice(["", " "]) + rng.choice([" ", "  ", "\n"]).join(word() for _ in range(400)) for i in range(12)} | {12: "", 13: "one"}
+    items = {i: "".join(rng.choice("abé ") for _ in range(150)) for i in range(4)}
+    spark.createDataFrame(list(docs.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    run = lambda name: next(a.queries[name] for a in AREAS if name in a.queries)(spark, str(tmp_path)).collect()
+
+    def deduped(text):
+        out = []
+        for w in text.split():
+            if not (out and out[-1].rstrip(",.;:") == w.rstrip(",.;:") and len(w.rstrip(",.;:")) > 3):
+                out.append(w)
+        return " ".join(out)
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, a in enumerate(x, 1):
+            last, row[0] = row[0], i
+            for j, b in enumerate(y, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
+        return row[-1]
+
+    def valid(i, text):
+        x, y = f"{text} {i}:1", f"{' '.join(text.split())} {i - i % 2}:1"
+        refs = lambda t: re.findall(r"\d+:\d+(?:-\d+)?", t)
+        return refs(x) == refs(y), 0.4 * len(x) <= len(y) <= 2.5 * len(x), len(re.sub("[^a-z]", "", y)) >= 0.3 * len(y)
+
+    bare = {i: re.sub("[^ -~]", "", t) for i, t in items.items()}
+    assert {r.doc_id: r.text for r in run("dedupe_adjacent_whole")} == {i: deduped(t) for i, t in docs.items()}
+    assert {r.doc_id: r.folded for r in run("script_fold_whole")} == {i: t.replace("e", chr(4308)).replace("a", chr(4304)) for i, t in docs.items()}
+    assert {(r.a, r.b): r.distance for r in run("edit_distance_whole")} == {(i, i + 1): distance(bare[i], bare[i + 1]) for i in range(3)}
+    assert {r.doc_id: tuple(r)[1:] for r in run("fix_validate_whole")} == {i: valid(i, t) for i, t in docs.items()}
+    assert {r.key: (r.text, r.source) for r in run("src_priority_whole")} == {i: (t, "documents") for i, t in docs.items()} | {i: (t, "benchmark") for i, t in items.items()}
