@@ -13,8 +13,9 @@ Texts whose shingle sets agree form one class; only classes are compared.
 4. Classes with the same size and prefix form a group; groups are indexed by their
    prefix shingles.  Each posting list first pairs its groups with one pivot, the
    group whose shingles are most widely shared, then what is still apart with a
-   random one.  Pairs pass size, overlap and bitmap filters, are expanded to members,
-   and are verified on the whole sets.  What is then linked needs no further pair
+   random one.  Groups enter the first round by their lead alone, which their members
+   are compared with; the later rounds index every class and no group pair is expanded.
+   Pairs pass size, overlap and bitmap filters and are verified on the whole sets.  What is then linked needs no further pair
    among itself: only lists that still hold several components are paired in full,
    across components.  Every pair of classes that is similar is thus either verified
    or already connected, so components are exact.
