@@ -1,36 +1,52 @@
 """Operator 8: quality rules on counts and on tokeniser fertility.
 
-A public SentencePiece vocabulary with byte fallback is laid over every word.
-How many characters a token covers, which share of the tokens are fallback
-bytes, and how evenly a text uses its tokens, are compared with bands that
-depend on the text's main script.  Only distinct words of a chunk are encoded.
+Public vocabularies are laid over every word: a SentencePiece one with byte fallback
+and a byte-level one for many languages.  For each of them a text has three measures:
+characters per token, the share of tokens that are no whole characters (byte fallback),
+and the entropy of its tokens.  Only distinct words of a chunk are encoded.
+
+Two kinds of bands reject a text that passes the base rule:
+
+* ``LIMITS``, by script: what no text worth keeping shows in any corpus.
+* Fences, by language, script and length class (octave of words): the quartiles of a
+  measure over all texts of the cell that pass the base rule, moved outwards by ``REACH``
+  times their distance (Tukey's fences), for which ``LEAST_SPREAD`` stands in if it is
+  smaller.  Characters per token have both fences, the fallback share has the upper and
+  the entropy the lower one.  Words of a language are cut into about as many tokens
+  everywhere; tables, symbols, codes, mangled text and lists of one item are not.
+
+The quartiles are exact over measures rounded to ``1 / GRID``, so a cell's state is
+bounded and reruns agree.
 
 Defined results: a null or empty text has no words and fails the base rule;
-repeated rows are judged alike; other columns are never read, so clashing names
-do no harm; an empty table gives an empty table; texts of any length are taken
-whole.
+repeated rows are judged alike; a null language is a language of its own, and without
+a language column the script alone makes the cells; other columns are never read, so
+clashing names do no harm; an empty table gives an empty table; texts of any length are
+taken whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import base64
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..plans.memory import frugal
+from ..plans.shared import written
 from .bpe import PairTable, merge_all, take_spans
 from .textscan import IS_SPACE, Chunk, chunks, mix, row_runs, run_hashes, span_hashes
 
-SCHEMA = (
-    "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, "
-    "script string, n_tokens bigint, chars_per_token double, fallback_share double, token_entropy double"
-)
+COUNTS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, script string, octave int"
+#: What each vocabulary measures; the columns carry the vocabulary's number.
+MEASURES = ("chars_per_token", "fallback_share", "token_entropy")
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 WINDOW = 8
@@ -40,12 +56,16 @@ SCRIPTS = ("latin", "latin_marked", "cyrillic", "greek", "cjk", "other")
 _RANGES = ((0x40, -1), (0x5A, 0), (0x60, -1), (0x7A, 0), (0xBF, -1), (0x24F, 1), (0x36F, -1), (0x3FF, 3), (0x52F, 2), (0x1DFF, 5), (0x1EFF, 1), (0x1FFF, 3), (0x2E7F, -1), (0x9FFF, 4), (0xABFF, 5), (0xD7AF, 4), (0xF8FF, 5), (0xFAFF, 4), (0x1FFFF, 5), (0x3FFFF, 4), (0x10FFFF, 5))
 #: A text whose letters are at least this share of marked Latin is judged as such.
 MARKED_SHARE = 0.02
-EVEN_TOKENS = 4096
+
+#: Fences lie this many quartile distances outside of the quartiles of measures rounded to ``1 / GRID``.
+REACH, GRID = 1.5, 1000
+#: The least quartile distance that a fence is reckoned with: as a share of the median, and as plain numbers.
+LEAST_SPREAD = {"chars_per_token": 0.05, "fallback_share": 0.02, "token_entropy": 0.2}
 
 
 @dataclass(frozen=True)
-class Band:
-    """What a script's texts must show; evenness is the entropy of the tokens over log2 of their number, ``EVEN_TOKENS`` at most."""
+class Limits:
+    """What a script's texts must show by any vocabulary; evenness is the entropy of the tokens over the most that so many of them can have."""
 
     least_chars: float
     most_chars: float
@@ -53,17 +73,17 @@ class Band:
     least_evenness: float
 
 
-BANDS = {
-    "latin": Band(1.5, 6.5, 0.08, 0.40),
-    "latin_marked": Band(1.4, 6.5, 0.10, 0.40),
-    "cyrillic": Band(1.0, 6.0, 0.15, 0.40),
-    "greek": Band(0.5, 4.0, 0.60, 0.30),
-    "cjk": Band(0.25, 3.0, 0.90, 0.30),
-    "other": Band(0.20, 6.5, 0.98, 0.20),
+LIMITS = {
+    "latin": Limits(1.4, 7.0, 0.10, 0.40),
+    "latin_marked": Limits(1.3, 7.0, 0.15, 0.40),
+    "cyrillic": Limits(0.9, 7.0, 0.30, 0.40),
+    "greek": Limits(0.5, 7.0, 0.90, 0.30),
+    "cjk": Limits(0.25, 5.0, 0.98, 0.30),
+    "other": Limits(0.20, 7.0, 1.00, 0.20),
 }
 
 
-class Fertility:
+class Pieces:
     """BPE of a SentencePiece model over single words, each with the word mark before it."""
 
     def __init__(self, path: str):
@@ -74,18 +94,9 @@ class Fertility:
         usable = [i for i in range(size) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         spell = {model.id_to_piece(i): i for i in usable}
         order = sorted((i for i in usable if len(model.id_to_piece(i)) > 1), key=lambda i: -model.get_score(i))
-        left, right, merged = [], [], []
-        for i in order:
-            piece = model.id_to_piece(i)
-            for cut in range(1, len(piece)):
-                a, b = spell.get(piece[:cut]), spell.get(piece[cut:])
-                if a is not None and b is not None:
-                    left.append(a), right.append(b), merged.append(i)
-        self.table = PairTable(np.array(left, np.int64), np.array(right, np.int64), np.array(merged, np.int32))
         rank = np.full(size, np.iinfo(np.int32).max, np.int32)
         rank[order] = np.arange(len(order))
-        filled = self.table.keys >= 0
-        self.table.rank[filled] = rank[self.table.merged[filled]]
+        self.table = _merges({p: i for p, i in spell.items()}, (model.id_to_piece(i) for i in order), rank)
         self.size = size
         #: Symbol of each code point; ``size + n`` stands for one that falls back to n bytes.
         points = np.arange(0x110000)
@@ -95,8 +106,8 @@ class Fertility:
                 self.symbol[ord(piece)] = i
         self.mark = spell["▁"]
         self.bytes = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
-        self.is_byte = np.zeros(size, bool)
-        self.is_byte[self.bytes] = True
+        self.falls = np.zeros(size, bool)
+        self.falls[self.bytes] = True
 
     def encode_words(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words laid end to end and the number of each."""
@@ -120,9 +131,55 @@ class Fertility:
         return ids, np.diff(upto[edge])
 
 
-@lru_cache(maxsize=2)
-def load(path: str) -> Fertility:
-    return Fertility(path)
+class ByteRanks:
+    """Byte-level BPE given by the ranks of its tokens, over single words, each with a blank before it."""
+
+    def __init__(self, path: str):
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.size = max(ranks.values()) + 1
+        self.table = _merges(ranks, ranks, np.arange(self.size, dtype=np.int32))
+        self.symbol = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        #: Tokens that are no whole characters.
+        self.falls = np.zeros(self.size, bool)
+        for token, rank in ranks.items():
+            self.falls[rank] = not _whole_characters(token)
+
+    def encode_words(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words laid end to end and the number of each."""
+        lens = ends - starts
+        symbols = np.insert(self.symbol[take_spans(buf, starts, lens)], np.cumsum(lens) - lens, self.symbol[0x20])
+        return merge_all(symbols, lens + 1, self.table)
+
+
+Vocabulary = Pieces | ByteRanks
+
+
+def _whole_characters(token: bytes) -> bool:
+    try:
+        token.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def _merges(ids: dict, tokens, rank: np.ndarray) -> PairTable:
+    """Every split of a token into two others is a merge, which ranks as the token does."""
+    left, right, merged = [], [], []
+    for token in tokens:
+        for cut in range(1, len(token)):
+            a, b = ids.get(token[:cut]), ids.get(token[cut:])
+            if a is not None and b is not None:
+                left.append(a), right.append(b), merged.append(ids[token])
+    table = PairTable(np.array(left, np.int64), np.array(right, np.int64), np.array(merged, np.int32))
+    filled = table.keys >= 0
+    table.rank[filled] = rank[table.merged[filled]]
+    return table
+
+
+@lru_cache(maxsize=4)
+def load(path: str) -> Vocabulary:
+    return Pieces(path) if path.endswith(".model") else ByteRanks(path)
 
 
 def _repeated(keys: np.ndarray) -> np.ndarray:
@@ -171,68 +228,136 @@ def main_scripts(chunk: Chunk) -> np.ndarray:
     return np.where(tally.sum(1) > 0, merged.argmax(1), 5)
 
 
-def fertility(chunk: Chunk, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, vocabulary: Fertility) -> dict[str, np.ndarray]:
+def fertility(chunk: Chunk, starts: np.ndarray, ends: np.ndarray, distinct: tuple[np.ndarray, np.ndarray], vocabulary: Vocabulary) -> dict[str, np.ndarray]:
+    """Tokens, fallback share and entropy of each row; ``distinct``: one place of each word, and each word's number."""
     n = len(chunk)
     zero = np.zeros(n)
     if not len(starts):
         return {"n_tokens": zero.astype(np.int64), "fallback_share": zero, "token_entropy": zero}
-    _, where, back = np.unique(hashes, return_index=True, return_inverse=True)
+    where, back = distinct
     ids, counts = vocabulary.encode_words(chunk.buf, starts[where], ends[where])
     first = (np.cumsum(counts) - counts)[back]
     each = counts[back]
     tokens = take_spans(ids, first, each).astype(np.int64)
     rows = np.repeat(chunk.row_of(starts), each)
     total = np.bincount(rows, minlength=n)
-    fallback = np.bincount(rows[vocabulary.is_byte[tokens]], minlength=n)
+    fallen = np.bincount(rows[vocabulary.falls[tokens]], minlength=n)
     keys = np.sort(rows * np.int64(1 << 20) + tokens)
     edge = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     times = np.diff(np.append(edge, len(keys)))
     surprise = np.bincount(keys[edge] >> 20, times * np.log2(times), minlength=n)
     entropy = np.where(total > 0, np.log2(np.maximum(total, 1)) - surprise / np.maximum(total, 1), 0.0)
-    return {"n_tokens": total.astype(np.int64), "fallback_share": fallback / np.maximum(total, 1), "token_entropy": np.maximum(entropy, 0.0)}
+    return {"n_tokens": total.astype(np.int64), "fallback_share": fallen / np.maximum(total, 1), "token_entropy": np.maximum(entropy, 0.0)}
 
 
-def judge_chunk(chunk: Chunk, vocabulary: Fertility) -> dict[str, np.ndarray]:
-    """All columns of ``SCHEMA`` but the id."""
+def measure_chunk(chunk: Chunk, vocabularies: Sequence[Vocabulary]) -> dict[str, np.ndarray]:
+    """The columns of ``measured_fields`` for all rows."""
     starts, ends = chunk.words()
     hashes = span_hashes(chunk.buf, starts, ends)
-    out = base_counts(chunk, starts, ends, hashes) | fertility(chunk, starts, ends, hashes, vocabulary)
+    out = base_counts(chunk, starts, ends, hashes)
     out["base_failed"] = (out["n_words"] < 20) | (100 * out["n_repeat_words"] > 30 * out["n_words"])
     script = main_scripts(chunk) if len(chunk.buf) else np.full(len(chunk), 5)
     out["script"] = np.array(SCRIPTS)[script]
-    out["chars_per_token"] = out["word_chars"] / np.maximum(out["n_tokens"], 1)
-    least, most, bytes_, even = (np.array([getattr(BANDS[s], k) for s in SCRIPTS])[script] for k in ("least_chars", "most_chars", "most_fallback", "least_evenness"))
-    evenness = out["token_entropy"] / np.maximum(np.log2(np.clip(out["n_tokens"], 2, EVEN_TOKENS)), 1)
-    within = (out["chars_per_token"] >= least) & (out["chars_per_token"] <= most) & (out["fallback_share"] <= bytes_) & (evenness >= even)
-    out["kept"] = ~out["base_failed"] & within
+    out["octave"] = np.frexp(out["n_words"].astype(np.float64))[1]
+    _, where, back = np.unique(hashes, return_index=True, return_inverse=True)
+    for k, vocabulary in enumerate(vocabularies):
+        got = fertility(chunk, starts, ends, (where, back), vocabulary)
+        got["chars_per_token"] = out["word_chars"] / np.maximum(got["n_tokens"], 1)
+        least, most, fallen, even = (np.array([getattr(LIMITS[s], x) for s in SCRIPTS])[script] for x in ("least_chars", "most_chars", "most_fallback", "least_evenness"))
+        most_entropy = np.log2(np.clip(got["n_tokens"], 2, vocabulary.size))
+        out[f"within_limits_{k}"] = (got["chars_per_token"] >= least) & (got["chars_per_token"] <= most) & (got["fallback_share"] <= fallen) & (got["token_entropy"] >= even * most_entropy)
+        out |= {f"{name}_{k}": got[name] for name in ("n_tokens", *MEASURES)}
     return out
 
 
-def judge(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts, fertility and verdict of every row (``SCHEMA``).  One pass, no shuffle."""
-    fields = [f.strip().split(" ") for f in SCHEMA.split(",")][1:]
-    kinds = {"bigint": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string()}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = load(vocabulary)
-        for batch in batches:
-            for chunk in chunks(batch.column(1)):
-                out = judge_chunk(chunk, words)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(chunk)), *(pa.array(out[k], kinds[t]) for k, t in fields)], ["doc_id", *(k for k, _ in fields)])
-
-    picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(frugal(run), SCHEMA)
+def measured_fields(vocabularies: int) -> list[tuple[str, str]]:
+    own = [("n_tokens", "bigint"), *((m, "double") for m in MEASURES), ("within_limits", "boolean")]
+    return [tuple(f.strip().split(" ")) for f in COUNTS.split(",")] + [(f"{name}_{k}", kind) for k in range(vocabularies) for name, kind in own]
 
 
-def keep_good(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
-    """The rows that ``judge`` keeps, with all their columns.  One pass, no shuffle."""
-    at = docs.columns.index(text_col)
+def _measured(rows: DataFrame, vocabularies: Sequence[str], text_of: Callable[[pa.RecordBatch], pa.Array], kept: list[str]) -> DataFrame:
+    """The first columns of ``rows``, which are ``kept``, with ``measured_fields`` added.  One pass, no shuffle."""
+    fields = measured_fields(len(vocabularies))
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = load(vocabulary)
+        words = [load(path) for path in vocabularies]
         for batch in batches:
-            masks = [judge_chunk(c, words)["kept"] for c in chunks(pc.cast(batch.column(at), pa.string()))]
-            if masks:
-                yield batch.filter(pa.array(np.concatenate(masks)))
+            for chunk in chunks(pc.cast(text_of(batch), pa.string())):
+                out, here = measure_chunk(chunk, words), (chunk.first, len(chunk))
+                columns = [batch.column(i).slice(*here) for i in range(len(kept))]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(out[f], kinds[t]) for f, t in fields)], [*kept, *(f for f, _ in fields)])
+
+    schema = StructType([*(rows.schema[c] for c in kept), *StructType.fromDDL(", ".join(f"{f} {t}" for f, t in fields))])
+    return rows.mapInArrow(frugal(run), schema)
+
+
+def _rounded(measure: str) -> Column:
+    return F.round(F.col(measure) * GRID).cast("bigint")
+
+
+def fences(measured: DataFrame, vocabularies: int) -> DataFrame:
+    """Rows (lang, script, octave, and (low, high) of each measure) from all measured texts that pass the base rule."""
+    found = []
+    for k in range(vocabularies):
+        for m in MEASURES:
+            q = F.percentile(_rounded(f"{m}_{k}"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+            found.append(F.transform(q, lambda x: x / GRID).alias(f"q_{m}_{k}"))
+    quartiles = measured.where("not base_failed").groupBy(F.col("lang").alias("_lang"), F.col("script").alias("_script"), F.col("octave").alias("_octave")).agg(*found)
+    out = [F.col(c) for c in ("_lang", "_script", "_octave")]
+    for k in range(vocabularies):
+        for m in MEASURES:
+            q = F.col(f"q_{m}_{k}")
+            least = F.lit(LEAST_SPREAD[m]) * (q[1] if m == "chars_per_token" else 1)
+            spread = F.greatest(q[2] - q[0], least)
+            out += [(q[0] - REACH * spread).alias(f"low_{m}_{k}"), (q[2] + REACH * spread).alias(f"high_{m}_{k}")]
+    return quartiles.select(*out)
+
+
+def _outside(vocabularies: int) -> Column:
+    """Names of the bands that a measured row with its fences is outside of."""
+    out = []
+    for k in range(vocabularies):
+        out.append(F.when(~F.col(f"within_limits_{k}"), f"limits_{k}"))
+        for m in MEASURES:
+            x = _rounded(f"{m}_{k}") / GRID
+            if m != "fallback_share":
+                out.append(F.when(x < F.col(f"low_{m}_{k}"), f"low_{m}_{k}"))
+            if m != "token_entropy":
+                out.append(F.when(x > F.col(f"high_{m}_{k}"), f"high_{m}_{k}"))
+    return F.array_compact(F.array(*out))
+
+
+def _judged(measured: DataFrame, vocabularies: int) -> DataFrame:
+    """A table of measured rows with (outside, kept) added."""
+    cells = fences(measured, vocabularies)
+    same = F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("script") == F.col("_script")) & (F.col("octave") == F.col("_octave"))
+    outside = F.when(F.col("base_failed"), F.array().cast("array<string>")).otherwise(_outside(vocabularies))
+    return measured.join(cells, same, "left").withColumn("outside", outside).withColumn("kept", ~F.col("base_failed") & (F.size("outside") == 0))
+
+
+def judge(docs: DataFrame, vocabularies: Sequence[str], id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
+    """Counts, measures and verdict of every row: (doc_id, ``measured_fields``, outside, kept).
+
+    ``outside`` names the bands that a text which passes the base rule breaks.  One pass over
+    the texts; what it measures is written and read twice, without a shuffle of rows unless
+    there are too many cells to send around.
+    """
+    picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), _lang(docs, lang_col), F.col(text_col).cast("string").alias("text"))
+    measured = written(_measured(picked, vocabularies, lambda batch: batch.column(2), ["doc_id", "lang"]))
+    return _judged(measured, len(vocabularies)).select("doc_id", *(f for f, _ in measured_fields(len(vocabularies))), "outside", "kept")
+
+
+def keep_good(docs: DataFrame, vocabularies: Sequence[str], text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
+    """The rows that ``judge`` keeps, with all their columns.
+
+    Rows that pass the base rule are written with their measures and read again.
+    """
+    at = docs.columns.index(text_col)
+    whole = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), _lang(docs, lang_col))
+    measured = _measured(whole, vocabularies, lambda batch: batch.column(0).field(at), ["row", "lang"]).where("not base_failed")
+    return _judged(written(measured), len(vocabularies)).where("kept").select(*(F.col("row")[c].alias(c) for c in docs.columns))
+
 
-    return docs.mapInArrow(frugal(run), docs.schema)
+def _lang(docs: DataFrame, lang_col: str | None) -> Column:
+    return (F.col(lang_col) if lang_col in docs.columns else F.lit(None)).cast("string").alias("lang")

@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from . import bpe, chat, embedding_dedup, jaccard_join, language_model, mixing, quality_model, quality_rules, span_dedup, wordpiece
 
 
+#: The vocabularies that operator 8 measures with.
+FERTILITY = [public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")]
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -49,7 +53,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return quality_rules.judge(_table(spark, sf_dir, "documents"), FERTILITY)
 
 
 def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators on single texts against brute force: scanning, BPE, quality rules, token counts, quality model."""
 
+import base64
 import hashlib
 import json
 import random
@@ -12,6 +13,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import sentencepiece
+import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -20,6 +22,9 @@ from quillspark.llm import bpe, quality_model, quality_rules, wordpiece
 from quillspark.llm.textscan import chunks, row_runs, run_hashes, span_hashes
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+VOCABULARIES = [PIECES, public_tokenizers.path("byte_bpe_multi_50k.tiktoken")]
+MODEL = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+MANY = tiktoken.Encoding("many", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(VOCABULARIES[1], "rb"))}, special_tokens={})
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = ["", " ", "\n\n", "a", "日本 🙂🙂 日本", "\n a", "x" * 70_000, "it's don't we'll 're", "<|endoftext|>", "a<|endoftext|>b", " x　y\x85z", "٣ ²", "aaaa aaaaa", "line\nline\nline\n"]
 PARTS = ["'s", "'re", "'ll", " ", "  ", "\n", "\t", "a", "it's", "é", "ß", "日本", "🙂", "123", "<|endoftext|>", "!", "'", "Word", "aaa", "ü", "́", "\r\n", "THE", "\x1c", "\x85", "　"]
@@ -117,31 +122,104 @@ def brute_rules(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
 
 
+def measures(text):
+    """By both vocabularies: tokens, characters per token, share of tokens that are no characters, entropy."""
+    words, out = WORD.findall(text), []
+    pieces = [i for w in words for i in MODEL.encode(w)]
+    ranked = [i for w in words for i in MANY._encode_single_piece(" " + w)]
+    broken = ["\ufffd" in MANY.decode_single_token_bytes(i).decode(errors="replace") for i in ranked]
+    for ids, fallen in ((pieces, [MODEL.is_byte(i) for i in pieces]), (ranked, broken)):
+        n = max(1, len(ids))
+        entropy = -sum(k / n * np.log2(k / n) for k in Counter(ids).values())
+        out.append((len(ids), sum(map(len, words)) / n, sum(fallen) / n, entropy))
+    return out
+
+
+def brute_verdicts(rows):
+    """The bands that each (lang, text, script) is outside of; None where the base rule fails."""
+    cells, out = {}, []
+    for lang, text, script in rows:
+        n, _, _, _, repeats = brute_rules(text or "")
+        if n < 20 or 100 * repeats > 30 * n:
+            out.append(None)
+            continue
+        cells.setdefault((lang, script, n.bit_length()), []).append(len(out))
+        out.append({"got": measures(text), "outside": set()})
+    for (_, script, _), members in cells.items():
+        limits = quality_rules.LIMITS[script]
+        for k, size in enumerate((32000, 50256)):
+            for i in members:
+                n, chars, fallen, entropy = out[i]["got"][k]
+                if not (limits.least_chars <= chars <= limits.most_chars and fallen <= limits.most_fallback and entropy >= limits.least_evenness * np.log2(min(max(n, 2), size))):
+                    out[i]["outside"].add(f"limits_{k}")
+            for m, (name, least) in enumerate((("chars_per_token", None), ("fallback_share", 0.02), ("token_entropy", 0.2)), 1):
+                x = [np.floor(out[i]["got"][k][m] * 1000 + 0.5) / 1000 for i in members]
+                q1, q2, q3 = np.quantile(x, [0.25, 0.5, 0.75])
+                spread = max(q3 - q1, 0.05 * q2 if least is None else least)
+                for i, v in zip(members, x, strict=True):
+                    if name != "fallback_share" and v < q1 - 1.5 * spread:
+                        out[i]["outside"].add(f"low_{name}_{k}")
+                    if name != "token_entropy" and v > q3 + 1.5 * spread:
+                        out[i]["outside"].add(f"high_{name}_{k}")
+    return [None if x is None else x["outside"] for x in out]
+
+
 def test_quality_rules_rows(spark, texts):
-    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    got = quality_rules.judge(frame(spark, texts), PIECES).collect()
+    got = quality_rules.judge(frame(spark, texts), VOCABULARIES).collect()
     assert len(got) == len(texts) + 3
-    for r in got:
-        text = "" if r.doc_id == len(texts) else "null id" if r.doc_id is None else texts[r.doc_id]
+    own = ["" if r.doc_id == len(texts) else "null id" if r.doc_id is None else texts[r.doc_id] for r in got]
+    verdicts = brute_verdicts([(None, t, r.script) for r, t in zip(got, own, strict=True)])
+    for r, text, verdict in zip(got, own, verdicts, strict=True):
         base = brute_rules(text)
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == base
-        assert r.base_failed == (base[0] < 20 or 100 * base[4] > 30 * base[0])
-        ids = [i for w in WORD.findall(text) for i in model.encode(w)]
-        assert r.n_tokens == len(ids)
-        assert abs(r.fallback_share - sum(model.is_byte(i) for i in ids) / max(1, len(ids))) < 1e-9
-        assert not (r.base_failed and r.kept)
+        assert r.base_failed == (base[0] < 20 or 100 * base[4] > 30 * base[0]) == (verdict is None)
+        for k, (n, chars, fallen, entropy) in enumerate(measures(text)):
+            assert r[f"n_tokens_{k}"] == n
+            assert np.allclose([r[f"{m}_{k}"] for m in quality_rules.MEASURES], [chars, fallen, entropy])
+        assert set(r.outside) == (verdict or set()) and r.kept == (verdict == set())
     kept = {r.doc_id for r in got if r.kept}
-    rows = quality_rules.keep_good(frame(spark, texts), PIECES)
+    rows = quality_rules.keep_good(frame(spark, texts), VOCABULARIES)
     assert rows.columns == ["doc_id", "text", "n_tokens", "kept", "score"]
     assert {r.doc_id for r in rows.collect()} == kept and kept
-    assert quality_rules.judge(frame(spark, texts).limit(0), PIECES).count() == 0
-
-
-def test_quality_rules_bands():
-    clean = "The quick brown fox jumps over the lazy dog while seven wizards quietly mix vexing potions behind an old stone bridge at dawn."
-    noise = "กἀ\U00010348 " * 40
-    chunk = next(chunks(pa.array([clean, noise, "zq" * 400 + " " + " ".join("xqzjk" for _ in range(30))])))
-    assert quality_rules.judge_chunk(chunk, quality_rules.load(PIECES))["kept"].tolist() == [True, False, False]
+    assert quality_rules.judge(frame(spark, texts).limit(0), VOCABULARIES).count() == 0
+    assert quality_rules.keep_good(frame(spark, texts).limit(0), VOCABULARIES).count() == 0
+
+
+def test_quality_rules_on_the_table(spark, sf_dir):
+    """Brute force over real rows, columns that clash with all inner names, and what the labels say."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    got = {r.doc_id: r for r in quality_rules.judge(docs.selectExpr("*", "1 as script", "2 as octave", "3 as _lang", "4 as row", "5 as outside"), VOCABULARIES).collect()}
+    want = brute_verdicts([(rows[i].lang, rows[i].text, got[i].script) for i in got])
+    assert [set(got[i].outside) if not got[i].base_failed else None for i in got] == want
+    clashing = docs.selectExpr("doc_id as row", "text", "lang as script", "lang", "doc_id as doc_id", "1 as kept", "2 as n_tokens_0")
+    kept = quality_rules.keep_good(clashing, VOCABULARIES)
+    assert kept.columns == clashing.columns and {r.row for r in kept.collect()} == {i for i in got if got[i].kept}
+
+
+def test_quality_rules_bands(spark):
+    """Each band rejects what is planted outside of it and leaves alone what lies inside."""
+    rng = random.Random(3)
+    words = "the a of and river stone window garden morning evening people children water bread city village road north south winter summer mountain valley letter paper music silence history question answer teacher student market forest animal teeth hand voice story moment reason number system order light shadow colour surface corner middle distance journey machine engine measure weather cloud island".split()
+    clean = [" ".join(rng.choice(words) + rng.choice(["", "", "", "s", "ed", "ly"]) for _ in range(rng.randint(70, 120))) for _ in range(300)]
+    long_words = "people because through without between another against country general several system social public problem second report during number school family".split()
+    planted = {
+        "low_chars_per_token": " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(7)) for _ in range(90)),
+        "high_chars_per_token": " ".join(rng.choice(long_words) for _ in range(90)),
+        "high_fallback_share": " ".join("ᏂᎦ" if i % 6 == 0 else w for i, w in enumerate((clean[0] + " " + clean[1]).split()[:110])),
+        "low_token_entropy": " ".join(rng.choice(words[4:9]) for _ in range(100)),
+        "limits": " ".join(rng.choice("#*$%&|<>~^") * rng.randint(1, 3) + str(rng.randint(0, 9)) for _ in range(100)) + " a",
+    }
+    docs = [(i, t, "xx") for i, t in enumerate(clean)] + [(1000 + i, t, "xx") for i, t in enumerate(planted.values())]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(docs, "doc_id long, text string, lang string"), VOCABULARIES).collect()}
+    assert np.mean([got[i].kept for i in range(300)]) > 0.95
+    for i, band in enumerate(planted):
+        assert not got[1000 + i].kept and not got[1000 + i].base_failed, band
+        assert any(name.startswith(band) for name in got[1000 + i].outside), (band, got[1000 + i].outside)
+    # A language has cells of its own: among its like the same text is kept.
+    alike = [(2000 + i, " ".join(rng.choice(long_words) for _ in range(rng.randint(70, 120))), "yy") for i in range(60)]
+    again = quality_rules.judge(spark.createDataFrame([*docs, *alike, (3000, planted["high_chars_per_token"], "yy")], "doc_id long, text string, lang string"), VOCABULARIES)
+    assert {r.doc_id: r.kept for r in again.where("doc_id in (1001, 3000)").collect()} == {1001: False, 3000: True}
 
 
 ODIA = "ସବୁ ମନୁଷ୍ୟ ଜନ୍ମକାଳରୁ ସ୍ୱାଧୀନ । ସେମାନଙ୍କର ମର୍ଯ୍ୟାଦା ଓ ଅଧିକାର ସମାନ । ସେମାନଙ୍କଠାରେ ପ୍ରଜ୍ଞା ଓ ବିବେକ ନିହିତ ଅଛି । ସେମାନେ ପରସ୍ପର ପ୍ରତି ଭ୍ରାତୃତ୍ୱ ମନୋଭାବରେ ବ୍ୟବହାର କରିବା ଉଚିତ ।"
@@ -149,15 +227,12 @@ CHEROKEE = "ᏂᎦᏓ ᎠᏂᏴᏫ ᏂᎨᎫᏓᎸᎾ ᎠᎴ ᎤᏂᎶᏍᏗ Ꭴ
 
 
 def test_quality_rules_count_fallback_bytes_as_tokens():
-    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     texts = [ODIA, CHEROKEE, "ଅ" * 300 + " ଅ" * 30, "plain words 🙂 and ὅ, é 日本 \U00010348"]
-    got = quality_rules.judge_chunk(next(chunks(pa.array(texts))), quality_rules.load(PIECES))
+    got = quality_rules.measure_chunk(next(chunks(pa.array(texts))), [quality_rules.load(p) for p in VOCABULARIES])
     for i, text in enumerate(texts):
-        ids = [x for w in WORD.findall(text) for x in model.encode(w)]
-        entropy = -sum(k / len(ids) * np.log2(k / len(ids)) for k in Counter(ids).values())
-        assert got["n_tokens"][i] == len(ids) and abs(got["token_entropy"][i] - entropy) < 1e-9
-        assert abs(got["fallback_share"][i] - sum(map(model.is_byte, ids)) / len(ids)) < 1e-9
-    assert got["kept"].tolist()[:3] == [True, True, False]
+        for k, want in enumerate(measures(text)):
+            assert np.allclose([got[f"{m}_{k}"][i] for m in ("n_tokens", *quality_rules.MEASURES)], want)
+    assert (got["within_limits_0"] & got["within_limits_1"]).tolist()[:3] == [True, True, False]
 
 
 def test_token_counts_rows(spark, texts):
