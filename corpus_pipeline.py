@@ -15,12 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import bpe, jaccard_join, mixing, quality_rules, span_dedup
+from quillspark.llm.queries import FERTILITY
 from quillspark.plans.shared import written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: documents that the quality rules reject go."""
-    return quality_rules.keep_good(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return quality_rules.keep_good(docs, FERTILITY)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
