@@ -1,13 +1,20 @@
 """Operator 3: embedding near-dedup by p-stable hashing for Euclidean distance.
 
 Vectors are scaled to length 1, so that a cosine of c is a distance of
-sqrt(2 - 2c).  Each of ``TABLES`` tables projects a vector on ``WIDTH`` random normal
+sqrt(2 - 2c).  Each of several tables projects a vector on ``width`` random normal
 directions, shifts, divides by ``BUCKET`` and rounds down; vectors with equal codes
 share a bucket, and pairs within a bucket are checked by exact cosine in double
 precision.  A pair that shares buckets of several tables counts in the first only.
-At a cosine of 0.9 a pair is missed with a probability of 0.4 percent, above it less.
 
-Equal vectors form one class and are compared once.  A bucket larger than
+The width follows the number n of distinct vectors, so that a vector meets ``COMPANY``
+unrelated (orthogonal) others in a table at most, and the number of tables follows the
+width, so that a pair right at the threshold is missed with a probability of ``MISS``
+at most, and nearer pairs far more rarely (``plan``).  Tables grow as n to the power 0.27,
+unrelated pairs that are compared as n to the power 1.27.
+
+Only keys are dealt to buckets.  Buckets of one vector go, and of buckets with the same
+members in several tables the first is left; vectors travel to these only.  Equal
+vectors form one class and are compared once.  A bucket larger than
 ``BLOCK`` is cut into blocks, and each pair of blocks is a unit of work of its own,
 so no task holds a whole bucket.  What leaves a unit is a sum of links per class
 and a spanning set of its links, never its pairs.
@@ -21,6 +28,7 @@ other columns are not read; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,9 +42,12 @@ from ..plans.memory import frugal
 from ..plans.shared import written
 from .textscan import mix
 
-TABLES, WIDTH, BUCKET = 24, 8, 2.0
 THRESHOLD = 0.9
+BUCKET, COMPANY, MISS = 2.0, 0.25, 0.05
+LEAST_WIDTH = 8
 BLOCK = 1024
+#: Tables whose codes are computed at once when pairs are told that met before.
+STEP = 8
 SEED = 20240611
 
 
@@ -46,11 +57,27 @@ def _directions(dim: int, tables: int, width: int, bucket: float) -> tuple[np.nd
     return rng.standard_normal((dim, tables * width)), rng.uniform(0, bucket, tables * width)
 
 
-def bucket_codes(unit: np.ndarray, tables: int = TABLES, width: int = WIDTH, bucket: float = BUCKET) -> np.ndarray:
-    """int64 code of each unit vector (rows) in each table (columns)."""
+def shared_cell(cosine: float, bucket: float = BUCKET) -> float:
+    """Probability that two unit vectors fall into one cell of one projection."""
+    r = bucket / math.sqrt(max(2 - 2 * cosine, 1e-12))
+    outside = math.erfc(r / math.sqrt(2))
+    return 1 - outside - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
+
+
+def plan(vectors: int, threshold: float = THRESHOLD, bucket: float = BUCKET) -> tuple[int, int]:
+    """(tables, width) for so many distinct vectors."""
+    width = max(LEAST_WIDTH, math.ceil(math.log(max(vectors, 1) / COMPANY) / -math.log(shared_cell(0.0, bucket))))
+    met = shared_cell(threshold, bucket) ** width
+    return max(1, math.ceil(math.log(MISS) / math.log1p(-met))) if met < 1 else 1, width
+
+
+def bucket_codes(unit: np.ndarray, tables: int, width: int, bucket: float = BUCKET, first: int = 0, last: int | None = None) -> np.ndarray:
+    """int64 code of each unit vector (rows) in the tables (columns) from ``first`` to before ``last``."""
     lines, shifts = _directions(unit.shape[1], tables, width, bucket)
-    cells = np.floor((unit @ lines + shifts) / bucket).astype(np.int64).view(np.uint64).reshape(len(unit), tables, width)
-    code = np.full((len(unit), tables), np.uint64(unit.shape[1]))
+    last = tables if last is None else last
+    here = slice(first * width, last * width)
+    cells = np.floor((unit @ lines[:, here] + shifts[here]) / bucket).astype(np.int64).view(np.uint64).reshape(len(unit), last - first, width)
+    code = np.full((len(unit), last - first), np.uint64(unit.shape[1]))
     for k in range(width):
         code = mix(code * np.uint64(0x9FB21C651E98DF25) + cells[:, :, k])
     return code.view(np.int64)
@@ -74,7 +101,10 @@ def _classes(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return grouped.withColumn("class", F.xxhash64("vector"))
 
 
-def _codes(classes: DataFrame, tables: int, width: int, bucket: float) -> DataFrame:
+def _codes(classes: DataFrame, shape: tuple[int, int, float]) -> DataFrame:
+    """Rows (class, codes)."""
+    tables = shape[0]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(0)
@@ -82,25 +112,25 @@ def _codes(classes: DataFrame, tables: int, width: int, bucket: float) -> DataFr
             codes = np.zeros((len(batch), tables), np.int64)
             for dim in np.unique(lengths):
                 at = np.flatnonzero(lengths == dim)
-                codes[at] = bucket_codes(_unit(lists.take(pa.array(at))), tables, width, bucket)
+                codes[at] = bucket_codes(_unit(lists.take(pa.array(at))), *shape)
             kind = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * tables, pa.int32()), pa.array(codes.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), kind], ["vector", "class", "copies", "codes"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), kind], ["class", "codes"])
 
-    kind = classes.schema["vector"].dataType.simpleString()
-    return classes.select("vector", "class", "copies").mapInArrow(frugal(run), f"vector {kind}, class bigint, copies bigint, codes array<bigint>")
+    return classes.select("vector", "class").mapInArrow(frugal(run), "class bigint, codes array<bigint>")
 
 
-def _units(coded: DataFrame) -> DataFrame:
+def _units(classes: DataFrame, coded: DataFrame) -> DataFrame:
     """Rows (bucket, table, left, right, side, class, copies, vector): each vector in each unit of work that needs it."""
     keys = coded.select("class", F.posexplode("codes").alias("table", "bucket"))
-    sizes = keys.groupBy("table", "bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    sizes = sizes.withColumn("blocks", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int"))
-    dealt = coded.select("vector", "class", "copies", F.posexplode("codes").alias("table", "bucket")).join(sizes, ["table", "bucket"])
+    sizes = keys.groupBy("table", "bucket").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("class")).alias("members")).where("size > 1")
+    # Of buckets with the same members that of the first table is left: no pair of theirs met before it.
+    once = sizes.groupBy("members", "size").agg(F.min(F.struct("table", "bucket")).alias("at"))
+    once = once.select("at.table", "at.bucket", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int").alias("blocks"))
     own = F.pmod(F.hash("class", "table"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return dealt.withColumn("own", own).withColumn("other", other).select(
-        "table", "bucket", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), (F.col("own") > F.col("other")).alias("side"), "class", "copies", "vector"
-    )
+    dealt = keys.join(once, ["table", "bucket"]).withColumn("own", own).withColumn("other", other)
+    dealt = dealt.select("class", "table", "bucket", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), (F.col("own") > F.col("other")).alias("side"))
+    return dealt.join(classes.select("class", "copies", "vector"), "class").select("table", "bucket", "left", "right", "side", "class", "copies", "vector")
 
 
 def _spanning(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +151,7 @@ def _spanning(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[
 def _check(table: int, side: np.ndarray, classes: np.ndarray, copies: np.ndarray, lists: pa.Array, threshold: float, shape: tuple, same: bool) -> tuple[np.ndarray, ...]:
     """(class, links) sums and (class, root) edges of one unit of work."""
     unit = _unit(lists)
-    codes = bucket_codes(unit, *shape)[:, :table]
+    tables, width, bucket = shape
     a = np.flatnonzero(~side)
     b = a if same else np.flatnonzero(side)
     sums = np.zeros(len(unit), np.int64)
@@ -134,10 +164,16 @@ def _check(table: int, side: np.ndarray, classes: np.ndarray, copies: np.ndarray
             linked = unit[x] @ unit[y].T >= threshold
             if same and i == j:
                 linked &= np.tri(len(x), len(y), -1, dtype=bool).T
-            for t in range(table):
-                if not linked.any():
+            for t in range(0, table, STEP):  # pairs that met in a table before are counted there
+                p, q = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
+                if not len(p):
                     break
-                linked &= codes[x, t][:, None] != codes[y, t][None, :]
+                upto = min(t + STEP, table)
+                f, g = (bucket_codes(unit[at], tables, width, bucket, t, upto) for at in (x[p], y[q]))
+                fresh = linked[np.ix_(p, q)]
+                for k in range(upto - t):
+                    fresh &= f[:, k][:, None] != g[:, k][None, :]
+                linked[np.ix_(p, q)] = fresh
             if linked.any():
                 sums[x] += (linked * copies[y][None, :]).sum(axis=1)
                 sums[y] += (linked * copies[x][:, None]).sum(axis=0)
@@ -196,10 +232,12 @@ def _linked(units: DataFrame, threshold: float, shape: tuple) -> DataFrame:
     return dealt.mapInArrow(frugal(run), "class bigint, links bigint, root bigint")
 
 
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, width: int = WIDTH, bucket: float = BUCKET) -> DataFrame:
-    """Rows (vec_id, n_links, component_id, kept), one for each row of ``vectors``."""
+def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", shape: tuple[int, int, float] | None = None) -> DataFrame:
+    """Rows (vec_id, n_links, component_id, kept), one for each row of ``vectors``; ``shape``: (tables, width, bucket) instead of ``plan``'s."""
     classes = written(_classes(vectors, id_col, vector_col))
-    found = written(_linked(_units(_codes(classes, tables, width, bucket)), threshold, (tables, width, bucket)))
+    shape = shape or (*plan(classes.count(), threshold), BUCKET)
+    coded = written(_codes(classes, shape))
+    found = written(_linked(_units(classes, coded), threshold, shape))
     links = found.where("root is null").groupBy("class").agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("root is not null").select(F.col("class").alias("a"), F.col("root").alias("b")))
     named = classes.join(parts, classes["class"] == parts["node"], "left").withColumn("component", F.coalesce("component", "class")).drop("node")

@@ -248,6 +248,34 @@ def test_embedding_recall_on_the_table(spark, sf_dir):
     got = embedding_dedup.near_vectors(both).collect()
     assert sum(r.n_links for r in got) >= 0.97 * sum(counts.values()) > 0
 
+def test_embedding_plan_bounds_unrelated_pairs():
+    """Few unrelated pairs meet, pairs at the threshold nearly always do, by codes alone."""
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    for n in (1, 50, 2000, 10**7):
+        tables, width = embedding_dedup.plan(n)
+        met = embedding_dedup.shared_cell(0.9) ** width
+        assert (1 - met) ** tables <= 0.05 < (1 - met) ** (tables - 1) and n * embedding_dedup.shared_cell(0) ** width <= 0.25 or width == 8
+    x = unit(rng.normal(size=(2000, 48)))
+    tables, width = embedding_dedup.plan(100_000)
+    codes = embedding_dedup.bucket_codes(x, tables, width)
+    pairs = sum(int((np.unique(codes[:, t], return_counts=True)[1] ** 2).sum() - len(x)) // 2 for t in range(tables))
+    assert pairs < 0.001 * len(x) * (len(x) - 1) / 2
+    other = unit(rng.normal(size=x.shape))
+    other = unit(other - (other * x).sum(1, keepdims=True) * x)
+    near = 0.9 * x + np.sqrt(1 - 0.81) * other
+    assert (codes == embedding_dedup.bucket_codes(near, tables, width)).any(axis=1).mean() > 0.92
+    assert np.array_equal(codes[:, 5:9], embedding_dedup.bucket_codes(x, tables, width, first=5, last=9))
+
+
+def test_embedding_dedup_repeated_rows_and_null_ids(spark):
+    v, w = [1.0, 2.0, 3.0], [1.0, 2.0, 3.1]
+    rows = [(1, v), (1, v), (None, w), (None, [5.0, 0.0, 0.0]), (4, w), (5, [0.0, 0.0, 1.0])]
+    got = sorted((str(r) for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).select("vec_id", "n_links", "component_id", "kept").collect()))
+    want = [(1, 3, 1, True), (1, 3, 1, True), (None, 3, 1, False), (4, 3, 1, False), (None, 0, None, False), (5, 0, 5, True)]
+    assert got == sorted(f"Row(vec_id={a}, n_links={b}, component_id={c}, kept={d})" for a, b, c, d in want)
+
+
 
 # -- language model ---------------------------------------------------------------------
 
