@@ -63,14 +63,15 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting.append((np.asarray(batch.column(0)), np.asarray(batch.column(1))))
         size += len(batch)
         if size > ONE_TASK_EDGES:
-            u, v = _stars(np.concatenate([u, *(x for x, _ in waiting)]), np.concatenate([v, *(y for _, y in waiting)]))
+            u, v = stars(np.concatenate([u, *(x for x, _ in waiting)]), np.concatenate([v, *(y for _, y in waiting)]))
             waiting, size = [], 0
-    u, v = _stars(np.concatenate([u, *(x for x, _ in waiting)]), np.concatenate([v, *(y for _, y in waiting)]))
+    u, v = stars(np.concatenate([u, *(x for x, _ in waiting)]), np.concatenate([v, *(y for _, y in waiting)]))
     if len(u):
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
-def _stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each node to the smallest one that the edges (u, v) connect it to."""
     nodes, back = np.unique(np.concatenate([u, v]), return_inverse=True)
     a, b = back[: len(u)], back[len(u) :]
     root = np.arange(len(nodes))
