@@ -6,10 +6,9 @@ sets the text corpus is judged by.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,66 +104,64 @@ def first_source(*sources: DataFrame, key: str) -> DataFrame:
     return ranked.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_source")
 
 
-def genitive(word: Column, ending: str = "s", soft: str = "aeiy", hard: str = "ou") -> Column:
-    """Words that have an ending keep it; a soft last vowel gives way, a hard one stays, others take a vowel first."""
-    last = F.right(word, F.lit(1))
-    swapped = F.concat(F.substring(word, F.lit(1), F.length(word) - 1), F.lit("i" + ending))
-    kept = F.when((word == "") | F.endswith(word, F.lit("i" + ending)), word)
-    return kept.when(last.isin(*soft), swapped).when(last.isin(*hard), F.concat(word, F.lit(ending))).otherwise(F.concat(word, F.lit("i" + ending)))
+def genitive(word: Column, vowel: str = "i", ending: str = "s", soft: str = "aeiy", hard: str = "ou", plural: str = "") -> Column:
+    """Words that have the ending keep it; a soft last vowel gives way, a hard one stays, others take a vowel first."""
+    last, whole = F.right(word, F.lit(1)), vowel + ending
+    swapped = F.concat(F.substring(word, F.lit(1), F.length(word) - 1), F.lit(whole))
+    kept = F.when((word == "") | F.endswith(word, F.lit(whole)) | (F.lit(bool(plural)) & F.endswith(word, F.lit(plural))), word)
+    return kept.when(last.isin(*soft), swapped).when(last.isin(*hard), F.concat(word, F.lit(ending))).otherwise(F.concat(word, F.lit(whole)))
 
 
-# -- callbacks of regular expressions: Arrow-batched, as a replacement depends on its match ----------
+#: The Georgian genitive, and postpositions before which a nominative loses its vowel.
+GEORGIAN = {"vowel": "ი", "ending": "ს", "soft": "იეა", "hard": "ოუ", "plural": "თა"}
+POSTPOSITIONS = ("ში", "თან", "ზე", "დან", "კენ", "მდე", "გარეშე", "ვით")
 
 
-def replace_roots(text: Column, dictionary: dict[str, str]) -> Column:
-    """Latin runs of three letters and more that the dictionary knows, in any case, with the letters glued to them."""
-    import re
+def with_suffix(word: Column, suffix: Column) -> Column:
+    """A Georgian word with a suffix: its last vowel falls before postpositions and the dative, and the genitive follows its own rule."""
+    bare = F.when(F.endswith(word, F.lit("ი")), F.substring(word, F.lit(1), F.length(word) - 1)).otherwise(word)
+    out = F.when((word == "") | (suffix == ""), word).when(suffix.isin(*POSTPOSITIONS) | (suffix == "ს"), F.concat(bare, suffix))
+    return out.when(suffix == "ის", genitive(word, **GEORGIAN)).otherwise(F.concat(word, suffix))
 
-    pattern = re.compile(r"([A-Za-z]{3,})([ა-ჰ]*)")
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def fix(m: re.Match) -> str:
-            put = dictionary.get(m[1].lower())
-            return m[0] if put is None else put + m[2]
+# -- dictionaries over the words of a text: runs of letters and what lies between them, looked up one by one
 
-        for s in batches:
-            yield s.map(lambda t: pattern.sub(fix, t), na_action="ignore")
 
-    return run(text)
+def _lookup(dictionary: dict[str, str], word: Column) -> Column:
+    """What a lower-case word stands for, else null; a map by first letter, as maps are searched from their start."""
+    by_letter: dict[str, dict[str, str]] = {}
+    for k, v in dictionary.items():
+        by_letter.setdefault(k[:1], {})[k] = v
+    entries = [x for letter, words in by_letter.items() for x in (F.lit(letter), F.create_map(*(F.lit(y) for kv in words.items() for y in kv)))]
+    return F.create_map(*entries)[F.substring(word, 1, 1)][word] if entries else F.lit(None).cast("string")
 
 
-def fix_apostrophes(text: Column, no_ending: tuple[str, ...] = ("in", "on", "at")) -> Column:
-    """A word with an apostrophe at its end takes the genitive, unless it ends like a preposition."""
-    import re
+def _pieces(text: Column, pattern: str, fix: Callable[[Column], Column]) -> Column:
+    """``text`` with ``fix`` applied to each match of ``pattern``, whose alternatives cover every character."""
+    return F.when(text.isNotNull(), F.array_join(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), fix), ""))
 
-    pattern = re.compile(r"([a-zა-ჰ]+)'(?=\s|$|[,.;:\-—()])")
 
-    def genitive_of(word: str) -> str:
-        if word.endswith(("is", "ის", *no_ending)):
-            return word
-        georgian = word[-1] >= "ა"
-        soft, hard, ending = ("იეა", "ოუ", "ს") if georgian else ("aeiy", "ou", "s")
-        vowel = "ი" if georgian else "i"
-        return word[:-1] + vowel + ending if word[-1] in soft else word + ending if word[-1] in hard else word + vowel + ending
+def replace_roots(text: Column, dictionary: dict[str, str]) -> Column:
+    """Latin runs of three letters and more that the dictionary knows, in any case, with the Georgian suffix glued to them."""
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda t: pattern.sub(lambda m: genitive_of(m[1]), t), na_action="ignore")
+    def fix(piece: Column) -> Column:
+        root, suffix = F.regexp_extract(piece, "^[A-Za-z]{3,}", 0), F.regexp_extract(piece, "[ა-ჰ]*$", 0)
+        return F.coalesce(F.when(root != "", with_suffix(_lookup(dictionary, F.lower(root)), suffix)), piece)
 
-    return run(text)
+    return _pieces(text, "[A-Za-z]+[ა-ჰ]*|[^A-Za-z]+", fix)
 
 
 def replace_words(text: Column, dictionary: dict[str, str]) -> Column:
     """Whole Latin words of three letters and more, looked up in lower case."""
-    import re
+    return _pieces(text, "[A-Za-z]+|[^A-Za-z]+", lambda piece: F.coalesce(F.when(F.length(piece) >= 3, _lookup(dictionary, F.lower(piece))), piece))
 
-    pattern = re.compile(r"(?<![A-Za-z])[A-Za-z]{3,}(?![A-Za-z])")
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda t: pattern.sub(lambda m: dictionary.get(m[0].lower(), m[0]), t), na_action="ignore")
+def apostrophe_rules(no_ending: tuple[str, ...] = ("in", "on", "at")) -> list[tuple[str, str]]:
+    """(pattern of a word's end before the apostrophe, what stands for it), the first that fits; ``$1`` is what the pattern groups."""
+    kept = "|".join(("is", "ის", *no_ending))
+    return [(f"({kept})", "$1"), ("[იეა]", "ის"), ("([ოუ])", "$1ს"), ("([ა-ჰ])", "$1ის"), ("[aeiy]", "is"), ("([ou])", "$1s"), ("([a-z])", "$1is")]
 
-    return run(text)
+
+def fix_apostrophes(text: Column, no_ending: tuple[str, ...] = ("in", "on", "at")) -> Column:
+    """A word with an apostrophe at its end takes the genitive, unless it ends like a preposition."""
+    return rewrite(text, [(rf"{end}'(?=\s|$|[,.;:\-—()])", put) for end, put in apostrophe_rules(no_ending)])

@@ -284,11 +284,10 @@ def highlight(v: Views) -> DataFrame:
     return shown.select("idx", op.mark_forms(F.col("new"), F.col("pattern")).alias("shown"))
 
 
-@query("highlight_script", r"select doc_id, regexp_replace(text, '(^|[^a-zA-Z])(the)([^a-zA-Z]|$)', '\1<mark>\2</mark>\3', 'g') as shown from documents where not regexp_matches(text, '(^|[^a-zA-Z])the[^a-zA-Z]the([^a-zA-Z]|$)')")
+@query("highlight_script", "select doc_id, array_to_string(list_transform(regexp_extract_all(text, '[a-zA-Z]+|[^a-zA-Z]+'), lambda p: case when p = 'the' then '<mark>the</mark>' else p end), '') as shown from documents")
 def highlight_script(v: Views) -> DataFrame:
-    """Marks between letters of the script by looking around; texts with two hits in a row are left to the fixture test."""
-    docs = v.table("documents").where(~F.col("text").rlike("(^|[^a-zA-Z])the[^a-zA-Z]the([^a-zA-Z]|$)"))
-    return docs.select("doc_id", F.regexp_replace("text", "(?<![a-zA-Z])(the)(?![a-zA-Z])", "<mark>$1</mark>").alias("shown"))
+    """Marks between letters of the script by looking around."""
+    return v.table("documents").select("doc_id", F.regexp_replace("text", "(?<![a-zA-Z])(the)(?![a-zA-Z])", "<mark>$1</mark>").alias("shown"))
 
 
 FOLD = "translate(lower(text), 'éèêáíóúñçäöü', 'eeeaiounc' || 'aou')"
@@ -301,12 +300,13 @@ def fold_match(v: Views) -> DataFrame:
     return v.table("documents").where(folded.rlike("eau|tion")).select("doc_id", F.regexp_count(folded, F.lit("eau|tion")).cast("bigint").alias("n"))
 
 
-@query("wrap_words", r"select page_id, len(regexp_extract_all(regexp_replace(body, '<[^>]+>', ' ', 'g'), '\p{L}+')) as words, length(regexp_replace(regexp_replace(body, '<[^>]+>', ' ', 'g'), '(\p{L}+)', '<span>\1</span>', 'g')) as wrapped_chars from (select page_id, regexp_extract(html, '<h1>(.*?)</h1>', 1) as body from pages)")
+@query("wrap_words", r"select page_id, len(list_filter(p, lambda x: regexp_matches(x, '^\p{L}'))) as words, array_to_string(list_transform(p, lambda x: case when regexp_matches(x, '^\p{L}') then '<span>' || x || '</span>' else x end), '') as wrapped from (select page_id, regexp_extract_all(html, '<[^>]*>|\p{L}+|[^<\p{L}]+|<') as p from pages)")
 def wrap_words(v: Views) -> DataFrame:
-    """Words outside of tags are wrapped one by one."""
-    body = F.regexp_replace(F.regexp_extract("html", "<h1>(.*?)</h1>", 1), "<[^>]+>", " ")
-    wrapped = F.regexp_replace(body, r"(\p{L}+)", "<span>$1</span>")
-    return v.table("pages").select("page_id", F.regexp_count(body, F.lit(r"\p{L}+")).cast("bigint").alias("words"), F.length(wrapped).cast("bigint").alias("wrapped_chars"))
+    """Every word of a page that stands outside of tags is wrapped."""
+    pieces = F.regexp_extract_all("html", F.lit(r"<[^>]*>|\p{L}+|[^<\p{L}]+|<"), F.lit(0))
+    is_word = lambda x: x.rlike(r"^\p{L}")
+    wrapped = F.transform(pieces, lambda x: F.when(is_word(x), F.concat(F.lit("<span>"), x, F.lit("</span>"))).otherwise(x))
+    return v.table("pages").select("page_id", F.size(F.filter(pieces, is_word)).cast("bigint").alias("words"), F.array_join(wrapped, "").alias("wrapped"))
 
 
 # -- ranked and hybrid search -----------------------------------------------------------

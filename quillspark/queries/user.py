@@ -34,11 +34,12 @@ def tag_list(v: Views) -> DataFrame:
     return v.marks().select("user_id", F.explode("tags").alias("tag")).distinct()
 
 
-@query("user_lists", "select event_id, user_id, colour, ts, r from (select *, row_number() over (partition by user_id order by case colour when 'yellow' then 0 when 'green' then 1 when 'blue' then 2 when 'pink' then 3 else 999 end, ts desc, event_id) as r from marks) where r <= 10")
+@query("user_lists", "select event_id, user_id, colour, ts, r from (select *, row_number() over (partition by user_id order by case colour when 'yellow' then 0 when 'green' then 1 when 'blue' then 2 when 'pink' then 3 else 999 end, ts desc, event_id) as r from marks)")
 def user_lists(v: Views) -> DataFrame:
+    """All marks of a user, by colour and date; the window runs over one user's marks."""
     order = F.coalesce(*(F.when(F.col("colour") == c, i) for i, c in enumerate(op.COLOURS)), F.lit(999))
     w = Window.partitionBy("user_id").orderBy(order, F.desc("ts"), "event_id")
-    return v.marks().withColumn("r", F.row_number().over(w).cast("bigint")).where("r <= 10").select("event_id", "user_id", "colour", "ts", "r")
+    return v.marks().withColumn("r", F.row_number().over(w).cast("bigint")).select("event_id", "user_id", "colour", "ts", "r")
 
 
 @query("group_breaks", "select event_id, user_id, colour from (select *, lag(colour) over (partition by user_id order by ts, event_id) as before from marks) where before is null or before <> colour")
