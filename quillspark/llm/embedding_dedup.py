@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.graph import connected_components
+from ..plans.graph import connected_components, stars
 from ..plans.memory import frugal
 from ..plans.shared import written
 from .textscan import mix
@@ -46,6 +46,8 @@ THRESHOLD = 0.9
 BUCKET, COMPANY, MISS = 2.0, 0.25, 0.05
 LEAST_WIDTH = 8
 BLOCK = 1024
+#: Buckets of so many vectors at most are checked together, pair by pair, so many pairs at once.
+SMALL, PAIRS = 48, 1 << 16
 #: Tables whose codes are computed at once when pairs are told that met before.
 STEP = 8
 SEED = 20240611
@@ -185,48 +187,99 @@ def _check(table: int, side: np.ndarray, classes: np.ndarray, copies: np.ndarray
     return classes[hit], sums[hit], np.concatenate(ends) if ends else none, np.concatenate(roots) if roots else none
 
 
+def _met_before(unit: np.ndarray, a: np.ndarray, b: np.ndarray, table: np.ndarray, shape: tuple) -> np.ndarray:
+    """Mask of the pairs (a, b) of rows that share a bucket of a table before their own."""
+    met = np.zeros(len(a), bool)
+    for t in range(0, int(table.max(initial=0)), STEP):
+        open_ = np.flatnonzero(~met & (table > t))
+        if not len(open_):
+            break
+        rows, back = np.unique(np.concatenate([a[open_], b[open_]]), return_inverse=True)
+        codes = bucket_codes(unit[rows], *shape, t, min(t + STEP, shape[0]))
+        same = codes[back[: len(open_)]] == codes[back[len(open_) :]]
+        same &= np.arange(t, t + codes.shape[1])[None, :] < table[open_][:, None]
+        met[open_] = same.any(axis=1)
+    return met
+
+
+def _check_small(tables: np.ndarray, starts: np.ndarray, sizes: np.ndarray, classes: np.ndarray, copies: np.ndarray, lists: pa.Array, threshold: float, shape: tuple) -> Iterator[tuple[np.ndarray, ...]]:
+    """``_check`` of many whole buckets, which lie one behind the other; ``starts``: their first rows."""
+    every = np.repeat(starts - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(sizes.sum())
+    lengths = np.diff(np.asarray(lists.offsets))[every]
+    for dim in np.unique(lengths):
+        rows = every[lengths == dim]
+        unit = _unit(lists.take(pa.array(rows)))
+        bucket = np.searchsorted(starts, rows, side="right") - 1
+        after = starts[bucket] + sizes[bucket] - 1 - rows  # members behind each row
+        upto = np.cumsum(after)
+        for first in range(0, int(upto[-1]), PAIRS):
+            at = np.arange(first, min(first + PAIRS, int(upto[-1])))
+            a = np.searchsorted(upto, at, side="right")
+            b = a + 1 + at - (upto[a] - after[a])
+            near = np.flatnonzero(np.einsum("ij,ij->i", unit[a], unit[b]) >= threshold)
+            a, b = a[near], b[near]
+            fresh = ~_met_before(unit, a, b, tables[bucket[a]], shape)
+            x, y = rows[a[fresh]], rows[b[fresh]]
+            if len(x):
+                yield np.concatenate([classes[x], classes[y]]), np.concatenate([copies[y], copies[x]]), *stars(classes[x], classes[y])
+
+
 def _linked(units: DataFrame, threshold: float, shape: tuple) -> DataFrame:
     """Rows (class, links, root): sums have no root, edges have no links."""
     order = ["table", "bucket", "left", "right"]
 
     def emit(found: list[tuple]) -> pa.RecordBatch:
         c, n, e, r = (np.concatenate([f[i] for f in found]) for i in range(4))
+        c, back = np.unique(c, return_inverse=True)
+        n = np.bincount(back, n, len(c)).astype(np.int64)
         links = pa.array(np.concatenate([n, np.zeros(len(e), np.int64)]))
         roots = pa.array(np.concatenate([np.zeros(len(c), np.int64), r]), mask=np.concatenate([np.ones(len(c), bool), np.zeros(len(r), bool)]))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([c, e])), links, roots], ["class", "links", "root"])
 
+    def solve(rows: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
+        keys = np.stack([np.asarray(rows[k]) for k in order], 1)
+        starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
+        sizes = np.diff(np.append(starts, len(keys)))
+        whole = keys[starts, 2] == keys[starts, 3]
+        side, classes, copies = (np.asarray(rows[k]) for k in ("side", "class", "copies"))
+        lists = rows["vector"].combine_chunks()
+        small = (sizes > 1) & (sizes <= SMALL) & whole
+        if small.any():
+            yield from _check_small(keys[starts[small], 0].astype(np.int64), starts[small], sizes[small], classes, copies, lists, threshold, shape)
+        for i in np.flatnonzero((sizes > 1) & ~small):
+            a, z = starts[i], starts[i] + sizes[i]
+            yield _check(int(keys[a, 0]), side[a:z], classes[a:z], copies[a:z], lists.slice(a, z - a), threshold, shape, whole[i])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
-
-        def solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            keys = np.stack([np.asarray(rows[k]) for k in order], 1)
-            edge = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
-            side, classes, copies = (np.asarray(rows[k]) for k in ("side", "class", "copies"))
-            lists = rows["vector"].combine_chunks()
-            found, waiting = [], 0
-            for a, z in zip(edge, np.append(edge[1:], len(keys)), strict=True):
-                if z - a > 1:
-                    found.append(_check(int(keys[a, 0]), side[a:z], classes[a:z], copies[a:z], lists.slice(a, z - a), threshold, shape, keys[a, 2] == keys[a, 3]))
-                    waiting += len(found[-1][0]) + len(found[-1][2])
-                    if waiting > 200_000:
-                        yield emit(found)
-                        found, waiting = [], 0
-            if waiting:
-                yield emit(found)
-
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = rows if held is None else pa.concat_tables([held, rows])
-            last = [rows[k][len(rows) - 1].as_py() for k in order]
-            same = np.ones(len(rows), bool)
-            for k, v in zip(order, last, strict=True):
-                same &= np.asarray(rows[k]) == v
-            start = len(rows) - int(same.sum())
-            if start:
-                yield from solve(rows.slice(0, start))
-            held = rows.slice(start)
-        if held is not None:
-            yield from solve(held)
+        found, waiting = [], 0
+
+        def groups() -> Iterator[pa.Table]:
+            """The rows, cut between units of work."""
+            nonlocal held
+            for batch in batches:
+                rows = pa.Table.from_batches([batch])
+                rows = rows if held is None else pa.concat_tables([held, rows])
+                last = [rows[k][len(rows) - 1].as_py() for k in order]
+                same = np.ones(len(rows), bool)
+                for k, v in zip(order, last, strict=True):
+                    same &= np.asarray(rows[k]) == v
+                start = len(rows) - int(same.sum())
+                if start:
+                    yield rows.slice(0, start)
+                held = rows.slice(start)
+            if held is not None:
+                yield held
+
+        for rows in groups():
+            for part in solve(rows):
+                found.append(part)
+                waiting += len(part[0]) + len(part[2])
+                if waiting > 200_000:
+                    yield emit(found)
+                    found, waiting = [], 0
+        if waiting:
+            yield emit(found)
 
     dealt = units.repartition(*order).sortWithinPartitions(*order)
     return dealt.mapInArrow(frugal(run), "class bigint, links bigint, root bigint")
