@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,18 +10,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a session without one (tests) gets a temporary folder."""
+    """The folder named by spark.checkpoint.dir; a local session without one (tests) gets a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if named:
         return named
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="quillspark-")
     spark.sparkContext.setCheckpointDir(made)
     return made
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with as many underscores before it as no column's name has (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def new_path(spark: SparkSession, kind: str) -> str:
     """A fresh place in the shared folder; all places of one application lie in one folder, to be removed after it."""
     return f"{shared_dir(spark).rstrip('/')}/quillspark-{spark.sparkContext.applicationId}/{kind}-{uuid.uuid4().hex}"
