@@ -1,31 +1,35 @@
-"""Operator 9: interpolated modified Kneser-Ney bigram model.
+"""Operator 9: interpolated modified Kneser-Ney n-gram model.
 
 Counted in Spark over all training texts, stored as sorted arrays in the shared
 folder, memory-mapped by the workers that score.
 
 * Words are known by a 64-bit hash.  A first pass counts them by hash range; a
   word's place in the sorted hashes is its number.
-* A second pass counts word pairs as ``number of the first << 32 | number of the
-  second``, summed within each task and packed as gaps of sorted keys, by range of
-  the first word.  The task of a range stores its sorted keys and counts and, for
-  each first word, how often it occurs and with how many different followers seen
-  once, twice and more.
-* From the distinct pairs follows in how many different places a word continues,
-  which is what the lower order of the model is made of.
-
-P(w|v) = max(c(vw) - D, 0) / c(v) + g(v) P(w);  P(w) likewise from continuation
-counts, and at last the uniform 1 / (V + 1) for words never seen.  D depends on
-the count (1, 2, 3 or more), by the usual formula from counts of counts.
+* A pass for each order k from 2 on counts the k-grams by the key ``number of the
+  (k - 1)-gram before the last word << 32 | number of the last word``, summed within each
+  task and packed as gaps of sorted keys, by hash of the key.  So the followers of a
+  frequent word spread over all tasks.  A k-gram's place in its task's sorted keys
+  is its number.
+* For each k-gram a task knows its context and its suffix, the last k - 1 words.  How
+  often a context occurs and with how many followers seen once, twice and more, and
+  in how many different places a suffix continues, is summed within the task and
+  then by number.  Below the highest order the continuations stand for the counts, except for
+  grams at the begin of a text, before which nothing can stand.
+
+P(w|v) = max(a(vw) - D, 0) / a(v) + g(v) P(w|v'), v' being v without its first word; P(w)
+likewise, and at last the uniform 1 / (V + 1) for words never seen.  D depends on
+the count (1, 2, 3 or more) and the order, by the usual formula from counts of counts.
 
 Defined results: texts are lower-cased (A-Z); a null or empty text is its end
 token only; repeated rows count each time; a null id is in training; other columns
 are not read; without training texts every word has the uniform probability; an
-empty table gives an empty table.
+empty table gives an empty table.  More than ``MOST`` different words, or different grams
+below the highest order, raise an error.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,16 +38,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.memory import frugal
-from ..plans.shared import new_path, written
-from ..plans.sharedfiles import mapped, save
+from ..plans.shared import written
+from ..plans.sharedfiles import ROWS, ArrayStore, array_of, array_row
 from .jaccard_join import _blocks, _bucket, _by_key, pack, partition_keys
-from .textscan import Chunk, chunks, span_hashes
+from .textscan import Chunk, chunks, mix, span_hashes
 
+ORDER = 2
 END_HASH = np.uint64(0x5D0A4C1E9B3F7286)
 FLUSH = 4_000_000
 CHUNK = 4 << 20
 FOLDS, HELD = 7, 2
+#: Numbers fill 32 bits of a key.
+MOST = 2**32 - 2
 _U = np.uint64
+_LOW = np.uint64(0xFFFFFFFF)
 SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
@@ -63,60 +71,68 @@ def tokens(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """Where the arrays lie, and the few numbers that hold for all of them."""
 
-    folder: str
+    store: ArrayStore
     parts: int
-    vocabulary: int = 0
+    order: int
     train_tokens: int = 0
-    word_base: list[int] = field(default_factory=list)
-    pair_discounts: tuple[float, float, float] = (0.5, 0.5, 0.5)
-    word_discounts: tuple[float, float, float] = (0.5, 0.5, 0.5)
-    word_kinds: tuple[int, int, int] = (0, 0, 0)
+    #: By order: the first number of each part, and the number of all.  A text's begin has the number V.
+    base: dict[int, list[int]] = field(default_factory=dict)
+    #: By array: the parts that have one.
+    held: dict[str, set[int]] = field(default_factory=dict)
+    discounts: dict[int, tuple[float, float, float]] = field(default_factory=dict)
+    kinds: tuple[int, int, int] = (0, 0, 0)
     continuations: int = 0
 
-    def at(self, name: str, part: int) -> str:
-        return f"{self.folder}/{name}-{part:05d}.npy"
+    @property
+    def vocabulary(self) -> int:
+        return self.base[1][-1]
 
-    def range_of(self, number: np.ndarray) -> np.ndarray:
-        """The range that holds a word number (the text's begin has the number V)."""
-        return number.astype(np.int64) * self.parts // (self.vocabulary + 1)
+    def number(self, order: int, rows: dict[int, int]) -> None:
+        """Give numbers to the grams of an order, of which each part has so many."""
+        self.base[order] = [0, *np.cumsum([rows.get(p, 0) for p in range(self.parts)]).tolist()]
+        if self.base[order][-1] > MOST and (order == 1 or order < self.order):
+            raise OverflowError(f"{self.base[order][-1]} different grams of order {order} do not fit into 32 bits")
 
-    def range_start(self, part: int) -> int:
-        return -(-part * (self.vocabulary + 1) // self.parts)
+    def owners(self, order: int, numbers: np.ndarray) -> np.ndarray:
+        """The part that holds each number."""
+        return np.minimum(np.searchsorted(self.base[order], numbers, side="right") - 1, self.parts - 1)
+
+    def span(self, order: int, part: int) -> tuple[int, int]:
+        """The numbers of a part; the last one of the words also has the begin."""
+        return self.base[order][part], self.base[order][part + 1] + (order == 1 and part == self.parts - 1)
 
     def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number (-1: unknown) and count of each of the ascending hashes."""
-        number, count = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        edges = np.searchsorted(_bucket(hashes, self.parts), np.arange(self.parts + 1).astype(_U))
+        return self._find(1, hashes, _bucket(hashes, self.parts).astype(np.int64), "words", "word_counts")
+
+    def grams(self, order: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number (-1: unknown) and count of each of the ascending keys; the count below the highest order only once it is adjusted."""
+        return self._find(order, keys, _bucket(mix(keys), self.parts).astype(np.int64), f"grams{order}", f"counts{order}")
+
+    def _find(self, order: int, keys: np.ndarray, part: np.ndarray, names: str, counts: str) -> tuple[np.ndarray, np.ndarray]:
+        number, count = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
+        by_part = np.argsort(part, kind="stable")
+        edges = np.searchsorted(part[by_part], np.arange(self.parts + 1))
         for p in np.flatnonzero(np.diff(edges)).tolist():
-            if self.word_base[p + 1] == self.word_base[p]:
+            if p not in self.held.get(names, ()):
                 continue
-            here = slice(edges[p], edges[p + 1])
-            known = mapped(self.at("words", p))
-            place = np.minimum(np.searchsorted(known, hashes[here]), len(known) - 1)
-            hit = known[place] == hashes[here]
-            number[here] = np.where(hit, place + self.word_base[p], -1)
-            count[here] = np.where(hit, mapped(self.at("word_counts", p))[place], 0)
+            here = by_part[edges[p] : edges[p + 1]]
+            known = self.store.get(names, p)
+            place = np.minimum(np.searchsorted(known, keys[here]), len(known) - 1)
+            hit = known[place] == keys[here]
+            number[here] = np.where(hit, place + self.base[order][p], -1)
+            if p in self.held.get(counts, ()):
+                count[here] = np.where(hit, self.store.get(counts, p)[place], 0)
         return number, count
 
-    def pairs(self, keys: np.ndarray) -> np.ndarray:
-        """Count of each of the ascending pair keys."""
-        count = np.zeros(len(keys), np.int64)
-        edges = np.searchsorted(self.range_of(keys >> _U(32)), np.arange(self.parts + 1))
-        for p in np.flatnonzero(np.diff(edges)).tolist():
-            here = slice(edges[p], edges[p + 1])
-            known = mapped(self.at("pairs", p))
-            if len(known):
-                place = np.minimum(np.searchsorted(known, keys[here]), len(known) - 1)
-                count[here] = np.where(known[place] == keys[here], mapped(self.at("pair_counts", p))[place], 0)
-        return count
-
-    def dense(self, name: str, numbers: np.ndarray, width: int) -> np.ndarray:
-        """Rows of an array that has one for each word number; numbers ascend."""
+    def dense(self, name: str, order: int, numbers: np.ndarray, width: int) -> np.ndarray:
+        """Rows of an array that has one for each number of an order; numbers ascend."""
         out = np.zeros((len(numbers), width), np.int64)
-        edges = np.searchsorted(self.range_of(numbers), np.arange(self.parts + 1))
+        edges = np.searchsorted(self.owners(order, numbers), np.arange(self.parts + 1))
         for p in np.flatnonzero(np.diff(edges)).tolist():
-            here = slice(edges[p], edges[p + 1])
-            out[here] = mapped(self.at(name, p))[numbers[here] - self.range_start(p)]
+            if p in self.held.get(name, ()):
+                here = slice(edges[p], edges[p + 1])
+                out[here] = self.store.get(name, p)[numbers[here] - self.base[order][p]]
         return out
 
 
@@ -129,28 +145,58 @@ def _discounts(n: np.ndarray) -> tuple[float, float, float]:
     return tuple(float(min(max(x, 0.0), k)) for k, x in zip((1, 2, 3), d, strict=True))
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
+def _small(counts: np.ndarray) -> np.ndarray:
+    top = int(counts.max()) if counts.size else 0
+    return counts.astype(np.uint8 if top < 256 else np.uint32 if top < 2**32 else np.int64)
+
+
+def _tally(counts: np.ndarray) -> list[int]:
+    return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
+
+
+# -- items: ascending keys, then columns that are summed (int64) or, as all rows of a key agree, taken (others) -----------
+
+
+def _summed(columns: list[np.ndarray]) -> list[np.ndarray]:
+    keys = columns[0]
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
     edge = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return keys[edge], np.add.reduceat(counts, edge) if len(edge) else counts
+    out = [keys[edge]]
+    for c in columns[1:]:
+        out.append((np.add.reduceat(c[order], edge, axis=0) if len(edge) else c) if c.dtype == np.int64 else c[order][edge])
+    return out
 
 
-def _counted_blocks(texts: DataFrame, keys: list[int], items, range_of) -> DataFrame:
-    """Blocks (to, block) of sorted items with their counts, summed within a task as far as memory is meant to be used."""
+def _merged(got: list[list[np.ndarray]], summed: int) -> list[np.ndarray]:
+    """Blocks of one part as one; the first ``summed`` columns after the keys are counts."""
+    columns = [np.concatenate([x[i] for x in got]) for i in range(len(got[0]))]
+    return _summed([c.astype(np.int64) if 0 < i <= summed else c for i, c in enumerate(columns)])
+
+
+def _packed(keys: list[int], to: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+    """The columns (ascending keys first) cut up by part."""
+    by_part = np.argsort(to, kind="stable")
+    edges = np.searchsorted(to[by_part], np.arange(len(keys) + 1))
+    for p in range(len(keys)):
+        here = by_part[edges[p] : edges[p + 1]]
+        if len(here):
+            yield p, pack(*(_small(c[here]) if c.dtype == np.int64 else c[here] for c in columns))
+
+
+def _counted(texts: DataFrame, keys: list[int], items: Callable[[Chunk], list[np.ndarray]], owner: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Blocks (to, block) of the items of all texts, summed within a task as far as memory is meant to be used."""
 
     def flush(held: list) -> pa.RecordBatch:
-        found, counts = _summed(np.concatenate([h for h, _ in held]), np.concatenate([c for _, c in held]))
-        edges = np.searchsorted(range_of(found), np.arange(len(keys) + 1).astype(_U))
-        return _blocks(keys, [(p, pack(found[edges[p] : edges[p + 1]], _small(counts[edges[p] : edges[p + 1]]))) for p in range(len(keys)) if edges[p] < edges[p + 1]])
+        columns = _summed([np.concatenate([h[i] for h in held]) for i in range(len(held[0]))])
+        return _blocks(keys, list(_packed(keys, owner(columns[0]), columns)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             for chunk in chunks(batch.column(0), CHUNK):
-                got = np.unique(items(chunk), return_counts=True)
-                held.append(got)
-                size += len(got[0])
+                held.append(items(chunk))
+                size += len(held[-1][0])
                 if size >= FLUSH:
                     yield flush(held)
                     held, size = [], 0
@@ -160,100 +206,194 @@ def _counted_blocks(texts: DataFrame, keys: list[int], items, range_of) -> DataF
     return texts.mapInArrow(frugal(run), "to int, block binary")
 
 
-def _small(counts: np.ndarray) -> np.ndarray:
-    top = int(counts.max()) if len(counts) else 0
-    return counts.astype(np.uint8 if top < 256 else np.uint32 if top < 2**32 else np.int64)
+def _by_part(blocks: DataFrame, parts: int, run: Callable) -> DataFrame:
+    return written(blocks.repartition(parts, "to").sortWithinPartitions("to").mapInArrow(frugal(run), ROWS))
 
 
-def _merged(got: list) -> tuple[np.ndarray, np.ndarray]:
-    return _summed(np.concatenate([x[0] for x in got]), np.concatenate([x[1].astype(np.int64) for x in got]))
+def _sent(name: str, keys: list[int], blocks: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Blocks for the next exchange, as rows beside the arrays that a store puts."""
+    for p, block in blocks:
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([keys[p]], pa.int32()), pa.array([0], pa.int32()), pa.array([block], pa.binary())], ["name", "part", "seq", "block"])
 
 
-def _tally(counts: np.ndarray) -> list[int]:
-    return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
+def _received(rows: DataFrame, name: str) -> DataFrame:
+    return rows.where(F.col("name") == name).select(F.col("part").alias("to"), "block")
+
+
+def _facts(rows: DataFrame) -> dict[int, np.ndarray]:
+    return {r.part: array_of(r.block) for r in rows.where("name = 'facts'").select("part", "block").collect()}
 
 
-def train(texts: DataFrame) -> Model:
-    """Count all of ``texts`` (one column ``text``) into a model in the shared folder."""
+# -- training ---------------------------------------------------------------------------
+
+
+def _gram_ids(chunk: Chunk, model: Model, upto: int) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    """For each order the number of the gram that ends at each token (-1: none or unknown), and the token's place in its text."""
+    hashes, stop = tokens(chunk)
+    start = np.append(0, stop[:-1])
+    place = np.arange(len(hashes)) - np.repeat(start, stop - start)
+    distinct, back = np.unique(hashes, return_inverse=True)
+    ids = {1: model.words(distinct)[0][back]}
+    for k in range(2, upto + 1):
+        context = _contexts(ids, place, k, model)
+        ids[k] = np.full(len(hashes), -1, np.int64)
+        at = np.flatnonzero((context >= 0) & (ids[1] >= 0))
+        keys, back = np.unique(_keys(context[at], ids[1][at]), return_inverse=True)
+        ids[k][at] = model.grams(k, keys)[0][back]
+    return ids, place
+
+
+def _contexts(ids: dict[int, np.ndarray], place: np.ndarray, order: int, model: Model) -> np.ndarray:
+    """Number of the gram of one order less that ends before each token; -1: none or unknown."""
+    before = np.append(-1, ids[order - 1][:-1])
+    return np.where(place == 0, model.vocabulary, before) if order == 2 else np.where(place >= order - 2, before, -1)
+
+
+def _keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return context.astype(_U) << _U(32) | word.astype(_U)
+
+
+def train(texts: DataFrame, order: int = ORDER) -> Model:
+    """Count all of ``texts`` (one column ``text``) into a model of an order from 2 on, in the shared folder."""
     spark = texts.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = partition_keys(parts)
     number_of = {k: p for p, k in enumerate(keys)}
-    model = Model(new_path(spark, "lm"), parts)
-    if "://" not in model.folder:
-        model.folder = ("file://" if model.folder.startswith("/") else "file:///") + model.folder.removeprefix("file:")
-    facts_type = "part int, rows bigint, total bigint, facts array<bigint>"
+    store = ArrayStore(spark, "lm")
+    model = Model(store, parts, order)
+
+    def word_items(chunk: Chunk) -> list[np.ndarray]:
+        hashes, counts = np.unique(tokens(chunk)[0], return_counts=True)
+        return [hashes, counts.astype(np.int64)]
 
     def store_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, got in _by_key(batches):
             part = number_of[key]
-            hashes, counts = _merged(got)
-            save(model.at("words", part), hashes)
-            save(model.at("word_counts", part), counts)
-            yield _facts(part, len(hashes), int(counts.sum()), [])
-
-    blocks = _counted_blocks(texts, keys, lambda chunk: tokens(chunk)[0], lambda h: _bucket(h, parts))
-    facts = {r.part: r for r in blocks.repartition(parts, "to").sortWithinPartitions("to").mapInArrow(frugal(store_words), facts_type).collect()}
-    model.word_base = [0, *np.cumsum([facts[p].rows if p in facts else 0 for p in range(parts)]).tolist()]
-    model.vocabulary, model.train_tokens = model.word_base[-1], sum(r.total for r in facts.values())
-
-    def pair_keys(chunk: Chunk) -> np.ndarray:
-        hashes, stop = tokens(chunk)
-        distinct, back = np.unique(hashes, return_inverse=True)
-        numbers = model.words(distinct)[0][back].astype(_U)
-        before = np.append(_U(model.vocabulary), numbers[:-1])
-        before[stop[:-1]] = model.vocabulary
-        return before << _U(32) | numbers
-
-    def store_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes, counts = _merged(got, 1)
+            yield from store.put("words", part, hashes)
+            yield from store.put("word_counts", part, counts)
+            yield array_row("facts", part, np.array([len(hashes), counts.sum()]))
+
+    rows = _by_part(_counted(texts, keys, word_items, lambda h: _bucket(h, parts).astype(np.int64)), parts, store_words)
+    facts = _facts(rows)
+    store.publish(rows, "words", "word_counts")
+    model.held |= {"words": set(facts), "word_counts": set(facts)}
+    model.number(1, {p: int(x[0]) for p, x in facts.items()})
+    model.train_tokens = sum(int(x[1]) for x in facts.values())
+    for k in range(2, order + 1):
+        _train_order(texts, model, k, keys, number_of)
+    return model
+
+
+def _train_order(texts: DataFrame, model: Model, k: int, keys: list[int], number_of: dict[int, int]) -> None:
+    """Store the k-grams; adjust the counts of the grams of one order less; at the highest order its contexts too."""
+    store, parts, highest = model.store, model.parts, k == model.order
+
+    def items(chunk: Chunk) -> list[np.ndarray]:
+        """Keys, counts, suffixes, and whether a gram stands at the begin of a text."""
+        ids, place = _gram_ids(chunk, model, k - 1)
+        context = _contexts(ids, place, k, model)
+        at = np.flatnonzero(context >= 0)
+        found, first, counts = np.unique(_keys(context[at], ids[1][at]), return_index=True, return_counts=True)
+        out = [found, counts.astype(np.int64)]
+        if k > 2:
+            out += [ids[k - 1][at[first]].astype(np.uint32), (place[at[first]] == k - 2).astype(np.uint8)]
+        return out
+
+    def store_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, got in _by_key(batches):
             part = number_of[key]
-            pairs, counts = _merged(got)
+            columns = _merged(got, 1)
             del got
-            low, high = model.range_start(part), model.range_start(part + 1)
-            first = (pairs >> _U(32)).astype(np.int64) - low
-            table = np.stack([np.bincount(first, counts, high - low).astype(np.int64), *(np.bincount(first[m], minlength=high - low) for m in (counts == 1, counts == 2, counts > 2))], 1)
-            save(model.at("pairs", part), pairs)
-            save(model.at("pair_counts", part), _small(counts))
-            save(model.at("contexts", part), table)
-            follows, places = np.unique(pairs & _U(0xFFFFFFFF), return_counts=True)
-            edges = np.searchsorted(model.range_of(follows), np.arange(parts + 1))
-            out = [(keys[p], pack(follows[edges[p] : edges[p + 1]], _small(places[edges[p] : edges[p + 1]]))) for p in range(parts) if edges[p] < edges[p + 1]]
-            tally = [None] * (len(out) - 1) + [_tally(counts)]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary()), pa.array([part] * len(out), pa.int32()), pa.array(tally, pa.list_(pa.int64()))], ["to", "block", "part", "tally"])
-
-    pair_blocks = _counted_blocks(texts, keys, pair_keys, lambda k: model.range_of(k >> _U(32)))
-    stored = written(pair_blocks.repartition(parts, "to").sortWithinPartitions("to").mapInArrow(frugal(store_pairs), "to int, block binary, part int, tally array<bigint>"))
-    tallies = {r.part: r.tally for r in stored.where("tally is not null").select("part", "tally").collect()}
-    model.pair_discounts = _discounts(np.sum(list(tallies.values()), axis=0) if tallies else np.zeros(4))
-    for p in set(range(parts)) - set(tallies):  # ranges without pairs
-        save(model.at("pairs", p), np.zeros(0, _U))
-        save(model.at("pair_counts", p), np.zeros(0, np.uint8))
-        save(model.at("contexts", p), np.zeros((model.range_start(p + 1) - model.range_start(p), 4), np.int64))
-
-    def store_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found, counts = columns[:2]
+            suffix = columns[2].astype(np.int64) if k > 2 else (found & _LOW).astype(np.int64)
+            yield from store.put(f"grams{k}", part, found)
+            yield array_row("facts", part, np.array([len(found), *_tally(counts)]))
+            places = _summed([suffix.astype(_U), np.ones(len(suffix), np.int64)])
+            yield from _sent("places", keys, _packed(keys, model.owners(k - 1, places[0].astype(np.int64)), places))
+            if highest:
+                yield from store.put(f"counts{k}", part, _small(counts))
+                yield from _sent("contexts", keys, _context_blocks(model, k, keys, found, counts))
+            else:  # the counts of grams at the begin of a text are all that is needed of them
+                begins = columns[3].astype(bool) if k > 2 else (found >> _U(32)) == _U(model.vocabulary)
+                yield from store.put(f"raw{k}", part, _small(np.where(begins, counts, 0)))
+
+    rows = _by_part(_counted(texts, keys, items, lambda x: _bucket(mix(x), parts).astype(np.int64)), parts, store_grams)
+    facts = _facts(rows)
+    own = [f"grams{k}", f"counts{k}" if highest else f"raw{k}"]
+    store.publish(rows, *own)
+    model.held |= {name: set(facts) for name in own}
+    model.number(k, {p: int(x[0]) for p, x in facts.items()})
+    if highest:
+        model.discounts[k] = _discounts(np.sum([x[1:] for x in facts.values()], axis=0) if facts else np.zeros(4))
+        _store_contexts(_received(rows, "contexts"), model, k, number_of)
+    places = _received(rows, "places")
+    if k > 2:  # a part none of whose grams continues anything is adjusted too
+        nothing = pack(np.zeros(0, _U), np.zeros(0, np.uint8))
+        places = places.unionByName(texts.sparkSession.createDataFrame([(keys[p], bytearray(nothing)) for p in sorted(model.held[f"grams{k - 1}"])], places.schema))
+    _adjust(places, model, k - 1, keys, number_of)
+
+
+def _context_blocks(model: Model, k: int, keys: list[int], found: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Of each context the sum of its counts and how many are 1, 2 and more, for the parts of the contexts."""
+    context = found >> _U(32)
+    facts = np.stack([counts, counts == 1, counts == 2, counts > 2], 1).astype(np.int64)
+    context, facts = _summed([context, facts])
+    yield from _packed(keys, model.owners(k - 1, context.astype(np.int64)), [context, *(np.ascontiguousarray(facts[:, i]) for i in range(4))])
+
+
+def _store_contexts(blocks: DataFrame, model: Model, k: int, number_of: dict[int, int]) -> None:
+    store, name = model.store, f"contexts{k}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, got in _by_key(batches):
             part = number_of[key]
-            follows, places = _merged(got)
-            low, high = model.range_start(part), model.range_start(part + 1)
-            table = np.zeros((high - low, 1), np.int64)
-            table[follows.astype(np.int64) - low, 0] = places
-            save(model.at("places", part), table)
-            yield _facts(part, len(follows), int(places.sum()), [*_tally(places), int((places > 2).sum())])
-
-    rows = stored.select("to", "block").repartition(parts, "to").sortWithinPartitions("to").mapInArrow(frugal(store_places), facts_type).collect()
-    for p in set(range(parts)) - {r.part for r in rows}:
-        save(model.at("places", p), np.zeros((model.range_start(p + 1) - model.range_start(p), 1), np.int64))
-    if rows:
-        tally = np.sum([r.facts for r in rows], axis=0)
-        model.word_discounts = _discounts(tally[:4])
-        model.word_kinds = (int(tally[0]), int(tally[1]), int(tally[4]))
-        model.continuations = sum(r.total for r in rows)
-    return model
+            context, *facts = _merged(got, 4)
+            low, high = model.span(k - 1, part)
+            table = np.zeros((high - low, 4), np.int64)
+            table[context.astype(np.int64) - low] = np.stack(facts, 1)
+            yield from store.put(name, part, _small(table))
+            yield array_row("facts", part, np.zeros(1))
+
+    rows = _by_part(blocks, model.parts, run)
+    store.publish(rows, name)
+    model.held[name] = set(_facts(rows))
+
+
+def _adjust(blocks: DataFrame, model: Model, k: int, keys: list[int], number_of: dict[int, int]) -> None:
+    """The counts of an order below the highest: in how many different places a gram continues."""
+    store, name = model.store, "places" if k == 1 else f"counts{k}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, got in _by_key(batches):
+            part = number_of[key]
+            grams, places = _merged(got, 1)
+            low, high = model.span(k, part)
+            if k == 1:
+                counts = np.zeros((high - low, 1), np.int64)
+                counts[grams.astype(np.int64) - low, 0] = places
+            else:
+                counts = np.array(store.get(f"raw{k}", part), np.int64)
+                at = grams.astype(np.int64) - low
+                counts[at] = np.where(counts[at] > 0, counts[at], places)
+                yield from _sent("contexts", keys, _context_blocks(model, k, keys, store.get(f"grams{k}", part), counts))
+            yield from store.put(name, part, _small(counts))
+            used = counts[counts > 0]
+            yield array_row("facts", part, np.array([*_tally(used), (used > 2).sum(), used.sum()]))
+
+    rows = _by_part(blocks, model.parts, run)
+    facts = _facts(rows)
+    store.publish(rows, name)
+    model.held[name] = set(facts)
+    total = np.sum(list(facts.values()), axis=0) if facts else np.zeros(6, np.int64)
+    model.discounts[k] = _discounts(total[:4])
+    if k == 1:
+        model.kinds, model.continuations = (int(total[0]), int(total[1]), int(total[4])), int(total[5])
+    else:
+        _store_contexts(_received(rows, "contexts"), model, k, number_of)
 
 
-def _facts(part: int, rows: int, total: int, facts: list[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([rows], pa.int64()), pa.array([total], pa.int64()), pa.array([facts], pa.list_(pa.int64()))], ["part", "rows", "total", "facts"])
+# -- scoring ----------------------------------------------------------------------------
 
 
 def _discount_of(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
@@ -263,37 +403,36 @@ def _discount_of(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarra
 def score_chunk(chunk: Chunk, model: Model) -> dict[str, np.ndarray]:
     hashes, stop = tokens(chunk)
     start = np.append(0, stop[:-1])
+    place = np.arange(len(hashes)) - np.repeat(start, stop - start)
     distinct, back = np.unique(hashes, return_inverse=True)
     number, count = model.words(distinct)
     known = number >= 0
-    order = np.argsort(number[known])
     places = np.zeros(len(distinct), np.int64)
-    at = np.flatnonzero(known)[order]
-    places[at] = model.dense("places", number[at], 1)[:, 0]
+    at = np.flatnonzero(known)
+    at = at[np.argsort(number[at])]
+    places[at] = model.dense("places", 1, number[at], 1)[:, 0]
     uniform = 1.0 / (model.vocabulary + 1)
     if model.continuations:
-        d = model.word_discounts
-        rest = sum(x * n for x, n in zip(d, model.word_kinds, strict=True)) / model.continuations
+        d = model.discounts[1]
+        rest = sum(x * n for x, n in zip(d, model.kinds, strict=True)) / model.continuations
         lower = np.maximum(places - _discount_of(places, d), 0) / model.continuations + rest * uniform
     else:
         lower = np.full(len(distinct), uniform)
     base = np.log10((count + 1) / (model.train_tokens + model.vocabulary + 1))
-    numbers = number[back]
-    before = np.append(model.vocabulary, numbers[:-1])
-    before[start] = model.vocabulary
-    usable = before >= 0
-    p = lower[back]
-    if usable.any() and model.vocabulary:
-        # Unknown followers get a number that no stored pair has.
-        pair = before[usable].astype(_U) << _U(32) | np.where(numbers[usable] >= 0, numbers[usable], 0xFFFFFFFF).astype(_U)
-        pairs, pair_back = np.unique(pair, return_inverse=True)
-        seen = model.pairs(pairs)
-        firsts, first_back = np.unique((pairs >> _U(32)).astype(np.int64), return_inverse=True)
-        table = model.dense("contexts", firsts, 4)
-        total = np.maximum(table[:, 0], 1)
-        back_off = np.where(table[:, 0] > 0, table[:, 1:] @ np.array(model.pair_discounts) / total, 1.0)
-        own = np.maximum(seen - _discount_of(seen, model.pair_discounts), 0) / total[first_back]
-        p[usable] = own[pair_back] + back_off[first_back][pair_back] * p[usable]
+    p, ids = lower[back], {1: number[back]}
+    for k in range(2, model.order + 1) if model.vocabulary else ():
+        context = _contexts(ids, place, k, model)
+        at = np.flatnonzero((context >= 0) & (ids[1] >= 0))
+        keys, key_back = np.unique(_keys(context[at], ids[1][at]), return_inverse=True)
+        found, seen = model.grams(k, keys)
+        ids[k], own = np.full(len(p), -1, np.int64), np.zeros(len(p), np.int64)
+        ids[k][at], own[at] = found[key_back], seen[key_back]
+        at = np.flatnonzero(context >= 0)
+        firsts, first_back = np.unique(context[at], return_inverse=True)
+        table = model.dense(f"contexts{k}", k - 1, firsts, 4)
+        d, total = model.discounts[k], np.maximum(table[:, 0], 1)
+        back_off = np.where(table[:, 0] > 0, table[:, 1:] @ np.array(d) / total, 1.0)
+        p[at] = np.maximum(own[at] - _discount_of(own[at], d), 0) / total[first_back] + back_off[first_back] * p[at]
     return {
         "n_tokens": stop - start,
         "n_known": np.add.reduceat(known[back].astype(np.int64), start),
@@ -318,7 +457,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return picked.mapInArrow(frugal(run), SCHEMA)
 
 
-def train_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def train_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """Learn from the rows that are not held out, and score all."""
-    model = train(docs.where(~held_out(F.col(id_col))).select(F.col(text_col).cast("string").alias("text")))
+    model = train(docs.where(~held_out(F.col(id_col))).select(F.col(text_col).cast("string").alias("text")), order)
     return score(docs, model, id_col, text_col)

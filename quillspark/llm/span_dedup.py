@@ -5,21 +5,27 @@ end, and after words whose hash is a multiple of ``CUT_EVERY``, which is every w
 any rarer border leaves passages without a span, whole ones where few words repeat.
 A character of a script written without blanks (Han, kana, Thai, Lao, Khmer, Burmese,
 Tibetan) counts as a word.  From every sentence a span runs over at least ``SENTENCES``
-sentences and ``WORDS`` words.  A first pass brings the leading 40 bits of all span
-hashes together by hash range and keeps, in the shared folder, those that occur again;
-the second brings together the whole hashes of the spans that have one of them.  Where
-a span occurs again, in the same text or another, every sentence that a later occurrence
-covers is removed.  The first occurrence by (doc_id, text hash, place) stays whole, but
-for what a repeat that overlaps it covers.
+sentences and ``WORDS`` words.
 
-So every repeated passage of ``WORDS`` words or more is found, wherever it begins and
-whatever marks it has.
+1. The leading 40 bits of all span hashes are brought together by hash range; those that
+   occur again are kept as sorted arrays in the shared folder.
+2. Of the spans that have one of them each task sends the first occurrence by (doc_id, text
+   hash, place) that it saw, once, however often it saw the span.  A task per hash range
+   keeps the first occurrence of all in the shared folder.
+3. Every text looks its spans up.  Where a span is not the first occurrence, every
+   sentence that it covers is removed.
+
+The first occurrence stays whole, but for what a repeat that overlaps it covers.  Every
+repeated passage of ``WORDS`` words or more is found, wherever it begins and whatever
+marks it has.  Neither texts nor occurrences are shuffled, so a passage that very many
+texts share is no more work for any task than another.
 
 Defined results: comparison ignores the case of A-Z and the kind of white space;
 null and empty texts, and texts too short for a span, stay as they are; rows that
 agree in id and text are one occurrence and are treated alike; rows that share an
-id only are told apart by their text; a null id sorts first; other columns pass
-through; an empty table gives an empty table.
+id only are told apart by a 64-bit hash of their text; a null id sorts first; other
+columns pass through, but columns named like the two added ones give way to them;
+an empty table gives an empty table; texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -28,12 +34,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..plans.memory import frugal
-from ..plans.shared import new_path
-from ..plans.sharedfiles import mapped, save
+from ..plans.shared import written
+from ..plans.sharedfiles import ROWS, ArrayStore, array_row
 from .jaccard_join import _blocks, _bucket, _by_key, pack, partition_keys
 from .textscan import Chunk, chunks, mix, span_hashes
 
@@ -89,9 +97,12 @@ def sentences(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return np.append(0, last[:-1]), last, starts, ends
 
 
-def spans(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+Cuts = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def spans(chunk: Chunk, cuts: Cuts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, sentence number within the row, sentences covered, hash, check) of every span."""
-    first, last, starts, ends = sentences(chunk)
+    first, last, starts, ends = cuts
     none = np.zeros(0, np.int64)
     if not len(first):
         return none, none, none, none.astype(_U), none.astype(np.uint32)
@@ -123,91 +134,61 @@ def _whole(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return low.astype(np.int32) | high.astype(np.int32) << 16
 
 
-def _seen_again(texts: DataFrame, keys: list[int]) -> dict[int, str]:
-    """For each hash range the array of the shortened hashes that occur more than once, ascending."""
-    parts, number_of = len(keys), {k: p for p, k in enumerate(keys)}
-    folder = new_path(texts.sparkSession, "spans")
-    if "://" not in folder:
-        folder = ("file://" if folder.startswith("/") else "file:///") + folder.removeprefix("file:")
-    at = lambda part: f"{folder}/seen-{part:05d}.npy"
+class Found:
+    """Arrays of the hash ranges, and which ranges have them."""
 
-    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-        short, times = np.unique(np.concatenate(held), return_counts=True)
-        edges = np.searchsorted(_bucket(short << _U(SHORT), parts), np.arange(parts + 1).astype(_U))
-        return _blocks(keys, [(p, pack(short[edges[p] : edges[p + 1]], times[edges[p] : edges[p + 1]] > 1)) for p in range(parts) if edges[p] < edges[p + 1]])
+    def __init__(self, texts: DataFrame):
+        self.parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.keys = partition_keys(self.parts)
+        self.store = ArrayStore(texts.sparkSession, "spans")
+        self.held: dict[str, set[int]] = {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for chunk in chunks(batch.column(0)):
-                held.append(spans(chunk)[3] >> _U(SHORT))
-                size += len(held[-1])
-                if size >= FLUSH:
-                    yield flush(held)
-                    held, size = [], 0
-        if size:
-            yield flush(held)
+    def edges(self, hashes: np.ndarray) -> np.ndarray:
+        """Where the ascending hashes of each range begin, and the end."""
+        return np.searchsorted(_bucket(hashes, self.parts), np.arange(self.parts + 1).astype(_U))
 
-    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, got in _by_key(batches):
-            short, again = (np.concatenate([x[i] for x in got]) for i in range(2))
-            del got
-            order = np.argsort(short)
-            short, again = short[order], again[order]
-            again[1:] |= short[1:] == short[:-1]
-            short = short[again]
-            save(at(number_of[key]), short[np.append(True, short[1:] != short[:-1])[: len(short)]])
-            yield pa.RecordBatch.from_arrays([pa.array([number_of[key]], pa.int32())], ["part"])
-
-    blocks = texts.select("text").mapInArrow(frugal(run), "to int, block binary")
-    stored = blocks.repartition(parts, "to").sortWithinPartitions("to").mapInArrow(frugal(store), "part int").collect()
-    return {r.part: at(r.part) for r in stored}
-
-
-def _among(hashes: np.ndarray, seen: dict[int, str], parts: int) -> np.ndarray:
-    """Mask of the ascending hashes that are, shortened, in ``seen``."""
-    edges = np.searchsorted(_bucket(hashes, parts), np.arange(parts + 1).astype(_U))
-    out = np.zeros(len(hashes), bool)
-    for p in np.flatnonzero(np.diff(edges)).tolist():
-        known, short = mapped(seen[p]), hashes[edges[p] : edges[p + 1]] >> _U(SHORT)
-        if len(known):
-            out[edges[p] : edges[p + 1]] = known[np.minimum(np.searchsorted(known, short), len(known) - 1)] == short
-    return out
-
-
-def _span_blocks(texts: DataFrame, keys: list[int], seen: dict[int, str]) -> DataFrame:
-    """The spans whose shortened hash occurs more than once."""
-    parts = len(keys)
+    def places(self, name: str, keys: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, slice, np.ndarray, np.ndarray]]:
+        """(range, its keys, their places in the range's array, which are there) for ascending keys."""
+        for p in np.flatnonzero(np.diff(edges)).tolist():
+            if p in self.held[name]:
+                here, known = slice(edges[p], edges[p + 1]), self.store.get(name, p)
+                place = np.minimum(np.searchsorted(known, keys[here]), len(known) - 1)
+                yield p, here, place, known[place] == keys[here]
+
+    def seen(self, hashes: np.ndarray) -> np.ndarray:
+        """Mask of the ascending hashes that are, shortened, among those that occur again."""
+        out = np.zeros(len(hashes), bool)
+        for _, here, _, hit in self.places("seen", hashes >> _U(SHORT), self.edges(hashes)):
+            out[here] = hit
+        return out
+
+    def keep(self, blocks: DataFrame, run, *names: str) -> None:
+        """Let ``run`` put the arrays of all ranges."""
+        number_of = {k: p for p, k in enumerate(self.keys)}
+
+        def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for key, got in _by_key(batches):
+                arrays = run(got)
+                if len(arrays[0]):
+                    for name, array in zip(names, arrays, strict=True):
+                        yield from self.store.put(name, number_of[key], array)
+                    yield array_row("facts", number_of[key], np.zeros(0))
+
+        rows = written(blocks.repartition(self.parts, "to").sortWithinPartitions("to").mapInArrow(frugal(store), ROWS))
+        self.store.publish(rows, *names)
+        held = {r.part for r in rows.where("name = 'facts'").select("part").collect()}
+        self.held |= dict.fromkeys(names, held)
 
-    def flush(held: list) -> pa.RecordBatch:
-        owner, base = [], 0
-        for h in held:
-            owner.append(h[0] + base)
-            base += len(h[5])
-        owner_ = np.concatenate(owner)
-        place, covers, hashes, check = (np.concatenate([h[i] for h in held]) for i in range(1, 5))
-        ids, marks = np.concatenate([h[5] for h in held]), np.concatenate([h[6] for h in held])
-        order = np.argsort(hashes)
-        order = order[_among(hashes[order], seen, parts)]
-        owner_, place, covers, hashes, check = owner_[order], place[order], covers[order], hashes[order], check[order]
-        edges = np.searchsorted(_bucket(hashes, parts), np.arange(parts + 1).astype(_U))
-        out = []
-        for p in range(parts):
-            a, z = edges[p], edges[p + 1]
-            if a < z:
-                local, back = np.unique(owner_[a:z], return_inverse=True)
-                out.append((p, pack(hashes[a:z], check[a:z], back.astype(np.uint16 if len(local) < 65536 else np.uint32), *_halves(place[a:z]), np.minimum(covers[a:z], 65535).astype(np.uint16), ids[local], marks[local])))
-        return _blocks(keys, out)
+
+def _flushed(texts: DataFrame, scan, flush) -> DataFrame:
+    """Blocks (to, block) that ``flush`` makes of what ``scan`` finds in some chunks; the first array tells how much that is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            ids, marks = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            for chunk in chunks(batch.column(2)):
-                here = slice(chunk.first, chunk.first + len(chunk))
-                got = spans(chunk)
-                held.append((*got, ids[here], marks[here]))
-                size += len(got[0])
+            for chunk in chunks(batch.column(batch.num_columns - 1)):
+                held.append(scan(chunk, batch))
+                size += len(held[-1][0])
                 if size >= FLUSH:
                     yield flush(held)
                     held, size = [], 0
@@ -217,101 +198,124 @@ def _span_blocks(texts: DataFrame, keys: list[int], seen: dict[int, str]) -> Dat
     return texts.mapInArrow(frugal(run), "to int, block binary")
 
 
-def _repeats(blocks: DataFrame, keys: list[int]) -> DataFrame:
-    """Rows (id, mark, covered), one for each text with repeats: sentences covered by later occurrences, as (first, number) pairs."""
-    parts = len(keys)
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, got in _by_key(batches):
-            hashes, check, covers = (np.concatenate([x[i] for x in got]) for i in (0, 1, 5))
-            place = np.concatenate([_whole(x[3], x[4]) for x in got])
-            ids, marks = np.concatenate([x[6][x[2]] for x in got]), np.concatenate([x[7][x[2]] for x in got])
-            del got
-            order = np.argsort(hashes)
-            sorted_ = hashes[order]
-            twin = np.zeros(len(order), bool)
-            twin[1:] = sorted_[1:] == sorted_[:-1]
-            twin[:-1] |= twin[1:]
-            pick = order[twin]
-            hashes, check, place, covers, ids, marks = (x[pick] for x in (hashes, check, place, covers, ids, marks))
-            order = np.lexsort((place, marks, ids, check, hashes))
-            hashes, check, place, covers, ids, marks = (x[order] for x in (hashes, check, place, covers, ids, marks))
-            if not len(hashes):
-                continue
-            new = np.ones(len(hashes), bool)
-            new[1:] = (hashes[1:] != hashes[:-1]) | (check[1:] != check[:-1])
-            lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-            later = np.flatnonzero((ids != ids[lead]) | (marks != marks[lead]) | (place != place[lead]))
-            to = _bucket(mix(ids[later].view(_U)), parts).astype(np.int64)
-            order = np.lexsort((place[later], marks[later], ids[later].view(_U), to))
-            edges = np.searchsorted(to[order], np.arange(parts + 1))
-            out = [(p, later[order[edges[p] : edges[p + 1]]]) for p in range(parts) if edges[p] < edges[p + 1]]
-            if out:
-                yield _blocks(keys, [(p, pack(*_halves(place[at]), covers[at], ids[at].view(_U), marks[at])) for p, at in out])
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, got in _by_key(batches):
-            covers, ids, marks = (np.concatenate([x[i] for x in got]) for i in (2, 3, 4))
-            place, ids = np.concatenate([_whole(x[0], x[1]) for x in got]), ids.view(np.int64)
-            order = np.lexsort((place, marks, ids))
-            place, covers, ids, marks = place[order], covers[order], ids[order], marks[order]
-            edge = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])))
-            flat = np.stack([place, covers.astype(np.int32)], 1).ravel()
-            lists = pa.ListArray.from_arrays(pa.array(np.append(edge, len(place)) * 2, pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[edge]), pa.array(marks[edge]), lists], ["id", "mark", "covered"])
-
-    found = blocks.repartition(parts, "to").sortWithinPartitions("to").mapInArrow(frugal(find), "to int, block binary")
-    return found.repartition(parts, "to").sortWithinPartitions("to").mapInArrow(frugal(gather), "id bigint, mark int, covered array<int>")
-
-
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with repeated spans cut out of the text, and (n_sentences, n_removed) added."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = partition_keys(parts)
-    id_ = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID))
-    mark = F.hash(F.col(text_col))
-    texts = docs.select(id_.alias("id"), mark.alias("mark"), F.col(text_col).cast("string").alias("text"))
-    covered = _repeats(_span_blocks(texts, keys, _seen_again(texts, keys)), keys).select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), F.col("covered").alias("_covered"))
-    keyed = docs.select(*(F.col(c) for c in docs.columns), id_.alias("_own_id"), mark.alias("_own_mark"))
-    joined = keyed.join(covered, (F.col("_own_id") == F.col("_id")) & (F.col("_own_mark") == F.col("_mark")), "left").select(*docs.columns, "_covered")
-    at, names = docs.columns.index(text_col), [*docs.columns, "n_sentences", "n_removed"]
+def _seen_again(texts: DataFrame, found: Found) -> None:
+    """Step 1."""
+
+    def flush(held: list) -> pa.RecordBatch:
+        short, times = np.unique(np.concatenate([h[0] for h in held]), return_counts=True)
+        edges = found.edges(short << _U(SHORT))
+        return _blocks(found.keys, [(p, pack(short[edges[p] : edges[p + 1]], times[edges[p] : edges[p + 1]] > 1)) for p in range(found.parts) if edges[p] < edges[p + 1]])
+
+    def again(got: list) -> list[np.ndarray]:
+        short, several = (np.concatenate([x[i] for x in got]) for i in range(2))
+        order = np.argsort(short)
+        short, several = short[order], several[order]
+        several[1:] |= short[1:] == short[:-1]
+        short = short[several]
+        return [short[np.append(True, short[1:] != short[:-1])[: len(short)]]]
+
+    found.keep(_flushed(texts.select("text"), lambda chunk, _: (spans(chunk, sentences(chunk))[3] >> _U(SHORT),), flush), again, "seen")
+
+
+FIRST = ("hash", "check", "id", "mark", "place")
+
+
+def _earliest(hashes: np.ndarray, check: np.ndarray, ids: np.ndarray, marks: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Index of the first occurrence of each span, by ascending hash."""
+    order = np.lexsort((place, marks, ids, check, hashes))
+    new = np.ones(len(order), bool)
+    new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (check[order][1:] != check[order][:-1])
+    return order[new]
+
+
+def _first_occurrences(texts: DataFrame, found: Found) -> None:
+    """Step 2."""
+
+    def scan(chunk: Chunk, batch: pa.RecordBatch) -> tuple:
+        row, place, _, hashes, check = spans(chunk, sentences(chunk))
+        order = np.argsort(hashes)
+        order = order[found.seen(hashes[order])]
+        row = row[order] + chunk.first
+        return hashes[order], check[order], np.asarray(batch.column(0))[row], np.asarray(batch.column(1))[row], place[order]
+
+    def flush(held: list) -> pa.RecordBatch:
+        columns = [np.concatenate([h[i] for h in held]) for i in range(5)]
+        hashes, check, ids, marks, place = (c[_earliest(*columns)] for c in columns)
+        edges, out = found.edges(hashes), []
+        for p in range(found.parts):
+            here = slice(edges[p], edges[p + 1])
+            if edges[p] < edges[p + 1]:
+                texts_, back = np.unique(np.stack([ids[here], marks[here]], 1), axis=0, return_inverse=True)
+                out.append((p, pack(hashes[here], check[here], back.ravel().astype(np.uint16 if len(texts_) < 65536 else np.uint32), *_halves(place[here]), np.ascontiguousarray(texts_[:, 0]), np.ascontiguousarray(texts_[:, 1]))))
+        return _blocks(found.keys, out)
+
+    def earliest(got: list) -> list[np.ndarray]:
+        hashes, check = (np.concatenate([x[i] for x in got]) for i in range(2))
+        ids, marks = (np.concatenate([x[i][x[2]] for x in got]) for i in (5, 6))
+        place = np.concatenate([_whole(x[3], x[4]) for x in got])
+        at = _earliest(hashes, check, ids, marks, place)
+        return [c[at] for c in (hashes, check, ids, marks, place)]
+
+    found.keep(_flushed(texts, scan, flush), earliest, *FIRST)
+
+
+def _later(chunk: Chunk, cuts: Cuts, ids: np.ndarray, marks: np.ndarray, found: Found) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first sentence, number of sentences) of the spans that are not first occurrences, by row."""
+    row, place, covers, hashes, check = spans(chunk, cuts)
+    order = np.argsort(hashes)
+    late = np.zeros(len(order), bool)
+    for p, here, at, hit in found.places("hash", hashes[order], found.edges(hashes[order])):
+        mine = order[here][hit]
+        first = {name: found.store.get(name, p)[at[hit]] for name in FIRST[1:]}
+        same = (first["id"] == ids[row[mine]]) & (first["mark"] == marks[row[mine]]) & (first["place"] == place[mine])
+        late[mine] = (first["check"] == check[mine]) & ~same
+    return row[late], place[late], covers[late]
+
+
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", added: tuple[str, str] = ("n_sentences", "n_removed")) -> DataFrame:
+    """``docs`` with repeated spans cut out of the text, and the numbers of all and of removed sentences added."""
+    id_ = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id")
+    mark = F.xxhash64(F.col(text_col)).alias("mark")
+    texts = docs.select(id_, mark, F.col(text_col).cast("string").alias("text"))
+    found = Found(texts)
+    _seen_again(texts, found)
+    _first_occurrences(texts, found)
+    at, given = docs.columns.index(text_col), {n.lower() for n in added}
+    kept = [i for i, c in enumerate(docs.columns) if c.lower() not in given]
+    names = [*(docs.columns[i] for i in kept), *added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column, lists = batch.column(at), batch.column(len(names) - 2)
-            text: list[str | None] = []
-            total: list[int] = []
-            gone: list[int] = []
-            for chunk in chunks(column):
-                first, last, starts, ends = sentences(chunk)
-                rows = chunk.row_of(starts[first]) if len(first) else first
-                edge = np.searchsorted(rows, np.arange(len(chunk) + 1))
-                for i in range(len(chunk)):
-                    n, pairs = int(edge[i + 1] - edge[i]), lists[chunk.first + i]
-                    total.append(n)
-                    if not pairs.is_valid:
-                        text.append(column[chunk.first + i].as_py())
-                        gone.append(0)
-                        continue
-                    out, removed = _cut(chunk, i, first[edge[i] : edge[i + 1]], last[edge[i] : edge[i + 1]], starts, ends, np.asarray(pairs.values).reshape(-1, 2))
-                    text.append(out)
-                    gone.append(removed)
-            columns = [*batch.columns[: len(names) - 2], pa.array(total, pa.int64()), pa.array(gone, pa.int64())]
-            columns[at] = pa.array(text, column.type)
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    from pyspark.sql.types import LongType, StructType
-
-    schema = StructType([*docs.schema.fields]).add("n_sentences", LongType()).add("n_removed", LongType())
-    return joined.mapInArrow(frugal(run), schema)
-
-
-def _cut(chunk: Chunk, i: int, first: np.ndarray, last: np.ndarray, starts: np.ndarray, ends: np.ndarray, pairs: np.ndarray) -> tuple[str, int]:
+            rows, ids, marks = batch.column(0), np.asarray(batch.column(1)), np.asarray(batch.column(2))
+            column = rows.field(at)
+            for chunk in chunks(pc.cast(column, pa.string())):
+                here = slice(chunk.first, chunk.first + len(chunk))
+                cuts = sentences(chunk)
+                row, place, covers = _later(chunk, cuts, ids[here], marks[here], found)
+                first, last, starts, ends = cuts
+                owner = chunk.row_of(starts[first]) if len(first) else first
+                edge, hits = (np.searchsorted(x, np.arange(len(chunk) + 1)) for x in (owner, row))
+                gone = np.zeros(len(chunk), np.int64)
+                texts_ = column.slice(chunk.first, len(chunk))
+                if len(row):
+                    own = texts_.to_pylist()
+                    for i in np.flatnonzero(np.diff(hits)).tolist():
+                        mine = slice(hits[i], hits[i + 1])
+                        own[i], gone[i] = _cut(chunk, i, first[edge[i] : edge[i + 1]], last[edge[i] : edge[i + 1]], starts, ends, place[mine], covers[mine])
+                    texts_ = pa.array(own, column.type)
+                columns = [texts_ if i == at else rows.field(i).slice(chunk.first, len(chunk)) for i in kept]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(edge), pa.int64()), pa.array(gone)], names)
+
+    whole = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), id_, mark)
+    schema = StructType([*(docs.schema[i] for i in kept), *(StructField(n, LongType()) for n in added)])
+    return whole.mapInArrow(frugal(run), schema)
+
+
+def _cut(chunk: Chunk, i: int, first: np.ndarray, last: np.ndarray, starts: np.ndarray, ends: np.ndarray, place: np.ndarray, covers: np.ndarray) -> tuple[str, int]:
     """Row ``i`` without the covered sentences; a sentence goes with the white space after it."""
     change = np.zeros(len(first) + 1, np.int64)
-    np.add.at(change, pairs[:, 0], 1)
-    np.add.at(change, np.minimum(pairs[:, 0] + pairs[:, 1], len(first)), -1)
+    np.add.at(change, place, 1)
+    np.add.at(change, place + covers, -1)
     dead = np.cumsum(change[:-1]) > 0
     begin = starts[first]
     stop = np.append(begin[1:], chunk.offsets[i + 1])

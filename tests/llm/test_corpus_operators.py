@@ -167,12 +167,16 @@ def test_span_dedup(spark, sf_dir):
     rng = random.Random(2)
     passage = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) + rng.choice(["", "", ".", ","]) for _ in range(60))
     texts |= {1000 + i: f"Own start {i} here. {passage} And own end {i}." for i in range(4)} | {2000: None, 2001: "", 2002: "short. short. short.", 2003: (passage + "\n") * 3}
-    df = spark.createDataFrame([(i, t, 7) for i, t in texts.items()], "doc_id long, text string, n_removed int").withColumnRenamed("n_removed", "extra")
-    got = {r.doc_id: r for r in span_dedup.drop_repeats(df).collect()}
+    texts[2004] = " ".join(rng.choice("abcdefgh") * 9 for _ in range(60_000)) + f" {passage}"
+    df = spark.createDataFrame([(i, t, 7, 8, 9, 10, 11) for i, t in texts.items()], "doc_id long, text string, extra int, N_Removed int, row int, id int, mark int")
+    cut = span_dedup.drop_repeats(df)
+    assert cut.columns == ["doc_id", "text", "extra", "row", "id", "mark", "n_sentences", "n_removed"]
+    assert span_dedup.drop_repeats(df, added=("_all", "_gone")).columns == [*df.columns, "_all", "_gone"]
+    got = {r.doc_id: r for r in cut.collect()}
     want = brute_dedup(texts)
     assert {i: r.text for i, r in got.items()} == want
     assert got[1000].text == texts[1000] and all(len(got[1000 + i].text.split()) < 40 for i in (1, 2, 3))
-    assert got[1001].extra == 7 and got[2000].text is None and got[2002].n_removed == 0
+    assert (got[1001].extra, got[1001].row) == (7, 9) and got[2000].text is None and got[2002].n_removed == 0 and passage not in got[2004].text
     assert span_dedup.drop_repeats(df.limit(0)).count() == 0
 
 
@@ -181,6 +185,9 @@ def test_span_dedup_repeated_ids(spark):
     rows = [(1, passage), (1, passage), (1, "other. " + passage), (None, passage)]
     got = sorted(((r.doc_id, r.n_removed > 0) for r in span_dedup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert got == sorted([(1, True), (1, True), (1, True), (None, False)], key=str)
+    many = [(None, f"{i} {passage}") for i in range(200)]  # one of them keeps the passage
+    texts = [r.text for r in span_dedup.drop_repeats(spark.createDataFrame(many, "doc_id long, text string")).collect()]
+    assert len(texts) == 200 and sum(passage in t for t in texts) == 1 and sorted(t.split()[0] for t in texts) == sorted(str(i) for i in range(200))
 
 
 def planted(kind, n, seed):
@@ -280,41 +287,93 @@ def test_embedding_dedup_repeated_rows_and_null_ids(spark):
 # -- language model ---------------------------------------------------------------------
 
 
-def test_language_model(spark, sf_dir):
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()} | {5000: None, 5001: "", 5002: "never seen words"}
-    df = spark.createDataFrame([(i, t, 1) for i, t in texts.items()], "doc_id long, text string, n_tokens int")
-    tokens = {i: WORD.findall(lower(t)) + ["</s>"] for i, t in texts.items()}
-    train = [t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2]
-    c = Counter(w for t in train for w in t)
-    n, v = sum(c.values()), len(c)
-    pairs = Counter(p for t in train for p in zip(["<s>", *t], t, strict=False))
-    places = Counter(w for _, w in pairs)
-    d, e = (language_model._discounts(np.array([sum(x == k for x in f.values()) for k in (1, 2, 3, 4)])) for f in (pairs, places))
-    context = defaultdict(lambda: [0, 0, 0, 0])
-    for (a, _), k in pairs.items():
-        context[a][0] += k
-        context[a][min(k, 3)] += 1
-    off = lambda k, x: x[min(k, 3) - 1] if k else 0
-    rest = sum(x * k for x, k in zip(e, (sum(x == 1 for x in places.values()), sum(x == 2 for x in places.values()), sum(x > 2 for x in places.values())), strict=True)) / len(pairs)
-    one = lambda w: max(places[w] - off(places[w], e), 0) / len(pairs) + rest / (v + 1)
-
-    def two(a, w):
-        if a not in context:
-            return one(w)
-        k = pairs[a, w]
-        return max(k - off(k, d), 0) / context[a][0] + sum(x * y for x, y in zip(d, context[a][1:], strict=True)) / context[a][0] * one(w)
-
-    assert abs(sum(two("the", w) for w in c) + two("the", "@") - 1) < 1e-9
-    got = language_model.train_and_score(df).collect()
-    assert len(got) == len(texts)
+class BruteModel:
+    """Interpolated modified Kneser-Ney of any order, word by word."""
+
+    def __init__(self, train, order):
+        self.order, self.words = order, Counter(w for t in train for w in t)
+        raw = {k: Counter() for k in range(2, order + 1)}
+        for t in train:
+            t = ["<s>", *t]
+            for k in raw:
+                raw[k].update(tuple(t[i - k + 1 : i + 1]) for i in range(max(1, k - 1), len(t)))
+        self.counts = {order: raw[order]}
+        for k in range(order - 1, 1, -1):
+            places = Counter(g[1:] for g in raw[k + 1])
+            self.counts[k] = Counter({g: n if g[0] == "<s>" else places[g] for g, n in raw[k].items()})
+        self.counts[1] = Counter(g[1:] for g in raw[2])
+        self.d = {k: language_model._discounts(np.array([sum(x == j for x in c.values()) for j in (1, 2, 3, 4)])) for k, c in self.counts.items()}
+        self.context = {k: defaultdict(lambda: [0, 0, 0, 0]) for k in self.counts}
+        for k, c in self.counts.items():
+            for g, n in c.items():
+                self.context[k][g[:-1]][0] += n
+                self.context[k][g[:-1]][min(n, 3)] += 1
+
+    def p(self, gram):
+        k = len(gram)
+        if k == 0:
+            return 1 / (len(self.words) + 1)
+        facts, d, n = self.context[k].get(gram[:-1]), self.d[k], self.counts[k][gram]
+        if not facts:
+            return self.p(gram[1:])
+        return max(n - (d[min(n, 3) - 1] if n else 0), 0) / facts[0] + sum(x * y for x, y in zip(d, facts[1:], strict=True)) / facts[0] * self.p(gram[1:])
+
+    def score(self, tokens):
+        t = ["<s>", *tokens]
+        return sum(math.log10(self.p(tuple(t[max(0, i - self.order + 1) : i + 1]))) for i in range(1, len(t)))
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model(spark, sf_dir, order):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()} | {5000: None, 5001: "", 5002: "never seen words", 5003: "to be " * 3000}
+    rows = [(i, t, 1) for i, t in texts.items()] + [(5003, texts[5003], 1), (None, "no id", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
+    split = lambda t: WORD.findall(lower(t)) + ["</s>"]
+    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    train = [split(t) for i, t, _ in rows if not out(i)]
+    brute = BruteModel(train, order)
+    c, n, v = brute.words, sum(brute.words.values()), len(brute.words)
+    assert abs(sum(brute.p(("<s>", "the", w)[3 - order :]) for w in c) + brute.p(("<s>", "the", "@")[3 - order :]) - 1) < 1e-9 or order == 4
+    got = language_model.train_and_score(df, order=order).collect()
+    assert len(got) == len(rows)
     for r in got:
-        t = tokens[r.doc_id]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2, len(t), sum(w in c for w in t), n)
+        t = split("no id" if r.doc_id is None else texts[r.doc_id])
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out(r.doc_id), len(t), sum(w in c for w in t), n)
         assert abs(r.base_score - sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t)) < 1e-6
-        assert abs(r.score - sum(math.log10(two(a, w)) for a, w in zip(["<s>", *t], t, strict=False))) < 1e-6
+        assert abs(r.score - brute.score(t)) < 1e-6
     held = [r for r in got if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
-    assert language_model.train_and_score(df.limit(0)).count() == 0
+    assert language_model.train_and_score(df.limit(0), order=order).count() == 0
+
+
+def test_language_model_numbers_fit(spark):
+    model = language_model.Model(None, 2, 3)
+    with pytest.raises(OverflowError):
+        model.number(1, {0: 2**31, 1: 2**31})
+    model.number(3, {0: 2**40})
+    model.base[1] = [0, 3, 3]
+    assert model.owners(1, np.array([0, 2, 3])).tolist() == [0, 0, 1] and model.span(1, 1) == (3, 4)
+
+
+def far_folder(spark, tmp_path, monkeypatch, *modules):
+    """The shared folder in a file system that only Spark reads."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.far.link./shared", f"file://{tmp_path}")
+    for module in modules:
+        monkeypatch.setattr(module, "shared_dir", lambda _: "viewfs://far/shared")
+
+
+def test_language_model_and_spans_in_a_far_folder(spark, tmp_path, monkeypatch):
+    from quillspark.plans import shared
+
+    words = random.Random(5).choices([f"w{i}" for i in range(40)], k=4000)
+    texts = [" ".join(words[i : i + 60]) for i in range(0, 4000, 30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    near = sorted(language_model.train_and_score(df, order=3).collect())
+    cut = sorted(span_dedup.drop_repeats(df).collect())
+    far_folder(spark, tmp_path, monkeypatch, shared)
+    assert sorted(language_model.train_and_score(df, order=3).collect()) == near
+    assert sorted(span_dedup.drop_repeats(df).collect()) == cut and any(r.n_removed for r in cut)
 
 
 # -- mixing -----------------------------------------------------------------------------
