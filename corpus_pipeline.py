@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import bpe, jaccard_join, mixing, quality_rules, span_dedup
 from quillspark.llm.queries import FERTILITY
-from quillspark.plans.shared import written
+from quillspark.plans.shared import unused, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +31,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: repeated passages go; a document of which nothing is left goes too."""
-    cut = span_dedup.drop_repeats(docs).where("n_removed = 0 or text rlike '[^ \\\\t-\\\\r]'")
-    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("bigint")).select(*docs.columns)
+    n_all, n_gone = (unused(c, docs.columns) for c in ("n_sentences", "n_removed"))
+    cut = span_dedup.drop_repeats(docs, added=(n_all, n_gone))
+    cut = cut.where((F.col(n_gone) == 0) | F.col("text").rlike(r"[^ \t-\r]"))
+    return cut.withColumn("n_chars", F.when(F.col(n_gone) > 0, F.length("text")).otherwise(F.col("n_chars")).cast("bigint")).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
