@@ -2,113 +2,61 @@
 
 Texts whose shingle sets agree form one class; only classes are compared.
 
-1. Map tasks turn texts into (shingle hash, class) postings and pack them, sorted
-   and delta-coded, into one block for each hash range.
-2. A task per hash range counts in how many classes each shingle occurs.  What
-   occurs in one class only can be in no intersection, so it is only counted; the
-   shared postings go on, packed by class.
-3. A task per class range orders each class's shared shingles by rarity.  The
-   prefix of a set of n shingles has n - ceil(t n) + 1 of them; the unique ones come
-   first, and a class whose prefix holds unique ones only can link with nothing.
-4. Classes with the same size and prefix form a group; groups are indexed by their
-   prefix shingles.  Each posting list first pairs its groups with one pivot, the
-   group whose shingles are most widely shared, then what is still apart with a
-   random one.  Groups enter the first round by their lead alone, which their members
-   are compared with; the later rounds index every class and no group pair is expanded.
-   Pairs pass size, overlap and bitmap filters and are verified on the whole sets.  What is then linked needs no further pair
-   among itself: only lists that still hold several components are paired in full,
-   across components.  Every pair of classes that is similar is thus either verified
-   or already connected, so components are exact.
-
-``near_components`` does no more than that.  ``near_links`` gives the join itself: all
-pairs of groups that share a prefix shingle and may link by size and shared shingles are
-expanded to their members, and every pair of members that passes the filters is verified.
-It returns each pair of similar classes once; with the rows of ``classes_of`` they are all
-links between rows, and ``link_counts`` counts them.  A family of k different near copies
-has up to k (k - 1) / 2 such pairs, so this work grows with the square of a family.
+1. Of texts with the same words one is chosen (``copy``).  Its shingles are counted by hash
+   range, summed within each task first; those that occur in several such texts are kept with their
+   counts as sorted arrays in the shared folder.  What occurs in one text only can be
+   in no intersection.
+2. Every text looks its shingles up: a class knows its set size, its shared shingles and
+   their rarity.  The prefix of a set of n shingles has n - ceil(t n) + 1 of them,
+   rarest first; the unique ones come before all others, and a class whose prefix
+   holds unique ones only can link with nothing.  No posting travels, so a shingle that
+   very many texts share is no more work for any task than another.
+3. Classes with the same size and prefix form a group; groups are indexed by their
+   prefix shingles.  Within a group the members are compared with its lead.  Each posting list
+   then pairs the leads of its groups with one pivot, the group whose shingles are most widely
+   shared; then its groups that are still apart with a random one; then, in lists that still hold several
+   components, all groups that are apart.  Pairs of groups pass size and overlap
+   filters and are expanded to those members that are apart; pairs of members pass the same filters and
+   that of the bitmaps and are verified on the whole sets.  Every pair of classes that is similar is thus either
+   verified or already connected, so components are exact.
+4. All links lie within components.  To count them the classes of a component are cut
+   into blocks, and each pair of blocks is a unit of work of its own, in which all pairs
+   are verified at once; what leaves it are sums by class.  ``near_links`` returns the pairs themselves.  This work grows with the
+   square of a component, as exact counts demand.
 
 Defined results: ``n_shingles`` 0 (null, empty or blank text) links with nothing;
 a text of fewer words than a shingle counts as one shingle; repeated rows and texts
 with equal sets fall into one component; a null id is never a component's name
 unless no other id is there; other columns are not read; an empty table gives an
-empty table.
+empty table; texts of any length are taken whole.
 """
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..plans.graph import connected_components
 from ..plans.memory import frugal
-from ..plans.shared import written
+from ..plans.shared import unused, written
+from .ranges import Ranges, flushed
 from .textscan import Chunk, chunks, mix, row_runs, run_hashes, span_hashes
 
 WIDTH = 5
 PERCENT = 75
-FLUSH = 1_500_000
 #: 64-bit words of a set's parity bitmap.
 PARITY_WORDS = 16
+#: Classes in a block of a component, and shingles of which a unit of work counts at once.
+BLOCK, COLUMNS = 512, 4096
 _U = np.uint64
 
 
-# -- blocks of arrays -------------------------------------------------------------------
-
-
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as bytes; uint64 arrays must ascend and are stored as the byte planes of their gaps."""
-    parts = [struct.pack("<i", len(arrays))]
-    for x in arrays:
-        sorted_ = x.dtype == np.uint64
-        raw = np.ascontiguousarray(np.diff(x, prepend=_U(0)).view(np.uint8).reshape(-1, 8).T).tobytes() if sorted_ else np.ascontiguousarray(x).tobytes()
-        parts.append(struct.pack("<2sq", x.dtype.str[1:].encode(), len(x)) + raw)
-    return b"".join(parts)
-
-
-def unpack(block: bytes) -> list[np.ndarray]:
-    n, at, out = struct.unpack_from("<i", block)[0], 4, []
-    for _ in range(n):
-        kind, size = struct.unpack_from("<2sq", block, at)
-        at += struct.calcsize("<2sq")
-        dtype = np.dtype(kind.decode())
-        raw = np.frombuffer(block, np.uint8, size * dtype.itemsize, at)
-        at += size * dtype.itemsize
-        out.append(np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64) if dtype == np.uint64 else raw.view(dtype))
-    return out
-
-
-def partition_keys(parts: int) -> list[int]:
-    """For each partition number an integer that Spark's hash partitioning (Murmur3, seed 42) deals to it."""
-    found = np.full(parts, -1, np.int64)
-    upto = 0
-    while (found < 0).any():
-        k = np.arange(upto, upto + 16 * parts + 64, dtype=np.uint32)
-        upto += len(k)
-        h = _rotate(k * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593) ^ np.uint32(42)
-        h = (_rotate(h, 13) * np.uint32(5) + np.uint32(0xE6546B64)) ^ np.uint32(4)
-        h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
-        h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
-        part = (h ^ (h >> np.uint32(16))).view(np.int32).astype(np.int64) % parts
-        where, first = np.unique(part, return_index=True)
-        fresh = found[where] < 0
-        found[where[fresh]] = k[first[fresh]]
-    return found.tolist()
-
-
-def _rotate(x: np.ndarray, by: int) -> np.ndarray:
-    return (x << np.uint32(by)) | (x >> np.uint32(32 - by))
-
-
-def _bucket(hashes: np.ndarray, parts: int) -> np.ndarray:
-    """Ascends with the hash."""
-    return ((hashes >> _U(32)) * _U(parts)) >> _U(32)
-
-
 # -- shingles ---------------------------------------------------------------------------
 
 
@@ -143,131 +91,68 @@ def set_keys(owner: np.ndarray, hashes: np.ndarray, sizes: np.ndarray) -> np.nda
     return mix(total + sizes.astype(_U))
 
 
-def classes_of(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, n_shingles, class), in one pass."""
+def copy_keys(chunk: Chunk) -> np.ndarray:
+    """A 64-bit name of every row's words (A-Z lower-cased) in their order."""
+    starts, ends = chunk.words()
+    words, rows = span_hashes(chunk.lower(), starts, ends), chunk.row_of(starts)
+    counts = np.bincount(rows, minlength=len(chunk))
+    first = np.cumsum(counts) - counts
+    out = np.zeros(len(chunk), _U)
+    if len(words):
+        place = np.arange(len(words)) - np.repeat(first, counts)
+        filled = np.flatnonzero(counts)
+        out[filled] = np.add.reduceat(mix(words + mix(place.astype(_U) + _U(1))), first[filled])
+    return mix(out + counts.astype(_U))
+
+
+def row_mark(docs: DataFrame) -> Column:
+    """A 64-bit hash of a row's columns, but for those with maps, which have no hash."""
+    return F.xxhash64(*(F.col(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()))
+
+
+def _chosen(texts: DataFrame, found: Ranges) -> None:
+    """Keep, for words that several rows have, which row (mark) stands for them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(batch.column(1)):
-                owner, hashes, sizes = shingle_sets(chunk, width)
-                keys = set_keys(owner, hashes, sizes).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(chunk)), pa.array(sizes, pa.int64()), pa.array(keys)], ["doc_id", "n_shingles", "class"])
+            for chunk in chunks(batch.column(2)):
+                yield pa.RecordBatch.from_arrays([pa.array(copy_keys(chunk).view(np.int64)), batch.column(1).slice(chunk.first, len(chunk))], ["copy", "mark"])
+
+    copies = texts.mapInArrow(frugal(run), "copy bigint, mark bigint")
+    several = copies.groupBy("copy").agg(F.min("mark").alias("mark"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    found.table(several.select("copy", "mark"), "copy", "copy_mark")
 
-    picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(frugal(run), "doc_id bigint, n_shingles bigint, class bigint")
 
+def _stands(chunk: Chunk, marks: np.ndarray, found: Ranges) -> np.ndarray:
+    """Mask of the rows that stand for their words."""
+    keys, out = copy_keys(chunk), np.ones(len(chunk), bool)
+    order = np.argsort(keys)
+    for p, here, place, hit in found.places("copy", keys[order]):
+        rows = order[here][hit]
+        out[rows] = found.store.get("copy_mark", p)[place[hit]] == marks[rows]
+    return out
 
-def _blocks(keys: list[int], parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([keys[b] for b, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], ["to", "block"])
 
+def _count_shingles(texts: DataFrame, found: Ranges, width: int) -> None:
+    """Step 1: keep the shingles of several chosen texts with their counts."""
 
-def _posting_blocks(docs: DataFrame, width: int, keys: list[int]) -> DataFrame:
-    """Step 1."""
-    parts = len(keys)
+    def scan(chunk: Chunk, batch: pa.RecordBatch) -> tuple:
+        owner, hashes, _ = shingle_sets(chunk, width)
+        return (hashes[_stands(chunk, np.asarray(batch.column(1))[chunk.first : chunk.first + len(chunk)], found)[owner]],)
 
     def flush(held: list) -> pa.RecordBatch:
-        hashes, owner = np.concatenate([h for h, _, _, _ in held]), []
-        base = 0
-        for _, o, names, _ in held:
-            owner.append(o + base)
-            base += len(names)
-        owner_, names, sizes = np.concatenate(owner), np.concatenate([x for _, _, x, _ in held]), np.concatenate([x for _, _, _, x in held])
-        order = np.argsort(hashes)
-        hashes, owner_ = hashes[order], owner_[order]
-        edges = np.searchsorted(_bucket(hashes, parts), np.arange(parts + 1).astype(_U))
-        out = []
-        for b in range(parts):
-            a, z = edges[b], edges[b + 1]
-            if a < z:
-                local, back = np.unique(owner_[a:z], return_inverse=True)
-                out.append((b, pack(hashes[a:z], back.astype(np.uint16 if len(local) < 65536 else np.uint32), names[local], sizes[local].astype(np.int32))))
-        return _blocks(keys, out)
+        hashes, times = np.unique(np.concatenate([h[0] for h in held]), return_counts=True)
+        return found.blocks([hashes, times.astype(np.uint8 if times.max(initial=0) < 256 else np.uint32)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        seen: set[int] = set()
-        for batch in batches:
-            for chunk in chunks(batch.column(0)):
-                owner, hashes, sizes = shingle_sets(chunk, width)
-                names = set_keys(owner, hashes, sizes)
-                fresh = np.zeros(len(names), bool)
-                for i, name in enumerate(names.tolist()):  # copies within a task are posted once
-                    if name not in seen:
-                        seen.add(name)
-                        fresh[i] = True
-                kept = fresh[owner]
-                held.append((hashes[kept], owner[kept], names.view(np.int64), sizes))
-                size += int(kept.sum())
-                if size >= FLUSH:
-                    yield flush(held)
-                    held, size = [], 0
-                if len(seen) > 1_000_000:
-                    seen.clear()
-        if size:
-            yield flush(held)
-
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), "to int, block binary")
-
-
-def _shared_blocks(blocks: DataFrame, keys: list[int]) -> DataFrame:
-    """Step 2: postings of shingles that occur in several classes, with their class counts."""
-    parts = len(keys)
+    def several(got: list) -> list[np.ndarray]:
+        hashes, times = np.concatenate([x[0] for x in got]), np.concatenate([x[1].astype(np.int64) for x in got])
+        order = np.argsort(hashes)
+        hashes, times = hashes[order], times[order]
+        edge = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])[: len(hashes)])
+        times = np.add.reduceat(times, edge) if len(edge) else times
+        return [hashes[edge][times > 1], np.minimum(times[times > 1], 2**32 - 1).astype(np.uint32)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, got in _by_key(batches):
-            hashes = np.concatenate([x[0] for x in got])
-            names = np.concatenate([x[2][x[1]] for x in got])
-            sizes = np.concatenate([x[3][x[1]] for x in got])
-            del got
-            order = np.argsort(hashes)
-            hashes = hashes[order]
-            twin = np.zeros(len(hashes), bool)
-            twin[1:] = hashes[1:] == hashes[:-1]
-            twin[:-1] |= twin[1:]
-            order, hashes = order[twin], hashes[twin]
-            names, sizes = names[order], sizes[order]
-            order = np.lexsort((names, hashes))
-            hashes, names, sizes = hashes[order], names[order], sizes[order]
-            first = np.ones(len(hashes), bool)
-            first[1:] = (hashes[1:] != hashes[:-1]) | (names[1:] != names[:-1])
-            hashes, names, sizes = hashes[first], names[first], sizes[first]
-            if not len(hashes):
-                continue
-            edge = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
-            times = np.diff(np.append(edge, len(hashes)))
-            times = np.repeat(times, times)
-            several = times > 1
-            hashes, names, sizes, times = hashes[several], names[several], sizes[several], times[several]
-            to = _bucket(mix(names.view(_U)), parts).astype(np.int64)
-            out = []
-            order = np.argsort(to, kind="stable")
-            edges = np.searchsorted(to[order], np.arange(parts + 1))
-            for b in range(parts):
-                pick = order[edges[b] : edges[b + 1]]
-                if len(pick):
-                    local, at, back = np.unique(names[pick], return_index=True, return_inverse=True)
-                    out.append((b, pack(hashes[pick], np.minimum(times[pick], 2**31 - 1).astype(np.int32), back.astype(np.uint16 if len(local) < 65536 else np.uint32), local, sizes[pick][at])))
-            if out:
-                yield _blocks(keys, out)
-
-    return blocks.repartition(parts, "to").sortWithinPartitions("to").mapInArrow(frugal(run), "to int, block binary")
-
-
-def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
-    """Unpacked blocks, key by key; the rows come sorted by key."""
-    key, got = None, []
-    for batch in batches:
-        for k, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if k != key and got:
-                yield key, got
-                got = []
-            key = k
-            got.append(unpack(block.as_py()))
-    if got:
-        yield key, got
-
-
-PROFILE = "class bigint, n bigint, shared bigint, parity array<bigint>, spread double, signature bigint, prefix array<bigint>, members binary"
+    found.keep(flushed(texts, scan, flush), several, "shingle", "times")
 
 
 def _parity(members: np.ndarray) -> np.ndarray:
@@ -277,39 +162,56 @@ def _parity(members: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _profiles(shared: DataFrame, parts: int, percent: int) -> DataFrame:
-    """Step 3: what is left of each class that may link (``members``: its shared shingles, ascending)."""
+ROW = "doc_id bigint, mark bigint, n_shingles bigint, class bigint"
+PROFILE = "shared bigint, parity array<bigint>, spread double, signature bigint, prefix array<bigint>, members binary"
+
+
+def _profiled(texts: DataFrame, found: Ranges, width: int, percent: int) -> DataFrame:
+    """Step 2: ``ROW`` for every row, and for a chosen one whose class may link ``PROFILE`` (``members``: its shared shingles, ascending)."""
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+    names = [f.strip().split(" ")[0] for f in f"{ROW}, {PROFILE}".split(",")]
+
+    def profile(n: int, hashes: np.ndarray, times: np.ndarray) -> tuple | None:
+        """``hashes``: the shared shingles by rarity."""
+        need = -(-percent * n // 100)
+        indexed = (n - need + 1) - (n - len(hashes))
+        if len(hashes) < need or indexed <= 0:
+            return None
+        prefix = hashes[:indexed]
+        signature = mix(np.array([mix(prefix).sum(dtype=_U) + _U(n)], _U)).view(np.int64)[0]
+        return len(hashes), _parity(hashes), float(times.mean() * len(hashes) / n), int(signature), prefix.view(np.int64), np.sort(hashes).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, got in _by_key(batches):
-            hashes, times = np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got])
-            names, sizes = np.concatenate([x[3][x[2]] for x in got]), np.concatenate([x[4][x[2]] for x in got])
-            del got
-            order = np.lexsort((hashes, times, names))
-            hashes, times, names, sizes = hashes[order], times[order], names[order], sizes[order].astype(np.int64)
-            edge = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
-            stop = np.append(edge[1:], len(names))
-            rows: list[tuple] = []
-            for a, z in zip(edge.tolist(), stop.tolist(), strict=True):
-                n = int(sizes[a])
-                need = -(-percent * n // 100)
-                indexed = (n - need + 1) - (n - (z - a))
-                if z - a < need or indexed <= 0:
-                    continue
-                prefix = hashes[a : a + indexed]
-                signature = mix(np.array([mix(prefix).sum(dtype=_U) + _U(n)], _U)).view(np.int64)[0]
-                rows.append((int(names[a]), n, z - a, _parity(hashes[a:z]), float(times[a:z].mean() * (z - a) / n), int(signature), prefix.view(np.int64), np.sort(hashes[a:z]).tobytes()))
-                if len(rows) >= 500:
-                    yield _rows(rows)
-                    rows = []
-            if rows:
-                yield _rows(rows)
-
-    def _rows(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["class", "n", "shared", "parity", "spread", "signature", "prefix", "members"])
-
-    return shared.repartition(parts, "to").sortWithinPartitions("to").mapInArrow(frugal(run), PROFILE)
+        for batch in batches:
+            for chunk in chunks(batch.column(2)):
+                here = (chunk.first, len(chunk))
+                marks = batch.column(1).slice(*here)
+                owner, hashes, sizes = shingle_sets(chunk, width)
+                mine = np.flatnonzero(_stands(chunk, np.asarray(marks), found)[owner])
+                owner_, hashes_ = owner[mine], hashes[mine]
+                times = found.values("shingle", "times", hashes_, 0)
+                shared = times > 0
+                owner_, hashes_, times = owner_[shared], hashes_[shared], times[shared]
+                order = np.lexsort((hashes_, times, owner_))
+                owner_, hashes_, times = owner_[order], hashes_[order], times[order]
+                edge = np.searchsorted(owner_, np.arange(len(chunk) + 1))
+                found_ = [profile(int(sizes[i]), hashes_[edge[i] : edge[i + 1]], times[edge[i] : edge[i + 1]]) if edge[i] < edge[i + 1] else None for i in range(len(chunk))]
+                columns = [pa.array([None if f is None else f[c] for f in found_], k) for c, k in enumerate(kinds)]
+                own = [batch.column(0).slice(*here), marks, pa.array(sizes, pa.int64()), pa.array(set_keys(owner, hashes, sizes).view(np.int64))]
+                yield pa.RecordBatch.from_arrays([*own, *columns], names)
+
+    return texts.mapInArrow(frugal(run), f"{ROW}, {PROFILE}")
+
+
+def _prepared(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows (``ROW``), and the profiles (class, n, ``PROFILE``), one for each class that may link."""
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), row_mark(docs).alias("mark"), F.col(text_col).cast("string").alias("text"))
+    found = Ranges(docs.sparkSession, "shingles")
+    _chosen(texts, found)
+    _count_shingles(texts, found, width)
+    rows = written(_profiled(texts, found, width, percent))
+    profiles = rows.where("members is not null").select("class", F.col("n_shingles").alias("n"), "shared", "parity", "spread", "signature", "prefix", "members")
+    return rows.select("doc_id", "mark", "n_shingles", "class"), written(profiles.dropDuplicates(["class"]))
 
 
 # -- pairs ------------------------------------------------------------------------------
@@ -334,7 +236,7 @@ def _verified(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "an", "am", "bn", "bm")
+    joined = written(pairs).join(left, "a").join(right, "b").select("a", "b", "an", "am", "bn", "bm")
     return joined.mapInArrow(frugal(run), "a bigint, b bigint")
 
 
@@ -357,64 +259,155 @@ def _facts() -> Column:
     return F.struct("class", "n", "shared", *(F.col("parity")[i].alias(f"p{i}") for i in range(PARITY_WORDS)))
 
 
+def _facts() -> Column:
+    return F.struct("class", "n", "shared", *(F.col("parity")[i].alias(f"p{i}") for i in range(PARITY_WORDS)))
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _groups_may_link(x: str, y: str, percent: int) -> str:
+    """``_may_link`` for groups: by size, and by the most shared shingles of a member."""
+    return f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) and {100 + percent} * least({x}.shared, {y}.shared) >= {percent} * ({x}.n + {y}.n)"
+
+
 def _class_components(profiles: DataFrame, percent: int) -> DataFrame:
-    """Step 4: (node, component) of all classes that are linked."""
-    groups = profiles.groupBy("signature", "n").agg(F.max_by("prefix", "class").alias("prefix"), F.max_by(_facts(), F.struct("spread", "class")).alias("one"), F.max("spread").alias("spread"))
+    """Step 3: (node, component) of all classes that are linked."""
+    own = profiles.groupBy("signature", "n").agg(
+        F.max_by("prefix", "class").alias("prefix"), F.max_by(_facts(), F.struct("spread", "class")).alias("one"), F.max("spread").alias("spread"), F.max("shared").alias("shared"), F.count(F.lit(1)).alias("times")
+    )
+    groups = written(own.withColumn("group", F.xxhash64("signature", "n")))
+    members = profiles.select(F.xxhash64("signature", "n").alias("group"), _facts().alias("x"))
     # Within a group: members against their lead.
-    alike = profiles.join(groups.select("signature", "n", "one"), ["signature", "n"]).where("class <> one.class")
-    alike = alike.select(_facts().alias("x"), F.col("one").alias("y"))
-    # Between groups: the lead of each group in a list against the list's pivot.
+    alike = members.join(groups.where("times > 1").select("group", F.col("one").alias("y")), "group").where("x.class <> y.class").select("x", "y")
+    # Between groups: the lead of each group in a list against the lead of the list's pivot.
     index = groups.select(F.explode("prefix").alias("token"), F.col("one").alias("x"), "spread")
-    links = written(_verified(_pivot_pairs(index, F.col("spread"), percent, alike), profiles, percent))
-    # What is still apart, list by list; now each list takes a pivot of its own at random, so that a class meets many.
-    rest = written(_open_lists(profiles, written(connected_components(links))))
-    links = links.unionByName(written(_verified(_pivot_pairs(rest, F.xxhash64("x.class", "token"), percent), profiles, percent)))
-    rest = written(_open_lists(profiles, written(connected_components(links))))
-    x, y = rest.alias("x"), rest.alias("y")
-    apart = x.join(y, F.col("x.token") == F.col("y.token")).where("x.x.class < y.x.class and x.component <> y.component").where(_may_link("x.x", "y.x", percent))
-    found = _verified(apart.select(F.col("x.x.class").alias("a"), F.col("y.x.class").alias("b")).distinct(), profiles, percent)
-    return connected_components(links.unionByName(written(found)))
-
-
-def _class_links(profiles: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b) of similar classes, a < b."""
-    own = profiles.groupBy("signature", "n").agg(F.max_by("prefix", "class").alias("prefix"), F.max("shared").alias("shared"), F.count(F.lit(1)).alias("times"))
-    groups = written(own.select(F.struct("signature", "n").alias("group"), "n", "shared", "prefix", "times"))
-    index = groups.select("group", "n", "shared", F.explode("prefix").alias("token"))
-    x, y = index.alias("x"), index.alias("y")
-    sizes = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {100 + percent} * least(x.shared, y.shared) >= {percent} * (x.n + y.n)"
-    apart = x.join(y, F.col("x.token") == F.col("y.token")).where("x.group < y.group").where(sizes).select(F.col("x.group").alias("g"), F.col("y.group").alias("h")).distinct()
-    pairs = apart.unionByName(groups.where("times > 1").select(F.col("group").alias("g"), F.col("group").alias("h")))
-    members = profiles.select(F.struct("signature", "n").alias("group"), _facts().alias("x"))
-    left, right = members.select(F.col("group").alias("g"), "x"), members.select(F.col("group").alias("h"), F.col("x").alias("y"))
-    met = pairs.join(left, "g").join(right, "h").where("g <> h or x.class < y.class").where(_may_link("x", "y", percent))
-    return _verified(_ordered(met.select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))), profiles, percent)
-
-
-def _pivot_pairs(index: DataFrame, rank: Column, percent: int, more: DataFrame | None = None) -> DataFrame:
-    """Each list's members against its highest-ranked one, as far as they may link; ``more``: further pairs (x, y)."""
-    pivots = index.groupBy("token").agg(F.max_by("x", F.struct(rank.alias("rank"), F.col("x.class").alias("class"))).alias("y"), F.count(F.lit(1)).alias("times")).where("times > 1").select("token", "y")
-    pairs = index.join(pivots, "token").select("x", "y")
-    pairs = pairs if more is None else pairs.unionByName(more)
-    pairs = pairs.where("x.class <> y.class").where(_may_link("x", "y", percent))
-    return _ordered(pairs.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")))
-
-
-def _open_lists(profiles: DataFrame, labels: DataFrame) -> DataFrame:
-    """Index rows, one for each member, of the lists that hold several components."""
-    named = profiles.join(labels, profiles["class"] == labels["node"], "left").select(_facts().alias("x"), "spread", F.coalesce("component", "class").alias("component"), F.explode("prefix").alias("token"))
-    several = named.groupBy("token").agg((F.min("component") != F.max("component")).alias("several")).where("several").select("token")
-    return named.join(several, "token", "left_semi")
+    pivots = index.groupBy("token").agg(F.max_by("x", F.struct("spread", "x.class")).alias("y"), F.count(F.lit(1)).alias("lists")).where("lists > 1").select("token", "y")
+    leads = index.join(written(pivots), "token").select("x", "y").unionByName(alike).where("x.class <> y.class").where(_may_link("x", "y", percent))
+    links = written(_verified(_ordered(leads.select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))), profiles, percent))
+    # What is still apart: each list takes a random pivot, so that a group meets many; then all that is left.
+    for pivot in (True, False):
+        labels = written(connected_components(links))
+        links = written(links.unionByName(_verified(_expanded(_group_pairs(groups, members, labels, percent, pivot), members, labels, percent), profiles, percent)))
+    return connected_components(links)
+
+
+def _group_pairs(groups: DataFrame, members: DataFrame, labels: DataFrame, percent: int, pivot: bool) -> DataFrame:
+    """Pairs (g, h) of groups that share a prefix shingle and are not wholly in one component: with a pivot of each list, or all."""
+    named = members.select("group", F.col("x.class").alias("class")).join(labels, F.col("class") == F.col("node"), "left").withColumn("part", F.coalesce("component", "class"))
+    parts = named.groupBy("group").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    index = written(groups.join(parts, "group").select(F.explode("prefix").alias("token"), F.struct("group", "n", "shared", "low", "high").alias("x")))
+    open_ = index.groupBy("token").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high"), F.max_by("x", F.xxhash64("x.group", "token")).alias("y")).where("low <> high")
+    if pivot:
+        pairs = index.join(written(open_.select("token", "y")), "token")
+    else:
+        rest = written(index.join(written(open_.select("token")), "token", "left_semi"))
+        pairs = rest.join(rest.select("token", F.col("x").alias("y")), "token").where("x.group <= y.group")
+    apart = pairs.where("least(x.low, y.low) <> greatest(x.high, y.high)").where(_groups_may_link("x", "y", percent))
+    return apart.select(F.least("x.group", "y.group").alias("g"), F.greatest("x.group", "y.group").alias("h")).distinct()
+
+
+def _expanded(pairs: DataFrame, members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes of the paired groups that are in different components and may link."""
+    named = members.join(labels, F.col("x.class") == F.col("node"), "left").select("group", "x", F.coalesce("component", "x.class").alias("part"))
+    left, right = named.select(F.col("group").alias("g"), "x", "part"), named.select(F.col("group").alias("h"), F.col("x").alias("y"), F.col("part").alias("other"))
+    met = written(pairs).join(left, "g").join(right, "h").where("part <> other and (g <> h or x.class < y.class)").where(_may_link("x", "y", percent))
+    return _ordered(met.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")))
+
+
+# -- links ------------------------------------------------------------------------------
+
+
+def _units(profiles: DataFrame, parts: DataFrame, weights: DataFrame) -> DataFrame:
+    """Each linked class in each unit of work of its component."""
+    sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    blocks = written(sizes.select("component", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int").alias("blocks")))
+    own = F.pmod(F.hash("node"), F.col("blocks"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = parts.join(blocks, "component").withColumn("own", own).withColumn("other", other)
+    dealt = dealt.select("component", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), (F.col("own") > F.col("other")).alias("side"), F.col("node").alias("class"))
+    sets = profiles.select("class", "n", "members").join(weights, "class")
+    return dealt.join(sets, "class").select("component", "left", "right", "side", "class", "n", "members", "times")
+
+
+def _similar(n: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the sets are similar, as a symmetric matrix; what they share is counted some shingles at a time."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = times > 1
+    number = np.cumsum(several) - 1
+    at = several[token]
+    owner, token = owner[at], number[token[at]]
+    order = np.argsort(token, kind="stable")
+    owner, token = owner[order], token[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, int(several.sum()), COLUMNS):
+        a, z = np.searchsorted(token, [first, first + COLUMNS])
+        has = np.zeros((len(sets), COLUMNS), np.float32)
+        has[owner[a:z], token[a:z] - first] = 1
+        common += has @ has.T
+    common = common.astype(np.int64)
+    out = 100 * common >= percent * (n[:, None] + n[None, :] - common)
+    np.fill_diagonal(out, False)
+    return out
+
+
+def _counted(units: DataFrame, percent: int, pairs: bool) -> DataFrame:
+    """Rows (a, b, links): sums by class (a), or with ``pairs`` the pairs of similar classes, a < b."""
+    order = ["component", "left", "right"]
+
+    def solve(rows: list[dict]) -> pa.RecordBatch:
+        n, side, names, times = (np.array([r[k] for r in rows]) for k in ("n", "side", "class", "times"))
+        near = _similar(n, [np.frombuffer(r["members"], _U) for r in rows], percent)
+        if rows[0]["left"] != rows[0]["right"]:
+            near &= side[:, None] != side[None, :]
+        if pairs:
+            x, y = np.nonzero(np.triu(near))
+            a, b, links = np.minimum(names[x], names[y]), np.maximum(names[x], names[y]), np.ones(len(x), np.int64)
+        else:
+            a, links = names, near @ times
+            a, links = a[links > 0], links[links > 0]
+            b = np.zeros(len(a), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(links, pa.int64())], ["a", "b", "links"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and any(held[0][k] != row[k] for k in order):
+                    yield solve(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield solve(held)
+
+    return units.repartition(*order).sortWithinPartitions(*order).mapInArrow(frugal(run), "a bigint, b bigint, links bigint")
+
+
+# -- results ----------------------------------------------------------------------------
+
+
+def _named(rows: DataFrame, linked: DataFrame) -> DataFrame:
+    """``rows`` with their component's least (id, mark), null ids last; ``linked``: (node, component) of the linked classes."""
+    lead = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    firsts = rows.where("n_shingles > 0").groupBy("class").agg(F.min(lead).alias("first"))
+    firsts = written(firsts.join(linked, firsts["class"] == linked["node"], "left").select("class", "first", F.coalesce("component", "class").alias("component")))
+    names = written(firsts.groupBy("component").agg(F.min("first").alias("lead")))
+    by_class = written(firsts.join(names, "component").select(F.col("class").alias("_class"), "lead"))
+    named = rows.join(by_class, (F.col("class") == F.col("_class")) & (F.col("n_shingles") > 0), "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("lead.doc_id")).otherwise(F.col("doc_id"))
+    return named.select("doc_id", "n_shingles", component.alias("component_id"), "class", "mark", F.when(F.col("n_shingles") > 0, F.col("lead.mark")).alias("lead_mark"))
 
 
 def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, class), one for each row of ``docs``."""
     rows, profiles = _prepared(docs, width, percent, id_col, text_col)
-    return _named(rows, _class_components(profiles, percent))
+    return _named(rows, written(_class_components(profiles, percent))).select("doc_id", "n_shingles", "component_id", "class")
+
+
+def _weights(rows: DataFrame) -> DataFrame:
+    return rows.where("n_shingles > 0").groupBy("class").agg(F.count(F.lit(1)).alias("times"))
 
 
 def near_links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -423,77 +416,47 @@ def near_links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_c
     Rows of one class are similar to each other, if they have shingles.
     """
     rows, profiles = _prepared(docs, width, percent, id_col, text_col)
-    return written(_class_links(profiles, percent)), rows
+    parts = written(_class_components(profiles, percent))
+    found = _counted(_units(profiles, parts, written(_weights(rows))), percent, True)
+    return written(found.select("a", "b")), rows.select("doc_id", "n_shingles", "class")
 
 
 def link_counts(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``near_components`` with ``n_links``: to how many other rows each is similar."""
-    links, rows = near_links(docs, width, percent, id_col, text_col)
-    sizes = rows.where("n_shingles > 0").groupBy("class").agg(F.count(F.lit(1)).alias("times"))
-    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = ends.join(sizes, ends["b"] == sizes["class"]).groupBy("a").agg(F.sum("times").alias("others"))
-    counts = sizes.join(others, sizes["class"] == others["a"], "left").select(F.col("class").alias("_class"), (F.col("times") - 1 + F.coalesce("others", F.lit(0))).alias("_links"))
-    named = _named(rows, written(connected_components(links)))
-    joined = named.join(counts, (F.col("class") == F.col("_class")) & (F.col("n_shingles") > 0), "left")
+    rows, profiles = _prepared(docs, width, percent, id_col, text_col)
+    parts, weights = written(_class_components(profiles, percent)), written(_weights(rows))
+    sums = _counted(_units(profiles, parts, weights), percent, False).groupBy("a").agg(F.sum("links").alias("others"))
+    counts = written(weights.join(sums, weights["class"] == sums["a"], "left").select(F.col("class").alias("_class"), (F.col("times") - 1 + F.coalesce("others", F.lit(0))).alias("_links")))
+    joined = _named(rows, parts).join(counts, (F.col("class") == F.col("_class")) & (F.col("n_shingles") > 0), "left")
     return joined.select("doc_id", "n_shingles", "component_id", "class", F.coalesce("_links", F.lit(0)).alias("n_links"))
 
 
-def _prepared(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``classes_of`` and the profiles of the classes."""
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = partition_keys(parts)
-    profiles = written(_profiles(_shared_blocks(_posting_blocks(texts, width, keys), keys), parts, percent))
-    return written(classes_of(texts, width)), profiles
-
-
-def _named(rows: DataFrame, linked: DataFrame) -> DataFrame:
-    """``rows`` with the least id of their component; ``linked``: (node, component) of the linked classes."""
-    firsts = rows.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first"))
-    firsts = firsts.join(linked, firsts["class"] == linked["node"], "left").select("class", "first", F.coalesce("component", "class").alias("component"))
-    names = firsts.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_class = firsts.join(names, "component").select(F.col("class").alias("_class"), "component_id")
-    named = rows.join(by_class, (F.col("class") == F.col("_class")) & (F.col("n_shingles") > 0), "left")
-    return named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class")
+#: What becomes of a row: it stays, goes, or stays once among equal rows.
+_STAYS, _GOES, _ONCE = 0, 1, 2
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` but for those whose component has a smaller id; columns as they are.
+    """Of each component the row with the least id (null last, then by a hash of the row); columns as they are.
 
-    Of rows that agree in id and shingle set one stays.  Rows without shingles, and rows
-    with a null id in a component without other ids, stay.
+    Of equal rows one stays; rows without shingles all stay.  Texts are not shuffled: rows look
+    up what becomes of them.
     """
-    named = written(near_components(docs, width, percent))
-    lead = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    later = named.where("n_shingles > 0").where(~lead).select("doc_id", "class")
-    twins = named.where("n_shingles > 0 and doc_id is not null").where(lead).groupBy("doc_id", "class").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    if twins.isEmpty():
-        # Ids tell the rows apart: what goes is known by its id alone, if no other row has the id.
-        reused = later.select("doc_id").join(named.where(lead).select("doc_id"), "doc_id", "left_semi")
-        if reused.isEmpty():
-            gone = later.select(F.col("doc_id").alias("_gone")).distinct()
-            return docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_gone")), "left_anti")
-    keyed = _with_class(docs, width)
-    gone = later.select(F.col("doc_id").alias("_gone"), F.col("class").alias("_gone_class")).distinct()
-    kept = keyed.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_gone")) & (F.col("_class") == F.col("_gone_class")), "left_anti")
-    whole = kept.where("_size = 0 or doc_id is null")
-    single = kept.where("_size > 0 and doc_id is not null").dropDuplicates(["doc_id", "_class"])
-    return whole.unionByName(single).select(*docs.columns)
-
-
-def _with_class(docs: DataFrame, width: int) -> DataFrame:
-    """``docs`` with (_size, _class) added."""
-    from pyspark.sql.types import LongType, StructType
-
-    at, names = docs.columns.index("text"), [*docs.columns, "_size", "_class"]
+    rows, profiles = _prepared(docs, width, percent, "doc_id", "text")
+    named = written(_named(rows, written(_class_components(profiles, percent))).where("n_shingles > 0"))
+    gone = named.where("mark <> lead_mark").select("mark", F.lit(_GOES).cast("bigint").alias("fate")).distinct()
+    equal = named.where("mark = lead_mark").groupBy("mark").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    found = Ranges(docs.sparkSession, "fates")
+    found.table(gone.unionByName(equal.select("mark", F.lit(_ONCE).cast("bigint").alias("fate"))), "mark", "fate")
+    fate, mark = unused("fate", docs.columns), unused("mark", docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, classes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for chunk in chunks(batch.column(at)):
-                owner, hashes, n = shingle_sets(chunk, width)
-                sizes.append(n)
-                classes.append(set_keys(owner, hashes, n).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(sizes), pa.int64()), pa.array(np.concatenate(classes))], names)
-
-    return docs.mapInArrow(frugal(run), StructType([*docs.schema.fields]).add("_size", LongType()).add("_class", LongType()))
+            fates = found.values("mark", "fate", np.asarray(batch.column(1)).view(_U), _STAYS)
+            left = pa.RecordBatch.from_arrays([*batch.column(0).flatten(), batch.column(1), pa.array(fates, pa.int32())], [*docs_columns, mark, fate])
+            yield left.filter(pc.not_equal(left.column(left.num_columns - 1), _GOES))
+
+    docs_columns = docs.columns
+    schema = StructType([*docs.schema.fields, *StructType.fromDDL(f"`{mark}` bigint, `{fate}` int").fields])
+    left = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), row_mark(docs).alias("mark")).mapInArrow(frugal(run), schema)
+    single = left.where(F.col(fate) == _ONCE).dropDuplicates([mark])
+    return left.where(F.col(fate) == _STAYS).unionByName(single).select(*docs.columns)

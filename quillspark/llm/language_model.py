@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from ..plans.memory import frugal
 from ..plans.shared import written
 from ..plans.sharedfiles import ROWS, ArrayStore, array_of, array_row
-from .jaccard_join import _blocks, _bucket, _by_key, pack, partition_keys
+from .blocks import blocks_batch, bucket, by_key, pack, partition_keys
 from .textscan import Chunk, chunks, mix, span_hashes
 
 ORDER = 2
@@ -103,11 +103,11 @@ class Model:
 
     def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number (-1: unknown) and count of each of the ascending hashes."""
-        return self._find(1, hashes, _bucket(hashes, self.parts).astype(np.int64), "words", "word_counts")
+        return self._find(1, hashes, bucket(hashes, self.parts).astype(np.int64), "words", "word_counts")
 
     def grams(self, order: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number (-1: unknown) and count of each of the ascending keys; the count below the highest order only once it is adjusted."""
-        return self._find(order, keys, _bucket(mix(keys), self.parts).astype(np.int64), f"grams{order}", f"counts{order}")
+        return self._find(order, keys, bucket(mix(keys), self.parts).astype(np.int64), f"grams{order}", f"counts{order}")
 
     def _find(self, order: int, keys: np.ndarray, part: np.ndarray, names: str, counts: str) -> tuple[np.ndarray, np.ndarray]:
         number, count = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
@@ -189,7 +189,7 @@ def _counted(texts: DataFrame, keys: list[int], items: Callable[[Chunk], list[np
 
     def flush(held: list) -> pa.RecordBatch:
         columns = _summed([np.concatenate([h[i] for h in held]) for i in range(len(held[0]))])
-        return _blocks(keys, list(_packed(keys, owner(columns[0]), columns)))
+        return blocks_batch(keys, list(_packed(keys, owner(columns[0]), columns)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -267,14 +267,14 @@ def train(texts: DataFrame, order: int = ORDER) -> Model:
         return [hashes, counts.astype(np.int64)]
 
     def store_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, got in _by_key(batches):
+        for key, got in by_key(batches):
             part = number_of[key]
             hashes, counts = _merged(got, 1)
             yield from store.put("words", part, hashes)
             yield from store.put("word_counts", part, counts)
             yield array_row("facts", part, np.array([len(hashes), counts.sum()]))
 
-    rows = _by_part(_counted(texts, keys, word_items, lambda h: _bucket(h, parts).astype(np.int64)), parts, store_words)
+    rows = _by_part(_counted(texts, keys, word_items, lambda h: bucket(h, parts).astype(np.int64)), parts, store_words)
     facts = _facts(rows)
     store.publish(rows, "words", "word_counts")
     model.held |= {"words": set(facts), "word_counts": set(facts)}
@@ -301,7 +301,7 @@ def _train_order(texts: DataFrame, model: Model, k: int, keys: list[int], number
         return out
 
     def store_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, got in _by_key(batches):
+        for key, got in by_key(batches):
             part = number_of[key]
             columns = _merged(got, 1)
             del got
@@ -318,7 +318,7 @@ def _train_order(texts: DataFrame, model: Model, k: int, keys: list[int], number
                 begins = columns[3].astype(bool) if k > 2 else (found >> _U(32)) == _U(model.vocabulary)
                 yield from store.put(f"raw{k}", part, _small(np.where(begins, counts, 0)))
 
-    rows = _by_part(_counted(texts, keys, items, lambda x: _bucket(mix(x), parts).astype(np.int64)), parts, store_grams)
+    rows = _by_part(_counted(texts, keys, items, lambda x: bucket(mix(x), parts).astype(np.int64)), parts, store_grams)
     facts = _facts(rows)
     own = [f"grams{k}", f"counts{k}" if highest else f"raw{k}"]
     store.publish(rows, *own)
@@ -346,7 +346,7 @@ def _store_contexts(blocks: DataFrame, model: Model, k: int, number_of: dict[int
     store, name = model.store, f"contexts{k}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, got in _by_key(batches):
+        for key, got in by_key(batches):
             part = number_of[key]
             context, *facts = _merged(got, 4)
             low, high = model.span(k - 1, part)
@@ -365,7 +365,7 @@ def _adjust(blocks: DataFrame, model: Model, k: int, keys: list[int], number_of:
     store, name = model.store, "places" if k == 1 else f"counts{k}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, got in _by_key(batches):
+        for key, got in by_key(batches):
             part = number_of[key]
             grams, places = _merged(got, 1)
             low, high = model.span(k, part)

@@ -39,10 +39,6 @@ def op5_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.near_components(_table(spark, sf_dir, "documents"))
-
-
-def op6_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_counts(_table(spark, sf_dir, "documents"))
 
 
@@ -72,7 +68,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_wordpiece": op4_wordpiece,
         "op5_span_dedup": op5_span_dedup,
         "op6_jaccard_join": op6_jaccard_join,
-        "op6_jaccard_links": op6_jaccard_links,
         "op7_chat": op7_chat,
         "op8_quality_rules": op8_quality_rules,
         "op9_language_model": op9_language_model,

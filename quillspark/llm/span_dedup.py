@@ -40,13 +40,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..plans.memory import frugal
-from ..plans.shared import written
-from ..plans.sharedfiles import ROWS, ArrayStore, array_row
-from .jaccard_join import _blocks, _bucket, _by_key, pack, partition_keys
+from .blocks import blocks_batch, pack
+from .ranges import Ranges, flushed
 from .textscan import Chunk, chunks, mix, span_hashes
 
 SENTENCES, WORDS, CUT_EVERY = 3, 20, 1
-FLUSH = 2_000_000
 #: Low bits of a hash that the first pass leaves out.
 SHORT = 24
 NO_ID = -(2**63)
@@ -134,77 +132,21 @@ def _whole(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return low.astype(np.int32) | high.astype(np.int32) << 16
 
 
-class Found:
-    """Arrays of the hash ranges, and which ranges have them."""
+def _among(hashes: np.ndarray, found: Ranges) -> np.ndarray:
+    """Mask of the ascending hashes that are, shortened, among those that occur again."""
+    out = np.zeros(len(hashes), bool)
+    for _, here, _, hit in found.places("seen", hashes >> _U(SHORT), found.edges(hashes)):
+        out[here] = hit
+    return out
 
-    def __init__(self, texts: DataFrame):
-        self.parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.keys = partition_keys(self.parts)
-        self.store = ArrayStore(texts.sparkSession, "spans")
-        self.held: dict[str, set[int]] = {}
 
-    def edges(self, hashes: np.ndarray) -> np.ndarray:
-        """Where the ascending hashes of each range begin, and the end."""
-        return np.searchsorted(_bucket(hashes, self.parts), np.arange(self.parts + 1).astype(_U))
-
-    def places(self, name: str, keys: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, slice, np.ndarray, np.ndarray]]:
-        """(range, its keys, their places in the range's array, which are there) for ascending keys."""
-        for p in np.flatnonzero(np.diff(edges)).tolist():
-            if p in self.held[name]:
-                here, known = slice(edges[p], edges[p + 1]), self.store.get(name, p)
-                place = np.minimum(np.searchsorted(known, keys[here]), len(known) - 1)
-                yield p, here, place, known[place] == keys[here]
-
-    def seen(self, hashes: np.ndarray) -> np.ndarray:
-        """Mask of the ascending hashes that are, shortened, among those that occur again."""
-        out = np.zeros(len(hashes), bool)
-        for _, here, _, hit in self.places("seen", hashes >> _U(SHORT), self.edges(hashes)):
-            out[here] = hit
-        return out
-
-    def keep(self, blocks: DataFrame, run, *names: str) -> None:
-        """Let ``run`` put the arrays of all ranges."""
-        number_of = {k: p for p, k in enumerate(self.keys)}
-
-        def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for key, got in _by_key(batches):
-                arrays = run(got)
-                if len(arrays[0]):
-                    for name, array in zip(names, arrays, strict=True):
-                        yield from self.store.put(name, number_of[key], array)
-                    yield array_row("facts", number_of[key], np.zeros(0))
-
-        rows = written(blocks.repartition(self.parts, "to").sortWithinPartitions("to").mapInArrow(frugal(store), ROWS))
-        self.store.publish(rows, *names)
-        held = {r.part for r in rows.where("name = 'facts'").select("part").collect()}
-        self.held |= dict.fromkeys(names, held)
-
-
-def _flushed(texts: DataFrame, scan, flush) -> DataFrame:
-    """Blocks (to, block) that ``flush`` makes of what ``scan`` finds in some chunks; the first array tells how much that is."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for chunk in chunks(batch.column(batch.num_columns - 1)):
-                held.append(scan(chunk, batch))
-                size += len(held[-1][0])
-                if size >= FLUSH:
-                    yield flush(held)
-                    held, size = [], 0
-        if size:
-            yield flush(held)
-
-    return texts.mapInArrow(frugal(run), "to int, block binary")
-
-
-def _seen_again(texts: DataFrame, found: Found) -> None:
+def _seen_again(texts: DataFrame, found: Ranges) -> None:
     """Step 1."""
 
     def flush(held: list) -> pa.RecordBatch:
         short, times = np.unique(np.concatenate([h[0] for h in held]), return_counts=True)
         edges = found.edges(short << _U(SHORT))
-        return _blocks(found.keys, [(p, pack(short[edges[p] : edges[p + 1]], times[edges[p] : edges[p + 1]] > 1)) for p in range(found.parts) if edges[p] < edges[p + 1]])
+        return blocks_batch(found.keys, [(p, pack(short[edges[p] : edges[p + 1]], times[edges[p] : edges[p + 1]] > 1)) for p in range(found.parts) if edges[p] < edges[p + 1]])
 
     def again(got: list) -> list[np.ndarray]:
         short, several = (np.concatenate([x[i] for x in got]) for i in range(2))
@@ -214,7 +156,7 @@ def _seen_again(texts: DataFrame, found: Found) -> None:
         short = short[several]
         return [short[np.append(True, short[1:] != short[:-1])[: len(short)]]]
 
-    found.keep(_flushed(texts.select("text"), lambda chunk, _: (spans(chunk, sentences(chunk))[3] >> _U(SHORT),), flush), again, "seen")
+    found.keep(flushed(texts.select("text"), lambda chunk, _: (spans(chunk, sentences(chunk))[3] >> _U(SHORT),), flush), again, "seen")
 
 
 FIRST = ("hash", "check", "id", "mark", "place")
@@ -228,13 +170,13 @@ def _earliest(hashes: np.ndarray, check: np.ndarray, ids: np.ndarray, marks: np.
     return order[new]
 
 
-def _first_occurrences(texts: DataFrame, found: Found) -> None:
+def _first_occurrences(texts: DataFrame, found: Ranges) -> None:
     """Step 2."""
 
     def scan(chunk: Chunk, batch: pa.RecordBatch) -> tuple:
         row, place, _, hashes, check = spans(chunk, sentences(chunk))
         order = np.argsort(hashes)
-        order = order[found.seen(hashes[order])]
+        order = order[_among(hashes[order], found)]
         row = row[order] + chunk.first
         return hashes[order], check[order], np.asarray(batch.column(0))[row], np.asarray(batch.column(1))[row], place[order]
 
@@ -247,7 +189,7 @@ def _first_occurrences(texts: DataFrame, found: Found) -> None:
             if edges[p] < edges[p + 1]:
                 texts_, back = np.unique(np.stack([ids[here], marks[here]], 1), axis=0, return_inverse=True)
                 out.append((p, pack(hashes[here], check[here], back.ravel().astype(np.uint16 if len(texts_) < 65536 else np.uint32), *_halves(place[here]), np.ascontiguousarray(texts_[:, 0]), np.ascontiguousarray(texts_[:, 1]))))
-        return _blocks(found.keys, out)
+        return blocks_batch(found.keys, out)
 
     def earliest(got: list) -> list[np.ndarray]:
         hashes, check = (np.concatenate([x[i] for x in got]) for i in range(2))
@@ -256,10 +198,10 @@ def _first_occurrences(texts: DataFrame, found: Found) -> None:
         at = _earliest(hashes, check, ids, marks, place)
         return [c[at] for c in (hashes, check, ids, marks, place)]
 
-    found.keep(_flushed(texts, scan, flush), earliest, *FIRST)
+    found.keep(flushed(texts, scan, flush), earliest, *FIRST)
 
 
-def _later(chunk: Chunk, cuts: Cuts, ids: np.ndarray, marks: np.ndarray, found: Found) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _later(chunk: Chunk, cuts: Cuts, ids: np.ndarray, marks: np.ndarray, found: Ranges) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, first sentence, number of sentences) of the spans that are not first occurrences, by row."""
     row, place, covers, hashes, check = spans(chunk, cuts)
     order = np.argsort(hashes)
@@ -277,7 +219,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id_ = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id")
     mark = F.xxhash64(F.col(text_col)).alias("mark")
     texts = docs.select(id_, mark, F.col(text_col).cast("string").alias("text"))
-    found = Found(texts)
+    found = Ranges(docs.sparkSession, "spans")
     _seen_again(texts, found)
     _first_occurrences(texts, found)
     at, given = docs.columns.index(text_col), {n.lower() for n in added}

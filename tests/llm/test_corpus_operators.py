@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from quillspark.llm import chat, chat_template, embedding_dedup, jaccard_join, language_model, mixing, span_dedup
+from quillspark.llm import blocks, chat, chat_template, embedding_dedup, jaccard_join, language_model, mixing, span_dedup
 from quillspark.llm.textscan import span_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -111,14 +111,14 @@ def test_partition_keys(spark):
     from pyspark.sql import functions as F
 
     for parts in (3, 51, 211):
-        keys = jaccard_join.partition_keys(parts)
+        keys = blocks.partition_keys(parts)
         df = spark.createDataFrame([(k,) for k in keys], "k int").select(F.pmod(F.hash("k"), F.lit(parts)).alias("p"))
         assert [r.p for r in df.collect()] == list(range(parts))
 
 
 def test_blocks_round_trip():
     a, b = np.sort(np.random.default_rng(0).integers(0, 2**63, 1000).astype(np.uint64)), np.arange(5, dtype=np.int32)
-    x, y, z = jaccard_join.unpack(jaccard_join.pack(a, b, np.zeros(0, np.uint64)))
+    x, y, z = blocks.unpack(blocks.pack(a, b, np.zeros(0, np.uint64)))
     assert np.array_equal(a, x) and np.array_equal(b, y) and len(z) == 0
 
 
