@@ -75,12 +75,15 @@ def units(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return np.union1d(starts, np.append(lead, np.setdiff1d(stop, ends))), np.union1d(ends, np.append(stop, np.setdiff1d(lead, starts)))
 
 
-def sentences(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, word after the last) of each sentence, and the words' starts and ends."""
+Cuts = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def sentences(chunk: Chunk) -> Cuts:
+    """(first word, word after the last) of each sentence, and the words' starts, ends and hashes."""
     starts, ends = units(chunk)
     if not len(starts):
         none = np.zeros(0, np.int64)
-        return none, none, starts, ends
+        return none, none, starts, ends, none.astype(_U)
     closes = _STOP[chunk.buf[ends - 1]]
     wide = ends - starts >= 3
     closes[wide] |= (chunk.buf[ends[wide] - 3] == 0xE3) & (chunk.buf[ends[wide] - 2] == 0x80) & (chunk.buf[ends[wide] - 1] == 0x82)
@@ -92,15 +95,12 @@ def sentences(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     hashes = span_hashes(chunk.lower(), starts, ends)
     closes |= hashes % _U(CUT_EVERY) == 0
     last = np.flatnonzero(closes) + 1
-    return np.append(0, last[:-1]), last, starts, ends
-
-
-Cuts = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+    return np.append(0, last[:-1]), last, starts, ends, hashes
 
 
 def spans(chunk: Chunk, cuts: Cuts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, sentence number within the row, sentences covered, hash, check) of every span."""
-    first, last, starts, ends = cuts
+    first, last, starts, _, words = cuts
     none = np.zeros(0, np.int64)
     if not len(first):
         return none, none, none, none.astype(_U), none.astype(np.uint32)
@@ -109,7 +109,6 @@ def spans(chunk: Chunk, cuts: Cuts) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     begin = np.flatnonzero(stop < len(first))
     begin = begin[row[stop[begin]] == row[begin]]
     a, b = first[begin], last[stop[begin]]
-    words = span_hashes(chunk.lower(), starts, ends)
     found = []
     for base in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
         power = np.full(len(words) + 1, _U(base))
@@ -162,11 +161,16 @@ def _seen_again(texts: DataFrame, found: Ranges) -> None:
 FIRST = ("hash", "check", "id", "mark", "place")
 
 
-def _earliest(hashes: np.ndarray, check: np.ndarray, ids: np.ndarray, marks: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Index of the first occurrence of each span, by ascending hash."""
-    order = np.lexsort((place, marks, ids, check, hashes))
+def _earliest(hashes: np.ndarray, check: np.ndarray, place: np.ndarray, owner: np.ndarray, ids: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Index of the first occurrence of each span, by ascending hash; ``owner``: the place of a span's text in ``ids`` and ``marks``."""
+    order = np.argsort(hashes, kind="stable")
+    same = np.zeros(len(order) + 1, bool)
+    same[1:-1] = hashes[order[1:]] == hashes[order[:-1]]
+    many = np.flatnonzero(same[1:] | same[:-1])  # only these need a closer look
+    at = order[many]
+    order[many] = at[np.lexsort((place[at], marks[owner[at]], ids[owner[at]], check[at], hashes[at]))]
     new = np.ones(len(order), bool)
-    new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (check[order][1:] != check[order][:-1])
+    new[1:] = ~same[1:-1] | (check[order[1:]] != check[order[:-1]])
     return order[new]
 
 
@@ -177,26 +181,32 @@ def _first_occurrences(texts: DataFrame, found: Ranges) -> None:
         row, place, _, hashes, check = spans(chunk, sentences(chunk))
         order = np.argsort(hashes)
         order = order[_among(hashes[order], found)]
-        row = row[order] + chunk.first
-        return hashes[order], check[order], np.asarray(batch.column(0))[row], np.asarray(batch.column(1))[row], place[order]
+        here = slice(chunk.first, chunk.first + len(chunk))
+        return hashes[order], check[order], place[order].astype(np.int32), row[order].astype(np.int32), np.asarray(batch.column(0))[here], np.asarray(batch.column(1))[here]
 
     def flush(held: list) -> pa.RecordBatch:
-        columns = [np.concatenate([h[i] for h in held]) for i in range(5)]
-        hashes, check, ids, marks, place = (c[_earliest(*columns)] for c in columns)
+        base = np.cumsum([0, *(len(h[4]) for h in held)])
+        hashes, check, place = (np.concatenate([h[i] for h in held]) for i in range(3))
+        owner = np.concatenate([h[3] + b for h, b in zip(held, base[:-1], strict=True)])
+        ids, marks = (np.concatenate([h[i] for h in held]) for i in (4, 5))
+        at = _earliest(hashes, check, place, owner, ids, marks)
+        hashes, check, place, owner = hashes[at], check[at], place[at], owner[at]
         edges, out = found.edges(hashes), []
         for p in range(found.parts):
             here = slice(edges[p], edges[p + 1])
             if edges[p] < edges[p + 1]:
-                texts_, back = np.unique(np.stack([ids[here], marks[here]], 1), axis=0, return_inverse=True)
-                out.append((p, pack(hashes[here], check[here], back.ravel().astype(np.uint16 if len(texts_) < 65536 else np.uint32), *_halves(place[here]), np.ascontiguousarray(texts_[:, 0]), np.ascontiguousarray(texts_[:, 1]))))
+                local, back = np.unique(owner[here], return_inverse=True)
+                out.append((p, pack(hashes[here], check[here], back.astype(np.uint16 if len(local) < 65536 else np.uint32), *_halves(place[here]), ids[local], marks[local])))
         return blocks_batch(found.keys, out)
 
     def earliest(got: list) -> list[np.ndarray]:
         hashes, check = (np.concatenate([x[i] for x in got]) for i in range(2))
-        ids, marks = (np.concatenate([x[i][x[2]] for x in got]) for i in (5, 6))
         place = np.concatenate([_whole(x[3], x[4]) for x in got])
-        at = _earliest(hashes, check, ids, marks, place)
-        return [c[at] for c in (hashes, check, ids, marks, place)]
+        base = np.cumsum([0, *(len(x[5]) for x in got)])
+        owner = np.concatenate([x[2] + b for x, b in zip(got, base[:-1], strict=True)])
+        ids, marks = (np.concatenate([x[i] for x in got]) for i in (5, 6))
+        at = _earliest(hashes, check, place, owner, ids, marks)
+        return [hashes[at], check[at], ids[owner[at]], marks[owner[at]], place[at]]
 
     found.keep(flushed(texts, scan, flush), earliest, *FIRST)
 
@@ -234,7 +244,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 here = slice(chunk.first, chunk.first + len(chunk))
                 cuts = sentences(chunk)
                 row, place, covers = _later(chunk, cuts, ids[here], marks[here], found)
-                first, last, starts, ends = cuts
+                first, last, starts, ends, _ = cuts
                 owner = chunk.row_of(starts[first]) if len(first) else first
                 edge, hits = (np.searchsorted(x, np.arange(len(chunk) + 1)) for x in (owner, row))
                 gone = np.zeros(len(chunk), np.int64)
