@@ -54,7 +54,7 @@ def unguard_line(text: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unguard(text), flags=re.S)
 
 
-FILTERS: dict[str, Callable[[Any], Any]] = {"guard": guard, "guard_line": guard_line, "trim": str.strip, "upper": str.upper, "lower": str.lower, "length": len, "string": str}
+FILTERS: dict[str, Callable[[Any], Any]] = {"guard": guard, "guard_line": guard_line, "trim": lambda x: show(x).strip(), "upper": lambda x: show(x).upper(), "lower": lambda x: show(x).lower(), "length": lambda x: 0 if x is None else len(x), "string": lambda x: show(x)}
 
 # -- syntax tree ------------------------------------------------------------------------
 
@@ -127,8 +127,26 @@ class Generation:
     body: list
 
 
+#: Numbers that a template reckons with stay below this.
+MOST_NUMBER = 1 << 53
+
+
+def _reckon(f: Callable[[Any, Any], Any]) -> Callable[[Any, Any], Any]:
+    """``f`` for integers and floats of bounded size only, so that no text or number grows beyond what a template was given."""
+
+    def run(a: Any, b: Any) -> Any:
+        if not (isinstance(a, (int, float)) and isinstance(b, (int, float))):
+            raise TypeError("a template reckons with numbers only; ~ joins texts")
+        out = f(a, b)
+        if abs(out) >= MOST_NUMBER:
+            raise OverflowError("a number of a template is too large")
+        return out
+
+    return run
+
+
 PURE: dict[str, Callable] = {
-    "+": operator.add, "-": operator.sub, "*": operator.mul, "%": operator.mod, "~": lambda a, b: show(a) + show(b),
+    "+": _reckon(operator.add), "-": _reckon(operator.sub), "*": _reckon(operator.mul), "%": _reckon(operator.mod), "~": lambda a, b: show(a) + show(b),
     "==": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge,
     "in": lambda a, b: a in b, "not": operator.not_, "neg": operator.neg, "is none": lambda a: a is None,
 } | {f"|{name}": f for name, f in FILTERS.items()}

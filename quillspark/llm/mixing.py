@@ -7,24 +7,34 @@ random offset per source is added, and a document is emitted once for each
 integer that its stretch of the sum crosses.  Ordering by size makes the words
 taken follow the target closely.
 
-The prefix sum is distributed: rows are range-partitioned in the total order,
-counted by partition, and numbered within their partition on top of the counts
-of the partitions before it.  A source that holds most rows spreads over many
-partitions.  The (small) id table is cut off with ``checkpoint()``, so that both
-uses of it see the same partitions.
+Words are counted once, into a (small) table of ids, sizes and sources.  The prefix sum
+is distributed: the table is range-partitioned in the total order, counted by
+partition, and numbered within its partitions on top of the counts of the partitions
+before.  A source that holds most rows spreads over many partitions.  The dealt
+table is cut off with ``checkpoint()``, so that both uses of it see the same partitions.
+``mixed_rows`` does not move texts: what is taken is kept as sorted arrays in the shared
+folder, and every row looks up how often it is taken.
 
 Defined results: a null or blank text has size 0, and a source without words has
 target 0 and takes nothing; a null source is a source of its own, the last one;
 rows that agree in source, size and id are interchangeable and each counts;
-extra columns are not read; an empty table gives an empty table.
+extra columns are not read, whatever their names; an empty table gives an empty table;
+texts of any length are counted whole.  The windows over sources run over one row for
+each source in one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.shared import cut
+from ..plans.memory import frugal
+from ..plans.shared import cut, written
+from .ranges import Ranges
 
 MOST_COPIES = 3
 WEIGHT_CYCLE = 3
@@ -90,7 +100,7 @@ def sample(sized: DataFrame, key: str) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, size, source_size, target, taken, source, copies), one for each document."""
-    sized = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+    sized = written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")))
     return sample(sized, "doc_id").select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
@@ -99,11 +109,21 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
 
     Rows that agree in id, source and text are one unit here: they are taken equally often.
     """
-    keyed = docs.withColumn("_unit", F.xxhash64("doc_id", "source", "text"))
-    units = keyed.groupBy("_unit").agg(F.first(F.col("source").cast("string")).alias("source"), F.sum(word_count(F.col("text"))).alias("size"))
-    taken = sample(units, "_unit").where("copies > 0").select("_unit", "copies")
-    again = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return keyed.join(taken, "_unit").withColumn("_again", again).select(*docs.columns)
+    unit = F.xxhash64("doc_id", "source", "text").alias("unit")
+    sized = written(docs.select(unit, F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")))
+    units = written(sized.groupBy("unit").agg(F.min("source").alias("source"), F.sum("size").alias("size")))
+    taken = Ranges(docs.sparkSession, "mixture")
+    taken.table(sample(units, "unit").where("copies > 0").select("unit", "copies"), "unit", "copies")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            copies = taken.values("unit", "copies", np.asarray(batch.column(1)).view(np.uint64), 0)
+            rows = pa.RecordBatch.from_arrays(batch.column(0).flatten(), docs_columns)
+            for again in range(1, int(copies.max(initial=0)) + 1):
+                yield rows.filter(pa.array(copies >= again))
+
+    docs_columns = docs.columns
+    return docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), unit).mapInArrow(frugal(run), docs.schema)
 
 
 #: DuckDB SQL for ``mix`` (without the last two columns).

@@ -416,6 +416,11 @@ def test_mixing(spark):
     mixed = mixing.mixed_rows(df)
     assert mixed.columns == df.columns
     assert abs(sum(len(WORD.findall(r.text or "")) for r in mixed.collect()) - sum(taken.values())) <= 200
+    clashing = df.selectExpr("doc_id", "source", "text", "target", "1 as copies", "2 as unit", "3 as row", "4 as _n")
+    again = mixing.mixed_rows(clashing)
+    assert again.columns == clashing.columns and sorted(r.doc_id or -1 for r in again.collect()) == sorted(r.doc_id or -1 for r in mixed.collect())
+    equal = spark.createDataFrame([(1, "a", "x y z", 1.0)] * 40 + [(2, "b", "p q " * 40_000, 1.0)], "doc_id long, source string, text string, target double")
+    assert {r.doc_id: r.source_size for r in mixing.mix(equal).collect()} == {1: 120, 2: 80_000} and mixing.mixed_rows(equal).count() > 0
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.mixed_rows(df.limit(0)).count() == 0
 
 
@@ -437,6 +442,10 @@ def test_template_language():
     assert run("{{ x if y else 'z' }}|{# no #}{% set q = 3 %}{{ q * 2 - 1 }}{{ 'a' in 'cat' }}{{ c is none }}", x="X", y=0) == "z|5TrueTrue"
     assert run("{{ m['k'] }}{{ m.__class__ }}", m={"k": "v"}) == "v"
     assert chat_template.fold(chat_template.parse("{{ 'a' ~ 'b' }}c{% if 1 == 1 %}d{% else %}{{ x }}{% endif %}")) == [chat_template.Out(chat_template.Const("abcd"))]
+    for bad in ("{{ 'a' * 9999999999 }}", "{{ '%s' % 3 }}", "{{ 'a' + 'b' }}", "{{ 9999999999 * 9999999999 }}"):
+        with pytest.raises((TypeError, OverflowError)):
+            run(bad)
+    assert run("{{ x.text|trim }}{{ x.text|upper }}{{ x.text|lower }}{{ x.text|length }}{{ x.text|string }}", x={"text": None}) == "0"
     text, spans = chat_template.render("u{% generation %}{{ messages }}{% endgeneration %}w", "mine")
     assert text == "uminew" and spans == [(1, 5)]
     for wrong in ("{{ x.y( }}", "{{ x|system }}", "{% for %}", "{% if x %}", "{% import os %}", "{{ f() }}"):
