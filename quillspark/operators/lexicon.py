@@ -51,11 +51,14 @@ def common_prefix(a: str, b: str, least: int = 0):
 def prefix_pairs(words: DataFrame, stem: int = 5, look_ahead: int = 49, most_apart: int = 4, least_share: float = 0.82) -> DataFrame:
     """Words with a common stem, near each other in the alphabet, that share most of their letters.
 
-    The stem is an equi-join key; a window numbers the words of each stem.
+    A window numbers the words of each stem; words meet those of their own and of the
+    next block of ``look_ahead`` words, so a frequent stem is no square of its words.
     """
     ranked = words.select("token", F.substring("token", 1, stem).alias("stem")).withColumn("r", F.row_number().over(Window.partitionBy("stem").orderBy("token")))
-    x, y = ranked.select(F.col("token").alias("a"), "stem", F.col("r").alias("ra")), ranked.select(F.col("token").alias("b"), "stem", F.col("r").alias("rb"))
-    near = x.join(y, "stem").where((F.col("rb") - F.col("ra")).between(1, look_ahead) & (F.abs(F.length("a") - F.length("b")) <= most_apart))
+    block = F.floor((F.col("r") - 1) / look_ahead)
+    x = ranked.select(F.col("token").alias("a"), "stem", F.col("r").alias("ra"), block.alias("block"))
+    y = ranked.select(F.col("token").alias("b"), "stem", F.col("r").alias("rb"), F.explode(F.array(block, block - 1)).alias("block"))
+    near = x.join(y, ["stem", "block"]).where((F.col("rb") - F.col("ra")).between(1, look_ahead) & (F.abs(F.length("a") - F.length("b")) <= most_apart))
     shared = near.withColumn("prefix", common_prefix("a", "b", stem).cast("bigint"))
     return shared.where(F.col("prefix") / ((F.length("a") + F.length("b")) / 2.0) >= least_share).select("a", "b", "prefix")
 

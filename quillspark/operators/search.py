@@ -98,7 +98,12 @@ def bm25(token_counts: DataFrame, verses: DataFrame, words: DataFrame) -> DataFr
     df = token_counts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     raw = df.crossJoin(F.broadcast(corpus)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
-    terms = raw.join(words.select("form").distinct(), F.col("token") == F.col("form"), "left_semi").crossJoin(F.broadcast(mean))
+    return bm25_scores(token_counts, lengths, raw.select("token", "raw"), corpus.crossJoin(F.broadcast(mean)), words)
+
+
+def bm25_scores(token_counts: DataFrame, lengths: DataFrame, tokens: DataFrame, corpus: DataFrame, words: DataFrame) -> DataFrame:
+    """``bm25`` from lengths (idx, dl), tokens (token, raw idf) and one row (avgdl, mean_idf)."""
+    terms = tokens.join(words.select("form").distinct(), F.col("token") == F.col("form"), "left_semi").crossJoin(F.broadcast(corpus))
     terms = terms.withColumn("idf", F.when(F.col("raw") < 0, BM25_EPSILON * F.col("mean_idf")).otherwise(F.col("raw"))).select("token", "idf", "avgdl")
     hits = token_counts.join(terms, "token").join(lengths, "idx")
     weight = F.col("idf") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))

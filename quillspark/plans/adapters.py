@@ -6,13 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .index import known
 
 
 class Views:
     """The relations of one input folder."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, index: str | None = ""):
+        """``index``: where the stored index lies; the one in use, unless it is given."""
         self.spark, self.dir = spark, sf_dir
+        self.index = known(spark, sf_dir) if index == "" else index
+
+    def stored(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.index}/{name}")
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -52,21 +58,57 @@ class Views:
         return self.sides().select("idx", "book_slug", "testament", "noncanonical", "translation", F.explode(tx.tokens(F.col("text"))).alias("token"))
 
     def postings(self) -> DataFrame:
+        if self.index:
+            return self.stored("postings")
         return self.occurrences().groupBy("token", "idx", "translation").agg(F.count(F.lit(1)).alias("cnt"))
 
+    def postings_of(self, forms: DataFrame) -> DataFrame:
+        """The postings of some tokens (column ``form``): looked up, or counted after all others have gone."""
+        if self.index:
+            return self.stored("postings").where(F.col("token").isin([r.form for r in forms.select("form").distinct().collect()]))
+        hits = self.occurrences().join(forms.select(F.col("form").alias("token")).distinct(), "token", "left_semi")
+        return hits.groupBy("token", "idx", "translation").agg(F.count(F.lit(1)).alias("cnt"))
+
     def word_forms(self) -> DataFrame:
         """form -> lemma: the shortest, then first, word with the same five letters; shorter words stand for themselves."""
-        forms = self.occurrences().select(F.col("token").alias("form")).distinct()
+        if self.index:
+            return self.stored("word_forms")
+        return self.forms_from(self.occurrences().select(F.col("token").alias("form")).distinct())
+
+    def forms_from(self, forms: DataFrame) -> DataFrame:
+        """``word_forms`` from rows (form)."""
         stem = F.substring("form", 1, 5)
         lemmas = forms.where(F.length("form") >= 5).groupBy(stem.alias("stem")).agg(F.min(F.struct(F.length("form").alias("n"), F.col("form").alias("form")))["form"].alias("lemma"))
         return forms.join(lemmas, stem == F.col("stem"), "left").select("form", F.coalesce("lemma", "form").alias("lemma"))
 
+    def forms_of(self, words: list[str]) -> DataFrame:
+        """Rows (pos, word, form): the forms of some words; a group of forms shares its first letters, so they are few."""
+        from ..operators import search
+
+        if not self.index:
+            return search.expand_forms(self.spark, words, self.word_forms())
+        lemma = {r.form: r.lemma for r in self.stored("word_forms").where(F.col("form").isin(words)).collect()}
+        forms = self.stored("lemma_forms").where(F.col("lemma").isin(list(set(lemma.values())))).select("form", "lemma")
+        return search.expand_forms(self.spark, words, forms)
+
     def words(self) -> DataFrame:
         """The lexicon's fact table: (word, book_slug, testament, noncanonical, translation, cnt), case kept."""
+        if self.index:
+            return self.stored("words")
         word = F.explode(tx.tokens(tx.fold_script(F.col("text")), tx.LEXICON_CLASS, lower=False)).alias("word")
         each = self.sides().select("book_slug", "testament", "noncanonical", "translation", word)
         return each.groupBy("word", "book_slug", "testament", "noncanonical", "translation").agg(F.count(F.lit(1)).alias("cnt"))
 
+    def lexicon(self, letter: str | None = None) -> DataFrame:
+        """(word, total, old, new, books), of the words that begin with a letter (in any case) only, if one is given."""
+        from ..operators import lexicon
+
+        if self.index:
+            stored = self.stored("lexicon")
+            return (stored if letter is None else stored.where(F.col("letter") == letter)).drop("letter")
+        words = self.words()
+        return lexicon.word_stats(words if letter is None else words.where(F.lower(F.substring("word", 1, 1)) == letter))
+
     def topic_refs(self) -> DataFrame:
         """Line items as references of topics (part brands) to verse ranges."""
         first = F.col("l_quantity").cast("int")

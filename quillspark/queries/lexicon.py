@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import lexicon as op
-from ..operators import search
 from ..plans.adapters import Views
 from ..plans.roster import Roster
 from .search import WORD, forms_sql
@@ -22,7 +21,7 @@ stats as (
 
 @query("lexicon", f"with {STATS} select * from stats")
 def lexicon(v: Views) -> DataFrame:
-    return op.word_stats(v.words())
+    return v.lexicon()
 
 
 @query(
@@ -50,12 +49,12 @@ def lex_scope_stats(v: Views) -> DataFrame:
 
 @query("lex_letters", f"with {STATS} select lower(substr(word, 1, 1)) as letter, count(*) as total_words, sum(total)::bigint as total_occurrences, coalesce(nullif(instr('abcdefghijklmnopqrstuvwxyz', lower(substr(word, 1, 1))), 0), 999)::int as ord from stats group by all")
 def lex_letters(v: Views) -> DataFrame:
-    return op.letters(op.word_stats(v.words()))
+    return op.letters(v.lexicon())
 
 
 @query("lex_meta", f"with {STATS} select count(*) as unique_words, sum(total)::bigint as total_words, count(distinct lower(substr(word, 1, 1))) as letters, count(*) filter (where old > 0) as unique_old, count(*) filter (where new > 0) as unique_new from stats")
 def lex_meta(v: Views) -> DataFrame:
-    s = op.word_stats(v.words())
+    s = v.lexicon()
     return s.agg(F.count(F.lit(1)).alias("unique_words"), F.sum("total").alias("total_words"), F.countDistinct(F.lower(F.substring("word", 1, 1))).alias("letters"), F.count_if(F.col("old") > 0).alias("unique_old"), F.count_if(F.col("new") > 0).alias("unique_new"))
 
 
@@ -68,7 +67,7 @@ def book_stats(v: Views) -> DataFrame:
 
 @query("lex_trans_scope", f"with {STATS} select word, old as total, books from stats where old > 0 order by total desc, word limit 500")
 def lex_trans_scope(v: Views) -> DataFrame:
-    return op.word_stats(v.words()).where("old > 0").select("word", F.col("old").alias("total"), "books").orderBy(F.desc("total"), "word").limit(500)
+    return v.lexicon().where("old > 0").select("word", F.col("old").alias("total"), "books").orderBy(F.desc("total"), "word").limit(500)
 
 
 @query(
@@ -79,19 +78,19 @@ select p.*, coalesce(g.n, 1) as forms_count, coalesce(f.lemma, p.word) as lemma
 )
 def lex_page(v: Views) -> DataFrame:
     """Second page of a letter; only the page's rows meet the word groups."""
-    letter = op.word_stats(v.words()).where(F.lower(F.substring("word", 1, 1)) == "t")
+    letter = v.lexicon("t")
     pages = letter.agg(F.ceil(F.count(F.lit(1)) / 50).alias("total_pages"))
     page = letter.orderBy(F.desc("total"), "word").offset(50).limit(50).crossJoin(F.broadcast(pages))
     forms = v.word_forms()
-    sizes = forms.groupBy("lemma").agg(F.count(F.lit(1)).alias("n"))
-    found = page.join(forms, F.col("word") == F.col("form"), "left").join(sizes, "lemma", "left")
-    return found.select("word", "total", "old", "new", "books", "total_pages", F.coalesce("n", F.lit(1)).alias("forms_count"), F.coalesce("lemma", "word").alias("lemma"))
+    found = page.join(forms, F.col("word") == F.col("form"), "left")
+    groups = forms.join(found.select("lemma").distinct(), "lemma", "left_semi").groupBy("lemma").agg(F.count(F.lit(1)).alias("n"))
+    return found.join(groups, "lemma", "left").select("word", "total", "old", "new", "books", "total_pages", F.coalesce("n", F.lit(1)).alias("forms_count"), F.coalesce("lemma", "word").alias("lemma"))
 
 
 @query("lex_search", f"with {STATS} select * from (select word, total from stats where contains(lower(word), 'ion') order by lower(substr(word, 1, 1)), total desc, word limit 100) order by total desc, word")
 def lex_search(v: Views) -> DataFrame:
     """The first hits in letter order, sorted by frequency afterwards: not the overall top."""
-    hits = op.word_stats(v.words()).where(F.contains(F.lower("word"), F.lit("ion"))).select("word", "total")
+    hits = v.lexicon().where(F.contains(F.lower("word"), F.lit("ion"))).select("word", "total")
     return hits.orderBy(F.lower(F.substring("word", 1, 1)), F.desc("total"), "word").limit(100).orderBy(F.desc("total"), "word")
 
 
@@ -103,15 +102,18 @@ per_form as (
 
 
 def _of_word(v: Views) -> DataFrame:
-    forms = search.expand_forms(v.spark, [WORD], v.word_forms()).select("form").distinct()
-    return v.occurrences().join(forms, F.col("token") == F.col("form"), "left_semi")
+    """Postings of the word's forms, with their books."""
+    return v.postings_of(v.forms_of([WORD])).join(v.verses().select("idx", "book_slug"), "idx")
 
 
 @query("word_stats", f"with {PER_FORM} select min_by(token, (left(token, 1), -total, token)) as word, sum(total)::bigint as total, sum(old)::bigint as old, sum(new)::bigint as new, max(books) as books from per_form")
 def word_stats(v: Views) -> DataFrame:
     """Sums over forms, but the largest number of books of any one form."""
     each = _of_word(v).groupBy("token").agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(F.col("translation") == "old").alias("old"), F.count_if(F.col("translation") == "new").alias("new"), F.countDistinct("book_slug").alias("books")
+        F.sum("cnt").alias("total"),
+        F.sum(F.when(F.col("translation") == "old", F.col("cnt")).otherwise(0)).alias("old"),
+        F.sum(F.when(F.col("translation") == "new", F.col("cnt")).otherwise(0)).alias("new"),
+        F.countDistinct("book_slug").alias("books"),
     )
     order = F.struct(F.substring("token", 1, 1), -F.col("total"), F.col("token"))
     return each.agg(F.min_by("token", order).alias("word"), F.sum("total").alias("total"), F.sum("old").alias("old"), F.sum("new").alias("new"), F.max("books").alias("books"))
@@ -119,7 +121,7 @@ def word_stats(v: Views) -> DataFrame:
 
 @query("word_distribution", f"with {forms_sql(WORD)} select book_slug, count(*) as total from occurrences o join qforms f on o.token = f.form group by 1")
 def word_distribution(v: Views) -> DataFrame:
-    return _of_word(v).groupBy("book_slug").agg(F.count(F.lit(1)).alias("total"))
+    return _of_word(v).groupBy("book_slug").agg(F.sum("cnt").alias("total"))
 
 
 @query("word_verses", f"with {forms_sql(WORD)} select book_slug, chapter, verse from (select distinct v.book_slug, v.chapter, v.verse from postings p join qforms f on p.token = f.form join verses v using (idx)) order by book_slug, chapter, verse limit 50 offset 20")
@@ -141,7 +143,7 @@ def verse_words(v: Views) -> DataFrame:
     """Rarest words first; a group's frequency is the sum of its forms' document frequencies."""
     from ..functions import text as tx
 
-    df = v.postings().select("token", "idx").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    df = v.stored("tokens").select("token", "df") if v.index else v.postings().select("token", "idx").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     forms = v.word_forms()
     grouped = forms.join(df, F.col("form") == F.col("token")).groupBy("lemma").agg(F.sum("df").alias("total"), F.count(F.lit(1)).alias("forms_count"))
     words = v.verses().where("idx = 7").select(F.posexplode(tx.tokens(F.col("new"))).alias("pos", "word")).groupBy("word").agg(F.min("pos").cast("bigint").alias("first_pos"))
@@ -150,8 +152,8 @@ def verse_words(v: Views) -> DataFrame:
 
 @query("word_locations", "select token, translation, count(*) as n, list_sort(list(distinct idx)) as locations from occurrences where token in ('thing', 'nicht', 'orantion') group by all")
 def word_locations(v: Views) -> DataFrame:
-    found = v.occurrences().where(F.col("token").isin("thing", "nicht", "orantion"))
-    return found.groupBy("token", "translation").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("idx")).alias("locations"))
+    found = v.postings_of(v.spark.createDataFrame([(w,) for w in ("thing", "nicht", "orantion")], "form string"))
+    return found.groupBy("token", "translation").agg(F.sum("cnt").alias("n"), F.array_sort(F.collect_set("idx")).alias("locations"))
 
 
 @query(

@@ -39,7 +39,8 @@ RANKED = "select * from matched order by exact_count desc, total_count desc, idx
 
 
 def _keyword(v: Views, words: list[str], **kept) -> DataFrame:
-    return op.keyword_matches(v.postings(), v.verses(), op.expand_forms(v.spark, words, v.word_forms()), **kept)
+    forms = v.forms_of(words)
+    return op.keyword_matches(v.postings_of(forms), v.verses(), forms, **kept)
 
 
 # -- scans and lookups ------------------------------------------------------------------
@@ -173,12 +174,12 @@ def doc_freq(v: Views) -> DataFrame:
 
 @query("expand_forms", f"with {forms_sql('thing', 'orantion', 'zzz')} select word, form from qforms")
 def expand_forms(v: Views) -> DataFrame:
-    return op.expand_forms(v.spark, ["thing", "orantion", "zzz"], v.word_forms()).select("word", "form")
+    return v.forms_of(["thing", "orantion", "zzz"]).select("word", "form")
 
 
 @query("word_forms", f"with {forms_sql(WORD)} select word, count(*) over () as n_forms, form from qforms")
 def word_forms(v: Views) -> DataFrame:
-    forms = op.expand_forms(v.spark, [WORD], v.word_forms()).select("word", "form")
+    forms = v.forms_of([WORD]).select("word", "form")
     return forms.crossJoin(F.broadcast(forms.agg(F.count(F.lit(1)).alias("n_forms"))))
 
 
@@ -247,7 +248,7 @@ def kw_totals(v: Views) -> DataFrame:
 
 @query("set_intersect", "select idx from postings where token = 'that' intersect select idx from postings where token = 'thing'")
 def set_intersect(v: Views) -> DataFrame:
-    p = v.postings()
+    p = v.postings_of(v.spark.createDataFrame([("that",), ("thing",)], "form string"))
     return p.where("token = 'that'").select("idx").intersect(p.where("token = 'thing'").select("idx"))
 
 
@@ -278,8 +279,8 @@ select h.idx, regexp_replace({ESCAPED.format(c='v.new')}, pattern, '<mark>\1</ma
 )
 def highlight(v: Views) -> DataFrame:
     """Only the rows of the answer are marked."""
-    forms = op.expand_forms(v.spark, [WORD], v.word_forms())
-    hits = op.ranked(op.keyword_matches(v.postings(), v.verses(), forms), 50)
+    forms = v.forms_of([WORD])
+    hits = op.ranked(op.keyword_matches(v.postings_of(forms), v.verses(), forms), 50)
     shown = hits.join(v.verses().select("idx", "new"), "idx").crossJoin(F.broadcast(op.forms_pattern(forms)))
     return shown.select("idx", op.mark_forms(F.col("new"), F.col("pattern")).alias("shown"))
 
@@ -335,12 +336,16 @@ RANK_FORMS = forms_sql(*RANK_WORDS)
 
 
 def _forms(v: Views) -> DataFrame:
-    return op.expand_forms(v.spark, RANK_WORDS, v.word_forms())
+    return v.forms_of(RANK_WORDS)
 
 
 def _bm25(v: Views) -> DataFrame:
+    forms = _forms(v)
+    if v.index:
+        counts = v.postings_of(forms).groupBy("token", "idx").agg(F.sum("cnt").alias("tf"))
+        return op.bm25_scores(counts, v.stored("lengths"), v.stored("tokens").select("token", "raw"), v.stored("corpus").select("avgdl", "mean_idf"), forms)
     counts = v.postings().groupBy("token", "idx").agg(F.sum("cnt").alias("tf"))
-    return op.bm25(counts, v.verses(), _forms(v))
+    return op.bm25(counts, v.verses(), forms)
 
 
 def _dense(v: Views) -> DataFrame:
@@ -379,7 +384,8 @@ EXACT = "exact as (select idx, sum(cnt)::bigint as occ from postings where token
 
 
 def _exact(v: Views) -> DataFrame:
-    return op.exact_tier(v.postings(), v.verses(), _forms(v), testament="new")
+    forms = _forms(v)
+    return op.exact_tier(v.postings_of(forms), v.verses(), forms, testament="new")
 
 
 @query("exact_tier", f"with {RANK_FORMS}, {EXACT} select idx, occ from exact")
@@ -458,7 +464,7 @@ select token, round(sqrt(sum(m * m)), 6) as norm, round(max(case when i = 1 then
 )
 def mean_pool(v: Views) -> DataFrame:
     """A word's vector: the mean over its verses, scaled to length 1."""
-    where = v.postings().where(F.col("token").isin("thing", "orantion", "inoran", "nicht")).select("token", F.col("idx").alias("vec_id")).distinct()
+    where = v.postings_of(v.spark.createDataFrame([(w,) for w in ("thing", "orantion", "inoran", "nicht")], "form string")).select("token", F.col("idx").alias("vec_id")).distinct()
     parts = where.join(v.table("embeddings"), "vec_id").select("token", F.posexplode("embedding").alias("i", "x"))
     means = parts.groupBy("token", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     norm = F.sqrt(F.sum(F.col("m") * F.col("m")))

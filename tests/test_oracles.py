@@ -47,3 +47,39 @@ def test_query_matches_sql(spark, duck, sf_dir, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_query_without_sql_runs(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
+
+
+INDEXED = [
+    "postings", "doc_freq", "expand_forms", "word_forms", "ud_groups", "group_exclude", "kw_single", "kw_and", "kw_topk", "kw_filtered", "kw_translation", "kw_facets", "kw_totals", "set_intersect", "highlight", "bm25", "bm25_topk", "rrf",
+    "exact_tier", "semantic_anti", "hybrid_guard", "rerank_exact", "rerank_sem", "hybrid", "mean_pool", "lexicon", "lex_scopes", "lex_scope_stats", "lex_letters", "lex_meta", "book_stats", "lex_trans_scope", "lex_page", "lex_search",
+    "word_stats", "word_distribution", "word_verses", "verse_words", "word_locations",
+]
+
+
+@pytest.fixture(scope="module")
+def indexed(spark, sf_dir, tmp_path_factory):
+    from quillspark.plans import index
+
+    index.build(spark, sf_dir, f"file://{tmp_path_factory.mktemp('index')}/1")
+    yield
+    index.forget(spark, sf_dir)
+
+
+@pytest.mark.parametrize("name", INDEXED)
+def test_query_over_the_stored_index_matches_sql(spark, duck, sf_dir, indexed, name):
+    test_query_matches_sql(spark, duck, sf_dir, name)
+
+
+def test_stored_index_is_refused_for_other_files(spark, sf_dir, tmp_path):
+    import shutil
+
+    from quillspark.plans import index
+
+    shutil.copytree(sf_dir, tmp_path / "in", copy_function=lambda a, b: shutil.copyfile(a, b))
+    index.build(spark, f"{tmp_path}/in", f"{tmp_path}/index")
+    rows = spark.read.parquet(f"{tmp_path}/in/documents.parquet").limit(5).toPandas()
+    (tmp_path / "in" / "documents.parquet").unlink()
+    rows.to_parquet(tmp_path / "in" / "documents.parquet")
+    with pytest.raises(ValueError):
+        index.use(spark, f"{tmp_path}/in", f"{tmp_path}/index")
+    index.forget(spark, f"{tmp_path}/in")
