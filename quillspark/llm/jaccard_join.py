@@ -268,15 +268,20 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _groups_may_link(x: str, y: str, percent: int) -> str:
-    """``_may_link`` for groups: by size, and by the most shared shingles of a member."""
-    return f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) and {100 + percent} * least({x}.shared, {y}.shared) >= {percent} * ({x}.n + {y}.n)"
+    """``_may_link`` for groups: by size, by the most shared shingles of a member, and by the bits that all members of one group have and none of the other."""
+    sizes = f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)"
+    common = f"{100 + percent} * least({x}.shared, {y}.shared) >= {percent} * ({x}.n + {y}.n)"
+    bits = " + ".join(f"bit_count(({x}.all{i} & ~{y}.any{i}) | ({y}.all{i} & ~{x}.any{i}))" for i in range(PARITY_WORDS))
+    apart = f"{100 + percent} * ({x}.n - {x}.shared + {y}.n - {y}.shared + {bits}) <= {100 - percent} * ({x}.n + {y}.n)"
+    return f"{sizes} and {common} and {apart}"
 
 
 def _class_components(profiles: DataFrame, percent: int) -> DataFrame:
     """Step 3: (node, component) of all classes that are linked."""
     own = profiles.groupBy("signature", "n").agg(
-        F.max_by("prefix", "class").alias("prefix"), F.max_by(_facts(), F.struct("spread", "class")).alias("one"), F.max("spread").alias("spread"), F.max("shared").alias("shared"), F.count(F.lit(1)).alias("times")
-    )
+        F.max_by("prefix", "class").alias("prefix"), F.max_by(_facts(), F.struct("spread", "class")).alias("one"), F.max("spread").alias("spread"), F.max("shared").alias("shared"), F.count(F.lit(1)).alias("times"),
+        *(f(F.col("parity")[i]).alias(f"{name}{i}") for i in range(PARITY_WORDS) for name, f in (("all", F.bit_and), ("any", F.bit_or))),
+    )
     groups = written(own.withColumn("group", F.xxhash64("signature", "n")))
     members = profiles.select(F.xxhash64("signature", "n").alias("group"), _facts().alias("x"))
     # Within a group: members against their lead.
@@ -297,7 +302,8 @@ def _group_pairs(groups: DataFrame, members: DataFrame, labels: DataFrame, perce
     """Pairs (g, h) of groups that share a prefix shingle and are not wholly in one component: with a pivot of each list, or all."""
     named = members.select("group", F.col("x.class").alias("class")).join(labels, F.col("class") == F.col("node"), "left").withColumn("part", F.coalesce("component", "class"))
     parts = named.groupBy("group").agg(F.min("part").alias("low"), F.max("part").alias("high"))
-    index = written(groups.join(parts, "group").select(F.explode("prefix").alias("token"), F.struct("group", "n", "shared", "low", "high").alias("x")))
+    bits = [f"{name}{i}" for i in range(PARITY_WORDS) for name in ("all", "any")]
+    index = written(groups.join(parts, "group").select(F.explode("prefix").alias("token"), F.struct("group", "n", "shared", "low", "high", *bits).alias("x")))
     open_ = index.groupBy("token").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high"), F.max_by("x", F.xxhash64("x.group", "token")).alias("y")).where("low <> high")
     if pivot:
         pairs = index.join(written(open_.select("token", "y")), "token")
