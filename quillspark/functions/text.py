@@ -61,6 +61,41 @@ def escape_html(text: Column) -> Column:
     return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), pairs, text)
 
 
+def render_note(note: Column, books: dict[str, str]) -> Column:
+    """A note in light markup as HTML: headings, lists, quotes, strong and emphasis, and links ``[[book 1:2-3]]`` to known books.
+
+    All text is escaped first.  A link to a book that is none of ``books`` (name in lower case -> slug) is marked as such.
+    """
+    rules = ((r"^###\s+", "h4"), (r"^##\s+", "h3"), (r"^#\s+", "h2"), (r"^[-*]\s+", "li"), (r"^&gt;\s+", "blockquote"))
+
+    def block(line: Column) -> Column:
+        out = reduce(lambda c, r: c.when(line.rlike(r[0]), F.concat(F.lit(f"<{r[1]}>"), F.regexp_replace(line, r[0], ""), F.lit(f"</{r[1]}>"))), rules[1:], F.when(line.rlike(rules[0][0]), F.concat(F.lit("<h4>"), F.regexp_replace(line, rules[0][0], ""), F.lit("</h4>"))))
+        return out.otherwise(line)
+
+    lines = F.transform(F.split(escape_html(note), "\n"), block)
+    item = lambda x: F.startswith(F.coalesce(x, F.lit("")), F.lit("<li>"))
+    listed = F.transform(
+        lines,
+        lambda x, i: F.concat(F.when(item(x) & ((i == 0) | ~item(F.get(lines, i - 1))), "<ul>\n").otherwise(""), x, F.when(item(x) & ~item(F.get(lines, i + 1)), "\n</ul>").otherwise("")),
+    )
+    marked = F.regexp_replace(F.regexp_replace(F.array_join(listed, "\n"), r"\*\*([^*]+)\*\*", "<strong>$1</strong>"), r"(?<!\*)\*([^*]+)\*(?!\*)", "<em>$1</em>")
+    table = F.create_map(*(F.lit(x) for kv in books.items() for x in kv))
+    shape = r"^\s*(.+?)\s+(\d+):(\d+)(?:-(\d+))?\s*$"
+
+    def link(piece: Column) -> Column:
+        inner = F.regexp_extract(piece, r"^\[\[([^\]]+)\]\]$", 1)
+        part = lambda i: F.regexp_extract(inner, shape, i)
+        slug, text = table[F.lower(F.trim(part(1)))], escape_html(inner)
+        until = F.when(part(4) != "", F.concat(F.lit(' data-verse-end="'), part(4), F.lit('"'))).otherwise("")
+        known = F.concat(F.lit('<a class="verse-link" data-slug="'), slug, F.lit('" data-chapter="'), part(2), F.lit('" data-verse="'), part(3), F.lit('"'), until, F.lit(' data-ref="'), text, F.lit('">'), text, F.lit("</a>"))
+        return F.when(inner == "", piece).when(slug.isNotNull(), known).otherwise(F.concat(F.lit('<span class="verse-link-invalid">[['), text, F.lit("]]</span>")))
+
+    pieces = F.regexp_extract_all(marked, F.lit(r"\[\[[^\]]+\]\]|(?:(?!\[\[[^\]]+\]\])[\s\S])+"), F.lit(0))
+    linked = F.split(F.array_join(F.transform(pieces, link), ""), "\n")
+    ended = F.transform(linked, lambda x: F.when(F.trim(x) == "", "").when(F.trim(x).rlike("^</?(h[234]|ul|li|blockquote)>"), x).otherwise(F.concat(x, F.lit("<br>"))))
+    return F.array_join(ended, "\n")
+
+
 def collapse_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 

@@ -70,3 +70,23 @@ def prefix_groups(words: DataFrame, pairs: DataFrame) -> DataFrame:
     grouped = named.join(parts, named["id"] == parts["node"], "left").select(F.col("token").alias("form"), F.coalesce("component", "id").alias("group"))
     lemmas = grouped.groupBy("group").agg(F.min(F.struct(F.length("form").alias("n"), F.col("form").alias("form")))["form"].alias("lemma"))
     return grouped.join(lemmas, "group").select("form", "lemma")
+
+
+def alike(placed: DataFrame, vectors: DataFrame, least_prefix: int, least_share: float, least_cosine: float) -> DataFrame:
+    """(a, b, cosine) of words that share a prefix, ``least_share`` of the shorter one, and whose pooled vectors are near.
+
+    ``placed``: distinct (token, idx); ``vectors``: (idx, embedding), all of one length.
+    """
+    words = placed.select("token").distinct().withColumn("stem", F.substring("token", 1, least_prefix))
+    x, y = words.select(F.col("token").alias("a"), "stem"), words.select(F.col("token").alias("b"), "stem")
+    common = F.ceil(F.least(F.length("a"), F.length("b")) * F.lit(least_share)).cast("int")
+    near = x.join(y, "stem").where("a < b").where(F.substring("a", F.lit(1), common) == F.substring("b", F.lit(1), common)).select("a", "b")
+    used = near.select(F.explode(F.array("a", "b")).alias("token")).distinct()
+    size = F.max(F.size("embedding"))
+    dim = vectors.agg(size.alias("dim")).first().dim or 0
+    means = [F.avg(F.get("embedding", F.lit(i)).cast("double")) for i in range(dim)]
+    pooled = placed.join(used, "token", "left_semi").join(vectors, "idx").groupBy("token").agg(F.array(*means).alias("v"))
+    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda i, j: i * j), F.lit(0.0), lambda acc, z: acc + z)
+    scaled = pooled.select("token", "v", F.sqrt(dot("v", "v")).alias("norm"))
+    left, right = (scaled.select(F.col("token").alias(n), F.col("v").alias(f"v{n}"), F.col("norm").alias(f"n{n}")) for n in ("a", "b"))
+    return near.join(left, "a").join(right, "b").withColumn("cosine", dot("va", "vb") / (F.col("na") * F.col("nb"))).where(F.col("cosine") >= least_cosine).select("a", "b", "cosine")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.shared import written
+
 
 def top_topics(refs: DataFrame, n: int) -> DataFrame:
     """(book, topic_slug, n, r): each book's topics with the most references."""
@@ -41,24 +43,45 @@ PSALM_SHIFTS = ((1, 9, 0, 0), (10, 10, -1, 21), (11, 113, -1, 0), (114, 114, -1,
 PSALM_SPLITS = ((116, 9, 114), (147, 11, 146))
 
 
-def renumber(refs: DataFrame) -> DataFrame:
-    """Ranges (chapter, vs, ve) in the other numbering; a range over a split becomes two.
+#: The Hebrew chapter of Malachi that the Greek numbering adds to another, and by how many verses.
+MALACHI = (4, 3, 18)
+#: The chapter and verse of Nehemiah from which on the Greek numbering is ahead, and by how many verses.
+NEHEMIAH = (4, 18, 15)
 
-    Adds (from_chapter, from_vs, from_ve); a chapter without a number of its own gets null.
-    """
-    c, vs, ve = F.col("chapter"), F.col("vs"), F.col("ve")
-    shift = [(c.between(a, z), dc, dv) for a, z, dc, dv in PSALM_SHIFTS]
-    plain = F.lit(None).cast("array<struct<chapter:int,vs:int,ve:int>>")
-    pieces = F.when(F.lit(False), plain)
-    for cond, dc, dv in shift:
-        pieces = pieces.when(cond, F.array(F.struct((c + dc).alias("chapter"), (vs + dv).alias("vs"), (ve + dv).alias("ve"))))
+
+def _piece(chapter: Column | int, vs: Column, ve: Column) -> Column:
+    return F.struct((chapter if isinstance(chapter, Column) else F.lit(chapter)).cast("int").alias("chapter"), vs.cast("int").alias("vs"), ve.cast("int").alias("ve"))
+
+
+def _psalms(c: Column, vs: Column, ve: Column) -> Column:
+    pieces = F.when(F.lit(False), F.array(_piece(c, vs, ve)))
+    for first, last, dc, dv in PSALM_SHIFTS:
+        pieces = pieces.when(c.between(first, last), F.array(_piece(c + dc, vs + dv, ve + dv)))
     for chapter, last, first in PSALM_SPLITS:
-        low = F.struct(F.lit(first).alias("chapter"), vs.alias("vs"), F.least(ve, F.lit(last)).alias("ve"))
-        high = F.struct(F.lit(first + 1).alias("chapter"), F.greatest(vs - last, F.lit(1)).alias("vs"), (ve - last).alias("ve"))
+        low, high = _piece(first, vs, F.least(ve, F.lit(last))), _piece(first + 1, F.greatest(vs - last, F.lit(1)), ve - last)
         here = c == chapter
         pieces = pieces.when(here & (vs <= last) & (ve > last), F.array(low, high)).when(here & (vs <= last), F.array(low)).when(here, F.array(high))
-    same = F.array(F.struct(F.lit(None).cast("int").alias("chapter"), vs.alias("vs"), ve.alias("ve")))
-    return refs.select(c.alias("from_chapter"), vs.alias("from_vs"), ve.alias("from_ve"), F.inline(F.coalesce(pieces, same)))
+    return pieces.otherwise(F.array(_piece(c, vs, ve)))
+
+
+def renumber(refs: DataFrame, book: Column | None = None) -> DataFrame:
+    """Ranges (chapter, vs, ve) in the other numbering; a range over a split becomes two.
+
+    ``book`` says whether a row is of the ``psalms`` (as all are without it), of ``malachi`` or ``nehemiah``;
+    other books, and chapters without a number of their own, stay as they are.
+    Adds (from_chapter, from_vs, from_ve) and keeps other columns.
+    """
+    book = F.lit("psalms") if book is None else book
+    c, vs, ve = F.col("chapter"), F.col("vs"), F.col("ve")
+    chapter, into, on = MALACHI
+    malachi = (book == "malachi") & (c == chapter)
+    chapter, first, ahead = NEHEMIAH
+    nehemiah = (book == "nehemiah") & (c == chapter) & (ve >= first)
+    below, above = _piece(c, vs, F.lit(first - 1)), _piece(c, F.greatest(vs, F.lit(first)) + ahead, ve + ahead)
+    pieces = F.when(book == "psalms", _psalms(c, vs, ve)).when(malachi, F.array(_piece(into, vs + on, ve + on)))
+    pieces = pieces.when(nehemiah & (vs < first), F.array(below, above)).when(nehemiah, F.array(above)).otherwise(F.array(_piece(c, vs, ve)))
+    others = [x for x in refs.columns if x not in ("chapter", "vs", "ve")]
+    return refs.select(*others, c.alias("from_chapter"), vs.alias("from_vs"), ve.alias("from_ve"), F.inline(pieces))
 
 
 def confident(edges: DataFrame, least_confidence: int = 50, least_votes: int = 0) -> DataFrame:
@@ -66,10 +89,18 @@ def confident(edges: DataFrame, least_confidence: int = 50, least_votes: int = 0
 
 
 def summary(rows: DataFrame, column: str) -> DataFrame:
-    """(least, most, mean, upper_median); the median from running counts of the distinct values."""
+    """(least, most, mean, upper_median); the median from running counts of the distinct values.
+
+    The values are cut by range; only one number for each range meets the others in one task.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    running = counts.withColumn("upto", F.sum("n").over(Window.orderBy("value"))).withColumn("all", F.sum("n").over(Window.partitionBy(F.lit(1))))
-    median = F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col("value")))
+    cut = written(counts.repartitionByRange(parts, "value").withColumn("part", F.spark_partition_id()))
+    sums = cut.groupBy("part").agg(F.sum("n").alias("rows"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"), F.sum("rows").over(Window.partitionBy(F.lit(1))).alias("all"))
+    running = cut.withColumn("upto", F.sum("n").over(Window.partitionBy("part").orderBy("value"))).join(bases, "part")
+    median = F.min(F.when(F.col("base") + F.col("upto") > F.floor(F.col("all") / 2), F.col("value")))
     return running.agg(F.min("value").alias("least"), F.max("value").alias("most"), F.round(F.sum(F.col("value") * F.col("n")) / F.sum("n"), 6).alias("mean"), median.alias("upper_median"))
 
 

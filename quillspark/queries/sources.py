@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..plans.adapters import Views
 from ..plans.roster import Roster
 from ..sources import readers
@@ -22,13 +23,56 @@ def tsv_permissive(v: Views) -> DataFrame:
     return readers.votes_tsv(v.table("conversations").select(line.alias("line")))
 
 
-@query("html_cells", "select page_id, pos, trim(regexp_replace(regexp_replace(cell, '<[^>]+>', '', 'g'), '\\s+', ' ', 'g')) as cell from (select page_id, unnest(list) as cell, unnest(range(len(list)))::int as pos from (select page_id, regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1) as list from pages))".replace("\\\\", "\\"))
+@query("html_cells", r"select page_id, pos, trim(regexp_replace(regexp_replace(cell, '<[^>]+>', '', 'g'), '\s+', ' ', 'g')) as cell from (select page_id, unnest(list) as cell, unnest(range(len(list)))::int as pos from (select page_id, regexp_extract_all(html, '(?s)<(?:li|td|th|h1|h2)>(.*?)</(?:li|td|th|h1|h2)>', 1) as list from pages))")
 def html_cells(v: Views) -> DataFrame:
-    """The cells of list items; tables with merged rows are read by ``readers.html_verses``."""
-    cells = v.table("pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("(?s)<li>(.*?)</li>"), F.lit(1))).alias("pos", "cell"))
+    """The text of headings, list items and table cells; tables with merged rows are read by ``html_tables``."""
+    cells = v.table("pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("(?s)<(?:li|td|th|h1|h2)>(.*?)</(?:li|td|th|h1|h2)>"), F.lit(1))).alias("pos", "cell"))
     return cells.select("page_id", "pos", F.trim(F.regexp_replace(F.regexp_replace("cell", "<[^>]+>", ""), r"\s+", " ")).alias("cell"))
 
 
+@query(
+    "html_tables",
+    r"""with turns as (select conv_id, turn, role, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) as t, turn % 5 as kind, lead(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) over w as next from conversations window w as (partition by conv_id order by turn))
+select conv_id as key, 'Book ' || (conv_id % 7) as book, 'Chapter ' || conv_id as chapter, (turn + 1)::int as verse, case when kind = 1 then '' else t end as new,
+  case when kind = 1 then t || case when t <> '' and coalesce(next, '') <> '' then ' ' else '' end || coalesce(next, '') else role end as old
+from turns where kind in (0, 1, 3) and (kind <> 1 or t <> '' or coalesce(next, '') <> '')""",
+)
+def html_tables(v: Views) -> DataFrame:
+    """Conversations as pages with a table: turns are rows of four cells, of an old text only, that go on with the row before, of three cells, or without a number."""
+    cell = lambda *x: F.concat(*(F.concat(F.lit("<td>"), c, F.lit(" </td>\n")) for c in x))
+    text, number, none = tx.escape_html(F.coalesce("text", F.lit(""))), (F.col("turn") + 1).cast("string"), F.lit("")
+    kind = F.col("turn") % 5
+    row = F.when(kind == 0, cell(number, text, number, F.col("role"))).when(kind == 1, cell(none, none, number, text)).when(kind == 2, cell(none, none, none, text)).when(kind == 3, cell(number, text, F.col("role"))).otherwise(cell(F.lit("x"), text, F.lit("1"), text))
+    pages = v.table("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit("<tr>"), row, F.lit("</tr>")).alias("row")))).alias("rows"))
+    head = F.concat(F.lit("<html><h1>Book "), (F.col("conv_id") % 7).cast("string"), F.lit("</h1><h2> Chapter "), F.col("conv_id").cast("string"), F.lit("</h2><table><tr><th>No.</th></tr>"))
+    html = F.concat(head, F.array_join(F.transform("rows", lambda x: x["row"]), "\n"), F.lit("</table></html>"))
+    return readers.html_verses(pages.select("conv_id", html.alias("html")), "conv_id", "html").drop("pos")
+
+
+@query(
+    "reference_lines",
+    """select l_orderkey as file, 'book' || (l_orderkey % 4) || ':' || l_orderkey || ':1' as source, 'book' || (l_partkey % 4) as book, r::int as chapter, l_quantity::int as vs, (l_quantity::int + l_suppkey % 2)::int as ve,
+  case when r > 3 then 'reciprocal' else 'thematic' end as type, case when r > 3 then 'reciprocal' else 'topic ' || (l_orderkey % 7) end as topic, case when r > 3 then 'note ' || l_suppkey else '' end as note
+from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as r from lineitem) where l_orderkey % 5 <> 0 and l_partkey % 5 <> 0""",
+)
+def reference_lines(v: Views) -> DataFrame:
+    """Orders as files of cross-reference text: a header, a topic, references, a reciprocal section; some books are unknown."""
+    text = lambda c: F.col(c).cast("string")
+    order, line = F.col("l_orderkey"), F.col("line_no")
+    place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    lines = v.table("lineitem").withColumn("line_no", F.row_number().over(place))
+    code = lambda c, lost: F.when(F.col(c) % 5 == 0, F.lit(lost)).otherwise(F.concat(F.lit("Bk"), (F.col(c) % 4).cast("string")))
+    last = (F.col("l_quantity").cast("int") + (F.col("l_suppkey") % 2).cast("int")).cast("string")
+    ref = F.concat(code("l_partkey", "Zz"), F.lit("_"), text("line_no"), F.lit(":"), F.col("l_quantity").cast("int").cast("string"), F.lit("-"), last)
+    items = lines.select(order.alias("file"), (line + F.when(line > 3, 10).otherwise(2)).alias("n"), F.when(line > 3, F.concat(ref, F.lit(" - note "), text("l_suppkey"))).otherwise(F.concat(ref, F.lit(" , "), ref)).alias("line"))
+    files = v.table("lineitem").select("l_orderkey").distinct()
+    head = F.concat(F.lit("{"), code("l_orderkey", "Zz"), F.lit(" "), text("l_orderkey"), F.lit(":1}"))
+    topic = F.concat(F.lit('"topic '), (order % 7).cast("string"), F.lit('"'))
+    heads = files.select(order.alias("file"), F.inline(F.array(*(F.struct(F.lit(n).alias("n"), line.alias("line")) for n, line in ((0, head), (1, topic), (10, F.lit("Reciprocal:")))))))
+    edges = readers.reference_text(items.unionByName(heads), {f"Bk{i}": f"book{i}" for i in range(4)})
+    return edges.drop("n")
+
+
 @query("path_partition", r"select page_id, regexp_extract(p, '([^/]+)/[^/]*$', 1) as book, case when regexp_extract(p, '(\d+)[^/]*$', 1) = '' then 1 else regexp_extract(p, '(\d+)[^/]*$', 1)::int end as chapter from (select page_id, regexp_replace(split_part(split_part(url, '#', 1), '?', 1), '/$', '') as p from pages)")
 def path_partition(v: Views) -> DataFrame:
     path = F.regexp_replace(F.split_part(F.split_part("url", F.lit("#"), F.lit(1)), F.lit("?"), F.lit(1)), "/$", "")
@@ -65,6 +109,20 @@ def profile_tables(v: Views) -> DataFrame:
     return reduce(DataFrame.unionByName, each)
 
 
+FIELDS = {"region": ("r_regionkey", "r_name"), "nation": ("n_nationkey", "n_name"), "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "documents": ("doc_id", "text", "lang", "source", "n_chars"), "pages": ("page_id", "url", "html"), "labels": ("doc_id", "quality", "toxic"), "conversations": ("conv_id", "turn", "role", "text")}
+
+
+@query("profile_fields", " union all ".join(f"select '{t}' as name, '{c}' as field, count({c}) as filled, min({c}::varchar) as least, max(length({c}::varchar))::int as longest from {t}" for t, fields in FIELDS.items() for c in fields))
+def profile_fields(v: Views) -> DataFrame:
+    """For each field how many values it has, a sample, and the longest; one scan a table."""
+    each = []
+    for name, fields in FIELDS.items():
+        facts = [F.struct(F.count(c).alias("filled"), F.min(F.col(c).cast("string")).alias("least"), F.max(F.length(F.col(c).cast("string"))).alias("longest")).alias(c) for c in fields]
+        rows = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(c).alias("field"), F.col(c)["filled"].alias("filled"), F.col(c)["least"].alias("least"), F.col(c)["longest"].alias("longest")) for c in fields))
+        each.append(v.table(name).agg(*facts).select(F.inline(rows)))
+    return reduce(DataFrame.unionByName, each)
+
+
 @query("json_walk", "select event_id, '$.' || key as path, value from (select event_id, unnest(json_keys(props)) as key, json_extract_string(props, '$.' || unnest(json_keys(props))) as value from events)")
 def json_walk(v: Views) -> DataFrame:
     rows = v.table("events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))

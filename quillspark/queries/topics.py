@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import lexicon
 from ..operators import topics as op
 from ..plans.adapters import Views
 from ..plans.roster import Roster
@@ -48,17 +49,23 @@ def range_join(v: Views) -> DataFrame:
 
 @query("topic_build", "select slug, name_en, source, verse_count, labels, refs from topics join (select topic_slug as slug, count(distinct label) as labels, list_sort(list(distinct book || ' ' || chapter))[1:5] as refs from topic_refs group by 1) using (slug)")
 def topic_build(v: Views) -> DataFrame:
-    refs = v.topic_refs().groupBy(F.col("topic_slug").alias("slug")).agg(F.countDistinct("label").alias("labels"), F.slice(F.array_sort(F.collect_set(F.concat_ws(" ", "book", F.col("chapter").cast("string")))), 1, 5).alias("refs"))
-    return v.topics().join(refs, "slug").select("slug", "name_en", "source", "verse_count", "labels", "refs")
+    """Each topic's first five chapters are ranked before they are gathered."""
+    refs = v.topic_refs().select(F.col("topic_slug").alias("slug"), "label", F.concat_ws(" ", "book", F.col("chapter").cast("string")).alias("ref"))
+    labels = refs.groupBy("slug").agg(F.countDistinct("label").alias("labels"))
+    first = refs.select("slug", "ref").distinct().withColumn("r", F.row_number().over(Window.partitionBy("slug").orderBy("ref"))).where("r <= 5")
+    shown = first.groupBy("slug").agg(F.array_sort(F.collect_list("ref")).alias("refs"))
+    return v.topics().join(labels, "slug").join(shown, "slug").select("slug", "name_en", "source", "verse_count", "labels", "refs")
 
 
 @query("topic_detail", "select label, count(*) as n_refs, list(book || ' ' || chapter || ':' || vs || coalesce(' ' || cap, '') order by pos, book, chapter, vs)[1:5] as verses from (select r.*, n.n_name as cap from topic_refs r left join nation n on n.n_nationkey = r.vs where topic_slug = 'brand-7') group by label")
 def topic_detail(v: Views) -> DataFrame:
-    """Entries of one topic with their verses; a verse without text keeps its place."""
+    """Entries of one topic with their first verses; a verse without text keeps its place."""
     refs = v.topic_refs().where("topic_slug = 'brand-7'").join(v.table("nation").select(F.col("n_nationkey").alias("vs_key"), "n_name"), F.col("vs") == F.col("vs_key"), "left")
     shown = F.concat(F.col("book"), F.lit(" "), F.col("chapter").cast("string"), F.lit(":"), F.col("vs").cast("string"), F.coalesce(F.concat(F.lit(" "), "n_name"), F.lit("")))
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "book", "chapter", "vs", shown.alias("shown"))))
-    return refs.groupBy("label").agg(F.count(F.lit(1)).alias("n_refs"), F.transform(F.slice(ordered, 1, 5), lambda x: x["shown"]).alias("verses"))
+    counts = refs.groupBy("label").agg(F.count(F.lit(1)).alias("n_refs"))
+    first = refs.withColumn("shown", shown).withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("pos", "book", "chapter", "vs"))).where("r <= 5")
+    verses = first.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "shown"))), lambda x: x["shown"]).alias("verses"))
+    return counts.join(verses, "label").select("label", "n_refs", "verses")
 
 
 @query("topic_digest", f"select topic_slug, label, {LABEL} as ref, book, r, greatest(n - 5, 0) as remaining from (select *, row_number() over (partition by topic_slug, label order by pos, book, chapter, vs, ve) as r, count(*) over (partition by topic_slug, label) as n from topic_refs where topic_slug in ('brand-1', 'brand-2')) where r <= 5")
@@ -139,25 +146,30 @@ def match_rate(v: Views) -> DataFrame:
 
 
 VERSIFIED = """
-refs as (select distinct ((pos % 150) + 1)::int as chapter, vs, ve from topic_refs),
+refs as (select distinct case pos % 4 when 0 then 'malachi' when 1 then 'nehemiah' else 'psalms' end as book, (case when pos % 4 < 2 then 3 + pos % 3 else pos % 152 + 1 end)::int as chapter, vs, ve from topic_refs),
 numbered as (
-  select chapter as from_chapter, vs as from_vs, ve as from_ve, part, case part when 1 then case
-      when chapter between 1 and 9 or chapter between 148 and 150 then chapter when chapter = 10 then 9 when chapter between 11 and 113 then chapter - 1 when chapter = 114 then 113
+  select book, chapter as from_chapter, vs as from_vs, ve as from_ve, part, case when book <> 'psalms' then case when book = 'malachi' and chapter = 4 then 3 else chapter end when part = 1 then case
+      when chapter between 1 and 9 or chapter > 147 then chapter when chapter = 10 then 9 when chapter between 11 and 113 then chapter - 1 when chapter = 114 then 113
       when chapter = 115 then 113 when chapter = 116 then case when vs <= 9 then 114 else 115 end when chapter between 117 and 146 then chapter - 1
       when chapter = 147 then case when vs <= 11 then 146 else 147 end end
-    else chapter - 1 + case when chapter = 147 then 1 else 0 end end as chapter, chapter as c, vs, ve
-  from refs, (select unnest([1, 2]) as part) where part = 1 or (chapter = 116 and vs <= 9 and ve > 9) or (chapter = 147 and vs <= 11 and ve > 11))
-select from_chapter, from_vs, from_ve, chapter::int as chapter,
-  (case when part = 2 then 1 when c = 10 then vs + 21 when c = 115 then vs + 8 when c = 116 and vs > 9 then vs - 9 when c = 147 and vs > 11 then vs - 11 else vs end)::int as vs,
-  (case when part = 2 then ve - case c when 116 then 9 else 11 end when c = 10 then ve + 21 when c = 115 then ve + 8
-    when c = 116 then case when vs > 9 then ve - 9 else least(ve, 9) end when c = 147 then case when vs > 11 then ve - 11 else least(ve, 11) end else ve end)::int as ve
+    else chapter - 1 + case when chapter = 147 then 1 else 0 end end as chapter, case when book = 'psalms' then chapter else -1 end as c,
+    case when book = 'malachi' and chapter = 4 then 18 when book = 'nehemiah' and chapter = 4 and (vs >= 18 or part = 2) then 15 else 0 end as ahead, vs, ve
+  from refs, (select unnest([1, 2]) as part)
+  where part = 1 or (book = 'psalms' and ((chapter = 116 and vs <= 9 and ve > 9) or (chapter = 147 and vs <= 11 and ve > 11))) or (book = 'nehemiah' and chapter = 4 and vs < 18 and ve >= 18))
+select book, from_chapter, from_vs, from_ve, chapter::int as chapter,
+  (case when part = 2 and book = 'nehemiah' then 33 when part = 2 then 1 when c = 10 then vs + 21 when c = 115 then vs + 8 when c = 116 and vs > 9 then vs - 9 when c = 147 and vs > 11 then vs - 11 else vs + ahead end)::int as vs,
+  (case when book = 'nehemiah' and from_chapter = 4 and part = 1 and vs < 18 then least(ve, 17) when part = 2 and book = 'psalms' then ve - case c when 116 then 9 else 11 end when c = 10 then ve + 21 when c = 115 then ve + 8
+    when c = 116 then case when vs > 9 then ve - 9 else least(ve, 9) end when c = 147 then case when vs > 11 then ve - 11 else least(ve, 11) end else ve + ahead end)::int as ve
 from numbered"""
 
 
 @query("versification", "with " + VERSIFIED.strip())
 def versification(v: Views) -> DataFrame:
-    refs = v.topic_refs().select((F.col("pos") % 150 + 1).cast("int").alias("chapter"), "vs", "ve").distinct()
-    return op.renumber(refs)
+    pos = F.col("pos")
+    book = F.when(pos % 4 == 0, "malachi").when(pos % 4 == 1, "nehemiah").otherwise("psalms")
+    chapter = F.when(pos % 4 < 2, 3 + pos % 3).otherwise(pos % 152 + 1).cast("int")
+    refs = v.topic_refs().select(book.alias("book"), chapter.alias("chapter"), "vs", "ve").distinct()
+    return op.renumber(refs, F.col("book"))
 
 
 @query("topic_append", "select slug, verse_count, 'main' as part from topics union all select 'added-' || book, sum(ve - vs + 1)::bigint, 'added' from topic_refs where book in ('b1', 'b2') group by book")
@@ -273,11 +285,23 @@ def topic_name_mode(v: Views) -> DataFrame:
     return best.select("topic", "best.token", (-F.col("best.m")).alias("n"))
 
 
-@query("vec_pairs", "select a.vec_id as a, b.vec_id as b, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 6) as cosine from embeddings a join embeddings b on a.label = b.label and a.vec_id // 50 = b.vec_id // 50 and a.vec_id < b.vec_id where list_dot_product(a.embedding::double[], b.embedding::double[]) >= 0.2::double")
+@query(
+    "vec_pairs",
+    r"""with placed as (select distinct token, idx from postings where length(token) >= 5 and idx in (select vec_id from embeddings)),
+forms as (select token, length(token) as n from placed group by 1),
+near as (select a.token as a, b.token as b from forms a join forms b on left(a.token, 5) = left(b.token, 5) and a.token < b.token
+  where left(a.token, ceil(0.7::double * least(a.n, b.n))::int) = left(b.token, ceil(0.7::double * least(a.n, b.n))::int)),
+pooled as (select token, i, avg(x) as m from (select p.token, unnest(e.embedding::double[]) as x, unnest(range(len(e.embedding))) as i from placed p join embeddings e on e.vec_id = p.idx
+  where p.token in (select a from near union select b from near)) group by all),
+vectors as (select token, list(m order by i) as v, sqrt(sum(m * m)) as norm from pooled group by 1)
+select a, b, round(list_dot_product(x.v, y.v) / (x.norm * y.norm), 6) as cosine from near join vectors x on x.token = a join vectors y on y.token = b where list_dot_product(x.v, y.v) / (x.norm * y.norm) >= 0.9::double""",
+)
 def vec_pairs(v: Views) -> DataFrame:
-    """Similar vectors within a block; the block is an equi-join key."""
-    x = v.table("embeddings").select("vec_id", "embedding", "label", F.floor(F.col("vec_id") / 50).alias("block"))
-    a, b = x.alias("a"), x.alias("b")
-    dot = F.aggregate(F.zip_with("a.embedding", "b.embedding", lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda acc, y: acc + y)
-    pairs = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.vec_id") < F.col("b.vec_id"))).select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), dot.alias("dot"))
-    return pairs.where("dot >= 0.2").select("a", "b", F.round("dot", 6).alias("cosine"))
+    """Words alike in form and meaning: five letters in common, seven tenths of the shorter word, and a cosine of 0.9.
+
+    A word's vector is the mean over its verses.  The form comes first, as an equi-join on the common letters;
+    only words that have a partner are pooled.
+    """
+    vectors = v.table("embeddings").select(F.col("vec_id").alias("idx"), "embedding")
+    placed = v.postings().where("length(token) >= 5").select("token", "idx").distinct().join(vectors.select("idx"), "idx", "left_semi")
+    return lexicon.alike(placed, vectors, least_prefix=5, least_share=0.7, least_cosine=0.9).select("a", "b", F.round("cosine", 6).alias("cosine"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..operators import userstate as op
 from ..plans.adapters import Views
 from ..plans.roster import Roster
@@ -73,8 +74,19 @@ def input_limits(v: Views) -> DataFrame:
     return v.marks().select("event_id", comment.alias("comment"), tags.alias("tags"))
 
 
-@query("note_links", r"select event_id, regexp_replace(regexp_replace(note, '\[\[([^\]]+)\]\]', '<a>\1</a>', 'g'), '\*\*([^*]+)\*\*', '<b>\1</b>', 'g') as html from (select event_id, '**' || action || '** see [[' || book || ' ' || chapter || ':' || k || ']] ' || comment as note from marks)")
+SHOWN = '<a class="verse-link" data-slug="{slug}" data-chapter="\' || chapter || \'" data-verse="\' || k || \'" data-ref="{name} \' || chapter || \':\' || k || \'">{name} \' || chapter || \':\' || k || \'</a>'
+
+
+@query(
+    "note_links",
+    "select event_id, '<h2>' || action || '</h2>' || chr(10) || '<ul>' || chr(10) || '<li>see ' || case when k % 2 = 0 then '"
+    + SHOWN.format(slug="jn", name="John")
+    + r"""' else '<span class="verse-link-invalid">[[Jon ' || chapter || ':' || k || ']]</span>' end || '</li>' || chr(10) || '<li><em>' || colour || '</em></li>' || chr(10) || '</ul>' || chr(10) || '<blockquote>a &lt; b &amp; <strong>c</strong></blockquote>' || chr(10) || chr(10) ||
+  case when comment = '' then '' else comment || '<br>' end as html from marks""",
+)
 def note_links(v: Views) -> DataFrame:
-    note = F.concat(F.lit("**"), "action", F.lit("** see [["), "book", F.lit(" "), F.col("chapter").cast("string"), F.lit(":"), F.col("k").cast("string"), F.lit("]] "), "comment")
-    linked = F.regexp_replace(note, r"\[\[([^\]]+)\]\]", "<a>$1</a>")
-    return v.marks().select("event_id", F.regexp_replace(linked, r"\*\*([^*]+)\*\*", "<b>$1</b>").alias("html"))
+    """Notes with a heading, a list with a link and emphasis, a quotation and a comment."""
+    k = F.col("k").cast("string")
+    name = F.when(F.col("k") % 2 == 0, "John").otherwise("Jon")
+    note = F.concat(F.lit("# "), "action", F.lit("\n- see [["), name, F.lit(" "), F.col("chapter").cast("string"), F.lit(":"), k, F.lit("]]\n- *"), "colour", F.lit("*\n> a < b & **c**\n\n"), "comment")
+    return v.marks().select("event_id", tx.render_note(note, {"john": "jn", "1 john": "1jn"}).alias("html"))

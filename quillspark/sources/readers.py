@@ -111,80 +111,97 @@ def reference_text(lines: DataFrame, books: dict[str, str]) -> DataFrame:
 # -- HTML tables ------------------------------------------------------------------------
 
 
-class _Cells(HTMLParser):
+class _Page(HTMLParser):
+    """The rows of ``td`` cells and the headings of a page; a row counts when its ``tr`` is closed."""
+
+    HEADINGS = ("h1", "h2")
+
     def __init__(self) -> None:
         super().__init__()
         self.rows: list[list[str]] = []
-        self.open = False
+        self.headings = dict.fromkeys(self.HEADINGS, "")
+        self._row: list[str] = []
+        self._into: str | None = None
+        self._text = ""
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag == "tr":
-            self.rows.append([])
-        elif tag in ("td", "th"):
-            if not self.rows:
-                self.rows.append([])
-            self.rows[-1].append("")
-            self.open = True
+        if tag == "td" or tag in self.HEADINGS:
+            self._into, self._text = tag, ""
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in ("td", "th", "tr"):
-            self.open = False
+        if tag == "td" and self._into == "td":
+            self._row.append(self._text)
+        elif tag == "tr":
+            self.rows.append(self._row)
+            self._row = []
+        elif tag in self.HEADINGS and self._into == tag:
+            self.headings[tag] = " ".join(self._text.split())
+        if tag == self._into:
+            self._into = None
 
     def handle_data(self, data: str) -> None:
-        if self.open:
-            self.rows[-1][-1] += data
+        if self._into:
+            self._text += data
+
+
+def _number(text: str) -> int | None:
+    try:
+        return int(text)
+    except ValueError:
+        return None
 
 
 def merge_rows(rows: list[list[str]]) -> list[tuple[int, str, str]]:
-    """Verses (number, new, old) from table rows of two numbered columns.
+    """Verses (number, new, old) from table rows.
 
-    Rows continue the verse of their number; a row without numbers continues the
-    last verse; three cells are a number and both texts; other numbers are skipped.
+    Four cells are the number and the text of the new and of the old translation.  A new
+    number leads: both texts join the latest verse of that number, else they make one.  With an old
+    number only the old text does so; without numbers it joins the last verse.  Three cells are a number and both texts,
+    and always a verse of their own.  Rows whose number is none go, and verses without text.
     """
-    verses: dict[int, list[str]] = {}
-    last: int | None = None
+    verses: list[list] = []
+    latest: dict[int, int] = {}
 
-    def add(number: int, side: int, text: str) -> None:
-        nonlocal last
-        last = number
-        slot = verses.setdefault(number, ["", ""])
-        if text:
-            slot[side] = f"{slot[side]} {text}" if slot[side] else text
+    def join(verse: list, side: int, text: str) -> None:
+        verse[side] = f"{verse[side]} {text}" if verse[side] and text else verse[side] or text
+
+    def open_verse(number: int) -> list:
+        if number not in latest:
+            latest[number] = len(verses)
+            verses.append([number, "", ""])
+        return verses[latest[number]]
 
     for cells in rows:
         cells = [" ".join(c.split()) for c in cells]
         if len(cells) >= 4:
-            (n, new), (m, old) = cells[0:2], cells[2:4]
-            if n.isdigit():
-                add(int(n), 0, new)
-                if old and (not m or m == n):
-                    add(int(n), 1, old)
-                elif m.isdigit():
-                    add(int(m), 1, old)
-            elif not n and m.isdigit():
-                add(int(m), 1, old)
-            elif not n and not m and last is not None:
-                add(last, 0, new)
-                add(last, 1, old)
-        elif len(cells) == 3 and cells[0].isdigit():
-            last = int(cells[0])
-            verses[last] = [cells[1], cells[2]]
-    return [(n, new, old) for n, (new, old) in verses.items() if new or old]
+            lead = cells[0] or cells[2]
+            number = _number(lead) if lead else None
+            if number is not None:
+                verse = open_verse(number)
+                if cells[0]:
+                    join(verse, 1, cells[1])
+                join(verse, 2, cells[3])
+            elif not lead and verses:
+                join(verses[-1], 2, cells[3])
+        elif len(cells) == 3 and (number := _number(cells[0])) is not None:
+            latest[number] = len(verses)
+            verses.append([number, *cells[1:]])
+    return [(n, new, old) for n, new, old in verses if new or old]
 
 
 def html_verses(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """Rows (key, verse, new, old) of the tables in each page."""
+    """Rows (key, book, chapter, pos, verse, new, old) of the tables in each page; its headings name book and chapter."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for k, text in zip(batch["key"], batch["html"], strict=True):
-                parser = _Cells()
-                parser.feed(text or "")
-                out += [(k, *row) for row in merge_rows(parser.rows)]
-            yield pd.DataFrame(out, columns=["key", "verse", "new", "old"])
+                page = _Page()
+                page.feed(text or "")
+                out += [(k, *page.headings.values(), pos, *row) for pos, row in enumerate(merge_rows(page.rows))]
+            yield pd.DataFrame(out, columns=["key", "book", "chapter", "pos", "verse", "new", "old"])
 
-    return pages.select(F.col(key).alias("key"), F.col(html).alias("html")).mapInPandas(run, f"key {pages.schema[key].dataType.simpleString()}, verse int, new string, old string")
+    return pages.select(F.col(key).alias("key"), F.col(html).alias("html")).mapInPandas(run, f"key {pages.schema[key].dataType.simpleString()}, book string, chapter string, pos int, verse int, new string, old string")
 
 
 # -- backups and sinks ------------------------------------------------------------------
@@ -206,9 +223,17 @@ def backup(state: DataFrame, user: str) -> DataFrame:
     return state.groupBy(user).agg(F.to_json(F.struct(F.lit(BACKUP_VERSION).alias("version"), data.alias("data"))).alias("backup"))
 
 
-def write_version(df: DataFrame, path: str, version: str, dry_run: bool = True) -> str:
-    """Write next to what is there instead of over it; a dry run only names the place."""
+def write_version(df: DataFrame, path: str, version: str, dry_run: bool = True, kind: str = "parquet") -> str:
+    """Write next to what is there instead of over it, as Parquet or as JSON lines; a dry run only names the place."""
     target = f"{path.rstrip('/')}/version={version}"
     if not dry_run:
-        df.write.mode("errorifexists").parquet(target)
+        df.write.mode("errorifexists").format(kind).save(target)
     return target
+
+
+def changes(df: DataFrame, target: str, key: str, columns: list[str], kind: str = "parquet") -> DataFrame:
+    """What a version of ``df`` would change against the one at ``target``: (key, kind, changed) of ``table_diff``."""
+    from ..operators.quality import table_diff
+
+    old = df.sparkSession.read.schema(df.schema).format(kind).load(target)
+    return table_diff(old, df, key, columns)

@@ -57,7 +57,7 @@ def test_lift(spark):
 
 
 def test_versification(spark):
-    cases = {(8, 3, 4): [(8, 3, 4)], (10, 1, 1): [(9, 22, 22)], (23, 1, 6): [(22, 1, 6)], (115, 1, 3): [(113, 9, 11)], (116, 5, 12): [(114, 5, 9), (115, 1, 3)], (147, 10, 13): [(146, 10, 11), (147, 1, 2)], (151, 1, 2): [(None, 1, 2)]}
+    cases = {(8, 3, 4): [(8, 3, 4)], (10, 1, 1): [(9, 22, 22)], (23, 1, 6): [(22, 1, 6)], (115, 1, 3): [(113, 9, 11)], (116, 5, 12): [(114, 5, 9), (115, 1, 3)], (147, 10, 13): [(146, 10, 11), (147, 1, 2)], (151, 1, 2): [(151, 1, 2)]}
     df = spark.createDataFrame(list(cases), "chapter int, vs int, ve int")
     got = {}
     for r in topics.renumber(df).collect():
@@ -65,6 +65,14 @@ def test_versification(spark):
     assert {k: sorted(v, key=str) for k, v in got.items()} == {k: sorted(v, key=str) for k, v in cases.items()}
 
 
+def test_versification_of_other_books(spark):
+    cases = {("malachi", 4, 1, 6): [(3, 19, 24)], ("malachi", 3, 1, 6): [(3, 1, 6)], ("nehemiah", 4, 16, 20): [(4, 16, 17), (4, 33, 35)], ("nehemiah", 4, 18, 18): [(4, 33, 33)], ("nehemiah", 4, 1, 17): [(4, 1, 17)], ("ruth", 4, 18, 19): [(4, 18, 19)], ("psalms", 10, 1, 2): [(9, 22, 23)]}
+    got = {}
+    for r in topics.renumber(spark.createDataFrame(list(cases), "book string, chapter int, vs int, ve int"), F.col("book")).collect():
+        got.setdefault((r.book, r.from_chapter, r.from_vs, r.from_ve), []).append((r.chapter, r.vs, r.ve))
+    assert {k: sorted(v) for k, v in got.items()} == cases
+
+
 def test_osis(spark):
     refs = ["John.1.1-John.1.3", "John.1.50-John.2.2", "John.3.16", "nothing"]
     got = {r.ref: (r.book, r.chapter, r.vs, r.ve) for r in topics.parse_osis(spark.createDataFrame([(r,) for r in refs], "ref string"), "ref").collect()}
@@ -76,14 +84,38 @@ def test_upper_median(spark):
 
 
 def test_html_rows():
+    merged = readers.merge_rows
     rows = [["1", "A", "1", "a"], [" ", "", "2", "b"], ["2", "B", "", ""], ["", "", "", "c"], ["2", "D", "", ""], ["x", "E", "3", "e"], ["4", "F", "f"]]
-    assert readers.merge_rows(rows) == [(1, "A", "a"), (2, "B D", "b c"), (4, "F", "f")]
+    assert merged(rows) == [(1, "A", "a"), (2, "B D", "b c"), (4, "F", "f")]
+    assert merged([["1", "A", "2", "b"]]) == [(1, "A", "b")]  # the new number leads
+    assert merged([["1", "A", "1", "a"], ["", "B", "", "b"]]) == [(1, "A", "a b")]  # without a number only the old text goes on
+    assert merged([["4", "F", "f"], ["4", "G", "g"], ["4", "H", "4", "h"]]) == [(4, "F", "f"), (4, "G H", "g h")]  # three cells never merge, four do with the latest
+    assert merged([["", "X", "y", "old"], ["", "", "", "lost"], ["A", "b", "c"], ["", "", "7", "  "], ["1", "2"]]) == []
+    assert merged([["1", "A", "", ""], ["", "", "5", "e"], ["", "", "", "f"], ["5", "E", "5", "g"]]) == [(1, "A", ""), (5, "E", "e f g")]
 
 
 def test_html_pages(spark):
-    html = "<table><tr><td>1</td><td>A  <b>x</b></td><td>1</td><td>a</td></tr></table>"
+    html = "<h1> Gen <i>esis</i></h1><h2>Chapter 1</h2><table><tr><th>1</th></tr><tr><td>1</td><td>A  <b>x</b> &amp; y</td><td>1</td><td>a</td></tr><tr><td>2</td><td>B</td>"
     got = readers.html_verses(spark.createDataFrame([(7, html), (8, None)], "id long, html string"), "id", "html").collect()
-    assert [(r.key, r.verse, r.new, r.old) for r in got] == [(7, 1, "A x", "a")]
+    assert [tuple(r) for r in got] == [(7, "Gen esis", "Chapter 1", 0, 1, "A x & y", "a")]  # an open row does not count
+
+
+def test_notes(spark):
+    books = {"john": "jn", "i kings": "1kg"}
+    render = lambda note: one(spark, tx.render_note(F.col("c0"), books), note)
+    assert render("# A\n## B\n### C\nplain") == "<h2>A</h2>\n<h3>B</h3>\n<h4>C</h4>\nplain<br>"
+    assert render("- a\n* b\ntext\n- c") == "<ul>\n<li>a</li>\n<li>b</li>\n</ul>\ntext<br>\n<ul>\n<li>c</li>\n</ul>"
+    assert render("> q <b>\n\n**s** *e* ***") == "<blockquote>q &lt;b&gt;</blockquote>\n\n<strong>s</strong> <em>e</em> ***<br>"
+    assert render("[[John 3:16]] [[I Kings 2:3-5]]") == '<a class="verse-link" data-slug="jn" data-chapter="3" data-verse="16" data-ref="John 3:16">John 3:16</a> <a class="verse-link" data-slug="1kg" data-chapter="2" data-verse="3" data-verse-end="5" data-ref="I Kings 2:3-5">I Kings 2:3-5</a><br>'
+    assert render("[[Jon 3:16]] [[John]] [[]]") == '<span class="verse-link-invalid">[[Jon 3:16]]</span> <span class="verse-link-invalid">[[John]]</span> [[]]<br>'
+    assert render("") == "" and one(spark, tx.render_note(F.col("c0"), books).isNull(), None) is True
+
+
+def test_suffixes(spark):
+    cases = {("სახლი", "ში"): "სახლში", ("სახლი", "ის"): "სახლის", ("სახლი", "ს"): "სახლს", ("მთა", "ის"): "მთა", ("ხე", "ის"): "ხის", ("მთა", "ს"): "მთას", ("წყარო", "ის"): "წყაროს", ("ძმათა", "ის"): "ძმათა", ("კაცი", "ად"): "კაციად", ("კაცი", ""): "კაცი", ("", "ში"): ""}
+    df = spark.createDataFrame([(*k,) for k in cases], "w string, s string")
+    got = {(r.w, r.s): r.j for r in df.select("w", "s", quality.with_suffix(F.col("w"), F.col("s")).alias("j")).collect()}
+    assert got == cases
 
 
 def test_reference_text(spark):
