@@ -60,20 +60,26 @@ _U = np.uint64
 # -- shingles ---------------------------------------------------------------------------
 
 
-def shingle_sets(chunk: Chunk, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, shingle hash) of every row's distinct shingles, in row order, and every row's set size."""
-    n = len(chunk)
+Words = tuple[np.ndarray, np.ndarray]
+
+
+def words_of(chunk: Chunk) -> Words:
+    """Hash (A-Z lower-cased) and row of every word."""
     starts, ends = chunk.words()
-    words = span_hashes(chunk.lower(), starts, ends)
-    rows = chunk.row_of(starts)
+    return span_hashes(chunk.lower(), starts, ends), chunk.row_of(starts)
+
+
+def shingle_sets(n: int, words: Words, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shingle hash) of the distinct shingles of ``n`` rows, in row order, and every row's set size."""
+    hashed, rows = words
     whole = row_runs(rows, width)
-    hashes, owner = run_hashes(words, width)[whole], rows[: len(whole)][whole]
+    hashes, owner = run_hashes(hashed, width)[whole], rows[: len(whole)][whole]
     counts = np.bincount(rows, minlength=n)
     for few in range(1, width):  # a short text is one shingle
         short = np.flatnonzero(counts == few)
         if len(short):
             first = np.searchsorted(rows, short)
-            hashes = np.append(hashes, mix(run_hashes(words, few)[first] + _U(few)))
+            hashes = np.append(hashes, mix(run_hashes(hashed, few)[first] + _U(few)))
             owner = np.append(owner, short)
     _, at = np.unique(mix(hashes) + owner.astype(_U) * _U(0x9E3779B97F4A7C15), return_index=True)
     at = at[np.argsort(owner[at], kind="stable")]
@@ -91,17 +97,16 @@ def set_keys(owner: np.ndarray, hashes: np.ndarray, sizes: np.ndarray) -> np.nda
     return mix(total + sizes.astype(_U))
 
 
-def copy_keys(chunk: Chunk) -> np.ndarray:
-    """A 64-bit name of every row's words (A-Z lower-cased) in their order."""
-    starts, ends = chunk.words()
-    words, rows = span_hashes(chunk.lower(), starts, ends), chunk.row_of(starts)
-    counts = np.bincount(rows, minlength=len(chunk))
+def copy_keys(n: int, words: Words) -> np.ndarray:
+    """A 64-bit name of the words, in their order, of each of ``n`` rows."""
+    hashed, rows = words
+    counts = np.bincount(rows, minlength=n)
     first = np.cumsum(counts) - counts
-    out = np.zeros(len(chunk), _U)
-    if len(words):
-        place = np.arange(len(words)) - np.repeat(first, counts)
+    out = np.zeros(n, _U)
+    if len(hashed):
+        place = np.arange(len(hashed)) - np.repeat(first, counts)
         filled = np.flatnonzero(counts)
-        out[filled] = np.add.reduceat(mix(words + mix(place.astype(_U) + _U(1))), first[filled])
+        out[filled] = np.add.reduceat(mix(hashed + mix(place.astype(_U) + _U(1))), first[filled])
     return mix(out + counts.astype(_U))
 
 
@@ -116,16 +121,16 @@ def _chosen(texts: DataFrame, found: Ranges) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch.column(2)):
-                yield pa.RecordBatch.from_arrays([pa.array(copy_keys(chunk).view(np.int64)), batch.column(1).slice(chunk.first, len(chunk))], ["copy", "mark"])
+                yield pa.RecordBatch.from_arrays([pa.array(copy_keys(len(chunk), words_of(chunk)).view(np.int64)), batch.column(1).slice(chunk.first, len(chunk))], ["copy", "mark"])
 
     copies = texts.mapInArrow(frugal(run), "copy bigint, mark bigint")
     several = copies.groupBy("copy").agg(F.min("mark").alias("mark"), F.count(F.lit(1)).alias("times")).where("times > 1")
     found.table(several.select("copy", "mark"), "copy", "copy_mark")
 
 
-def _stands(chunk: Chunk, marks: np.ndarray, found: Ranges) -> np.ndarray:
+def _stands(words: Words, marks: np.ndarray, found: Ranges) -> np.ndarray:
     """Mask of the rows that stand for their words."""
-    keys, out = copy_keys(chunk), np.ones(len(chunk), bool)
+    keys, out = copy_keys(len(marks), words), np.ones(len(marks), bool)
     order = np.argsort(keys)
     for p, here, place, hit in found.places("copy", keys[order]):
         rows = order[here][hit]
@@ -137,8 +142,9 @@ def _count_shingles(texts: DataFrame, found: Ranges, width: int) -> None:
     """Step 1: keep the shingles of several chosen texts with their counts."""
 
     def scan(chunk: Chunk, batch: pa.RecordBatch) -> tuple:
-        owner, hashes, _ = shingle_sets(chunk, width)
-        return (hashes[_stands(chunk, np.asarray(batch.column(1))[chunk.first : chunk.first + len(chunk)], found)[owner]],)
+        words = words_of(chunk)
+        mine = _stands(words, np.asarray(batch.column(1))[chunk.first : chunk.first + len(chunk)], found)[words[1]]
+        return (shingle_sets(len(chunk), (words[0][mine], words[1][mine]), width)[1],)
 
     def flush(held: list) -> pa.RecordBatch:
         hashes, times = np.unique(np.concatenate([h[0] for h in held]), return_counts=True)
@@ -186,8 +192,9 @@ def _profiled(texts: DataFrame, found: Ranges, width: int, percent: int) -> Data
             for chunk in chunks(batch.column(2)):
                 here = (chunk.first, len(chunk))
                 marks = batch.column(1).slice(*here)
-                owner, hashes, sizes = shingle_sets(chunk, width)
-                mine = np.flatnonzero(_stands(chunk, np.asarray(marks), found)[owner])
+                words = words_of(chunk)
+                owner, hashes, sizes = shingle_sets(len(chunk), words, width)
+                mine = np.flatnonzero(_stands(words, np.asarray(marks), found)[owner])
                 owner_, hashes_ = owner[mine], hashes[mine]
                 times = found.values("shingle", "times", hashes_, 0)
                 shared = times > 0
