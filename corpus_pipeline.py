@@ -4,6 +4,12 @@ Each stage is a function (spark, docs, sf_dir) -> DataFrame over all rows that t
 stage before kept; ``run`` writes its result as Parquet to the shared folder and reads it
 again as the input of the next.  All stages but the last return the columns of
 ``documents``.
+
+Defined results: a null or empty text has no words, so the quality rules reject it; a null language
+is a language and a null source a source of its own; a null id is kept and sorts after all others where
+one of several documents stays; of repeated rows, as of all copies, one stays; very long texts
+are taken whole; further columns pass through the stages unread, whatever their names; an empty table gives
+an empty table.  Each function of a stage has these results alone, too.
 """
 
 from __future__ import annotations
