@@ -267,6 +267,60 @@ def test_automaton_on_a_small_vocabulary():
         wordpiece.LongestMatch([b"a"])
 
 
+def brute_statistics(text):
+    """The statistics of operator 2, one by one."""
+    data, words = (text or "").encode(), [w.encode() for w in WORD.findall(text or "")]
+    if not data:
+        return [0.0] * len(quality_model.NAMES)
+    n, size = max(1, len(words)), len(data)
+    lower = [bytes(b + 32 if 65 <= b <= 90 else b for b in w) for w in words]
+    lens = [len(w) for w in words]
+    mean = sum(lens) / n
+    tally, kinds = Counter(data), quality_model._KINDS
+    share = lambda keep: sum(k for b, k in tally.items() if keep(b)) / size
+    lines = data.count(b"\n") + 1
+    times, pairs = Counter(lower), list(zip(lower, lower[1:], strict=False))
+    _, _, _, dup_lines, repeat_words = brute_rules(text)
+    letter = lambda b: 65 <= b <= 90 or 97 <= b <= 122 or b >= 128
+    closing = b".?,;:!"
+    flags = [
+        sum(not any(map(letter, w)) for w in words), sum(w[-1] in closing for w in words), sum(65 <= w[0] <= 90 for w in words),
+        sum(sum(map(letter, w)) > 1 and not any(97 <= b <= 122 or b >= 128 for b in w) for w in words), sum(x <= 3 for x in lens),
+    ]
+    return [
+        np.log1p(len(words)), np.log1p(size), mean, np.sqrt(max(0, sum(x * x for x in lens) / n - mean * mean)), *(share(lambda b, m=m: m[b]) for m in kinds.values()),
+        len(words) / lines, dup_lines / lines, len(times) / n, max(times.values(), default=0) / n, repeat_words / n, 1 - len(set(pairs)) / max(1, len(pairs)),
+        -sum(k / size * np.log2(k / size) for k in tally.values()), *(f / n for f in flags), len(words) / (sum(tally[b] for b in b".?!") + 1),
+    ]
+
+
+def test_quality_model_statistics(texts):
+    some = texts[:60] + ODD + random_texts(60, 9) + ["x " * 100_000, "Ａ １ ! ?", None]
+    got = np.concatenate([quality_model.statistics(c) for c in chunks(pa.array(some))])
+    assert np.allclose(got, [brute_statistics(t) for t in some], atol=1e-6)
+
+
+def test_quality_model_rows_by_brute_force(spark):
+    """Labels, trees and scores again from plain Python: repeated and tied labels, repeated rows, null ids and texts."""
+    rng = random.Random(6)
+    texts = {i: " ".join(rng.choice(["good", "words", "here.", "BUY", "$$$", "now!!"][: 3 if i % 2 else 6]) for _ in range(rng.randint(5, 60))) for i in range(200)}
+    rows = [*texts.items(), (3, texts[3]), (500, None), (501, ""), (None, "good words")]
+    marks = [(i, i % 2) for i in range(150)] + [(7, 0), (8, 1), (8, 1), (9, None), (11, 5), (None, 1), (999, 1)]
+    got = quality_model.learn_and_score(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int")).collect()
+    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1
+    votes = {}
+    for i, m in marks:
+        if i is not None and m in (0, 1):
+            votes.setdefault(i, []).append(m)
+    learn = sorted(i for i in votes if i in texts and not out(i))
+    trees = quality_model.grow(np.array([brute_statistics(texts[i]) for i in learn]), np.array([float(2 * sum(votes[i]) >= len(votes[i])) for i in learn]))
+    want = {t: trees.score(np.array([brute_statistics(t)]))[0] for _, t in rows}
+    assert len(got) == len(rows)
+    by_id = {i: t for i, t in rows}
+    near = [abs(r.score - want[by_id[r.doc_id]]) < 0.02 for r in got]
+    assert np.mean(near) > 0.97 and all(r.held_out == out(r.doc_id) and r.predicted == int(r.score >= 0.5) for r in got)
+
+
 def test_quality_model_held_out(spark):
     rng = random.Random(4)
     good = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(60)) + "."
