@@ -230,6 +230,51 @@ def test_stream_history(spark, sf_dir, tmp_path):
     assert batch == marks.count()
 
 
+def test_stream_positions_expire(spark, tmp_path):
+    from quillspark.streaming import history
+
+    at = lambda day, hour: pd.Timestamp(2024, 1, day, hour).to_pydatetime()
+    steps = [[(1, 7, at(1, 8), "gen", 1), (2, 7, at(1, 9), "gen", 2), (3, 8, at(1, 9), "exo", 5)], [(4, 8, at(2, 1), "exo", 6), (5, 9, at(2, 20), "lev", 1)], [(6, 9, at(3, 23), "lev", 2)], [(7, 5, at(4, 1), "num", 1)]]
+    schema = "event_id long, user_id long, ts timestamp, book string, chapter int"
+    for i, rows in enumerate(steps):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"n{i}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    run = history.saved_positions(stream).writeStream.outputMode("update").format("memory").queryName("positions").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    run.awaitTermination(120)
+    got = {(r.user_id, r.book, r.chapter, r.live) for r in spark.sql("select * from positions").collect()}
+    assert {(7, "gen", 2, True), (8, "exo", 6, True), (9, "lev", 2, True), (7, "gen", 2, False)} <= got and (9, "lev", 2, False) not in got
+
+
+def test_stream_keeps_last_write(spark, tmp_path):
+    from quillspark.streaming import history
+
+    schema = "k long, ts long, note string"
+    for i, rows in enumerate([[(1, 1, "a"), (2, 1, "b"), (1, 3, "c")], [(1, 2, "late"), (2, 5, "d")], [(3, 1, "e")]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"n{i}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    history.keep_last(stream, str(tmp_path / "out"), ["k"], ["ts", "note"]).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start().awaitTermination(120)
+    assert sorted(map(tuple, history.latest(spark, str(tmp_path / "out")).collect())) == [(1, 3, "c"), (2, 5, "d"), (3, 1, "e")]
+
+
+def test_encoders(spark):
+    from quillspark.operators import encode
+
+    rows = spark.createDataFrame([(1, "Ab ac bad"), (2, None), (3, "")], "id long, text string")
+    got = {r.key: list(r.vec) for r in encode.encoded(rows, "id", "text", encode.first_letters, batch=2).collect()}
+    assert abs(got[1][0] - 2 / 5**0.5) < 1e-6 and abs(got[1][1] - 1 / 5**0.5) < 1e-6 and set(got[2] + got[3]) == {0.0}
+    scored = encode.rescored(rows, "id", "text", "bad", lambda: lambda q, texts: [float(q in t) for t in texts], batch=2)
+    assert {r.key: r.score for r in scored.collect()} == {1: 1.0, 2: 0.0, 3: 0.0}
+
+
+def test_versions_and_changes(spark, tmp_path):
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    new = spark.createDataFrame([(2, "ბ"), (3, "c")], "k long, v string")
+    target = readers.write_version(old, str(tmp_path / "t"), "1", dry_run=False, kind="json")
+    assert sorted((r.k, r.kind) for r in readers.changes(new, target, "k", ["v"], "json").collect()) == [(1, "removed"), (2, "changed"), (3, "added")]
+    target = readers.write_version(new, str(tmp_path / "t"), "2", dry_run=False, kind="json")
+    assert "ბ" in "".join(p.read_text() for p in (tmp_path / "t" / "version=2").glob("*.json"))
+
+
 def test_rewrite_pipeline_keeps_texts_with_accents(spark, tmp_path):
     import re
 
