@@ -33,6 +33,7 @@ empty table; texts of any length are taken whole.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -306,18 +307,27 @@ def _class_components(profiles: DataFrame, percent: int) -> DataFrame:
 
 
 def _group_pairs(groups: DataFrame, members: DataFrame, labels: DataFrame, percent: int, pivot: bool) -> DataFrame:
-    """Pairs (g, h) of groups that share a prefix shingle and are not wholly in one component: with a pivot of each list, or all."""
+    """Pairs (g, h) of groups that share a prefix shingle and are not wholly in one component: with a pivot of each list, or all.
+
+    ``rest``: how many shingles a set has from the shared one on.  At the first one that two sets share,
+    these must suffice for what similar sets have in common.  Groups meet those of their own and the next
+    band of sizes only.
+    """
     named = members.select("group", F.col("x.class").alias("class")).join(labels, F.col("class") == F.col("node"), "left").withColumn("part", F.coalesce("component", "class"))
     parts = named.groupBy("group").agg(F.min("part").alias("low"), F.max("part").alias("high"))
     bits = [f"{name}{i}" for i in range(PARITY_WORDS) for name in ("all", "any")]
-    index = written(groups.join(parts, "group").select(F.explode("prefix").alias("token"), F.struct("group", "n", "shared", "low", "high", *bits).alias("x")))
+    placed = groups.join(parts, "group").select("*", F.posexplode("prefix").alias("at", "token"))
+    index = written(placed.select("token", F.struct("group", "n", "shared", (F.col("shared") - F.col("at")).alias("rest"), "low", "high", *bits).alias("x")))
     open_ = index.groupBy("token").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high"), F.max_by("x", F.xxhash64("x.group", "token")).alias("y")).where("low <> high")
     if pivot:
         pairs = index.join(written(open_.select("token", "y")), "token")
     else:
         rest = written(index.join(written(open_.select("token")), "token", "left_semi"))
-        pairs = rest.join(rest.select("token", F.col("x").alias("y")), "token").where("x.group <= y.group")
-    apart = pairs.where("least(x.low, y.low) <> greatest(x.high, y.high)").where(_groups_may_link("x", "y", percent))
+        band = F.floor(F.log(F.col("x.n")) / math.log(1.0001 * 100 / percent)) if percent < 100 else F.col("x.n")
+        rest = rest.withColumn("band", band.cast("bigint")).withColumn("own", F.col("band"))
+        others = rest.select("token", F.col("x").alias("y"), F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), F.col("own").alias("other"))
+        pairs = rest.join(others, ["token", "band"]).where("own < other or x.group <= y.group")
+    apart = pairs.where("least(x.low, y.low) <> greatest(x.high, y.high)").where(f"{100 + percent} * least(x.rest, y.rest) >= {percent} * (x.n + y.n)").where(_groups_may_link("x", "y", percent))
     return apart.select(F.least("x.group", "y.group").alias("g"), F.greatest("x.group", "y.group").alias("h")).distinct()
 
 
