@@ -120,5 +120,10 @@ def parse_search(q: str) -> tuple[str, list[str]]:
     return ("empty" if not words else "single" if len(words) == 1 else "and"), words
 
 
-def clamp_limit(limit: int, cap: int) -> int:
-    return min(max(limit, 0), cap)
+#: The most rows that a question of each kind may ask for.
+MOST_ROWS = {"keywords": 2000, "references": 50, "topics": 100, "testament": 500, "letter": 2000, "words": 500, "verses": 100}
+
+
+def clamp_limit(limit: int, cap: int | str) -> int:
+    """``limit``, not below 0 and not above a cap, given as a number or as a kind of question."""
+    return min(max(limit, 0), MOST_ROWS[cap] if isinstance(cap, str) else cap)

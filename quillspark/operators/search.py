@@ -61,7 +61,7 @@ def phrase_matches(verses: DataFrame, phrase: str, translation: str = "both") ->
 
 
 def ranked(matches: DataFrame, limit: int = 200) -> DataFrame:
-    return matches.orderBy(F.desc("exact_count"), F.desc("total_count"), "idx").limit(tx.clamp_limit(limit, 2000))
+    return matches.orderBy(F.desc("exact_count"), F.desc("total_count"), "idx").limit(tx.clamp_limit(limit, "keywords"))
 
 
 def facets(matches: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..operators import lexicon as op
 from ..plans.adapters import Views
 from ..plans.roster import Roster
@@ -80,7 +81,7 @@ def lex_page(v: Views) -> DataFrame:
     """Second page of a letter; only the page's rows meet the word groups."""
     letter = v.lexicon("t")
     pages = letter.agg(F.ceil(F.count(F.lit(1)) / 50).alias("total_pages"))
-    page = letter.orderBy(F.desc("total"), "word").offset(50).limit(50).crossJoin(F.broadcast(pages))
+    page = letter.orderBy(F.desc("total"), "word").offset(50).limit(tx.clamp_limit(50, "letter")).crossJoin(F.broadcast(pages))
     forms = v.word_forms()
     found = page.join(forms, F.col("word") == F.col("form"), "left")
     groups = forms.join(found.select("lemma").distinct(), "lemma", "left_semi").groupBy("lemma").agg(F.count(F.lit(1)).alias("n"))
@@ -91,7 +92,7 @@ def lex_page(v: Views) -> DataFrame:
 def lex_search(v: Views) -> DataFrame:
     """The first hits in letter order, sorted by frequency afterwards: not the overall top."""
     hits = v.lexicon().where(F.contains(F.lower("word"), F.lit("ion"))).select("word", "total")
-    return hits.orderBy(F.lower(F.substring("word", 1, 1)), F.desc("total"), "word").limit(100).orderBy(F.desc("total"), "word")
+    return hits.orderBy(F.lower(F.substring("word", 1, 1)), F.desc("total"), "word").limit(tx.clamp_limit(100, "words")).orderBy(F.desc("total"), "word")
 
 
 PER_FORM = f"""
@@ -128,7 +129,7 @@ def word_distribution(v: Views) -> DataFrame:
 def word_verses(v: Views) -> DataFrame:
     """Keys in alphabetical, not canonical, order of books."""
     found = _of_word(v).select("idx").distinct().join(v.verses().select("idx", "book_slug", "chapter", "verse"), "idx")
-    return found.select("book_slug", "chapter", "verse").distinct().orderBy("book_slug", "chapter", "verse").offset(20).limit(50)
+    return found.select("book_slug", "chapter", "verse").distinct().orderBy("book_slug", "chapter", "verse").offset(20).limit(tx.clamp_limit(50, "verses"))
 
 
 @query(
@@ -141,8 +142,6 @@ join word_forms on form = token join grouped g using (lemma) order by total, fir
 )
 def verse_words(v: Views) -> DataFrame:
     """Rarest words first; a group's frequency is the sum of its forms' document frequencies."""
-    from ..functions import text as tx
-
     df = v.stored("tokens").select("token", "df") if v.index else v.postings().select("token", "idx").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     forms = v.word_forms()
     grouped = forms.join(df, F.col("form") == F.col("token")).groupBy("lemma").agg(F.sum("df").alias("total"), F.count(F.lit(1)).alias("forms_count"))

@@ -19,7 +19,7 @@ query = roster.query
 def topic_search(v: Views) -> DataFrame:
     q = F.lit("1")
     hits = v.topics().where(F.contains(F.lower("name_en"), q) | F.contains("slug", q) | F.contains(F.lower("source"), q))
-    return hits.orderBy(F.desc("verse_count"), "slug").limit(10).crossJoin(F.broadcast(hits.agg(F.count(F.lit(1)).alias("total")))).select("slug", "name_en", "verse_count", "total")
+    return hits.orderBy(F.desc("verse_count"), "slug").limit(tx.clamp_limit(10, "topics")).crossJoin(F.broadcast(hits.agg(F.count(F.lit(1)).alias("total")))).select("slug", "name_en", "verse_count", "total")
 
 
 @query("topic_top10", "select slug, verse_count from topics order by verse_count desc, slug limit 10")
@@ -223,7 +223,7 @@ def xref_build(v: Views) -> DataFrame:
 
 @query("xref_filter", "select src, dst, confidence, votes from xrefs where coalesce(confidence, 0) >= 55 and votes >= 3 order by votes desc, src, dst limit 50")
 def xref_filter(v: Views) -> DataFrame:
-    return op.confident(v.xrefs(), 55, 3).orderBy(F.desc("votes"), "src", "dst").limit(50).select("src", "dst", "confidence", "votes")
+    return op.confident(v.xrefs(), 55, 3).orderBy(F.desc("votes"), "src", "dst").limit(tx.clamp_limit(200, "references")).select("src", "dst", "confidence", "votes")
 
 
 @query("xref_enrich", "select x.dst, x.book, coalesce(v.book, x.book) as name, substr(coalesce(v.new, ''), 1, 40) as preview, (select count(*) from xrefs where src = 42) as total from xrefs x left join verses v on v.idx = x.dst where src = 42 and confidence >= 45")

@@ -111,6 +111,11 @@ def test_notes(spark):
     assert render("") == "" and one(spark, tx.render_note(F.col("c0"), books).isNull(), None) is True
 
 
+def test_limits():
+    assert [tx.clamp_limit(n, "references") for n in (-3, 0, 7, 50, 51)] == [0, 0, 7, 50, 50]
+    assert tx.clamp_limit(5000, "keywords") == 2000 and tx.clamp_limit(9, 4) == 4
+
+
 def test_suffixes(spark):
     cases = {("სახლი", "ში"): "სახლში", ("სახლი", "ის"): "სახლის", ("სახლი", "ს"): "სახლს", ("მთა", "ის"): "მთა", ("ხე", "ის"): "ხის", ("მთა", "ს"): "მთას", ("წყარო", "ის"): "წყაროს", ("ძმათა", "ის"): "ძმათა", ("კაცი", "ად"): "კაციად", ("კაცი", ""): "კაცი", ("", "ში"): ""}
     df = spark.createDataFrame([(*k,) for k in cases], "w string, s string")
