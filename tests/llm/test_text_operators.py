@@ -197,6 +197,16 @@ def test_quality_rules_on_the_table(spark, sf_dir):
     assert kept.columns == clashing.columns and {r.row for r in kept.collect()} == {i for i in got if got[i].kept}
 
 
+def test_quality_rules_against_labels(spark, sf_dir):
+    """The bands reject what is labelled bad and passes the base rule, and hardly anything that is labelled good."""
+    folder = sf_dir.replace("sf0.001", "sf0.01")
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    quality = {r.doc_id: r.quality for r in labels.collect()}
+    got = [r for r in quality_rules.judge(docs, VOCABULARIES).collect() if not r.base_failed]
+    bad, good = ([r.kept for r in got if quality.get(r.doc_id) == q] for q in (0, 1))
+    assert len(bad) > 20 and np.mean(bad) < 0.15 and np.mean(good) > 0.97
+
+
 def test_quality_rules_bands(spark):
     """Each band rejects what is planted outside of it and leaves alone what lies inside."""
     rng = random.Random(3)
