@@ -46,6 +46,7 @@ from pyspark.sql.types import StructType
 from ..plans.graph import connected_components
 from ..plans.memory import frugal
 from ..plans.shared import unused, written
+from .blocks import blocks_batch, pack
 from .ranges import Ranges, flushed
 from .textscan import Chunk, chunks, mix, row_runs, run_hashes, span_hashes
 
@@ -211,41 +212,76 @@ def _profiled(texts: DataFrame, found: Ranges, width: int, percent: int) -> Data
     return texts.mapInArrow(frugal(run), f"{ROW}, {PROFILE}")
 
 
-def _prepared(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The rows (``ROW``), and the profiles (class, n, ``PROFILE``), one for each class that may link."""
+def _keep_sets(members: DataFrame, found: Ranges) -> None:
+    """Keep the shared shingles of each class (rows class, n, members): ``set`` has the classes, ``set_end`` where theirs end in ``set_members``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, n = np.asarray(batch.column(0)).view(_U), np.asarray(batch.column(1))
+            order = np.argsort(keys)
+            sets = [np.frombuffer(batch.column(2)[i].as_buffer(), np.int64) for i in order.tolist()]
+            sizes = np.array([len(x) for x in sets], np.int32)
+            edges = found.edges(keys[order])
+            parts = [(p, slice(edges[p], edges[p + 1])) for p in range(found.parts) if edges[p] < edges[p + 1]]
+            if parts:
+                yield blocks_batch(found.keys, [(p, pack(keys[order][x], n[order][x], sizes[x], np.concatenate(sets[x]))) for p, x in parts])
+
+    def arrays(got: list) -> list[np.ndarray]:
+        keys, n, sizes = (np.concatenate([x[i] for x in got]) for i in range(3))
+        flat = np.concatenate([x[3] for x in got])
+        stop = np.cumsum(sizes, dtype=np.int64)
+        _, first = np.unique(keys, return_index=True)  # equal texts of several tasks
+        sets = [flat[stop[i] - sizes[i] : stop[i]] for i in first.tolist()]
+        return [keys[first], n[first], np.cumsum(sizes[first], dtype=np.int64), np.concatenate(sets)]
+
+    found.keep(members.mapInArrow(frugal(run), "to int, block binary"), arrays, "set", "set_n", "set_end", "set_members")
+
+
+def _sets(classes: np.ndarray, found: Ranges) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The distinct ones of some classes, ascending as unsigned numbers, their set sizes and their shared shingles."""
+    keys = np.unique(classes.view(_U))
+    n, sets = np.zeros(len(keys), np.int64), [np.zeros(0, _U)] * len(keys)
+    for p, here, place, _ in found.places("set", keys):
+        ends, flat = found.store.get("set_end", p), found.store.get("set_members", p)
+        n[here] = found.store.get("set_n", p)[place]
+        for i, at in enumerate(place.tolist(), here.start):
+            sets[i] = np.asarray(flat[ends[at - 1] if at else 0 : ends[at]]).view(_U)
+    return keys, n, sets
+
+
+def _prepared(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, Ranges]:
+    """The rows (``ROW``), the profiles (class, n, ``PROFILE`` without members), one for each class that may link, and the sets of these."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), row_mark(docs).alias("mark"), F.col(text_col).cast("string").alias("text"))
     found = Ranges(docs.sparkSession, "shingles")
     _chosen(texts, found)
     _count_shingles(texts, found, width)
     rows = written(_profiled(texts, found, width, percent))
-    profiles = rows.where("members is not null").select("class", F.col("n_shingles").alias("n"), "shared", "parity", "spread", "signature", "prefix", "members")
-    return rows.select("doc_id", "mark", "n_shingles", "class"), written(profiles.dropDuplicates(["class"]))
+    linkable = rows.where("signature is not null").withColumn("n", F.col("n_shingles"))
+    _keep_sets(linkable.select("class", "n", "members"), found)
+    profiles = written(linkable.select("class", "n", "shared", "parity", "spread", "signature", "prefix").dropDuplicates(["class"]))
+    return rows.select("doc_id", "mark", "n_shingles", "class"), profiles, found
 
 
 # -- pairs ------------------------------------------------------------------------------
 
 
-def _verified(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that are similar, by their whole shared sets."""
-    sets = profiles.select("class", "n", "members")
-    left = sets.select(F.col("class").alias("a"), F.col("n").alias("an"), F.col("members").alias("am"))
-    right = sets.select(F.col("class").alias("b"), F.col("n").alias("bn"), F.col("members").alias("bm"))
+def _verified(pairs: DataFrame, found: Ranges, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that are similar, by their whole shared sets, which are looked up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, an, am, bn, bm = (batch.column(i) for i in range(6))
+            a, b = (np.asarray(batch.column(i)) for i in range(2))
+            keys, n, sets = _sets(np.concatenate([a, b]), found)
+            x, y = (np.searchsorted(keys, c.view(_U)) for c in (a, b))
             keep = np.zeros(len(batch), bool)
-            for i in range(len(batch)):
-                x, y = np.frombuffer(am[i].as_buffer(), _U), np.frombuffer(bm[i].as_buffer(), _U)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep[i] = 100 * common >= percent * (an[i].as_py() + bn[i].as_py() - common)
-            mask = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
+            for i, (p, q) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+                large, small = (sets[p], sets[q]) if len(sets[p]) >= len(sets[q]) else (sets[q], sets[p])
+                common = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+                keep[i] = 100 * common >= percent * (n[p] + n[q] - common)
+            yield batch.filter(pa.array(keep))
 
-    joined = written(pairs).join(left, "a").join(right, "b").select("a", "b", "an", "am", "bn", "bm")
-    return joined.mapInArrow(frugal(run), "a bigint, b bigint")
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.select("a", "b").repartition(parts, "a", "b").mapInArrow(frugal(run), "a bigint, b bigint")
 
 
 def _may_link(a: str, b: str, percent: int) -> str:
@@ -284,7 +320,7 @@ def _groups_may_link(x: str, y: str, percent: int) -> str:
     return f"{sizes} and {common} and {apart}"
 
 
-def _class_components(profiles: DataFrame, percent: int) -> DataFrame:
+def _class_components(profiles: DataFrame, found: Ranges, percent: int) -> DataFrame:
     """Step 3: (node, component) of all classes that are linked."""
     own = profiles.groupBy("signature", "n").agg(
         F.max_by("prefix", "class").alias("prefix"), F.max_by(_facts(), F.struct("spread", "class")).alias("one"), F.max("spread").alias("spread"), F.max("shared").alias("shared"), F.count(F.lit(1)).alias("times"),
@@ -298,11 +334,11 @@ def _class_components(profiles: DataFrame, percent: int) -> DataFrame:
     index = groups.select(F.explode("prefix").alias("token"), F.col("one").alias("x"), "spread")
     pivots = index.groupBy("token").agg(F.max_by("x", F.struct("spread", "x.class")).alias("y"), F.count(F.lit(1)).alias("lists")).where("lists > 1").select("token", "y")
     leads = index.join(written(pivots), "token").select("x", "y").unionByName(alike).where("x.class <> y.class").where(_may_link("x", "y", percent))
-    links = written(_verified(_ordered(leads.select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))), profiles, percent))
+    links = written(_verified(_ordered(leads.select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))), found, percent))
     # What is still apart: each list takes a random pivot, so that a group meets many; then all that is left.
     for pivot in (True, False):
         labels = written(connected_components(links))
-        links = written(links.unionByName(_verified(_expanded(_group_pairs(groups, members, labels, percent, pivot), members, labels, percent), profiles, percent)))
+        links = written(links.unionByName(_verified(_expanded(_group_pairs(groups, members, labels, percent, pivot), members, labels, percent), found, percent)))
     return connected_components(links)
 
 
@@ -315,18 +351,19 @@ def _group_pairs(groups: DataFrame, members: DataFrame, labels: DataFrame, perce
     """
     named = members.select("group", F.col("x.class").alias("class")).join(labels, F.col("class") == F.col("node"), "left").withColumn("part", F.coalesce("component", "class"))
     parts = named.groupBy("group").agg(F.min("part").alias("low"), F.max("part").alias("high"))
-    bits = [f"{name}{i}" for i in range(PARITY_WORDS) for name in ("all", "any")]
     placed = groups.join(parts, "group").select("*", F.posexplode("prefix").alias("at", "token"))
-    index = written(placed.select("token", F.struct("group", "n", "shared", (F.col("shared") - F.col("at")).alias("rest"), "low", "high", *bits).alias("x")))
-    open_ = index.groupBy("token").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high"), F.max_by("x", F.xxhash64("x.group", "token")).alias("y")).where("low <> high")
+    band = F.floor(F.log(F.col("n")) / math.log(1.0001 * 100 / percent)).cast("bigint") if percent < 100 else F.col("n")
+    placed = placed.withColumn("rest", F.col("shared") - F.col("at")).withColumn("own", band).withColumn("band", F.explode(F.array("own", F.col("own") - 1)))
+    # A list is the groups of one shingle in one band of sizes and the next.
+    open_ = written(placed.groupBy("token", "band").agg(F.min("low").alias("low_"), F.max("high").alias("high_")).where("low_ <> high_").select("token", "band"))
+    bits = [f"{name}{i}" for i in range(PARITY_WORDS) for name in ("all", "any")]
+    index = written(placed.join(open_, ["token", "band"], "left_semi").select("token", "band", "own", F.struct("group", "n", "shared", "rest", "low", "high", *bits).alias("x")))
     if pivot:
-        pairs = index.join(written(open_.select("token", "y")), "token")
+        others = written(index.groupBy("token", "band").agg(F.max_by("x", F.xxhash64("x.group", "token")).alias("y")))
+        pairs = index.join(others, ["token", "band"])
     else:
-        rest = written(index.join(written(open_.select("token")), "token", "left_semi"))
-        band = F.floor(F.log(F.col("x.n")) / math.log(1.0001 * 100 / percent)) if percent < 100 else F.col("x.n")
-        rest = rest.withColumn("band", band.cast("bigint")).withColumn("own", F.col("band"))
-        others = rest.select("token", F.col("x").alias("y"), F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), F.col("own").alias("other"))
-        pairs = rest.join(others, ["token", "band"]).where("own < other or x.group <= y.group")
+        others = index.select("token", "band", F.col("own").alias("other"), F.col("x").alias("y"))
+        pairs = index.where("own = band").join(others, ["token", "band"]).where("own < other or x.group <= y.group")
     apart = pairs.where("least(x.low, y.low) <> greatest(x.high, y.high)").where(f"{100 + percent} * least(x.rest, y.rest) >= {percent} * (x.n + y.n)").where(_groups_may_link("x", "y", percent))
     return apart.select(F.least("x.group", "y.group").alias("g"), F.greatest("x.group", "y.group").alias("h")).distinct()
 
@@ -342,16 +379,15 @@ def _expanded(pairs: DataFrame, members: DataFrame, labels: DataFrame, percent:
 # -- links ------------------------------------------------------------------------------
 
 
-def _units(profiles: DataFrame, parts: DataFrame, weights: DataFrame) -> DataFrame:
+def _units(parts: DataFrame, weights: DataFrame) -> DataFrame:
     """Each linked class in each unit of work of its component."""
     sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     blocks = written(sizes.select("component", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int").alias("blocks")))
-    own = F.pmod(F.hash("node"), F.col("blocks"))
+    weighed = parts.join(weights, parts["node"] == weights["class"]).select("component", "class", "times")
+    own = F.pmod(F.hash("class"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = parts.join(blocks, "component").withColumn("own", own).withColumn("other", other)
-    dealt = dealt.select("component", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), (F.col("own") > F.col("other")).alias("side"), F.col("node").alias("class"))
-    sets = profiles.select("class", "n", "members").join(weights, "class")
-    return dealt.join(sets, "class").select("component", "left", "right", "side", "class", "n", "members", "times")
+    dealt = weighed.join(blocks, "component").withColumn("own", own).withColumn("other", other)
+    return dealt.select("component", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), (F.col("own") > F.col("other")).alias("side"), "class", "times")
 
 
 def _similar(n: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -376,14 +412,15 @@ def _similar(n: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
     return out
 
 
-def _counted(units: DataFrame, percent: int, pairs: bool) -> DataFrame:
+def _counted(units: DataFrame, found: Ranges, percent: int, pairs: bool) -> DataFrame:
     """Rows (a, b, links): sums by class (a), or with ``pairs`` the pairs of similar classes, a < b."""
     order = ["component", "left", "right"]
 
-    def solve(rows: list[dict]) -> pa.RecordBatch:
-        n, side, names, times = (np.array([r[k] for r in rows]) for k in ("n", "side", "class", "times"))
-        near = _similar(n, [np.frombuffer(r["members"], _U) for r in rows], percent)
-        if rows[0]["left"] != rows[0]["right"]:
+    def solve(side: np.ndarray, names: np.ndarray, times: np.ndarray, whole: bool) -> pa.RecordBatch:
+        keys, n, sets = _sets(names, found)
+        at = np.searchsorted(keys, names.view(_U))
+        near = _similar(n[at], [sets[i] for i in at], percent)
+        if not whole:
             near &= side[:, None] != side[None, :]
         if pairs:
             x, y = np.nonzero(np.triu(near))
@@ -395,17 +432,22 @@ def _counted(units: DataFrame, percent: int, pairs: bool) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(links, pa.int64())], ["a", "b", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        key, held = None, []
         for batch in batches:
-            for row in batch.to_pylist():
-                if held and any(held[0][k] != row[k] for k in order):
-                    yield solve(held)
+            columns = [np.asarray(batch.column(i)) for i in range(6)]
+            keys = np.stack(columns[:3], 1)
+            edge = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1))) if len(keys) else np.zeros(0, np.int64)
+            for first, last in zip(edge, np.append(edge[1:], len(keys)), strict=True):
+                if held and tuple(keys[first]) != key:
+                    yield solve(*(np.concatenate([h[i] for h in held]) for i in range(3)), key[1] == key[2])
                     held = []
-                held.append(row)
+                key = tuple(keys[first])
+                held.append([c[first:last] for c in columns[3:]])
         if held:
-            yield solve(held)
+            yield solve(*(np.concatenate([h[i] for h in held]) for i in range(3)), key[1] == key[2])
 
-    return units.repartition(*order).sortWithinPartitions(*order).mapInArrow(frugal(run), "a bigint, b bigint, links bigint")
+    parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return units.repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(frugal(run), "a bigint, b bigint, links bigint")
 
 
 # -- results ----------------------------------------------------------------------------
@@ -425,8 +467,8 @@ def _named(rows: DataFrame, linked: DataFrame) -> DataFrame:
 
 def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, class), one for each row of ``docs``."""
-    rows, profiles = _prepared(docs, width, percent, id_col, text_col)
-    return _named(rows, written(_class_components(profiles, percent))).select("doc_id", "n_shingles", "component_id", "class")
+    rows, profiles, found = _prepared(docs, width, percent, id_col, text_col)
+    return _named(rows, written(_class_components(profiles, found, percent))).select("doc_id", "n_shingles", "component_id", "class")
 
 
 def _weights(rows: DataFrame) -> DataFrame:
@@ -438,17 +480,17 @@ def near_links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_c
 
     Rows of one class are similar to each other, if they have shingles.
     """
-    rows, profiles = _prepared(docs, width, percent, id_col, text_col)
-    parts = written(_class_components(profiles, percent))
-    found = _counted(_units(profiles, parts, written(_weights(rows))), percent, True)
-    return written(found.select("a", "b")), rows.select("doc_id", "n_shingles", "class")
+    rows, profiles, found = _prepared(docs, width, percent, id_col, text_col)
+    parts = written(_class_components(profiles, found, percent))
+    pairs = _counted(_units(parts, written(_weights(rows))), found, percent, True)
+    return written(pairs.select("a", "b")), rows.select("doc_id", "n_shingles", "class")
 
 
 def link_counts(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``near_components`` with ``n_links``: to how many other rows each is similar."""
-    rows, profiles = _prepared(docs, width, percent, id_col, text_col)
-    parts, weights = written(_class_components(profiles, percent)), written(_weights(rows))
-    sums = _counted(_units(profiles, parts, weights), percent, False).groupBy("a").agg(F.sum("links").alias("others"))
+    rows, profiles, found = _prepared(docs, width, percent, id_col, text_col)
+    parts, weights = written(_class_components(profiles, found, percent)), written(_weights(rows))
+    sums = _counted(_units(parts, weights), found, percent, False).groupBy("a").agg(F.sum("links").alias("others"))
     counts = written(weights.join(sums, weights["class"] == sums["a"], "left").select(F.col("class").alias("_class"), (F.col("times") - 1 + F.coalesce("others", F.lit(0))).alias("_links")))
     joined = _named(rows, parts).join(counts, (F.col("class") == F.col("_class")) & (F.col("n_shingles") > 0), "left")
     return joined.select("doc_id", "n_shingles", "component_id", "class", F.coalesce("_links", F.lit(0)).alias("n_links"))
@@ -464,8 +506,8 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     Of equal rows one stays; rows without shingles all stay.  Texts are not shuffled: rows look
     up what becomes of them.
     """
-    rows, profiles = _prepared(docs, width, percent, "doc_id", "text")
-    named = written(_named(rows, written(_class_components(profiles, percent))).where("n_shingles > 0"))
+    rows, profiles, sets = _prepared(docs, width, percent, "doc_id", "text")
+    named = written(_named(rows, written(_class_components(profiles, sets, percent))).where("n_shingles > 0"))
     gone = named.where("mark <> lead_mark").select("mark", F.lit(_GOES).cast("bigint").alias("fate")).distinct()
     equal = named.where("mark = lead_mark").groupBy("mark").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     found = Ranges(docs.sparkSession, "fates")
