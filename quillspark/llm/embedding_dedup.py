@@ -301,3 +301,16 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     component = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     out = joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+#: DuckDB SQL for ``near_vectors``, with all pairs.
+ORACLE = """
+with recursive vectors as (
+  select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+units as (select vec_id, v, sqrt(list_dot_product(v, v)) as norm from vectors),
+links as (select a.vec_id as a, b.vec_id as b from units a join units b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) and list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.9::double),
+reached(node, other) as (select vec_id, vec_id from embeddings union select r.node, l.b from reached r join links l on l.a = r.other),
+named as (select node, min(other) as component_id from reached group by node)
+select e.vec_id, (select count(*) from links where a = e.vec_id) as n_links, n.component_id, e.vec_id = n.component_id as kept from embeddings e join named n on n.node = e.vec_id
+"""

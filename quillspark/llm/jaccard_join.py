@@ -525,3 +525,18 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     left = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), row_mark(docs).alias("mark")).mapInArrow(frugal(run), schema)
     single = left.where(F.col(fate) == _ONCE).dropDuplicates([mark])
     return left.where(F.col(fate) == _STAYS).unionByName(single).select(*docs.columns)
+
+
+#: DuckDB SQL for ``link_counts`` (without the classes).
+ORACLE = """
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+') as w from documents),
+shingles as (
+  select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ') || ' #' || len(w)] else [] end) as s from words),
+sizes as (select doc_id, count(*) as n from shingles group by 1),
+common as (select x.doc_id as a, y.doc_id as b, count(*) as c from shingles x join shingles y on x.s = y.s and x.doc_id <> y.doc_id group by 1, 2),
+links as (select a, b from common join sizes p on p.doc_id = a join sizes q on q.doc_id = b where 100 * c >= 75 * (p.n + q.n - c)),
+reached(node, other) as (select doc_id, doc_id from documents union select r.node, l.b from reached r join links l on l.a = r.other),
+named as (select node, min(other) as component_id from reached group by node)
+select d.doc_id, coalesce(z.n, 0) as n_shingles, n.component_id, (select count(*) from links where a = d.doc_id) as n_links from documents d join named n on n.node = d.doc_id left join sizes z on z.doc_id = d.doc_id
+"""

@@ -39,7 +39,7 @@ def op5_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.link_counts(_table(spark, sf_dir, "documents"))
+    return jaccard_join.link_counts(_table(spark, sf_dir, "documents")).drop("class")
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat": chat.ORACLE, "op10_mixing": mixing.ORACLE}
+    return {"op3_embedding_dedup": embedding_dedup.ORACLE, "op6_jaccard_join": jaccard_join.ORACLE, "op7_chat": chat.ORACLE, "op10_mixing": mixing.ORACLE}
