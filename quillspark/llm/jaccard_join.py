@@ -453,16 +453,23 @@ def _counted(units: DataFrame, found: Ranges, percent: int, pairs: bool) -> Data
 # -- results ----------------------------------------------------------------------------
 
 
-def _named(rows: DataFrame, linked: DataFrame) -> DataFrame:
-    """``rows`` with their component's least (id, mark), null ids last; ``linked``: (node, component) of the linked classes."""
+def _named(rows: DataFrame, linked: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """``rows`` with their component's least (id, mark), null ids last, and their class's ``links``, if rows (class, links) are given.
+
+    ``linked``: (node, component) of the linked classes.  What is known of a class meets the rows in one join, which AQE splits
+    where a class has very many.
+    """
     lead = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
-    firsts = rows.where("n_shingles > 0").groupBy("class").agg(F.min(lead).alias("first"))
-    firsts = written(firsts.join(linked, firsts["class"] == linked["node"], "left").select("class", "first", F.coalesce("component", "class").alias("component")))
+    firsts = rows.where("n_shingles > 0").groupBy("class").agg(F.min(lead).alias("first"), (F.count(F.lit(1)) - 1).alias("copies"))
+    firsts = written(firsts.join(linked, firsts["class"] == linked["node"], "left").select("class", "first", "copies", F.coalesce("component", "class").alias("component")))
     names = written(firsts.groupBy("component").agg(F.min("first").alias("lead")))
-    by_class = written(firsts.join(names, "component").select(F.col("class").alias("_class"), "lead"))
-    named = rows.join(by_class, (F.col("class") == F.col("_class")) & (F.col("n_shingles") > 0), "left")
+    facts = firsts.join(names, "component").select(F.col("class").alias("_class"), "lead", "copies")
+    if links is not None:
+        others = links.select(F.col("class").alias("_other"), "links")
+        facts = facts.join(others, F.col("_class") == F.col("_other"), "left").select("_class", "lead", (F.col("copies") + F.coalesce("links", F.lit(0))).alias("copies"))
+    named = rows.join(written(facts), (F.col("class") == F.col("_class")) & (F.col("n_shingles") > 0), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("lead.doc_id")).otherwise(F.col("doc_id"))
-    return named.select("doc_id", "n_shingles", component.alias("component_id"), "class", "mark", F.when(F.col("n_shingles") > 0, F.col("lead.mark")).alias("lead_mark"))
+    return named.select("doc_id", "n_shingles", component.alias("component_id"), "class", "mark", F.when(F.col("n_shingles") > 0, F.col("lead.mark")).alias("lead_mark"), F.coalesce("copies", F.lit(0)).cast("bigint").alias("n_links"))
 
 
 def near_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -490,10 +497,8 @@ def link_counts(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_
     """The rows of ``near_components`` with ``n_links``: to how many other rows each is similar."""
     rows, profiles, found = _prepared(docs, width, percent, id_col, text_col)
     parts, weights = written(_class_components(profiles, found, percent)), written(_weights(rows))
-    sums = _counted(_units(parts, weights), found, percent, False).groupBy("a").agg(F.sum("links").alias("others"))
-    counts = written(weights.join(sums, weights["class"] == sums["a"], "left").select(F.col("class").alias("_class"), (F.col("times") - 1 + F.coalesce("others", F.lit(0))).alias("_links")))
-    joined = _named(rows, parts).join(counts, (F.col("class") == F.col("_class")) & (F.col("n_shingles") > 0), "left")
-    return joined.select("doc_id", "n_shingles", "component_id", "class", F.coalesce("_links", F.lit(0)).alias("n_links"))
+    sums = _counted(_units(parts, weights), found, percent, False).groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
+    return _named(rows, parts, written(sums)).select("doc_id", "n_shingles", "component_id", "class", "n_links")
 
 
 #: What becomes of a row: it stays, goes, or stays once among equal rows.
