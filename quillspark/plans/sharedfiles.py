@@ -44,10 +44,10 @@ class ArrayStore:
     """Arrays by name and part number.  Tasks ``put``, the driver publishes what a job has put, workers ``get``."""
 
     def __init__(self, spark: SparkSession, kind: str):
-        folder = new_path(spark, kind)
-        if folder.startswith("/") or folder.startswith("file:"):
-            folder = "file:" + "/" + folder.removeprefix("file:").lstrip("/")
-        self.folder = folder
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(new_path(spark, kind))
+        store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # a path without a scheme is the default one's
+        folder = folder.makeQualified(store.getUri(), store.getWorkingDirectory()).toString()
+        self.folder = "file:/" + folder.removeprefix("file:").lstrip("/") if folder.startswith("file:") else folder
         self.tables: dict[str, str] = {}
 
     @property
