@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .memory import kept
 from .shared import new_path
 
 ROWS = "name string, part int, seq int, block binary"
@@ -115,3 +116,6 @@ def _unpacked(table: str, name: str, part: int) -> str:
 @lru_cache(maxsize=4096)
 def _mapped(path: str) -> np.ndarray:
     return np.load(path, mmap_mode="r")
+
+
+kept("maps", _mapped.cache_clear)
