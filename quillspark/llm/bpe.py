@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.memory import frugal
+from ..plans.memory import frugal, kept
 from .textscan import Chunk, chunks, span_hashes
 
 _SPACE, _LETTER, _NUMBER, _OTHER, _UNSEEN = 0, 1, 2, 3, 255
@@ -334,6 +334,9 @@ def load(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
+kept("bpe", load.cache_clear)
+
+
 def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, ids array<int>): the token ids of every text.  One pass, no shuffle."""
 
@@ -347,7 +350,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(chunk)), lists], ["doc_id", "ids"])
 
     picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(frugal(run), "doc_id bigint, ids array<int>")
+    return picked.mapInArrow(frugal(run, "bpe"), "doc_id bigint, ids array<int>")
 
 
 def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -367,4 +370,4 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(chunk)), pa.array(counts, pa.int64()), pa.array(listed, pa.string()), pa.array(again, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(frugal(run), SCHEMA)
+    return picked.mapInArrow(frugal(run, "bpe"), SCHEMA)

@@ -38,10 +38,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..plans.graph import connected_components
 from ..plans.memory import frugal
@@ -518,16 +516,8 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     found = Ranges(docs.sparkSession, "fates")
     found.table(gone.unionByName(equal.select("mark", F.lit(_ONCE).cast("bigint").alias("fate"))), "mark", "fate")
     fate, mark = unused("fate", docs.columns), unused("mark", docs.columns)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fates = found.values("mark", "fate", np.asarray(batch.column(1)).view(_U), _STAYS)
-            left = pa.RecordBatch.from_arrays([*batch.column(0).flatten(), batch.column(1), pa.array(fates, pa.int32())], [*docs_columns, mark, fate])
-            yield left.filter(pc.not_equal(left.column(left.num_columns - 1), _GOES))
-
-    docs_columns = docs.columns
-    schema = StructType([*docs.schema.fields, *StructType.fromDDL(f"`{mark}` bigint, `{fate}` int").fields])
-    left = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), row_mark(docs).alias("mark")).mapInArrow(frugal(run), schema)
+    keyed = docs.withColumn(mark, row_mark(docs))
+    left = keyed.withColumn(fate, found.looked_up("mark", "fate", F.col(mark), _STAYS))
     single = left.where(F.col(fate) == _ONCE).dropDuplicates([mark])
     return left.where(F.col(fate) == _STAYS).unionByName(single).select(*docs.columns)
 

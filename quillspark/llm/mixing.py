@@ -25,15 +25,10 @@ each source in one task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.memory import frugal
-from ..plans.shared import cut, written
+from ..plans.shared import cut, unused, written
 from .ranges import Ranges
 
 MOST_COPIES = 3
@@ -115,15 +110,9 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
     taken = Ranges(docs.sparkSession, "mixture")
     taken.table(sample(units, "unit").where("copies > 0").select("unit", "copies"), "unit", "copies")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            copies = taken.values("unit", "copies", np.asarray(batch.column(1)).view(np.uint64), 0)
-            rows = pa.RecordBatch.from_arrays(batch.column(0).flatten(), docs_columns)
-            for again in range(1, int(copies.max(initial=0)) + 1):
-                yield rows.filter(pa.array(copies >= again))
-
-    docs_columns = docs.columns
-    return docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), unit).mapInArrow(frugal(run), docs.schema)
+    copies, again = unused("copies", docs.columns), unused("again", docs.columns)
+    looked_up = docs.withColumn(copies, taken.looked_up("unit", "copies", unit, 0)).where(F.col(copies) > 0)
+    return looked_up.withColumn(again, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)
 
 
 #: DuckDB SQL for ``mix`` (without the last two columns).

@@ -28,7 +28,7 @@ taken whole.
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -37,9 +37,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import ArrowUDFType
 from pyspark.sql.types import StructType
 
-from ..plans.memory import frugal
+from ..plans.memory import frugal, kept
 from ..plans.shared import written
 from .bpe import PairTable, merge_all, take_spans
 from .textscan import IS_SPACE, Chunk, chunks, mix, row_runs, run_hashes, span_hashes
@@ -182,6 +183,9 @@ def load(path: str) -> Vocabulary:
     return Pieces(path) if path.endswith(".model") else ByteRanks(path)
 
 
+kept("fertility", load.cache_clear)
+
+
 def _repeated(keys: np.ndarray) -> np.ndarray:
     """Mask of the keys that occur more than once."""
     _, back, n = np.unique(keys, return_inverse=True, return_counts=True)
@@ -275,21 +279,20 @@ def measured_fields(vocabularies: int) -> list[tuple[str, str]]:
     return [tuple(f.strip().split(" ")) for f in COUNTS.split(",")] + [(f"{name}_{k}", kind) for k in range(vocabularies) for name, kind in own]
 
 
-def _measured(rows: DataFrame, vocabularies: Sequence[str], text_of: Callable[[pa.RecordBatch], pa.Array], kept: list[str]) -> DataFrame:
-    """The first columns of ``rows``, which are ``kept``, with ``measured_fields`` added.  One pass, no shuffle."""
+def measures(text: Column, vocabularies: Sequence[str]) -> Column:
+    """A struct of ``measured_fields``.  Only the text goes to the worker; the row stays in the JVM."""
     fields = measured_fields(len(vocabularies))
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string()}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = [load(path) for path in vocabularies]
-        for batch in batches:
-            for chunk in chunks(pc.cast(text_of(batch), pa.string())):
-                out, here = measure_chunk(chunk, words), (chunk.first, len(chunk))
-                columns = [batch.column(i).slice(*here) for i in range(len(kept))]
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(out[f], kinds[t]) for f, t in fields)], [*kept, *(f for f, _ in fields)])
+        for texts in batches:
+            parts = [measure_chunk(chunk, words) for chunk in chunks(pc.cast(texts, pa.string()))]
+            columns = [pa.array(np.concatenate([p[f] for p in parts]) if parts else [], kinds[t]) for f, t in fields]
+            yield pa.StructArray.from_arrays(columns, names=[f for f, _ in fields])
 
-    schema = StructType([*(rows.schema[c] for c in kept), *StructType.fromDDL(", ".join(f"{f} {t}" for f, t in fields))])
-    return rows.mapInArrow(frugal(run), schema)
+    kind = StructType.fromDDL(", ".join(f"{f} {t}" for f, t in fields))
+    return F.arrow_udf(frugal(run, "fertility"), kind, ArrowUDFType.SCALAR_ITER).asNondeterministic()(text)  # so that it runs once for a row
 
 
 def _rounded(measure: str) -> Column:
@@ -343,8 +346,8 @@ def judge(docs: DataFrame, vocabularies: Sequence[str], id_col: str = "doc_id",
     the texts; what it measures is written and read twice, without a shuffle of rows unless
     there are too many cells to send around.
     """
-    picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), _lang(docs, lang_col), F.col(text_col).cast("string").alias("text"))
-    measured = written(_measured(picked, vocabularies, lambda batch: batch.column(2), ["doc_id", "lang"]))
+    picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), _lang(docs, lang_col), measures(F.col(text_col).cast("string"), vocabularies).alias("m"))
+    measured = written(picked.select("doc_id", "lang", "m.*"))
     return _judged(measured, len(vocabularies)).select("doc_id", *(f for f, _ in measured_fields(len(vocabularies))), "outside", "kept")
 
 
@@ -353,10 +356,9 @@ def keep_good(docs: DataFrame, vocabularies: Sequence[str], text_col: str = "tex
 
     Rows that pass the base rule are written with their measures and read again.
     """
-    at = docs.columns.index(text_col)
-    whole = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), _lang(docs, lang_col))
-    measured = _measured(whole, vocabularies, lambda batch: batch.column(0).field(at), ["row", "lang"]).where("not base_failed")
-    return _judged(written(measured), len(vocabularies)).where("kept").select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    whole = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), _lang(docs, lang_col), measures(F.col(text_col).cast("string"), vocabularies).alias("m"))
+    measured = written(whole.select("row", "lang", "m.*").where("not base_failed"))
+    return _judged(measured, len(vocabularies)).where("kept").select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def _lang(docs: DataFrame, lang_col: str | None) -> Column:

@@ -6,7 +6,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.functions import ArrowUDFType
 
 from ..plans.memory import frugal
 from ..plans.shared import written
@@ -48,6 +50,15 @@ class Ranges:
             out[order[here][hit]] = self.store.get(column, p)[place[hit]]
         return out
 
+    def looked_up(self, name: str, column: str, key: Column, absent: int) -> Column:
+        """The column's value of each row's key, which alone goes to the worker; the row stays in the JVM."""
+
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for keys in batches:
+                yield pa.array(self.values(name, column, np.asarray(keys).view(_U), absent))
+
+        return F.arrow_udf(frugal(run), "bigint", ArrowUDFType.SCALAR_ITER).asNondeterministic()(key)  # so that it runs once for a row
+
     def blocks(self, columns: list[np.ndarray]) -> pa.RecordBatch:
         """Columns by range; the first are the keys, which ascend."""
         edges = self.edges(columns[0])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.memory import frugal
+from ..plans.memory import frugal, kept
 from .bpe import byte_symbols, take_spans
 from .textscan import Chunk, chunks, span_hashes
 
@@ -129,6 +129,9 @@ def load(path: str) -> LongestMatch:
     return LongestMatch([bytes(to_byte[c] for c in t) for t in spec["model"]["vocab"] if t not in special and all(c in to_byte for c in t)])
 
 
+kept("automaton", load.cache_clear)
+
+
 def count_chunk(chunk: Chunk, automaton: LongestMatch) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = chunk.words()
     words = chunk.per_row(starts)
@@ -153,4 +156,4 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(chunk)), pa.array(words, pa.int64()), pa.array(counts, pa.int64())], ["doc_id", "n_words", "n_tokens"])
 
     picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(frugal(run), SCHEMA)
+    return picked.mapInArrow(frugal(run, "automaton"), SCHEMA)
