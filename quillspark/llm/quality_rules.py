@@ -333,7 +333,7 @@ def _outside(vocabularies: int) -> Column:
 
 def _judged(measured: DataFrame, vocabularies: int) -> DataFrame:
     """A table of measured rows with (outside, kept) added."""
-    cells = fences(measured, vocabularies)
+    cells = written(fences(measured, vocabularies))  # of known size, which mostly is too small for a shuffle of the rows
     same = F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("script") == F.col("_script")) & (F.col("octave") == F.col("_octave"))
     outside = F.when(F.col("base_failed"), F.array().cast("array<string>")).otherwise(_outside(vocabularies))
     return measured.join(cells, same, "left").withColumn("outside", outside).withColumn("kept", ~F.col("base_failed") & (F.size("outside") == 0))
@@ -344,7 +344,7 @@ def judge(docs: DataFrame, vocabularies: Sequence[str], id_col: str = "doc_id",
 
     ``outside`` names the bands that a text which passes the base rule breaks.  One pass over
     the texts; what it measures is written and read twice, without a shuffle of rows unless
-    there are too many cells to send around.
+    the planner finds the table of cells too large to send around.
     """
     picked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), _lang(docs, lang_col), measures(F.col(text_col).cast("string"), vocabularies).alias("m"))
     measured = written(picked.select("doc_id", "lang", "m.*"))

@@ -16,7 +16,7 @@ from ..plans.sharedfiles import ROWS, ArrayStore, array_row
 from .blocks import blocks_batch, bucket, by_key, pack, partition_keys
 from .textscan import Chunk, chunks
 
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 _U = np.uint64
 
 

@@ -98,8 +98,11 @@ def sentences(chunk: Chunk) -> Cuts:
     return np.append(0, last[:-1]), last, starts, ends, hashes
 
 
-def spans(chunk: Chunk, cuts: Cuts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, sentence number within the row, sentences covered, hash, check) of every span."""
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+
+def spans(chunk: Chunk, cuts: Cuts, bases: tuple[int, ...] = _BASES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """(row, sentence number within the row, sentences covered, hash, check) of every span; no check with one base."""
     first, last, starts, _, words = cuts
     none = np.zeros(0, np.int64)
     if not len(first):
@@ -110,7 +113,7 @@ def spans(chunk: Chunk, cuts: Cuts) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     begin = begin[row[stop[begin]] == row[begin]]
     a, b = first[begin], last[stop[begin]]
     found = []
-    for base in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+    for base in bases:
         power = np.full(len(words) + 1, _U(base))
         power[0] = 1
         inverse = np.full(len(words) + 1, _U(_inverse(base)))
@@ -119,7 +122,7 @@ def spans(chunk: Chunk, cuts: Cuts) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         found.append(mix((sums[b] - sums[a]) * np.multiply.accumulate(inverse)[a] + (b - a).astype(_U)))
     row_first = np.searchsorted(row, np.arange(len(chunk)))
     place = begin - row_first[row[begin]]
-    return row[begin], place, stop[begin] - begin + 1, found[0], (found[1] >> _U(32)).astype(np.uint32)
+    return row[begin], place, stop[begin] - begin + 1, found[0], (found[1] >> _U(32)).astype(np.uint32) if len(bases) > 1 else None
 
 
 def _halves(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +158,7 @@ def _seen_again(texts: DataFrame, found: Ranges) -> None:
         short = short[several]
         return [short[np.append(True, short[1:] != short[:-1])[: len(short)]]]
 
-    found.keep(flushed(texts.select("text"), lambda chunk, _: (spans(chunk, sentences(chunk))[3] >> _U(SHORT),), flush), again, "seen")
+    found.keep(flushed(texts.select("text"), lambda chunk, _: (spans(chunk, sentences(chunk), _BASES[:1])[3] >> _U(SHORT),), flush), again, "seen")
 
 
 FIRST = ("hash", "check", "id", "mark", "place")
