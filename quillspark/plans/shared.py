@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROW_GROUP = 32 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a local session without one (tests) gets a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
@@ -49,7 +52,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again; unlike a checkpoint it is compressed and columnar."""
+    """``df`` written as Parquet to the shared folder and read again; unlike a checkpoint it is compressed and columnar.
+
+    Row groups are small, as a writer holds a whole one in memory.
+    """
     path = new_path(df.sparkSession, "table")
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.parquet(path)
