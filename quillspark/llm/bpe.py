@@ -53,8 +53,9 @@ def byte_symbols() -> list[str]:
 class PairTable:
     """Open-addressing table from a pair of ids to (rank, merged id), probed in bulk."""
 
-    def __init__(self, left: np.ndarray, right: np.ndarray, merged: np.ndarray):
-        self.bits = max(8, int(len(left) * 16).bit_length())
+    def __init__(self, left: np.ndarray, right: np.ndarray, merged: np.ndarray, room: int = 16):
+        """``room``: slots for each pair, or up to twice as many."""
+        self.bits = max(8, int(len(left) * room).bit_length())
         size = 1 << self.bits
         self.keys = np.full(size, -1, np.int64)
         self.rank = np.full(size, _NO_RANK, np.int32)

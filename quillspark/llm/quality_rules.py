@@ -172,7 +172,7 @@ def _merges(ids: dict, tokens, rank: np.ndarray) -> PairTable:
             a, b = ids.get(token[:cut]), ids.get(token[cut:])
             if a is not None and b is not None:
                 left.append(a), right.append(b), merged.append(ids[token])
-    table = PairTable(np.array(left, np.int64), np.array(right, np.int64), np.array(merged, np.int32))
+    table = PairTable(np.array(left, np.int64), np.array(right, np.int64), np.array(merged, np.int32), room=4)
     filled = table.keys >= 0
     table.rank[filled] = rank[table.merged[filled]]
     return table
