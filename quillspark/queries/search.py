@@ -460,11 +460,11 @@ LETTER_COUNTS = "list_transform(range(26), lambda i: len(list_filter(regexp_extr
 ASKED = "the thing with an idea of rest"
 
 
-@query("encode_texts", f"select item_id, list_transform(v, lambda x: round(x / greatest(sqrt(list_dot_product(v, v)), 1e-12::double), 4)) as vec from (select item_id, {LETTER_COUNTS.format(t='text')} as v from benchmark)")
+@query("encode_texts", f"select item_id, list_transform(v, lambda x: round(x / greatest(sqrt(list_dot_product(v, v)), 1e-12::double), 6)) as vec from (select item_id, {LETTER_COUNTS.format(t='text')} as v from benchmark)")
 def encode_texts(v: Views) -> DataFrame:
     """Any encoder of batches of texts; here the one that counts first letters."""
-    rows = encode.encoded(v.table("benchmark"), "item_id", "text", encode.first_letters)
-    return rows.select(F.col("key").alias("item_id"), F.transform("vec", lambda x: F.round(x.cast("double"), 4)).alias("vec"))
+    rows = encode.encoded(v.table("benchmark"), "item_id", "text", encode.first_letters, element="double")
+    return rows.select(F.col("key").alias("item_id"), F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
 
 
 @query(
@@ -472,13 +472,13 @@ def encode_texts(v: Views) -> DataFrame:
     f"""with encoded as (select idx, {LETTER_COUNTS.format(t="case when old <> '' and old <> new then new || ' ' || old else new end")} as v from verses),
 asked as (select {LETTER_COUNTS.format(t="'" + ASKED + "'")} as q),
 scored as (select idx, list_dot_product(v, q) / (greatest(sqrt(list_dot_product(v, v)), 1e-12::double) * sqrt(list_dot_product(q, q))) as score from encoded, asked)
-select idx, round(score, 4) as score from scored where score >= 0.75::double""",
+select idx, round(score, 6) as score from scored where score >= 0.75::double""",
 )
 def dense_text(v: Views) -> DataFrame:
     """A typed query, encoded as the verses are."""
-    vectors = encode.encoded(embed_text(v), "idx", "text", encode.first_letters).select(F.col("key").alias("idx"), "vec")
-    asked = encode.encoded(v.spark.createDataFrame([(0, ASKED)], "id int, text string"), "id", "text", encode.first_letters).select(F.col("vec").alias("query"))
-    return op.dense_scores(vectors, asked).where("score >= 0.75").select("idx", F.round("score", 4).alias("score"))
+    vectors = encode.encoded(embed_text(v), "idx", "text", encode.first_letters, element="double").select(F.col("key").alias("idx"), "vec")
+    asked = encode.encoded(v.spark.createDataFrame([(0, ASKED)], "id int, text string"), "id", "text", encode.first_letters, element="double").select(F.col("vec").alias("query"))
+    return op.dense_scores(vectors, asked).where("score >= 0.75").select("idx", F.round("score", 6).alias("score"))
 
 
 @query(
