@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embedding_dedup, jaccard_join, language_model, mixing, quality_model, quality_rules, span_dedup, wordpiece
+from . import bpe, chat, divergence, embedding_dedup, importance, jaccard_join, language_model, mixing, pieces, quality_model, quality_rules, span_dedup, wordpiece
 
 
 #: The vocabularies that operator 8 measures with.
@@ -60,6 +60,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("source", "copies")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -72,8 +84,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_language_model": op9_language_model,
         "op10_mixing": op10_mixing,
+        "op11_divergence": op11_divergence,
+        "op12_importance": op12_importance,
+        "op13_pieces": op13_pieces,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_dedup": embedding_dedup.ORACLE, "op6_jaccard_join": jaccard_join.ORACLE, "op7_chat": chat.ORACLE, "op10_mixing": mixing.ORACLE}
+    return {
+        "op3_embedding_dedup": embedding_dedup.ORACLE,
+        "op6_jaccard_join": jaccard_join.ORACLE,
+        "op7_chat": chat.ORACLE,
+        "op10_mixing": mixing.ORACLE,
+        "op11_divergence": divergence.ORACLE,
+        "op12_importance": importance.ORACLE,
+    }
