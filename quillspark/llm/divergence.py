@@ -6,8 +6,8 @@ source), and every language, gives a kept term the smoothed share
 ``p = 1 + floor(SCALE * (count + SMOOTH) / (N + SMOOTH * V))``.
 
 1. Tasks count (language, source, term) of their texts, merged in bounded tables before anything is shuffled.
-2. The counts are dealt by hash of (language, term) to shards, whose number follows their count.  DuckDB adds
-   them up by vectorised SQL in each shard and keeps the terms that are frequent enough.
+2. The counts are dealt by hash of (language, term) to shards, as many to a partition as their number asks for.  DuckDB
+   adds them up by vectorised SQL in each shard and keeps the terms that are frequent enough.
 3. Spark adds up ``N`` and ``V``, and deals them to the shards that have terms of the language.
 4. In each shard DuckDB makes ``p``, the first ``TOP`` terms of every group, and partial sums for the pairs of sources.  With
    ``z`` for the share of a term that a group has not, the sum of ``|p - q|`` over all kept terms is
@@ -30,7 +30,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.memory import frugal
@@ -131,7 +131,7 @@ semi join (select lang, term from counts group by lang, term having sum(docs) >=
 group by lang, source, term"""
 
 
-def _kept_terms(counts: DataFrame, shards: int) -> DataFrame:
+def _kept_terms(counts: DataFrame, parts: int, each: int) -> DataFrame:
     """Step 2: rows (shard, lang, source, term, n) of the kept terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,13 +142,17 @@ def _kept_terms(counts: DataFrame, shards: int) -> DataFrame:
             found = con.sql(f"select {got[0].column(0)[0].as_py()}::int as shard, * from ({_SUMS})").to_arrow_table()
         yield from found.cast(pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64())])).to_batches()
 
-    return _by_shard(counts, shards).mapInArrow(frugal(_one_shard(run)), _KEPT)
+    return _by_shard(counts.select(_shard(parts, each), "*"), parts).mapInArrow(frugal(_one_shard(run)), _KEPT)
 
 
-def _by_shard(counts: DataFrame, shards: int) -> DataFrame:
-    """Rows with their shard before them, the rows of a shard together; a shard is a partition or one of several in it."""
-    shard = F.pmod(F.xxhash64("lang", "term"), F.lit(shards)).cast("int").alias("shard")
-    return counts.select(shard, "*").repartition(shards, "shard").sortWithinPartitions("shard")
+def _by_shard(rows: DataFrame, parts: int) -> DataFrame:
+    """Rows with a shard as their first column, dealt so that a partition has whole shards, one after another."""
+    return rows.repartition(parts, "lang", "term").sortWithinPartitions("shard")
+
+
+def _shard(parts: int, each: int) -> Column:
+    """The shard of a (lang, term): ``each`` of them to the partition that Spark deals it to."""
+    return (F.pmod(F.hash("lang", "term"), F.lit(parts)) * each + F.pmod(F.xxhash64("lang", "term"), F.lit(each))).cast("int").alias("shard")
 
 
 def _one_shard(run: Batched) -> Batched:
@@ -198,13 +202,13 @@ select 'both' as kind, a.lang, a.source, b.source as item, sum(abs(a.p - b.p) -
 from own a join own b on a.lang = b.lang and a.term = b.term and a.source < b.source group by all"""
 
 
-def _partial_sums(kept: DataFrame, facts: DataFrame, shards: int) -> DataFrame:
+def _partial_sums(kept: DataFrame, facts: DataFrame, parts: int) -> DataFrame:
     """Step 4: rows (kind, lang, source, item, value) of every shard."""
     schema = pa.schema([("kind", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("item", pa.string()), ("value", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(list(batches))
-        is_fact = pc.is_null(rows["term"])
+        is_fact = pc.is_valid(rows["v"])
         counts, known = rows.filter(pc.invert(is_fact)), rows.filter(is_fact).rename_columns(["shard", "lang", "source", "term", "total", "v", "lang_total"])
         with _duck(counts=counts, facts=known) as con:
             con.execute(_SHARED)
@@ -212,25 +216,26 @@ def _partial_sums(kept: DataFrame, facts: DataFrame, shards: int) -> DataFrame:
                 yield from con.sql(query).to_arrow_table().cast(schema).to_batches()
 
     none = F.lit(None).cast("bigint")
-    there = kept.select("shard", "lang").distinct().join(facts, "lang").select("shard", "lang", "source", F.lit(None).cast("string").alias("term"), F.col("total").alias("n"), "v", "lang_total")
+    # Any term of the language leads its facts to the shard's partition.
+    there = kept.groupBy("shard", "lang").agg(F.min("term").alias("term")).join(facts, "lang").select("shard", "lang", "source", "term", F.col("total").alias("n"), "v", "lang_total")
     both = kept.select("shard", "lang", "source", "term", "n", none.alias("v"), none.alias("lang_total")).unionByName(there)
-    dealt = both.repartition(shards, "shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(frugal(_one_shard(run)), _PARTS)
+    return _by_shard(both, parts).mapInArrow(frugal(_one_shard(run)), _PARTS)
 
 
 def audit(docs: DataFrame) -> DataFrame:
     """Rows (lang, source, part, item, value, rank)."""
     spark = docs.sparkSession
     counts = written(term_counts(docs))
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-counts.count() // SHARD))
-    kept = written(_kept_terms(counts.where("term <> ''"), shards))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    each = max(1, -(-counts.count() // (SHARD * parts)))
+    kept = written(_kept_terms(counts.where("term <> ''"), parts, each))
     groups = counts.where("term = ''").select("lang", "source").distinct()
     sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     of_lang = sums.groupBy("lang").agg(F.sum("total").alias("lang_total"))
     terms = kept.select("lang", "term").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
     facts = groups.join(sums, ["lang", "source"], "left").join(of_lang, "lang", "left").join(terms, "lang", "left")
     facts = written(facts.select("lang", "source", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("total", "v", "lang_total"))))
-    partial = written(_partial_sums(kept, facts.where("v > 0"), shards))
+    partial = written(_partial_sums(kept, facts.where("v > 0"), parts))
 
     places = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     top = partial.where("kind = 'term'").withColumn("rank", F.row_number().over(places)).where(F.col("rank") <= TOP)
@@ -238,7 +243,8 @@ def audit(docs: DataFrame) -> DataFrame:
     mine = facts.select("lang", "source", "v", zero.alias("z"))
     theirs = mine.select("lang", F.col("source").alias("item"), F.col("z").alias("other"))
     base = mine.join(theirs, "lang").where("source <> item").select("lang", "source", "item", (F.col("v") * F.abs(F.col("z") - F.col("other"))).alias("value"))
-    found = partial.where("kind <> 'term'").select("lang", F.explode(F.array(F.struct("source", "item"), F.struct(F.col("item").alias("source"), F.col("source").alias("item")))).alias("pair"), "value")
+    summed = partial.where("kind <> 'term'").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))  # over the shards, before both directions are made
+    found = summed.select("lang", F.explode(F.array(F.struct("source", "item"), F.struct(F.col("item").alias("source"), F.col("source").alias("item")))).alias("pair"), "value")
     pairs = base.unionByName(found.select("lang", "pair.*", "value")).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     pairs = pairs.withColumn("rank", F.row_number().over(places))
     out = ["lang", "source", "part", "item", "value", "rank"]
