@@ -54,8 +54,8 @@ def keyword_matches(postings: DataFrame, verses: DataFrame, forms: DataFrame, te
 
 def phrase_matches(verses: DataFrame, phrase: str, translation: str = "both") -> DataFrame:
     """Full scan, as suffixes of the last word count too."""
-    new = tx.count_phrase(F.col("new"), phrase) if translation in ("both", "new") else F.lit(0)
-    old = tx.count_phrase(F.col("old"), phrase) if translation in ("both", "old") else F.lit(0)
+    new = F.coalesce(tx.count_phrase(F.col("new"), phrase), F.lit(0)) if translation in ("both", "new") else F.lit(0)
+    old = F.coalesce(tx.count_phrase(F.col("old"), phrase), F.lit(0)) if translation in ("both", "old") else F.lit(0)
     counted = verses.withColumn("total_count", (new + old).cast("bigint")).where("total_count > 0")
     return counted.select("idx", "book_slug", "chapter", "verse", F.col("total_count").alias("exact_count"), "total_count")
 

@@ -69,6 +69,12 @@ class Views:
         hits = self.occurrences().join(forms.select(F.col("form").alias("token")).distinct(), "token", "left_semi")
         return hits.groupBy("token", "idx", "translation").agg(F.count(F.lit(1)).alias("cnt"))
 
+    def positions(self) -> DataFrame:
+        """Where every word stands: (token, idx, translation, steps, gaps)."""
+        from ..operators import phrase
+
+        return self.stored("positions") if self.index else phrase.positions(self.sides().select("idx", "translation", "text"))
+
     def word_forms(self) -> DataFrame:
         """form -> lemma: the shortest, then first, word with the same five letters; shorter words stand for themselves."""
         if self.index:

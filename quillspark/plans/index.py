@@ -42,6 +42,7 @@ def build(spark: SparkSession, sf_dir: str, out: str) -> None:
         return spark.read.parquet(f"{out}/{name}")
 
     postings = put(v.postings(), "postings", "token", "idx")
+    put(v.positions(), "positions", "token", "idx")
     lengths = put(postings.groupBy("idx").agg(F.sum("cnt").alias("dl")), "lengths", "idx")
     corpus = v.verses().select("idx").join(lengths, "idx", "left").agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce("dl", F.lit(0))).alias("avgdl"))
     per_token = postings.groupBy("token", "idx").agg(F.sum("cnt").alias("tf")).groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import encode
+from ..operators import phrase as at
 from ..operators import search as op
 from ..plans.adapters import Views
 from ..plans.roster import Roster
@@ -234,7 +237,24 @@ PHRASE_COUNT = r"len(regexp_extract_all({c}, '(?i)(^|[^\p{{L}}\p{{N}}_])" + PHRA
 def kw_phrase(v: Views) -> DataFrame:
     mode, (phrase,) = tx.parse_search(f'"{PHRASE}"')
     assert mode == "phrase"
-    return op.ranked(op.phrase_matches(v.verses(), phrase))
+    return op.ranked(at.matches(v.positions(), v.verses(), phrase) if v.index else op.phrase_matches(v.verses(), phrase))
+
+
+#: Of two to six words, with signs between words, after the last one, with a prefix for a last word, and one that overlaps itself.
+PHRASES = ["of the", "therhean is the", "is the is esnd", "therhean is the is esndha", "therhean is the is esndha reedes", "thinerha, the a", "in. the and", "thintion. of", "the the", "is in."]
+
+
+@query(
+    "kw_phrases",
+    rf"""with asked as (select unnest([{", ".join(f"'{p}'" for p in PHRASES)}]) as phrase)
+select phrase, idx, book_slug, chapter, verse, sum(n)::bigint as total_count from (
+  select phrase, s.*, len(regexp_extract_all(text, '(?i)(^|[^\p{{L}}\p{{N}}_])' || replace(phrase, '.', '\.'))) as n from sides s, asked) where n > 0 group by all""",
+)
+def kw_phrases(v: Views) -> DataFrame:
+    """Every phrase by the places of its words, with or without the stored index; no text is scanned for it."""
+    where = v.positions()
+    found = [at.matches(where, v.verses(), p).select(F.lit(p).alias("phrase"), "idx", "book_slug", "chapter", "verse", "total_count") for p in PHRASES]
+    return reduce(DataFrame.unionByName, found)
 
 
 @query("kw_facets", f"with {matches_sql(WORD)} select book_slug, chapter, count(*) as verse_count, sum(total_count)::bigint as occurrences from matched group by 1, 2")

@@ -50,7 +50,7 @@ def test_query_without_sql_runs(spark, sf_dir, name):
 
 
 INDEXED = [
-    "postings", "doc_freq", "expand_forms", "word_forms", "ud_groups", "group_exclude", "kw_single", "kw_and", "kw_topk", "kw_filtered", "kw_translation", "kw_facets", "kw_totals", "set_intersect", "highlight", "bm25", "bm25_topk", "rrf",
+    "postings", "doc_freq", "expand_forms", "word_forms", "ud_groups", "group_exclude", "kw_single", "kw_and", "kw_topk", "kw_filtered", "kw_translation", "kw_facets", "kw_totals", "kw_phrase", "kw_phrases", "set_intersect", "highlight", "bm25", "bm25_topk", "rrf",
     "exact_tier", "semantic_anti", "hybrid_guard", "rerank_exact", "rerank_sem", "hybrid", "mean_pool", "lexicon", "lex_scopes", "lex_scope_stats", "lex_letters", "lex_meta", "book_stats", "lex_trans_scope", "lex_page", "lex_search",
     "word_stats", "word_distribution", "word_verses", "verse_words", "word_locations",
 ]
@@ -75,7 +75,8 @@ def test_stored_index_is_refused_for_other_files(spark, sf_dir, tmp_path):
 
     from quillspark.plans import index
 
-    shutil.copytree(sf_dir, tmp_path / "in", copy_function=lambda a, b: shutil.copyfile(a, b))
+    (tmp_path / "in").mkdir()  # of its own mode: the data folder may be read-only
+    shutil.copyfile(f"{sf_dir}/documents.parquet", tmp_path / "in" / "documents.parquet")
     index.build(spark, f"{tmp_path}/in", f"{tmp_path}/index")
     rows = spark.read.parquet(f"{tmp_path}/in/documents.parquet").limit(5).toPandas()
     (tmp_path / "in" / "documents.parquet").unlink()
