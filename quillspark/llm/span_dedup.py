@@ -1,23 +1,24 @@
 """Operator 5: substring dedup by sliding sentence spans.
 
-A text is cut into short sentences: after a mark such as ``. ! ? , ; :``, at a line
-end, and after words whose hash is a multiple of ``CUT_EVERY``, which is every word:
-any rarer border leaves passages without a span, whole ones where few words repeat.
-A character of a script written without blanks (Han, kana, Thai, Lao, Khmer, Burmese,
-Tibetan) counts as a word.  From every sentence a span runs over at least ``SENTENCES``
-sentences and ``WORDS`` words.
+A text is cut into sentences: after ``. ! ?`` (closing quotes and brackets may follow), their full-width forms, and at
+line ends.  From every sentence a span runs over ``SENTENCES`` sentences, however short they are.  So every run of
+``SENTENCES`` sentences or more that occurs again is found.
+
+Passages without such borders have a second rule beside the first: from every word a window runs over ``WORDS`` words, so
+every passage of ``WORDS`` words or more that occurs again is found, wherever it begins and whatever
+marks it has.  A character of a script written without blanks (Han, kana, Thai, Lao, Khmer, Burmese,
+Tibetan) counts as a word.  Spans and windows have hashes of their own and are treated alike:
 
 1. The leading 40 bits of all span hashes are brought together by hash range; those that
    occur again are kept as sorted arrays in the shared folder.
 2. Of the spans that have one of them each task sends the first occurrence by (doc_id, text
    hash, place) that it saw, once, however often it saw the span.  A task per hash range
    keeps the first occurrence of all in the shared folder.
-3. Every text looks its spans up.  Where a span is not the first occurrence, every
-   sentence that it covers is removed.
+3. Every text looks its spans up.  Where a span is not the first occurrence, all
+   sentences, or words of a window, that it covers are removed.
 
-The first occurrence stays whole, but for what a repeat that overlaps it covers.  Every
-repeated passage of ``WORDS`` words or more is found, wherever it begins and whatever
-marks it has.  Neither texts nor occurrences are shuffled, so a passage that very many
+The first occurrence stays whole, but for what a repeat that overlaps it covers.  ``n_sentences`` counts a text's
+sentences, ``n_removed`` those that lost words.  Neither texts nor occurrences are shuffled, so a passage that very many
 texts share is no more work for any task than another.
 
 Defined results: comparison ignores the case of A-Z and the kind of white space;
@@ -44,13 +45,17 @@ from .blocks import blocks_batch, pack
 from .ranges import Ranges, flushed
 from .textscan import Chunk, chunks, mix, span_hashes
 
-SENTENCES, WORDS, CUT_EVERY = 3, 20, 1
+SENTENCES, WORDS = 3, 20
 #: Low bits of a hash that the first pass leaves out.
 SHORT = 24
 NO_ID = -(2**63)
 _U = np.uint64
 _STOP = np.zeros(256, bool)
-_STOP[[ord(c) for c in ".!?,;:"]] = True
+_STOP[[ord(c) for c in ".!?"]] = True
+_CLOSER = np.zeros(256, bool)
+_CLOSER[[ord(c) for c in "\"')]"]] = True
+#: Full-width full stop, exclamation and question mark.
+_WIDE_STOPS = [tuple(c.encode()) for c in "\u3002\uff01\uff1f"]
 
 #: First two bytes of the characters that count as words.
 _ALONE = np.zeros(1 << 16, bool)
@@ -84,34 +89,38 @@ def sentences(chunk: Chunk) -> Cuts:
     if not len(starts):
         none = np.zeros(0, np.int64)
         return none, none, starts, ends, none.astype(_U)
-    closes = _STOP[chunk.buf[ends - 1]]
-    wide = ends - starts >= 3
-    closes[wide] |= (chunk.buf[ends[wide] - 3] == 0xE3) & (chunk.buf[ends[wide] - 2] == 0x80) & (chunk.buf[ends[wide] - 1] == 0x82)
+    end = chunk.buf[ends - 1]
+    closes = _STOP[end] | (_CLOSER[end] & _STOP[chunk.buf[np.maximum(ends - 2, starts)]])
+    wide = np.flatnonzero((ends - starts >= 3) & (end >= 0x80))
+    tail = [chunk.buf[ends[wide] - k] for k in (3, 2, 1)]
+    for stop in _WIDE_STOPS:
+        closes[wide] |= (tail[0] == stop[0]) & (tail[1] == stop[1]) & (tail[2] == stop[2])
     feeds = np.flatnonzero(chunk.buf == 10)
     line = np.searchsorted(feeds, starts)
     row = chunk.row_of(starts)
     closes[:-1] |= (line[1:] != line[:-1]) | (row[1:] != row[:-1])
     closes[-1] = True
-    hashes = span_hashes(chunk.lower(), starts, ends)
-    closes |= hashes % _U(CUT_EVERY) == 0
     last = np.flatnonzero(closes) + 1
-    return np.append(0, last[:-1]), last, starts, ends, hashes
+    return np.append(0, last[:-1]), last, starts, ends, span_hashes(chunk.lower(), starts, ends)
 
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Sets the hashes of sentence spans apart from those of windows.
+_SALT = _U(0xA0761D6478BD642F)
 
 
 def spans(chunk: Chunk, cuts: Cuts, bases: tuple[int, ...] = _BASES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
-    """(row, sentence number within the row, sentences covered, hash, check) of every span; no check with one base."""
+    """(row, place among the row's words, words covered, hash, check) of every span and window; no check with one base."""
     first, last, starts, _, words = cuts
     none = np.zeros(0, np.int64)
     if not len(first):
         return none, none, none, none.astype(_U), none.astype(np.uint32)
-    row = chunk.row_of(starts[first])
-    stop = np.maximum(np.searchsorted(last, first + WORDS), np.arange(len(first)) + SENTENCES - 1)
-    begin = np.flatnonzero(stop < len(first))
-    begin = begin[row[stop[begin]] == row[begin]]
-    a, b = first[begin], last[stop[begin]]
+    row = chunk.row_of(starts)
+    runs = max(0, len(first) - SENTENCES + 1)
+    windows = np.arange(max(0, len(words) - WORDS + 1))
+    a, b = np.append(first[:runs], windows), np.append(last[len(last) - runs :], windows + WORDS)
+    whole = row[a] == row[b - 1]
+    n_runs, a, b = int(whole[:runs].sum()), a[whole], b[whole]
     found = []
     for base in bases:
         power = np.full(len(words) + 1, _U(base))
@@ -119,10 +128,11 @@ def spans(chunk: Chunk, cuts: Cuts, bases: tuple[int, ...] = _BASES) -> tuple[np
         inverse = np.full(len(words) + 1, _U(_inverse(base)))
         inverse[0] = 1
         sums = np.append(_U(0), np.cumsum(words * np.multiply.accumulate(power)[:-1], dtype=_U))
-        found.append(mix((sums[b] - sums[a]) * np.multiply.accumulate(inverse)[a] + (b - a).astype(_U)))
-    row_first = np.searchsorted(row, np.arange(len(chunk)))
-    place = begin - row_first[row[begin]]
-    return row[begin], place, stop[begin] - begin + 1, found[0], (found[1] >> _U(32)).astype(np.uint32) if len(bases) > 1 else None
+        state = (sums[b] - sums[a]) * np.multiply.accumulate(inverse)[a] + (b - a).astype(_U)
+        state[:n_runs] += _SALT
+        found.append(mix(state))
+    own = row[a]
+    return own, a - np.searchsorted(row, np.arange(len(chunk)))[own], b - a, found[0], (found[1] >> _U(32)).astype(np.uint32) if len(bases) > 1 else None
 
 
 def _halves(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,7 +225,7 @@ def _first_occurrences(texts: DataFrame, found: Ranges) -> None:
 
 
 def _later(chunk: Chunk, cuts: Cuts, ids: np.ndarray, marks: np.ndarray, found: Ranges) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first sentence, number of sentences) of the spans that are not first occurrences, by row."""
+    """(row, first word, number of words) of the spans that are not first occurrences, by row."""
     row, place, covers, hashes, check = spans(chunk, cuts)
     order = np.argsort(hashes)
     late = np.zeros(len(order), bool)
@@ -224,6 +234,8 @@ def _later(chunk: Chunk, cuts: Cuts, ids: np.ndarray, marks: np.ndarray, found:
         first = {name: found.store.get(name, p)[at[hit]] for name in FIRST[1:]}
         same = (first["id"] == ids[row[mine]]) & (first["mark"] == marks[row[mine]]) & (first["place"] == place[mine])
         late[mine] = (first["check"] == check[mine]) & ~same
+    late = np.flatnonzero(late)
+    late = late[np.argsort(row[late], kind="stable")]
     return row[late], place[late], covers[late]
 
 
@@ -247,16 +259,17 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 here = slice(chunk.first, chunk.first + len(chunk))
                 cuts = sentences(chunk)
                 row, place, covers = _later(chunk, cuts, ids[here], marks[here], found)
-                first, last, starts, ends, _ = cuts
-                owner = chunk.row_of(starts[first]) if len(first) else first
-                edge, hits = (np.searchsorted(x, np.arange(len(chunk) + 1)) for x in (owner, row))
+                first, last, starts, _, _ = cuts
+                of_sentence, of_word = (chunk.row_of(starts[x]) for x in (first, slice(None)))
+                edge, begin, hits = (np.searchsorted(x, np.arange(len(chunk) + 1)) for x in (of_sentence, of_word, row))
                 gone = np.zeros(len(chunk), np.int64)
                 texts_ = column.slice(chunk.first, len(chunk))
                 if len(row):
                     own = texts_.to_pylist()
                     for i in np.flatnonzero(np.diff(hits)).tolist():
-                        mine = slice(hits[i], hits[i + 1])
-                        own[i], gone[i] = _cut(chunk, i, first[edge[i] : edge[i + 1]], last[edge[i] : edge[i + 1]], starts, ends, place[mine], covers[mine])
+                        mine, its_words = slice(hits[i], hits[i + 1]), slice(begin[i], begin[i + 1])
+                        own[i], dead = _cut(chunk, i, starts[its_words], place[mine], covers[mine])
+                        gone[i] = np.logical_or.reduceat(dead, first[edge[i] : edge[i + 1]] - begin[i]).sum()
                     texts_ = pa.array(own, column.type)
                 columns = [texts_ if i == at else rows.field(i).slice(chunk.first, len(chunk)) for i in kept]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(edge), pa.int64()), pa.array(gone)], names)
@@ -266,13 +279,12 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return whole.mapInArrow(frugal(run), schema)
 
 
-def _cut(chunk: Chunk, i: int, first: np.ndarray, last: np.ndarray, starts: np.ndarray, ends: np.ndarray, place: np.ndarray, covers: np.ndarray) -> tuple[str, int]:
-    """Row ``i`` without the covered sentences; a sentence goes with the white space after it."""
-    change = np.zeros(len(first) + 1, np.int64)
+def _cut(chunk: Chunk, i: int, begin: np.ndarray, place: np.ndarray, covers: np.ndarray) -> tuple[str, np.ndarray]:
+    """Row ``i`` without the covered words, each of which goes with the white space after it, and which they are; ``begin``: where its words begin."""
+    change = np.zeros(len(begin) + 1, np.int64)
     np.add.at(change, place, 1)
     np.add.at(change, place + covers, -1)
     dead = np.cumsum(change[:-1]) > 0
-    begin = starts[first]
     stop = np.append(begin[1:], chunk.offsets[i + 1])
     pieces = [chunk.buf[chunk.offsets[i] : begin[0]].tobytes()]
     alive = np.flatnonzero(~dead)
@@ -280,4 +292,4 @@ def _cut(chunk: Chunk, i: int, first: np.ndarray, last: np.ndarray, starts: np.n
         breaks = np.flatnonzero(np.append(True, np.diff(alive) != 1))
         ends_ = np.append(breaks[1:], len(alive)) - 1
         pieces += [chunk.buf[begin[a] : stop[b]].tobytes() for a, b in zip(alive[breaks], alive[ends_], strict=True)]
-    return b"".join(pieces).decode(), int(dead.sum())
+    return b"".join(pieces).decode(), dead

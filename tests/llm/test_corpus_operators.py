@@ -126,39 +126,39 @@ def test_blocks_round_trip():
 
 
 def cut_sentences(text):
-    words = [m.span() for m in WORD.finditer(text)]
-    out, current = [], []
+    """The sentences of a text, each a list of the places of its words."""
+    out, current, words = [], [], [m.span() for m in WORD.finditer(text)]
     for k, (a, b) in enumerate(words):
-        data = np.frombuffer(lower(text[a:b]).encode(), np.uint8)
-        hashed = int(span_hashes(data, np.array([0]), np.array([len(data)]))[0]) % span_dedup.CUT_EVERY == 0
         current.append((a, b))
-        feed = "\n" in text[b : words[k + 1][0] if k + 1 < len(words) else b]
-        if text[b - 1] in ".!?,;:。" or feed or hashed or k == len(words) - 1:
+        feed = k + 1 < len(words) and "\n" in text[b : words[k + 1][0]]
+        if re.search(r"[.!?][\"')\]]?$|[\u3002\uff01\uff1f]$", text[a:b]) or feed or k == len(words) - 1:
             out.append(current)
             current = []
     return out
 
 
 def brute_dedup(texts):
+    """(text, sentences, sentences that lost words) by spans of three sentences and windows of twenty words."""
     spans, cut = defaultdict(list), {i: cut_sentences(t or "") for i, t in texts.items()}
+    words = {i: [w for s in found for w in s] for i, found in cut.items()}
     for i in sorted(texts):
-        for k in range(len(cut[i])):
-            n = 0
-            for j in range(k, len(cut[i])):
-                n += len(cut[i][j])
-                if n >= span_dedup.WORDS and j - k + 1 >= span_dedup.SENTENCES:
-                    spans[tuple(lower(texts[i][a:b]) for s in cut[i][k : j + 1] for a, b in s)].append((i, k, j + 1))
-                    break
+        first = np.cumsum([0, *(len(s) for s in cut[i])]).tolist()
+        said = [lower(texts[i][a:b]) for a, b in words[i]]
+        runs = [(first[k], first[k + 3], "sentences") for k in range(len(cut[i]) - 2)] + [(k, k + 20, "words") for k in range(len(said) - 19)]
+        for a, b, kind in sorted(runs):
+            spans[kind, tuple(said[a:b])].append((i, a, b))
     dead = defaultdict(set)
     for found in spans.values():
-        for i, k, j in found[1:]:
-            dead[i].update(range(k, j))
+        for i, a, b in found[1:]:
+            dead[i].update(range(a, b))
     out = {}
     for i, t in texts.items():
-        out[i] = t
-        if dead[i]:
-            begins = [s[0][0] for s in cut[i]] + [len(t)]
-            out[i] = t[: begins[0]] + "".join(t[begins[k] : begins[k + 1]] for k in range(len(cut[i])) if k not in dead[i])
+        begins, at, lost = [a for a, _ in words[i]] + [len(t or "")], 0, 0
+        for s in cut[i]:
+            lost += not dead[i].isdisjoint(range(at, at + len(s)))
+            at += len(s)
+        kept = t if not dead[i] else t[: begins[0]] + "".join(t[begins[k] : begins[k + 1]] for k in range(len(words[i])) if k not in dead[i])
+        out[i] = kept, len(cut[i]), lost
     return out
 
 
@@ -174,12 +174,33 @@ def test_span_dedup(spark, sf_dir):
     assert span_dedup.drop_repeats(df, added=("_all", "_gone")).columns == [*df.columns, "_all", "_gone"]
     got = {r.doc_id: r for r in cut.collect()}
     want = brute_dedup(texts)
-    assert {i: r.text for i, r in got.items()} == want
+    assert {i: (r.text, r.n_sentences, r.n_removed) for i, r in got.items()} == want
     assert got[1000].text == texts[1000] and all(len(got[1000 + i].text.split()) < 40 for i in (1, 2, 3))
     assert (got[1001].extra, got[1001].row) == (7, 9) and got[2000].text is None and got[2002].n_removed == 0 and passage not in got[2004].text
     assert span_dedup.drop_repeats(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n_words", [6, 13, 40])
+def test_runs_of_three_sentences_go_at_any_length(spark, n_words):
+    rng = random.Random(n_words)
+    new = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(8))
+    sizes = [n_words // 3, n_words // 3, n_words - 2 * (n_words // 3)]
+    ends = [[". ", '!" ', "? "], ["\n", ".\n", "\n\n"], [".) ", "\uff01 ", "... "]]
+    texts = {}
+    for i in range(60):
+        run = "".join(" ".join(new() for _ in range(n)) + e for n, e in zip(sizes, ends[i % 3], strict=True))
+        two = " ".join(new() for _ in range(4)) + ". " + " ".join(new() for _ in range(4)) + ". "
+        for k in (0, 1000):
+            own = [" ".join(new() for _ in range(rng.randint(3, 9))) + rng.choice([". ", "\n"]) for _ in range(6)]
+            texts[k + i] = "".join(own[:2]) + run + own[2] + own[3] + two + "".join(own[4:])
+    got = {r.doc_id: r for r in span_dedup.drop_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    want = brute_dedup(texts)
+    assert {i: (r.text, r.n_sentences, r.n_removed) for i, r in got.items()} == want
+    for i in range(60):
+        assert got[i].text == texts[i] and got[1000 + i].n_removed == 3 and got[1000 + i].n_sentences == 11
+        assert len(texts[1000 + i].split()) - len(got[1000 + i].text.split()) == n_words  # the two sentences that repeat stay
+
+
 def test_span_dedup_repeated_ids(spark):
     passage = " ".join(f"word{i}{'.' if i % 7 == 0 else ''}" for i in range(80))
     rows = [(1, passage), (1, passage), (1, "other. " + passage), (None, passage)]
