@@ -6,19 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .index import known
+from .index import Stored, known
+
+#: So many keys at most are handed to the scan of a stored table as a list; more are joined, between the least and the greatest.
+LISTED = 1000
 
 
 class Views:
     """The relations of one input folder."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, index: str | None = ""):
-        """``index``: where the stored index lies; the one in use, unless it is given."""
+    def __init__(self, spark: SparkSession, sf_dir: str, index: Stored | None | str = ""):
+        """``index``: the stored index; the one in use, unless it is given."""
         self.spark, self.dir = spark, sf_dir
         self.index = known(spark, sf_dir) if index == "" else index
 
     def stored(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.index}/{name}")
+        return self.index.table(name)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -65,7 +68,12 @@ class Views:
     def postings_of(self, forms: DataFrame) -> DataFrame:
         """The postings of some tokens (column ``form``): looked up, or counted after all others have gone."""
         if self.index:
-            return self.stored("postings").where(F.col("token").isin([r.form for r in forms.select("form").distinct().collect()]))
+            few = [r.form for r in forms.select("form").distinct().limit(LISTED + 1).collect()]
+            if len(few) <= LISTED:
+                return self.stored("postings").where(F.col("token").isin(few))
+            ends = forms.agg(F.min("form").alias("a"), F.max("form").alias("b")).first()
+            near = self.stored("postings").where(F.col("token").between(ends.a, ends.b))
+            return near.join(forms.select(F.col("form").alias("token")).distinct(), "token", "left_semi")
         hits = self.occurrences().join(forms.select(F.col("form").alias("token")).distinct(), "token", "left_semi")
         return hits.groupBy("token", "idx", "translation").agg(F.count(F.lit(1)).alias("cnt"))
 
@@ -93,6 +101,8 @@ class Views:
 
         if not self.index:
             return search.expand_forms(self.spark, words, self.word_forms())
+        if hasattr(self.index, "forms_near"):
+            return search.expand_forms(self.spark, words, self.index.forms_near(words))
         lemma = {r.form: r.lemma for r in self.stored("word_forms").where(F.col("form").isin(words)).collect()}
         forms = self.stored("lemma_forms").where(F.col("lemma").isin(list(set(lemma.values())))).select("form", "lemma")
         return search.expand_forms(self.spark, words, forms)
@@ -105,6 +115,12 @@ class Views:
         each = self.sides().select("book_slug", "testament", "noncanonical", "translation", word)
         return each.groupBy("word", "book_slug", "testament", "noncanonical", "translation").agg(F.count(F.lit(1)).alias("cnt"))
 
+    def words_by_text(self) -> DataFrame:
+        """``words`` of each text (column idx)."""
+        word = F.explode(tx.tokens(tx.fold_script(F.col("text")), tx.LEXICON_CLASS, lower=False)).alias("word")
+        each = self.sides().select("idx", "book_slug", "testament", "noncanonical", "translation", word)
+        return each.groupBy("idx", "word", "book_slug", "testament", "noncanonical", "translation").agg(F.count(F.lit(1)).alias("cnt"))
+
     def lexicon(self, letter: str | None = None) -> DataFrame:
         """(word, total, old, new, books), of the words that begin with a letter (in any case) only, if one is given."""
         from ..operators import lexicon

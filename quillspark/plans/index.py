@@ -1,7 +1,7 @@
 """The stored index: what searches and the lexicon read instead of tokenising all texts again.
 
 ``build`` writes it once; ``use`` lets all queries over an input folder of this application read it.  It
-remembers which files it was built from and is refused when they have changed.
+remembers which files it was built from and is refused when they have changed (``segments`` has one that takes changes).
 
 Postings lie in order of (token, idx), cut by range, so that a query's few tokens are found by the
 statistics of the files, and a very frequent token spreads over many files.
@@ -13,7 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SOURCES = ("documents",)
-_USED: dict[tuple[str, str], str] = {}
+
+
+class Stored:
+    """A stored index: its tables by name."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+
+_USED: dict[tuple[str, str], Stored] = {}
 
 
 def _files(spark: SparkSession, sf_dir: str) -> str:
@@ -60,12 +72,12 @@ def use(spark: SparkSession, sf_dir: str, out: str) -> None:
     """Let queries over ``sf_dir`` read the index at ``out``."""
     if spark.read.parquet(f"{out}/corpus").first().files != _files(spark, sf_dir):
         raise ValueError(f"{out} was not built from the files that {sf_dir} has now")
-    _USED[spark.sparkContext.applicationId, sf_dir] = out
+    _USED[spark.sparkContext.applicationId, sf_dir] = Stored(spark, out)
 
 
 def forget(spark: SparkSession, sf_dir: str) -> None:
     _USED.pop((spark.sparkContext.applicationId, sf_dir), None)
 
 
-def known(spark: SparkSession, sf_dir: str) -> str | None:
+def known(spark: SparkSession, sf_dir: str) -> Stored | None:
     return _USED.get((spark.sparkContext.applicationId, sf_dir))

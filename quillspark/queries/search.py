@@ -11,6 +11,7 @@ from ..functions import text as tx
 from ..operators import encode
 from ..operators import phrase as at
 from ..operators import search as op
+from ..plans import segments, shared
 from ..plans.adapters import Views
 from ..plans.roster import Roster
 
@@ -170,6 +171,31 @@ def postings(v: Views) -> DataFrame:
     return v.postings()
 
 
+ADDED = " The thing, and what it is"
+
+
+@query(
+    "index_changes",
+    rf"""with held as (
+  select doc_id as idx, text, n_chars from documents where lang not in ('es', 'fr')
+  union all select doc_id, text || '{ADDED}', n_chars + {len(ADDED)} from documents where lang = 'fr'
+  union all select doc_id + 1000000000, text, n_chars from documents where lang = 'de'),
+each as (
+  select idx, unnest(regexp_extract_all(lower(substr(text, 1, (n_chars // 2)::int)), '\p{{L}}+')) as token from held
+  union all select idx, unnest(regexp_extract_all(lower(substr(text, (n_chars // 2)::int + 1)), '\p{{L}}+')) from held),
+counted as (select token, count(distinct idx) as df, count(*) as total from each group by 1)
+select token, df, total, round(ln((select count(*) from held) - df + 0.5::double) - ln(df + 0.5::double), 6) as raw from counted""",
+)
+def index_changes(v: Views) -> DataFrame:
+    """The token statistics of an index that was built over all documents and has then lost a language, seen another one edited, and got copies of a third."""
+    docs = v.table("documents").select("doc_id", "text", "lang", "source", "n_chars")
+    edited = docs.where("lang = 'fr'").withColumn("text", F.concat("text", F.lit(ADDED))).withColumn("n_chars", F.col("n_chars") + len(ADDED))
+    copies = docs.where("lang = 'de'").withColumn("doc_id", F.col("doc_id") + 1_000_000_000)
+    built = segments.Segments(v.spark, shared.new_path(v.spark, "segments")).commit(docs, None)
+    now = built.commit(edited.unionByName(copies), docs.where("lang = 'es'").select("doc_id"))
+    return now.table("tokens").select("token", "df", "total", F.round("raw", 6).alias("raw"))
+
+
 @query("doc_freq", "select token, count(distinct idx) as df from postings group by 1")
 def doc_freq(v: Views) -> DataFrame:
     """Distinct tokens of both texts together, then a count per token: no distinct aggregate is needed."""
