@@ -24,8 +24,9 @@ def with_ctes(body: str) -> str:
     body = body.strip()
     if not parts:
         return body
-    if body.lower().startswith("with "):
-        return "with " + ",\n".join(parts) + ",\n" + body[5:]
+    for head in ("with recursive ", "with "):
+        if body.lower().startswith(head):
+            return head + ",\n".join(parts) + ",\n" + body[len(head) :]
     return "with " + ",\n".join(parts) + "\n" + body
 
 

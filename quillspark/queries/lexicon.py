@@ -155,21 +155,31 @@ def word_locations(v: Views) -> DataFrame:
     return found.groupBy("token", "translation").agg(F.sum("cnt").alias("n"), F.array_sort(F.collect_set("idx")).alias("locations"))
 
 
-@query(
-    "prefix_pairs",
-    """with ws as (select token, count(*) as n from occurrences where length(token) >= 6 group by 1 having count(*) >= 5),
+PAIRS = """with ws as (select token, count(*) as n from occurrences where length(token) >= 6 group by 1 having count(*) >= 5),
 ranked as (select token, left(token, 5) as stem, row_number() over (partition by left(token, 5) order by token) as r from ws)
 select a, b, p as prefix from (select x.token as a, y.token as b, list_max(list_filter(range(5, least(length(x.token), length(y.token)) + 1), lambda k: left(x.token, k) = left(y.token, k))) as p
   from ranked x join ranked y on x.stem = y.stem and y.r - x.r between 1 and 49 where abs(length(x.token) - length(y.token)) <= 4)
-where p / ((length(a) + length(b)) / 2.0::double) >= 0.82::double""",
+where p / ((length(a) + length(b)) / 2.0::double) >= 0.82::double"""
+
+
+@query(
+    "prefix_pairs",
+    PAIRS,
 )
 def prefix_pairs(v: Views) -> DataFrame:
     return op.prefix_pairs(op.frequent_words(v.occurrences(), 6, 5))
 
 
-@query("prefix_groups", None)
+@query(
+    "prefix_groups",
+    f"""with recursive pairs as ({PAIRS}),
+links as (select a, b from pairs union all select b, a from pairs),
+frequent as (select token from occurrences where length(token) >= 6 group by 1 having count(*) >= 5),
+reached(form, other) as (select token, token from frequent union select r.form, l.b from reached r join links l on l.a = r.other)
+select form, min_by(other, (length(other), other)) as lemma from reached group by form""",
+)
 def prefix_groups(v: Views) -> DataFrame:
-    """Union-find over the prefix pairs; checked on a fixture, as SQL has no such operator."""
+    """Components of the prefix pairs."""
     words = op.frequent_words(v.occurrences(), 6, 5)
     return op.prefix_groups(words, op.prefix_pairs(words))
 

@@ -14,9 +14,13 @@ roster = Roster()
 query = roster.query
 
 
-@query("ua_filter", "select page_id, url from pages where regexp_matches(lower(url), 'spam-farm|cheap-pills|w3c_validator')")
+#: The agents, and names that the given pages have.
+AGENTS = (*op.CRAWLERS, "spam-farm", "cheap-pills")
+
+
+@query("ua_filter", f"select page_id, url from pages where regexp_matches(lower(url), '{'|'.join(AGENTS)}')")
 def ua_filter(v: Views) -> DataFrame:
-    return v.table("pages").where(op.contains_any(F.col("url"), ("spam-farm", "cheap-pills", "w3c_validator"))).select("page_id", "url")
+    return v.table("pages").where(op.contains_any(F.col("url"), AGENTS)).select("page_id", "url")
 
 
 @query("dim_override", "select n_nationkey, coalesce(put, n_name) as name, put is not null and put <> n_name as changed from nation left join (values (3, 'THIRD'), (7, 'NATION_7')) o(k, put) on n_nationkey = k")
@@ -80,14 +84,18 @@ def typo_suspects(v: Views) -> DataFrame:
     return op.typo_suspects(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), 1, 40, 5)
 
 
-@query("edit_distance", "select a.item_id as a, b.item_id as b, levenshtein(regexp_replace(a.text, '[^ -~]', '', 'g'), regexp_replace(b.text, '[^ -~]', '', 'g'))::int as distance from benchmark a join benchmark b on b.item_id = a.item_id + 1")
+@query(
+    "edit_distance",
+    """with wide as (select string_agg(c, '' order by c) as chars from (select distinct unnest(string_split(text, '')) as c from benchmark) where c > chr(127)),
+spare as (select string_agg(chr(i::int), '' order by i) as codes from range(1, 128) r(i) where i < 9 or i between 14 and 31 or i = 127),
+items as (select item_id, left(text, 2) as block, translate(text, chars, left(codes, length(chars)::int)) as t from benchmark, wide, spare)
+select a.item_id as a, b.item_id as b, levenshtein(a.t, b.t)::int as distance from items a join items b on a.block = b.block and a.item_id < b.item_id""",
+)
 def edit_distance(v: Views) -> DataFrame:
-    """Each item's text against the next one's; ASCII only, as the twin counts bytes."""
-    ascii_text = F.regexp_replace("text", "[^ -~]", "")
-    items = v.table("benchmark")
-    a = items.select(F.col("item_id").alias("a"), (F.col("item_id") + 1).alias("b"), ascii_text.alias("x"))
-    b = items.select(F.col("item_id").alias("b"), ascii_text.alias("y"))
-    return a.join(b, "b").select("a", "b", F.levenshtein("x", "y").alias("distance"))
+    """Items that begin alike (a blocking key), character by character; the twin counts bytes, so it gives each character one of its own first."""
+    items = v.table("benchmark").select(F.col("item_id").alias("id"), "text", F.substring("text", 1, 2).alias("block"))
+    a, b = (items.select("block", F.col("id").alias(n), F.col("text").alias(f"text_{n}")) for n in ("a", "b"))
+    return a.join(b, "block").where("a < b").select("a", "b", F.levenshtein("text_a", "text_b").alias("distance"))
 
 
 @query("lookup_cascade", "select p_partkey, coalesce(a.put, b.put, c.put, upper(left(p_name, 1)) || substr(p_name, 2)) as name, case when a.put is not null then 'root' when b.put is not null then 'topic' when c.put is not null then 'name' else 'case' end as from_level from part left join (values ('small ring', 'RING')) a(k, put) on p_name = a.k left join (select p_brand as k, min(p_name) as put from part where p_brand in ('Brand#1', 'Brand#2') group by 1) b on p_brand = b.k left join (select 'LARGE' as k, r_name as put from region where r_regionkey = 2) c on p_type = c.k")
@@ -111,14 +119,19 @@ def label_lookup(v: Views) -> DataFrame:
     return shown.select("label", F.when(F.col("label").isin("general", "reciprocal") | F.col("t").rlike("[A-Za-z]{3,}"), "").otherwise(F.col("t")).alias("shown"))
 
 
-@query("context_audit", r"select item_id, word, doc_id, r from (select item_id, word, doc_id, row_number() over (partition by item_id order by doc_id) as r from (select distinct b.item_id, b.word, d.doc_id from (select item_id, regexp_extract(lower(text), '[a-z]{7,}', 0) as word from benchmark) b join (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as token from documents) d on d.token = b.word where b.word <> '')) where r <= 3")
+@query(
+    "context_audit",
+    r"""with terms as (select distinct item_id, unnest(regexp_extract_all(lower(text), '[a-z]{7,}')) as word from benchmark),
+hits as (select item_id, doc_id, min(word) as word, count(*) as n_words from terms join (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as token from documents) on token = word group by all)
+select item_id, doc_id, word, n_words, row_number() over (partition by item_id order by doc_id) as r from hits qualify r <= 3""",
+)
 def context_audit(v: Views) -> DataFrame:
-    """The first verses that show a label's word: an equi-join on tokens instead of a regex join."""
-    labels = v.table("benchmark").select("item_id", F.regexp_extract(F.lower("text"), "[a-z]{7,}", 0).alias("word")).where("word <> ''")
+    """The first three verses that show any long word of a label, and how many of them: an equi-join on tokens instead of a regex join."""
+    labels = v.table("benchmark").select("item_id", F.explode(F.array_distinct(tx.tokens(F.col("text"), "[a-z]{7,}"))).alias("word"))
     words = v.table("documents").select("doc_id", F.explode(F.array_distinct(tx.tokens(F.col("text"), "[a-z]+"))).alias("token"))
-    hits = words.join(labels, F.col("token") == F.col("word"))
+    hits = words.join(labels.distinct(), F.col("token") == F.col("word")).groupBy("item_id", "doc_id").agg(F.min("word").alias("word"), F.count(F.lit(1)).alias("n_words"))
     w = Window.partitionBy("item_id").orderBy("doc_id")
-    return hits.withColumn("r", F.row_number().over(w).cast("bigint")).where("r <= 3").select("item_id", "word", "doc_id", "r")
+    return hits.withColumn("r", F.row_number().over(w).cast("bigint")).where("r <= 3").select("item_id", "doc_id", "word", "n_words", "r")
 
 
 @query("fuzzy_prefix", "select item_id, doc_id, priority from (select *, row_number() over (partition by item_id order by priority, doc_id) as r from (select item_id, doc_id, 0 as priority from benchmark b join documents d on b.text = d.text union all select item_id, doc_id, 1 from benchmark b join documents d on left(b.text, 50) = left(d.text, 50) union all select item_id, doc_id, 2 from benchmark b join (select doc_id, text, unnest(string_split(text, chr(10))) as line from documents) d on left(b.text, 40) = left(d.line, 40))) where r = 1")

@@ -109,17 +109,42 @@ def profile_tables(v: Views) -> DataFrame:
     return reduce(DataFrame.unionByName, each)
 
 
-FIELDS = {"region": ("r_regionkey", "r_name"), "nation": ("n_nationkey", "n_name"), "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "documents": ("doc_id", "text", "lang", "source", "n_chars"), "pages": ("page_id", "url", "html"), "labels": ("doc_id", "quality", "toxic"), "conversations": ("conv_id", "turn", "role", "text")}
-
-
-@query("profile_fields", " union all ".join(f"select '{t}' as name, '{c}' as field, count({c}) as filled, min({c}::varchar) as least, max(length({c}::varchar))::int as longest from {t}" for t, fields in FIELDS.items() for c in fields))
+#: The columns of all tables.
+FIELDS = {
+    "region": "r_regionkey r_name",
+    "nation": "n_nationkey n_name n_regionkey",
+    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
+    "events": "event_id ts user_id event_type value props",
+    "documents": "doc_id text lang source n_chars",
+    "embeddings": "vec_id embedding label",
+    "pages": "page_id url html",
+    "benchmark": "item_id text",
+    "labels": "doc_id quality toxic",
+    "conversations": "conv_id turn role text",
+}
+_PLAIN = "typeof({c}) in ('VARCHAR', 'INTEGER', 'BIGINT')"
+_KIND = "case typeof({c}) when 'VARCHAR' then 'text' when 'INTEGER' then 'integer' when 'BIGINT' then 'integer' when 'DOUBLE' then 'real' when 'TIMESTAMP' then 'time' else 'list' end"
+_FIELD = f"select '{{t}}' as name, '{{c}}' as field, coalesce(max({_KIND}), '') as kind, count({{c}}) as filled, min(case when {_PLAIN} then {{c}}::varchar end) as least, max(case when {_PLAIN} then length({{c}}::varchar) end)::int as longest, count(distinct {{c}}) as different from {{t}}"
+
+
+@query("profile_fields", " union all ".join(_FIELD.format(t=t, c=c) for t, fields in FIELDS.items() for c in fields.split()))
 def profile_fields(v: Views) -> DataFrame:
-    """For each field how many values it has, a sample, and the longest; one scan a table."""
+    """For each field of every table its kind, how many values it has and how many different ones, and a sample and the greatest length of texts and whole numbers; two scans a table."""
+    kinds = {"string": "text", "int": "integer", "bigint": "integer", "double": "real", "timestamp": "time", "timestamp_ntz": "time"}
     each = []
     for name, fields in FIELDS.items():
-        facts = [F.struct(F.count(c).alias("filled"), F.min(F.col(c).cast("string")).alias("least"), F.max(F.length(F.col(c).cast("string"))).alias("longest")).alias(c) for c in fields]
-        rows = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(c).alias("field"), F.col(c)["filled"].alias("filled"), F.col(c)["least"].alias("least"), F.col(c)["longest"].alias("longest")) for c in fields))
-        each.append(v.table(name).agg(*facts).select(F.inline(rows)))
+        table, kind = v.table(name), {f.name: kinds.get(f.dataType.simpleString(), "list") for f in v.table(name).schema}
+        shown = lambda c: F.col(c).cast("string") if kind[c] in ("text", "integer") else F.lit(None).cast("string")  # noqa: B023, E731
+        facts = [F.struct(F.count(c).alias("filled"), F.min(shown(c)).alias("least"), F.max(F.length(shown(c))).alias("longest")).alias(c) for c in fields.split()]
+        rows = [F.struct(F.lit(name).alias("name"), F.lit(c).alias("field"), F.when(F.col(c)["filled"] > 0, kind[c]).otherwise("").alias("kind"), F.col(c)["filled"].alias("filled"), F.col(c)["least"].alias("least"), F.col(c)["longest"].alias("longest")) for c in fields.split()]
+        # Values are told apart by two hashes, so that all fields are counted by one grouping of small rows.
+        values = table.select(F.inline(F.array(*(F.struct(F.lit(c).alias("field"), F.when(F.col(c).isNotNull(), F.struct(F.xxhash64(c), F.xxhash64(F.lit(1), c))).alias("value")) for c in fields.split()))))
+        different = values.where("value is not null").distinct().groupBy("field").agg(F.count(F.lit(1)).alias("different"))
+        each.append(table.agg(*facts).select(F.inline(F.array(*rows))).join(different, "field", "left").select("name", "field", "kind", "filled", "least", "longest", F.coalesce("different", F.lit(0)).alias("different")))
     return reduce(DataFrame.unionByName, each)
 
 

@@ -226,13 +226,18 @@ def xref_filter(v: Views) -> DataFrame:
     return op.confident(v.xrefs(), 55, 3).orderBy(F.desc("votes"), "src", "dst").limit(tx.clamp_limit(200, "references")).select("src", "dst", "confidence", "votes")
 
 
-@query("xref_enrich", "select x.dst, x.book, coalesce(v.book, x.book) as name, substr(coalesce(v.new, ''), 1, 40) as preview, (select count(*) from xrefs where src = 42) as total from xrefs x left join verses v on v.idx = x.dst where src = 42 and confidence >= 45")
+@query(
+    "xref_enrich",
+    """select x.dst, x.book, coalesce(v.book, x.book) as name, x.chapter, x.vs, x.ve, x.votes, x.confidence, x.topic, x.type, case when length(t) > 200 then substr(t, 1, 200) || '...' else t end as preview, (select count(*) from xrefs where src = 42) as total
+from xrefs x left join (select idx, book, coalesce(nullif(new, ''), old, '') as t from verses) v on v.idx = x.dst where src = 42 and confidence >= 45""",
+)
 def xref_enrich(v: Views) -> DataFrame:
-    """``total`` counts before the filter."""
-    mine = v.xrefs().where("src = 42").select("dst", F.col("book").alias("code"), "confidence", "votes")
+    """References with the first 200 characters of their verse, of the new text or else the old one; ``total`` counts before the filter."""
+    mine = v.xrefs().where("src = 42").select("dst", F.col("book").alias("code"), "chapter", "vs", "ve", "votes", "confidence", "topic", "type")
     total = mine.agg(F.count(F.lit(1)).alias("total"))
-    shown = op.confident(mine, 45, 0).join(v.verses().select(F.col("idx").alias("dst"), F.col("book").alias("name"), "new"), "dst", "left")
-    return shown.crossJoin(F.broadcast(total)).select("dst", F.col("code").alias("book"), F.coalesce("name", "code").alias("name"), F.substring(F.coalesce("new", F.lit("")), 1, 40).alias("preview"), "total")
+    texts = v.verses().select(F.col("idx").alias("dst"), F.col("book").alias("name"), tx.preview(F.col("new"), F.col("old")).alias("preview"))
+    shown = op.confident(mine, 45, 0).join(texts, "dst", "left").crossJoin(F.broadcast(total))
+    return shown.select("dst", F.col("code").alias("book"), F.coalesce("name", "code").alias("name"), "chapter", "vs", "ve", "votes", "confidence", "topic", "type", "preview", "total")
 
 
 @query("xref_dedupe", "select src, book, chapter, topic, min(dst) as first_dst, count(*) as n from xrefs group by all")

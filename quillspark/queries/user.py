@@ -49,10 +49,10 @@ def group_breaks(v: Views) -> DataFrame:
     return v.marks().withColumn("before", F.lag("colour").over(w)).where("before is null or before <> colour").select("event_id", "user_id", "colour")
 
 
-@query("user_state_join", "select m.event_id, m.user_id, m.k, v.book_slug, substr(v.new, 1, 30) as new from marks m left join verses v on v.verse = m.k and v.testament = 'new' where m.action = 'view'")
+@query("user_state_join", "select m.event_id, m.user_id, m.k, v.book_slug, v.new from marks m left join verses v on v.verse = m.k and v.testament = 'new' where m.action = 'view'")
 def user_state_join(v: Views) -> DataFrame:
     """Bookmarks keep their row if the verse is gone; keys are coerced to numbers."""
-    verses = v.verses().where("testament = 'new'").select(F.col("verse").alias("k"), "book_slug", F.substring("new", 1, 30).alias("new"))
+    verses = v.verses().where("testament = 'new'").select(F.col("verse").alias("k"), "book_slug", "new")
     return v.marks().where("action = 'view'").select("event_id", "user_id", "k").join(verses, "k", "left").select("event_id", "user_id", "k", "book_slug", "new")
 
 
