@@ -93,18 +93,28 @@ def bm25(token_counts: DataFrame, verses: DataFrame, words: DataFrame) -> DataFr
     tokens too.  Words in more than half of the verses get ``BM25_EPSILON`` times the
     mean idf instead of a negative one.
     """
+    return bm25_scores(token_counts, *bm25_statistics(token_counts, verses), words)
+
+
+def bm25_statistics(token_counts: DataFrame, verses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lengths (idx, dl), tokens (token, raw idf) and one row (n, avgdl, mean_idf)."""
     lengths = token_counts.groupBy("idx").agg(F.sum("tf").alias("dl"))
     corpus = verses.select("idx").join(lengths, "idx", "left").agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce("dl", F.lit(0))).alias("avgdl"))
     df = token_counts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     raw = df.crossJoin(F.broadcast(corpus)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
-    return bm25_scores(token_counts, lengths, raw.select("token", "raw"), corpus.crossJoin(F.broadcast(mean)), words)
+    return lengths, raw.select("token", "raw"), corpus.crossJoin(F.broadcast(mean))
+
+
+def bm25_terms(tokens: DataFrame, corpus: DataFrame, words: DataFrame) -> DataFrame:
+    """Rows (token, idf, avgdl) of the words that there are."""
+    terms = tokens.join(words.select("form").distinct(), F.col("token") == F.col("form"), "left_semi").crossJoin(F.broadcast(corpus))
+    return terms.withColumn("idf", F.when(F.col("raw") < 0, BM25_EPSILON * F.col("mean_idf")).otherwise(F.col("raw"))).select("token", "idf", "avgdl")
 
 
 def bm25_scores(token_counts: DataFrame, lengths: DataFrame, tokens: DataFrame, corpus: DataFrame, words: DataFrame) -> DataFrame:
     """``bm25`` from lengths (idx, dl), tokens (token, raw idf) and one row (avgdl, mean_idf)."""
-    terms = tokens.join(words.select("form").distinct(), F.col("token") == F.col("form"), "left_semi").crossJoin(F.broadcast(corpus))
-    terms = terms.withColumn("idf", F.when(F.col("raw") < 0, BM25_EPSILON * F.col("mean_idf")).otherwise(F.col("raw"))).select("token", "idf", "avgdl")
+    terms = bm25_terms(tokens, corpus, words)
     hits = token_counts.join(terms, "token").join(lengths, "idx")
     weight = F.col("idf") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("idx").agg(F.sum(weight).alias("score"))

@@ -43,7 +43,7 @@ def _files(spark: SparkSession, sf_dir: str) -> str:
 
 def build(spark: SparkSession, sf_dir: str, out: str) -> None:
     """Write the index of an input folder to ``out``, which must not exist, and use it."""
-    from ..operators import lexicon
+    from ..operators import early, lexicon
     from .adapters import Views
 
     v = Views(spark, sf_dir, index=None)
@@ -56,6 +56,8 @@ def build(spark: SparkSession, sf_dir: str, out: str) -> None:
     postings = put(v.postings(), "postings", "token", "idx")
     put(v.positions(), "positions", "token", "idx")
     lengths = put(postings.groupBy("idx").agg(F.sum("cnt").alias("dl")), "lengths", "idx")
+    ranked = early.impacts(postings.groupBy("token", "idx").agg(F.sum("cnt").alias("tf")), lengths)
+    put(early.blocks(put(ranked, "impacts", "token", "block", "idx")), "blocks", "token", "block")
     corpus = v.verses().select("idx").join(lengths, "idx", "left").agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce("dl", F.lit(0))).alias("avgdl"))
     per_token = postings.groupBy("token", "idx").agg(F.sum("cnt").alias("tf")).groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)

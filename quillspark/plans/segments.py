@@ -106,8 +106,12 @@ class Segments:
         return every.groupBy(*keys).agg(*(F.sum(a).alias(a) for a in amounts)).where(" or ".join(f"{a} <> 0" for a in amounts))
 
     def table(self, name: str) -> DataFrame:
-        from ..operators import lexicon
+        from ..operators import early, lexicon
 
+        if name == "impacts":
+            return early.impacts(self.rows("token_rows"), self.rows("lengths"))
+        if name == "blocks":
+            return early.blocks(self.table("impacts"))
         if name == "tokens":
             return self.sums("token_sums").where("df > 0").select("token", "df", "total", _raw_idf(self.manifest["n"], F.col("df")).alias("raw"))
         if name == "corpus":

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import encode
+from ..operators import early, encode
 from ..operators import phrase as at
 from ..operators import search as op
 from ..plans import segments, shared
@@ -417,6 +417,32 @@ def bm25_topk(v: Views) -> DataFrame:
     return op.top_k(_bm25(v)).where("score > 0.5").select("idx", F.round("score", 6).alias("score"))
 
 
+#: Queries of one to six words, frequent and rare ones.
+ASKED_WORDS = (tuple(RANK_WORDS), ("the",), ("the", "of"), ("nicht", "thing"), ("therhean", "the", "is", "esndha", "reedes", "of"), ("zzzz",))
+
+
+@query(
+    "bm25_early",
+    f"""with qforms as (select distinct q, unnest(words) as form from (values {", ".join(f"({i}, {list(w)})" for i, w in enumerate(ASKED_WORDS))}) t(q, words)), {BM25.split("bm as (")[0].rstrip().rstrip(",")},
+scored as (
+  select q, c.idx, sum(idf * tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * dl / avgdl))) as score
+  from counts c join qforms f on c.token = f.form join idf using (token) join lengths using (idx), corpus group by all)
+select q, idx, round(score, 6) as score from scored qualify row_number() over (partition by q order by round(score, 9) desc, idx) <= 100""",
+)
+def bm25_early(v: Views) -> DataFrame:
+    """The hundred best of several queries, each without the blocks of texts that cannot reach them."""
+    if v.index:
+        rows, of_blocks, tokens, corpus = v.stored("impacts"), v.stored("blocks"), v.stored("tokens").select("token", "raw"), v.stored("corpus").select("avgdl", "mean_idf")
+    else:
+        counts = shared.written(v.postings().groupBy("token", "idx").agg(F.sum("cnt").alias("tf")))
+        lengths, tokens, corpus = op.bm25_statistics(counts, v.verses())
+        rows, tokens, corpus = shared.written(early.impacts(counts, lengths)), shared.written(tokens), shared.written(corpus.select("avgdl", "mean_idf"))
+        of_blocks = early.blocks(rows)
+    asked = v.spark.createDataFrame([(i, w) for i, words in enumerate(ASKED_WORDS) for w in words], "q int, form string")
+    each = [early.best(rows, of_blocks, op.bm25_terms(tokens, corpus, asked.where(F.col("q") == i)))[0].select(F.lit(i).alias("q"), "idx", F.round("score", 6).alias("score")) for i in range(len(ASKED_WORDS))]
+    return reduce(DataFrame.unionByName, each)
+
+
 @query("dense_topk", f"with {DENSE} select idx, round(score, 6) as score from dense_top where score > 0.05")
 def dense_topk(v: Views) -> DataFrame:
     return op.top_k(_dense(v)).where("score > 0.05").select("idx", F.round("score", 6).alias("score"))
