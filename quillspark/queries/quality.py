@@ -84,15 +84,23 @@ def typo_suspects(v: Views) -> DataFrame:
     return op.typo_suspects(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), 1, 40, 5)
 
 
-@query(
-    "edit_distance",
-    """with wide as (select string_agg(c, '' order by c) as chars from (select distinct unnest(string_split(text, '')) as c from benchmark) where c > chr(127)),
+#: The twin counts bytes, so it gives each character a byte of its own first.
+BYTE_ITEMS = """with wide as (select coalesce(string_agg(c, '' order by c), '') as chars from (select distinct unnest(string_split(text, '')) as c from benchmark) where c > chr(127)),
 spare as (select string_agg(chr(i::int), '' order by i) as codes from range(1, 128) r(i) where i < 9 or i between 14 and 31 or i = 127),
-items as (select item_id, left(text, 2) as block, translate(text, chars, left(codes, length(chars)::int)) as t from benchmark, wide, spare)
-select a.item_id as a, b.item_id as b, levenshtein(a.t, b.t)::int as distance from items a join items b on a.block = b.block and a.item_id < b.item_id""",
-)
+items as (select item_id, left(text, 2) as block, translate(text, chars, left(codes, length(chars)::int)) as t from benchmark, wide, spare)"""
+
+
+@query("edit_distance", f"{BYTE_ITEMS} select a.item_id as a, b.item_id as b, levenshtein(a.t, b.t)::int as distance from items a join items b on b.item_id = a.item_id + 1")
 def edit_distance(v: Views) -> DataFrame:
-    """Items that begin alike (a blocking key), character by character; the twin counts bytes, so it gives each character one of its own first."""
+    """Each item's whole text against the next one's, character by character."""
+    items = v.table("benchmark")
+    a = items.select(F.col("item_id").alias("a"), (F.col("item_id") + 1).alias("b"), F.col("text").alias("x"))
+    return a.join(items.select(F.col("item_id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", F.levenshtein("x", "y").alias("distance"))
+
+
+@query("edit_distance_block", f"{BYTE_ITEMS} select a.item_id as a, b.item_id as b, levenshtein(a.t, b.t)::int as distance from items a join items b on a.block = b.block and a.item_id < b.item_id")
+def edit_distance_block(v: Views) -> DataFrame:
+    """All pairs of items that begin alike (a blocking key)."""
     items = v.table("benchmark").select(F.col("item_id").alias("id"), "text", F.substring("text", 1, 2).alias("block"))
     a, b = (items.select("block", F.col("id").alias(n), F.col("text").alias(f"text_{n}")) for n in ("a", "b"))
     return a.join(b, "block").where("a < b").select("a", "b", F.levenshtein("text_a", "text_b").alias("distance"))
