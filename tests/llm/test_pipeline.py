@@ -87,5 +87,5 @@ def test_stages_with_odd_rows_and_clashing_names(spark, sf_dir):
 
 def test_all_operators_are_registered():
     names = llm_queries.queries()
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
     assert set(llm_queries.oracle_sql()) <= set(names)

@@ -12,7 +12,7 @@ from ..test_oracles import table
 def test_query_matches_sql(spark, sf_dir, name):
     con = duckdb.connect()
     folder = sf_dir.replace("sf0.001", "sf0.01") if name == "op6_jaccard_join" else sf_dir  # where there are links
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "benchmark"):
         con.sql(f"create view {t} as select * from '{folder}/{t}.parquet'")
     df, rel = queries.queries()[name](spark, folder), con.sql(queries.oracle_sql()[name])
     assert sorted(df.columns) == sorted(rel.columns)
