@@ -11,7 +11,7 @@ from ..functions import text as tx
 from ..operators import early, encode
 from ..operators import phrase as at
 from ..operators import search as op
-from ..plans import segments, shared
+from ..plans import segments, shared, vectors
 from ..plans.adapters import Views
 from ..plans.roster import Roster
 
@@ -448,6 +448,30 @@ def dense_topk(v: Views) -> DataFrame:
     return op.top_k(_dense(v)).where("score > 0.05").select("idx", F.round("score", 6).alias("score"))
 
 
+NEXT = """
+with units as (
+  select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings
+  where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+scored as (
+  select a.vec_id as query, b.vec_id as key, round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)), 9) as score
+  from units a join units b on len(a.v) = len(b.v) where a.vec_id % 50 = 0)
+select query, key, score, (row_number() over (partition by query order by score desc, key))::int as rank from scored qualify rank <= 100"""
+
+
+@query("vec_exact", NEXT)
+def vec_exact(v: Views) -> DataFrame:
+    """The hundred next vectors of every fiftieth, by a look at all."""
+    rows = v.table("embeddings")
+    return vectors.exact(rows, rows.where("vec_id % 50 = 0"), "vec_id", "embedding")
+
+
+@query("vec_index")
+def vec_index(v: Views) -> DataFrame:
+    """``vec_exact`` by an index of all vectors: 0.95 of its rows or more, with their scores."""
+    rows = v.table("embeddings")
+    return vectors.build(rows, "vec_id", "embedding").search(rows.where("vec_id % 50 = 0"), "vec_id", "embedding")
+
+
 @query("rrf", f"with {RANK_FORMS}, {BM25}, {DENSE}, {RRF} select idx, round(rrf, 9) as rrf from fused")
 def rrf(v: Views) -> DataFrame:
     return _fused(v).select("idx", F.round("rrf", 9).alias("rrf"))
