@@ -131,6 +131,14 @@ class Views:
         words = self.words()
         return lexicon.word_stats(words if letter is None else words.where(F.lower(F.substring("word", 1, 1)) == letter))
 
+    def words_with(self, needle: str) -> DataFrame:
+        """(word, total) of the lexicon's words that hold ``needle``; an index of segments has no lists of letters, as totals change with every commit."""
+        from ..operators import grams
+
+        if isinstance(self.index, Stored):
+            return grams.holding(needle, self.lexicon(), self.stored("grams"), self.stored("gram_counts"))
+        return grams.holding(needle, self.lexicon())
+
     def topic_refs(self) -> DataFrame:
         """Line items as references of topics (part brands) to verse ranges."""
         first = F.col("l_quantity").cast("int")

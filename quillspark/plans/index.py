@@ -43,7 +43,7 @@ def _files(spark: SparkSession, sf_dir: str) -> str:
 
 def build(spark: SparkSession, sf_dir: str, out: str) -> None:
     """Write the index of an input folder to ``out``, which must not exist, and use it."""
-    from ..operators import early, lexicon
+    from ..operators import early, grams, lexicon
     from .adapters import Views
 
     v = Views(spark, sf_dir, index=None)
@@ -66,7 +66,8 @@ def build(spark: SparkSession, sf_dir: str, out: str) -> None:
     forms = put(v.forms_from(tokens.select(F.col("token").alias("form"))), "word_forms", "form")
     put(forms, "lemma_forms", "lemma", "form")
     words = put(v.words(), "words", "word", "book_slug")
-    put(lexicon.word_stats(words).withColumn("letter", F.lower(F.substring("word", 1, 1))), "lexicon", "letter", "word")
+    each = put(lexicon.word_stats(words).withColumn("letter", F.lower(F.substring("word", 1, 1))), "lexicon", "letter", "word")
+    put(grams.counts(put(grams.postings(each), "grams", "gram", "letter", "word")), "gram_counts", "gram")
     use(spark, sf_dir, out)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,8 +93,16 @@ def lex_page(v: Views) -> DataFrame:
 @query("lex_search", f"with {STATS} select * from (select word, total from stats where contains(lower(word), 'ion') order by lower(substr(word, 1, 1)), total desc, word limit 100) order by total desc, word")
 def lex_search(v: Views) -> DataFrame:
     """The first hits in letter order, sorted by frequency afterwards: not the overall top."""
-    hits = v.lexicon().where(F.contains(F.lower("word"), F.lit("ion"))).select("word", "total")
-    return hits.orderBy(F.lower(F.substring("word", 1, 1)), F.desc("total"), "word").limit(tx.clamp_limit(100, "words")).orderBy(F.desc("total"), "word")
+    return v.words_with("ion").orderBy(F.lower(F.substring("word", 1, 1)), F.desc("total"), "word").limit(tx.clamp_limit(100, "words")).orderBy(F.desc("total"), "word")
+
+
+NEEDLES = ("io", "ion", "TION", "thing", "ention", "chement", "orantion", "zzz")
+
+
+@query("lex_grams", f"with {STATS} select needle, word, total from stats, (select unnest({list(NEEDLES)}) as needle) where contains(lower(word), lower(needle))")
+def lex_grams(v: Views) -> DataFrame:
+    """All words that hold one of the needles of two to eight letters; each reads the shortest of its lists."""
+    return reduce(DataFrame.unionByName, [v.words_with(n).select(F.lit(n).alias("needle"), "word", "total") for n in NEEDLES])
 
 
 PER_FORM = f"""

@@ -51,7 +51,7 @@ def test_query_without_sql_runs(spark, sf_dir, name):
 
 INDEXED = [
     "postings", "doc_freq", "expand_forms", "word_forms", "ud_groups", "group_exclude", "kw_single", "kw_and", "kw_topk", "kw_filtered", "kw_translation", "kw_facets", "kw_totals", "kw_phrase", "kw_phrases", "set_intersect", "highlight", "bm25", "bm25_topk", "bm25_early", "rrf",
-    "exact_tier", "semantic_anti", "hybrid_guard", "rerank_exact", "rerank_sem", "hybrid", "mean_pool", "lexicon", "lex_scopes", "lex_scope_stats", "lex_letters", "lex_meta", "book_stats", "lex_trans_scope", "lex_page", "lex_search",
+    "exact_tier", "semantic_anti", "hybrid_guard", "rerank_exact", "rerank_sem", "hybrid", "mean_pool", "lexicon", "lex_scopes", "lex_scope_stats", "lex_letters", "lex_meta", "book_stats", "lex_trans_scope", "lex_page", "lex_search", "lex_grams",
     "word_stats", "word_distribution", "word_verses", "verse_words", "word_locations",
 ]
 
