@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import nested
 from ..plans.adapters import Views
 from ..plans.roster import Roster
 from ..sources import readers
@@ -150,8 +151,44 @@ def profile_fields(v: Views) -> DataFrame:
 
 @query("json_walk", "select event_id, '$.' || key as path, value from (select event_id, unnest(json_keys(props)) as key, json_extract_string(props, '$.' || unnest(json_keys(props))) as value from events)")
 def json_walk(v: Views) -> DataFrame:
-    rows = v.table("events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
-    return rows.select("event_id", F.concat(F.lit("$."), "key").alias("path"), "value")
+    return nested.walk(v.table("events"), "event_id", "props").select(F.col("key").alias("event_id"), "path", "value")
+
+
+def _deep(rows: DataFrame) -> DataFrame:
+    """Documents as JSON five levels deep."""
+    lines = F.transform(F.split("text", "\n"), lambda line: F.struct(F.struct(line.alias("text")).alias("at")))
+    origin = F.struct("source", lines.alias("lines"))
+    return rows.select("doc_id", F.to_json(F.struct("n_chars", F.struct("lang", origin.alias("origin")).alias("meta"))).alias("doc"))
+
+
+PATHS = """
+lines as (select doc_id, string_split(text, chr(10)) as l from documents),
+paths as (
+  select doc_id, '$.n_chars' as path, n_chars::varchar as value from documents where n_chars is not null
+  union all select doc_id, '$.meta.lang', lang from documents where lang is not null
+  union all select doc_id, '$.meta.origin.source', source from documents where source is not null
+  union all select doc_id, '$.meta.origin.lines[' || (i - 1) || '].at.text', l[i] from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from lines))"""
+
+
+@query("json_paths", f"with {PATHS} select * from paths")
+def json_paths(v: Views) -> DataFrame:
+    """Every value of documents of five levels, by its path."""
+    return nested.walk(_deep(v.table("documents")), "doc_id", "doc").select(F.col("key").alias("doc_id"), "path", "value")
+
+
+@query(
+    "json_diff",
+    f"""with {PATHS},
+changed as (
+  select doc_id, path, value as before, case when path = '$.meta.lang' then upper(value) when path like '%.text' then replace(value, ' the ', ' The ') else value end as after from paths)
+select doc_id, path, before, after, (row_number() over (partition by doc_id order by path))::int as r, count(*) over (partition by doc_id) as changes
+from changed where before <> after qualify r <= 10""",
+)
+def json_diff(v: Views) -> DataFrame:
+    """What a correction changes in documents of five levels: the first ten paths of each, and how many."""
+    docs = v.table("documents")
+    fixed = docs.withColumn("lang", F.upper("lang")).withColumn("text", F.replace("text", F.lit(" the "), F.lit(" The ")))
+    return nested.diff(_deep(docs), _deep(fixed), "doc_id", "doc").select(F.col("key").alias("doc_id"), "path", "before", "after", "r", "changes")
 
 
 @query("url_parse", r"select page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) as host, regexp_extract(url, '^https?://[^/?#]+(/[^?#]*)', 1) as path, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') as page, nullif(regexp_extract(url, '#(.*)$', 1), '') as fragment from pages")
