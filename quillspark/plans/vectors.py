@@ -31,8 +31,9 @@ STEP = 2
 #: Rows of a block of a list, and queries that meet it at once.
 BLOCK = 1024
 PACK = 128
-#: Lists are dealt to so many shards at most, and queries sent to each.
-MOST_SHARDS = 64
+#: Lists are dealt to so many shards, at every size, as a query gets candidates from each; packs of queries to so many parts, each of which gets the codes.
+SHARDS = 8
+PARTS = 8
 #: The share of neighbours whose lists are to be read.
 RECALL = 0.97
 #: Candidates by codes that are ranked again, for each row of an answer.
@@ -125,8 +126,8 @@ class Vectors:
         asked = _rows(queries, key, vector).where(F.size("vec") == model.dim)
         depth = depth or k * DEPTH
         packs = self._packs(asked, min(probes or model.probes, len(model.centres)))
-        blocks = self.table("codes").withColumn("shard", F.col("list") % self.shards)
-        found = self._candidates(packs.join(blocks, "shard"), depth)
+        blocks = self.table("codes").withColumn("shard", F.col("list") % self.shards).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        found = self._candidates(packs.withColumn("part", F.pmod(F.xxhash64("pack"), F.lit(PARTS)).cast("int")).join(blocks, ["shard", "part"]), depth)
         best = Window.partitionBy("query").orderBy(F.desc("near"), "list", "key")
         kept = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= depth).select("query", "list", "key")
         left = asked.select(F.col("key").alias("query"), F.col("vec").alias("a"))
@@ -254,7 +255,7 @@ def build(vectors: DataFrame, key: str, vector: str, out: str | None = None) ->
     coded.select("list", "key", "code", kept.alias("vec")).repartitionByRange(parts, "list", "key").sortWithinPartitions("list", "key").write.partitionBy("list").parquet(f"{path}/vectors")
     dealt = written(spark.read.parquet(f"{path}/vectors").select("list", "key", "code").repartitionByRange(parts, "list", "key").sortWithinPartitions("list", "key").mapInArrow(frugal(block), "list int, keys binary, codes binary"))
     dealt.write.partitionBy("list").parquet(f"{path}/codes")
-    return Vectors(spark, path, model, max(1, min(MOST_SHARDS, total // (8 * BLOCK))))
+    return Vectors(spark, path, model, SHARDS)
 
 
 def exact(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 100, shards: int = 16) -> DataFrame:

@@ -64,7 +64,7 @@ def test_recall_of_vectors_without_clusters(spark):
 
 
 def test_all_lists_and_all_candidates_give_the_exact_answer(spark, cloud, monkeypatch):
-    monkeypatch.setattr(vectors, "MOST_SHARDS", 3)
+    monkeypatch.setattr(vectors, "SHARDS", 3)
     monkeypatch.setattr(vectors, "BLOCK", 100)
     rows = frame(spark, cloud)
     asked = [r for r in cloud if r[0] % 300 == 0]
