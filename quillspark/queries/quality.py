@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import containment, patterns
 from ..operators import quality as op
 from ..plans.adapters import Views
 from ..plans.roster import Roster
@@ -155,6 +156,65 @@ def fuzzy_prefix(v: Views) -> DataFrame:
     return best.select("item_id", "best.doc_id", "best.priority")
 
 
+RUNS_OF = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+')"
+PAIRS_OF = r"list_transform(list_filter(range(1, len(l) - 1), lambda i: l[i + 1] = ' '), lambda i: l[i] || ' ' || l[i + 2])"
+
+
+@query(
+    "context_patterns",
+    rf"""with items as (select item_id, {RUNS_OF} as l from benchmark),
+terms as (select distinct item_id, unnest(list_concat(list_filter(l, lambda w: length(w) >= 7 and regexp_matches(w, '^[\p{{L}}\p{{N}}_]')), {PAIRS_OF})) as term from items),
+shown as (select doc_id, unnest(list_concat(list_filter(l, lambda w: regexp_matches(w, '^[\p{{L}}\p{{N}}_]')), {PAIRS_OF})) as term from (select doc_id, {RUNS_OF} as l from documents)),
+hits as (select item_id, doc_id, count(*) as n_terms, sum(n)::bigint as n_hits, min(term) as first_term from terms join (select doc_id, term, count(*) as n from shown group by all) using (term) group by all)
+select *, row_number() over (partition by item_id order by doc_id) as r from hits qualify r <= 3""",
+)
+def context_patterns(v: Views) -> DataFrame:
+    """The first three texts that show any long word or any two neighbouring words of a label: one automaton over all of them."""
+    found = patterns.first_contexts(v.table("documents"), "doc_id", "text", v.table("benchmark"), "item_id", patterns.words_and_pairs(F.col("text"), 7))
+    return found.select(F.col("item").alias("item_id"), F.col("key").alias("doc_id"), "n_terms", "n_hits", "first_term", "r")
+
+
+def _head(text: str, size: int) -> Column:
+    return F.substring(text, 1, size)
+
+
+def _mutual(v: Views) -> tuple[DataFrame, DataFrame]:
+    """(item_id, doc_id, copies): texts that hold an item's first 40 characters; and by equal heads, that have their own 40 in an item."""
+    items = v.table("benchmark").select("item_id", "text", _head("text", 40).alias("string"))
+    docs = v.table("documents").select("doc_id", "text", _head("text", 40).alias("string"))
+    holding = containment.holders(items, "string", docs, "doc_id", "text").join(items.select("item_id", "string"), "string")
+    heads = docs.where("string <> ''").groupBy("string").agg(F.countDistinct("doc_id").alias("copies"), F.min("doc_id").alias("doc_id"))
+    held = containment.holders(heads, "string", items, "item_id", "text").withColumnRenamed("key", "item_id").join(heads, "string")
+    return holding.select("item_id", F.col("key").alias("doc_id")), held.select("item_id", "doc_id", "copies")
+
+
+MUTUAL = """with pairs as (select item_id, doc_id, left(i.text, 40) <> '' and contains(d.text, left(i.text, 40)) as holding, left(d.text, 40) <> '' and contains(i.text, left(d.text, 40)) as held,
+  i.text <> '' and starts_with(d.text, left(i.text, 50)) as begins from benchmark i, documents d)"""
+
+
+@query("containment", f"{MUTUAL} select item_id, count_if(holding)::bigint as n_holding, min(case when holding then doc_id end) as first_holding, count_if(held)::bigint as n_held, min(case when held then doc_id end) as first_held from pairs group by 1")
+def containment_of_heads(v: Views) -> DataFrame:
+    """How many texts hold an item's first 40 characters at any place, and how many have their own first 40 in the item's text."""
+    holding, held = _mutual(v)
+    there = holding.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_holding"), F.min("doc_id").alias("first_holding"))
+    here = held.groupBy("item_id").agg(F.sum("copies").alias("n_held"), F.min("doc_id").alias("first_held"))
+    counts = v.table("benchmark").select("item_id").distinct().join(there, "item_id", "left").join(here, "item_id", "left")
+    return counts.select("item_id", F.coalesce("n_holding", F.lit(0)).alias("n_holding"), "first_holding", F.coalesce("n_held", F.lit(0)).alias("n_held"), "first_held")
+
+
+@query("curated_match", f"{MUTUAL} select item_id, case when bool_or(begins) then 0 else 1 end as rule, coalesce(min(case when begins then doc_id end), min(doc_id)) as doc_id from pairs where begins or holding or held group by 1")
+def curated_match(v: Views) -> DataFrame:
+    """A curated item's text: the first that begins with its first 50 characters, else the first that holds its 40 or is held by it."""
+    items = v.table("benchmark").select("item_id", _head("text", 50).alias("start")).where("start <> ''")
+    lengths = sorted(r[0] for r in items.select(F.length("start")).distinct().collect())  # fifty at most
+    starts = F.array_distinct(F.array(*(_head("text", n) for n in lengths))) if lengths else F.array().cast("array<string>")
+    begins = v.table("documents").where("text is not null").select("doc_id", F.explode(starts).alias("start")).join(items, "start").select("item_id", "doc_id", F.lit(0).alias("rule"))
+    holding, held = _mutual(v)
+    other = holding.unionByName(held.drop("copies")).withColumn("rule", F.lit(1))
+    best = begins.unionByName(other).groupBy("item_id").agg(F.min(F.struct("rule", "doc_id")).alias("best"))
+    return best.select("item_id", "best.rule", "best.doc_id")
+
+
 RENAMES = [("the ", "ze "), ("tion", "shun"), ("ing", "in"), ("ü", "ue")]
 
 
