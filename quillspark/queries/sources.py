@@ -11,7 +11,8 @@ from ..functions import text as tx
 from ..operators import nested
 from ..plans.adapters import Views
 from ..plans.roster import Roster
-from ..sources import readers
+from ..plans.shared import new_path
+from ..sources import jsonmaps, npz, readers
 
 roster = Roster()
 query = roster.query
@@ -191,6 +192,29 @@ def json_diff(v: Views) -> DataFrame:
     return nested.diff(_deep(docs), _deep(fixed), "doc_id", "doc").select(F.col("key").alias("doc_id"), "path", "before", "after", "r", "changes")
 
 
+@query("json_map_blocks", "select doc_id::varchar as doc_id, lang, length(text) as n_chars, md5(text) as digest from documents")
+def json_map_blocks(v: Views) -> DataFrame:
+    """Documents written as JSON objects by id, and read again by blocks that begin anywhere."""
+    path = new_path(v.spark, "maps")
+    value = F.to_json(F.struct(F.struct("lang", "text").alias("inner"), F.array("source", "lang").alias("of")))
+    jsonmaps.write_json_map(v.table("documents").select("doc_id", value.alias("value")), "doc_id", "value", path)
+    got = jsonmaps.json_map(v.spark, path).select(F.col("key").alias("doc_id"), F.from_json("value", "inner struct<lang: string, text: string>").alias("value"))
+    return got.select("doc_id", "value.inner.lang", F.length("value.inner.text").cast("bigint").alias("n_chars"), F.md5("value.inner.text").alias("digest"))
+
+
+_WHOLE = "embedding is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null)) = 0 and vec_id is not null and label is not null"
+
+
+@query("npz_ranges", f"select vec_id as idx, label, len(embedding)::int as dim, round(sqrt(list_dot_product(embedding::double[], embedding::double[])), 6) as norm from embeddings where {_WHOLE}")
+def npz_ranges(v: Views) -> DataFrame:
+    """Vectors written as numpy archives, and read again by ranges of rows; archives have no nulls, so vectors without all their components are left out."""
+    path = new_path(v.spark, "npz")
+    whole = F.col("embedding").isNotNull() & (F.size("embedding") == 64) & F.forall("embedding", lambda x: x.isNotNull())
+    npz.write_npz(v.table("embeddings").where(whole & F.col("vec_id").isNotNull() & F.col("label").isNotNull()).select("vec_id", "label", "embedding"), path)
+    square = F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    return npz.read_npz(v.spark, path).select(F.col("vec_id").alias("idx"), "label", F.size("embedding").alias("dim"), F.round(F.sqrt(square), 6).alias("norm"))
+
+
 @query("url_parse", r"select page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) as host, regexp_extract(url, '^https?://[^/?#]+(/[^?#]*)', 1) as path, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') as page, nullif(regexp_extract(url, '#(.*)$', 1), '') as fragment from pages")
 def url_parse(v: Views) -> DataFrame:
     url = F.col("url")
