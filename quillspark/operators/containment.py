@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.memory import frugal
+from ..plans.shared import written
 
 #: Least length of a string: (characters of a run, runs of a window).  A string of that length or more has a whole window.
 TIERS = {40: (20, 21), 17: (12, 6), 9: (8, 2), **{n: (n, 1) for n in range(8, 0, -1)}}
@@ -115,5 +116,5 @@ def holders(strings: DataFrame, string: str, texts: DataFrame, key: str, text: s
     needles = given.mapInArrow(_needle_prints, "string string, tier int, print bigint")
     rows = texts.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).where("key is not null and text <> ''")
     marks = rows.mapInArrow(frugal(lambda batches: _fingerprints(batches, tiers)), "key bigint, tier int, print bigint")
-    candidates = marks.join(needles, ["tier", "print"]).select("string", "key")
+    candidates = written(marks.join(needles, ["tier", "print"]).select("string", "key"))  # of known size, so that texts travel only if these are many
     return candidates.join(rows, "key").where(F.contains("text", "string")).select("string", "key").distinct()
