@@ -21,8 +21,8 @@ Scorer = Callable[[str, list[str]], np.ndarray]
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
-def encoded(rows: DataFrame, key: str, text: str, load: Callable[[], Encoder], batch: int = 256, element: str = "float") -> DataFrame:
-    """Rows (key, vec) with vectors of length 1, or of zeros, as floats or doubles; a null text counts as empty."""
+def encoded(rows: DataFrame, key: str, text: str, load: Callable[[], Encoder], batch: int = 256, element: str = "float", unit: bool = True) -> DataFrame:
+    """Rows (key, vec) with vectors of length 1, or of zeros (as the model gives them without ``unit``), as floats or doubles; a null text counts as empty."""
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -31,7 +31,8 @@ def encoded(rows: DataFrame, key: str, text: str, load: Callable[[], Encoder], b
             for first in range(0, len(part), batch):
                 some = part.slice(first, batch)
                 vectors = np.asarray(model([t or "" for t in some.column(1).to_pylist()]), np.float64)
-                vectors = vectors / np.maximum(np.sqrt((vectors * vectors).sum(axis=1, keepdims=True)), 1e-12)
+                if unit:
+                    vectors = vectors / np.maximum(np.sqrt((vectors * vectors).sum(axis=1, keepdims=True)), 1e-12)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * vectors.shape[1], pa.int32()), pa.array(vectors.ravel(), pa.float64() if element == "double" else pa.float32()))
                 yield pa.RecordBatch.from_arrays([some.column(0), lists], ["key", "vec"])
 

@@ -126,6 +126,13 @@ def dense_scores(vectors: DataFrame, query: DataFrame) -> DataFrame:
     return vectors.crossJoin(F.broadcast(query.limit(1))).select("idx", dot.alias("score"))
 
 
+def cosine_scores(vectors: DataFrame, query: DataFrame) -> DataFrame:
+    """Rows (idx, score): cosine with the one row (query), scaled after the sums: those of whole numbers are exact, and so is a score on a threshold."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
+    lengths = F.greatest(F.sqrt(dot("vec", "vec")), F.lit(1e-12)) * F.sqrt(dot("query", "query"))
+    return vectors.crossJoin(F.broadcast(query.limit(1))).select("idx", (dot("vec", "query") / lengths).alias("score"))
+
+
 def top_k(scored: DataFrame, k: int = 100) -> DataFrame:
     return scored.orderBy(F.desc(F.round("score", 9)), "idx").limit(k)
 
