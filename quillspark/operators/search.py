@@ -60,6 +60,23 @@ def phrase_matches(verses: DataFrame, phrase: str, translation: str = "both") ->
     return counted.select("idx", "book_slug", "chapter", "verse", F.col("total_count").alias("exact_count"), "total_count")
 
 
+def phrases_found(verses: DataFrame, phrases: list[str]) -> DataFrame:
+    """Rows (phrase, idx, book_slug, chapter, verse, total_count) of all verses with each phrase, from one scan.
+
+    A verse is looked through for those phrases only whose letters it has.  The letter before a phrase is part of a hit,
+    so of two phrases without anything between them the second one is none.
+    """
+
+    def hits(side: str, phrase: str) -> Column:
+        pattern = rf"(?iu)(?:^|[^\p{{L}}\p{{N}}_]){tx.literal_pattern(phrase)}"
+        return F.when(F.contains(f"low_{side}", F.lit(phrase.lower())), F.regexp_count(side, F.lit(pattern))).otherwise(0)
+
+    low = {f"low_{side}": F.translate(F.lower(side), "ſ", "s") for side in ("new", "old")}  # the other letter that folds to an s
+    found = F.array(*(F.struct(F.lit(p).alias("phrase"), (hits("new", p) + hits("old", p)).cast("bigint").alias("n")) for p in phrases))
+    each = verses.withColumns(low).select("idx", "book_slug", "chapter", "verse", F.inline(F.filter(found, lambda x: x["n"] > 0)))
+    return each.groupBy("phrase", "idx", "book_slug", "chapter", "verse").agg(F.sum("n").alias("total_count"))
+
+
 def ranked(matches: DataFrame, limit: int = 200) -> DataFrame:
     return matches.orderBy(F.desc("exact_count"), F.desc("total_count"), "idx").limit(tx.clamp_limit(limit, "keywords"))
 
