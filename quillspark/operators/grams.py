@@ -48,3 +48,9 @@ def holding(needle: str, lexicon: DataFrame, grams: DataFrame | None = None, len
     n = {r.gram: r.n for r in lengths.where(F.col("gram").isin(asked)).collect()}
     rarest = min(asked, key=lambda g: (n.get(g, 0), g))
     return grams.where(F.col("gram") == rarest).where(found).select("word", "total")
+
+
+def holding_each(needles: tuple[str, ...], lexicon: DataFrame) -> DataFrame:
+    """Rows (needle, word, total) of ``holding`` for each needle, by one look at all words."""
+    held = F.filter(F.array(*map(F.lit, needles)), lambda n: F.contains(_folded(F.col("word")), F.lower(n)))
+    return lexicon.select(F.explode(held).alias("needle"), "word", "total")

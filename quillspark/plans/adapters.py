@@ -137,7 +137,20 @@ class Views:
 
         if isinstance(self.index, Stored):
             return grams.holding(needle, self.lexicon(), self.stored("grams"), self.stored("gram_counts"))
-        return grams.holding(needle, self.lexicon())
+        return grams.holding(needle, self.lexicon() if self.index else self.word_totals())
+
+    def words_with_each(self, needles: tuple[str, ...]) -> DataFrame:
+        """Rows (needle, word, total) of ``words_with`` for several needles; without an index all are looked for in one count of the words."""
+        from ..operators import grams
+
+        if self.index:
+            return reduce(DataFrame.unionByName, [self.words_with(n).select(F.lit(n).alias("needle"), "word", "total") for n in needles])
+        return grams.holding_each(needles, self.word_totals())
+
+    def word_totals(self) -> DataFrame:
+        """(word, total) of the lexicon, counted from the texts."""
+        word = F.explode(tx.tokens(tx.fold_script(F.col("text")), tx.LEXICON_CLASS, lower=False)).alias("word")
+        return self.sides().select(word).groupBy("word").agg(F.count(F.lit(1)).alias("total"))
 
     def topic_refs(self) -> DataFrame:
         """Line items as references of topics (part brands) to verse ranges."""

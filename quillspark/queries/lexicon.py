@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,8 +99,8 @@ NEEDLES = ("io", "ion", "TION", "thing", "ention", "chement", "orantion", "zzz")
 
 @query("lex_grams", f"with {STATS} select needle, word, total from stats, (select unnest({list(NEEDLES)}) as needle) where contains(lower(word), lower(needle))")
 def lex_grams(v: Views) -> DataFrame:
-    """All words that hold one of the needles of two to eight letters; each reads the shortest of its lists."""
-    return reduce(DataFrame.unionByName, [v.words_with(n).select(F.lit(n).alias("needle"), "word", "total") for n in NEEDLES])
+    """All words that hold one of the needles of two to eight letters; each reads the shortest of its lists, or all share one count of the words."""
+    return v.words_with_each(NEEDLES)
 
 
 PER_FORM = f"""
