@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from .index import Stored, known
+from .shared import written
 
 #: So many keys at most are handed to the scan of a stored table as a list; more are joined, between the least and the greatest.
 LISTED = 1000
@@ -19,6 +22,13 @@ class Views:
         """``index``: the stored index; the one in use, unless it is given."""
         self.spark, self.dir = spark, sf_dir
         self.index = known(spark, sf_dir) if index == "" else index
+        self._held: dict = {}
+
+    def _once(self, key, make):
+        """What several parts of a query ask for, made once for all of them."""
+        if key not in self._held:
+            self._held[key] = make()
+        return self._held[key]
 
     def stored(self, name: str) -> DataFrame:
         return self.index.table(name)
@@ -60,9 +70,48 @@ class Views:
         """Rows (idx, book_slug, translation, token), one per word of a text."""
         return self.sides().select("idx", "book_slug", "testament", "noncanonical", "translation", F.explode(tx.tokens(F.col("text"))).alias("token"))
 
+    def distinct_ids(self) -> bool:
+        """Has every document an id of its own?  Then what a text holds is known in its row; else rows with one id are one text and have to meet."""
+
+        def look() -> bool:
+            ids = self.table("documents").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+            return ids.where("rows > 1 or doc_id is null").isEmpty()
+
+        return self._once("distinct_ids", look)
+
+    def token_sums(self) -> DataFrame:
+        """Rows (token, df, dl) of documents with ids of their own: in how many a token is; the dl add up to the number of all words."""
+        from ..operators import bags
+
+        return self._once("token_sums", lambda: written(bags.sums(self.verses())))
+
+    def hits(self, forms: DataFrame) -> DataFrame:
+        """Rows (token, idx, translation, cnt, dl) of the tokens in column ``form`` in documents with ids of their own, from one look at the texts; dl is the document's length."""
+        from ..operators import bags
+
+        def make() -> DataFrame:
+            few = [r.form for r in forms.select("form").distinct().limit(LISTED + 1).collect()]
+            if len(few) <= LISTED:
+                return written(bags.counted(self.verses(), few))
+            return written(bags.counted(self.verses()).join(F.broadcast(forms.select(F.col("form").alias("token")).distinct()), "token", "left_semi"))
+
+        return self._once(("hits", id(forms)), make)
+
+    def doc_freq(self) -> DataFrame:
+        """Rows (token, df): in how many documents a token is."""
+        if self.index or not self.distinct_ids():
+            return self.postings().select("token", "idx").distinct().groupBy("token").agg(F.count("idx").alias("df"))
+        from ..operators import bags
+
+        return bags.sums(self.verses()).select("token", "df")
+
     def postings(self) -> DataFrame:
         if self.index:
             return self.stored("postings")
+        if self.distinct_ids():
+            from ..operators import bags
+
+            return bags.counted(self.verses()).drop("dl")
         return self.occurrences().groupBy("token", "idx", "translation").agg(F.count(F.lit(1)).alias("cnt"))
 
     def postings_of(self, forms: DataFrame) -> DataFrame:
@@ -74,6 +123,8 @@ class Views:
             ends = forms.agg(F.min("form").alias("a"), F.max("form").alias("b")).first()
             near = self.stored("postings").where(F.col("token").between(ends.a, ends.b))
             return near.join(forms.select(F.col("form").alias("token")).distinct(), "token", "left_semi")
+        if self.distinct_ids():
+            return self.hits(forms).select("token", "idx", "translation", "cnt")
         hits = self.occurrences().join(forms.select(F.col("form").alias("token")).distinct(), "token", "left_semi")
         return hits.groupBy("token", "idx", "translation").agg(F.count(F.lit(1)).alias("cnt"))
 
@@ -100,13 +151,23 @@ class Views:
         from ..operators import search
 
         if not self.index:
-            return search.expand_forms(self.spark, words, self.word_forms())
+            return self._once(("forms", *words), lambda: self._forms_in_texts(words))
         if hasattr(self.index, "forms_near"):
             return search.expand_forms(self.spark, words, self.index.forms_near(words))
         lemma = {r.form: r.lemma for r in self.stored("word_forms").where(F.col("form").isin(words)).collect()}
         forms = self.stored("lemma_forms").where(F.col("lemma").isin(list(set(lemma.values())))).select("form", "lemma")
         return search.expand_forms(self.spark, words, forms)
 
+    def _forms_in_texts(self, words: list[str]) -> DataFrame:
+        """``forms_of`` without an index: only tokens that may share a lemma with one of the words are told apart."""
+        from ..operators import search
+
+        found = self._held["token_sums"] if "token_sums" in self._held else self.occurrences()
+        near = [F.startswith("token", F.lit(w[:5])) if len(w) >= 5 else F.col("token") == w for w in words]
+        forms = search.expand_forms(self.spark, words, self.forms_from(found.where(reduce(Column.__or__, near)).select(F.col("token").alias("form")).distinct()))
+        few = forms.limit(LISTED + 1).collect()
+        return self.spark.createDataFrame([tuple(r) for r in few], forms.schema) if len(few) <= LISTED else written(forms)
+
     def words(self) -> DataFrame:
         """The lexicon's fact table: (word, book_slug, testament, noncanonical, translation, cnt), case kept."""
         if self.index:

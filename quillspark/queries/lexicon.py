@@ -150,7 +150,7 @@ join word_forms on form = token join grouped g using (lemma) order by total, fir
 )
 def verse_words(v: Views) -> DataFrame:
     """Rarest words first; a group's frequency is the sum of its forms' document frequencies."""
-    df = v.stored("tokens").select("token", "df") if v.index else v.postings().select("token", "idx").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    df = v.stored("tokens").select("token", "df") if v.index else v.doc_freq()
     forms = v.word_forms()
     grouped = forms.join(df, F.col("form") == F.col("token")).groupBy("lemma").agg(F.sum("df").alias("total"), F.count(F.lit(1)).alias("forms_count"))
     words = v.verses().where("idx = 7").select(F.posexplode(tx.tokens(F.col("new"))).alias("pos", "word")).groupBy("word").agg(F.min("pos").cast("bigint").alias("first_pos"))
