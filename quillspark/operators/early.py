@@ -17,9 +17,9 @@ from .search import BM25_B, BM25_K1, top_k
 BLOCK, FIRST_BLOCKS, LISTED = 64, 8, 1000
 
 
-def impacts(token_counts: DataFrame, lengths: DataFrame) -> DataFrame:
-    """Rows (token, block, idx, tf, dl) from (token, idx, tf) and (idx, dl)."""
-    return token_counts.join(lengths, "idx").select("token", F.floor(F.col("idx") / BLOCK).cast("bigint").alias("block"), "idx", "tf", "dl")
+def impacts(token_counts: DataFrame, lengths: DataFrame | None) -> DataFrame:
+    """Rows (token, block, idx, tf, dl) from (token, idx, tf) and (idx, dl); ``token_counts`` may have dl itself."""
+    return (token_counts if lengths is None else token_counts.join(lengths, "idx")).select("token", F.floor(F.col("idx") / BLOCK).cast("bigint").alias("block"), "idx", "tf", "dl")
 
 
 def blocks(rows: DataFrame) -> DataFrame:
