@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import lexicon
+from ..operators import bags, lexicon
 from ..operators import topics as op
 from ..plans.adapters import Views
 from ..plans.roster import Roster
@@ -308,5 +308,8 @@ def vec_pairs(v: Views) -> DataFrame:
     only words that have a partner are pooled.
     """
     vectors = v.table("embeddings").select(F.col("vec_id").alias("idx"), "embedding")
-    placed = v.postings().where("length(token) >= 5").select("token", "idx").distinct().join(vectors.select("idx"), "idx", "left_semi")
+    if not v.index and v.distinct_ids():  # only texts that have a vector are looked at
+        placed = bags.counted(v.verses().join(vectors.select("idx"), "idx", "left_semi"), apart=False).where("length(token) >= 5").select("token", "idx")
+    else:
+        placed = v.postings().where("length(token) >= 5").select("token", "idx").distinct().join(vectors.select("idx"), "idx", "left_semi")
     return lexicon.alike(placed, vectors, least_prefix=5, least_share=0.7, least_cosine=0.9).select("a", "b", F.round("cosine", 6).alias("cosine"))
