@@ -116,11 +116,22 @@ def bm25(token_counts: DataFrame, verses: DataFrame, words: DataFrame) -> DataFr
 def bm25_statistics(token_counts: DataFrame, verses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Lengths (idx, dl), tokens (token, raw idf) and one row (n, avgdl, mean_idf)."""
     lengths = token_counts.groupBy("idx").agg(F.sum("tf").alias("dl"))
-    corpus = verses.select("idx").join(lengths, "idx", "left").agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce("dl", F.lit(0))).alias("avgdl"))
     df = token_counts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    corpus = verses.select("idx").join(lengths, "idx", "left").agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce("dl", F.lit(0))).alias("avgdl"))
+    return lengths, *_weighed(df, corpus)
+
+
+def bm25_sums(token_sums: DataFrame, verses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The last two of ``bm25_statistics`` from rows (token, df, dl) whose dl add up to the lengths of all verses."""
+    n = verses.agg(F.count(F.lit(1)).alias("n"))
+    length = token_sums.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("length"))
+    return _weighed(token_sums.select("token", "df"), n.crossJoin(F.broadcast(length)).select("n", (F.col("length") / F.col("n")).alias("avgdl")))
+
+
+def _weighed(df: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
     raw = df.crossJoin(F.broadcast(corpus)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
-    return lengths, raw.select("token", "raw"), corpus.crossJoin(F.broadcast(mean))
+    return raw.select("token", "raw"), corpus.crossJoin(F.broadcast(mean))
 
 
 def bm25_terms(tokens: DataFrame, corpus: DataFrame, words: DataFrame) -> DataFrame:
@@ -129,10 +140,11 @@ def bm25_terms(tokens: DataFrame, corpus: DataFrame, words: DataFrame) -> DataFr
     return terms.withColumn("idf", F.when(F.col("raw") < 0, BM25_EPSILON * F.col("mean_idf")).otherwise(F.col("raw"))).select("token", "idf", "avgdl")
 
 
-def bm25_scores(token_counts: DataFrame, lengths: DataFrame, tokens: DataFrame, corpus: DataFrame, words: DataFrame) -> DataFrame:
-    """``bm25`` from lengths (idx, dl), tokens (token, raw idf) and one row (avgdl, mean_idf)."""
+def bm25_scores(token_counts: DataFrame, lengths: DataFrame | None, tokens: DataFrame, corpus: DataFrame, words: DataFrame) -> DataFrame:
+    """``bm25`` from lengths (idx, dl; none: ``token_counts`` has dl), tokens (token, raw idf) and one row (avgdl, mean_idf)."""
     terms = bm25_terms(tokens, corpus, words)
-    hits = token_counts.join(terms, "token").join(lengths, "idx")
+    hits = token_counts.join(terms, "token")
+    hits = hits if lengths is None else hits.join(lengths, "idx")
     weight = F.col("idf") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("idx").agg(F.sum(weight).alias("score"))
 
