@@ -29,8 +29,9 @@ def tokens(text: Column, token_class: str = INDEX_CLASS, lower: bool = True) ->
 
 
 def fold_script(text: Column) -> Column:
-    """Both old scripts to the everyday one; must come before lower-casing."""
-    return F.translate(text, ASOMTAVRULI + NUSKHURI, MKHEDRULI * 2)
+    """Both old scripts to the everyday one; must come before lower-casing.  Texts without their letters are left as they are, as ``translate`` looks up every character."""
+    old = f"[{ASOMTAVRULI[0]}-{ASOMTAVRULI[-1]}{NUSKHURI[0]}-{NUSKHURI[-1]}]"
+    return F.when(F.rlike(text, F.lit(old)), F.translate(text, ASOMTAVRULI + NUSKHURI, MKHEDRULI * 2)).otherwise(text)
 
 
 def unfold_script(text: Column) -> Column:

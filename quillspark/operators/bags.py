@@ -22,15 +22,16 @@ SIDES = ("new", "old")
 NO_LETTERS = r"\PL+"
 
 
-def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+def _words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
     """All words, and in the text of which number each is."""
-    lists = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), pattern=NO_LETTERS)
+    texts = pc.fill_null(texts, "")
+    lists = pc.split_pattern_regex(pc.utf8_lower(texts) if lower else texts, pattern=NO_LETTERS)
     words, at = lists.flatten(), np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists)))
     some = pc.not_equal(words, "")  # before and after the first and the last word
     return words.filter(some), at[np.asarray(some)]
 
 
-def _pieces(batches: Batches) -> Batches:
+def pieces(batches: Batches) -> Batches:
     for batch in batches:
         for first in range(0, len(batch), TEXTS):
             yield batch.slice(first, TEXTS)
@@ -55,7 +56,7 @@ def counted(sides: DataFrame, keep: list[str] | None = None, apart: bool = True)
 
     def run(batches: Batches) -> Batches:
         wanted = None if keep is None else pa.array(keep, pa.string())
-        for part in _pieces(batches):
+        for part in pieces(batches):
             words, places, dl = [], [], np.zeros(len(part), np.int64)
             for side in range(len(SIDES)):
                 mine, at = _words(part.column(side + 1))
@@ -79,7 +80,7 @@ def sums(sides: DataFrame) -> DataFrame:
     """Rows (token, df, dl): in how many texts a token is; the dl add up to the number of all words."""
 
     def run(batches: Batches) -> Batches:
-        for part in _pieces(batches):
+        for part in pieces(batches):
             (a, at), (b, bt) = (_words(part.column(side + 1)) for side in range(len(SIDES)))
             coded = pa.concat_arrays([a, b]).dictionary_encode()
             size = max(1, len(coded.dictionary))
@@ -89,3 +90,41 @@ def sums(sides: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(np.bincount(found % size, minlength=len(dl))[: len(dl)].astype(np.int64)), pa.array(dl)], ["token", "df", "dl"])
 
     return _given(sides).mapInArrow(frugal(run), "token string, df bigint, dl bigint").groupBy("token").agg(F.sum("df").alias("df"), F.sum("dl").alias("dl"))
+
+
+def by_text(sides: DataFrame) -> DataFrame:
+    """Rows (idx, token, tf, new), those of a text together: how often a token is in it, and how often on its new side."""
+
+    def run(batches: Batches) -> Batches:
+        for part in pieces(batches):
+            (a, at), (b, bt) = (_words(part.column(side + 1)) for side in range(len(SIDES)))
+            coded = pa.concat_arrays([a, b]).dictionary_encode()
+            size = max(1, len(coded.dictionary))
+            places = np.concatenate([at, bt]) * size + np.asarray(coded.indices)
+            found, n = _runs(places)
+            first, m = _runs(places[: len(a)])
+            new = np.zeros(len(found), np.int64)
+            new[np.searchsorted(found, first)] = m
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(found // size)), coded.dictionary.take(pa.array(found % size)), pa.array(n, pa.int64()), pa.array(new)], ["idx", "token", "tf", "new"])
+
+    return _given(sides).mapInArrow(frugal(run), "idx bigint, token string, tf bigint, new bigint")
+
+
+def cased(sides: DataFrame, kept: str) -> DataFrame:
+    """Rows (idx, word, the columns of the schema ``kept``, translation, cnt), those of a text together, of its words as they are written."""
+    names = [c.split()[0] for c in kept.split(", ")]
+
+    def run(batches: Batches) -> Batches:
+        for part in pieces(batches):
+            for side, translation in enumerate(SIDES):
+                words, at = _words(part.column(side + 1), lower=False)
+                coded = words.dictionary_encode()
+                size = max(1, len(coded.dictionary))
+                found, n = _runs(at * size + np.asarray(coded.indices))
+                text = pa.array(found // size)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(text), coded.dictionary.take(pa.array(found % size)), *(part.column(c).take(text) for c in names), pa.repeat(translation, len(found)), pa.array(n, pa.int64())], ["idx", "word", *names, "translation", "cnt"]
+                )
+
+    given = sides.select(F.col("idx").cast("bigint").alias("idx"), *SIDES, *names)
+    return given.mapInArrow(frugal(run), f"idx bigint, word string, {kept}, translation string, cnt bigint")

@@ -13,25 +13,50 @@ grouping on (text, place of the word minus its place in the phrase), whatever th
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.memory import frugal
+from .bags import pieces
+
 BLOCK = 1024
-WORD, GAP = r"(?U)\w+", r"(?U)\w+\W*"
+#: Word characters, as ``(?U)\\w`` has them: letters, marks, digits, connectors, joiners, and enclosed letters, which are alphabetic too.
+SIGNS = r"\p{L}\p{M}\p{Nl}\p{Nd}\p{Pc}\x{200C}\x{200D}\x{24B6}-\x{24E9}\x{1F130}-\x{1F149}\x{1F150}-\x{1F169}\x{1F170}-\x{1F189}"
 
 
 def positions(sides: DataFrame) -> DataFrame:
-    """Rows (token, idx, translation, steps array<int>, gaps array<string>) from rows (idx, translation, text)."""
-    pieces = F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(GAP), F.lit(0))).alias("pos", "piece")
-    each = sides.select("idx", "translation", pieces).withColumn("token", F.regexp_extract("piece", WORD, 0))
-    gap = F.substring(F.col("piece"), F.char_length("token") + 1, F.char_length("piece"))
-    places = F.array_sort(F.collect_list(F.struct("pos", gap.alias("gap"))))  # of one word in one text
-    held = each.groupBy("token", "idx", "translation", F.floor(F.col("pos") / BLOCK)).agg(places.alias("places"))
-    at = F.col("places.pos")
-    steps = F.zip_with(at, F.concat(F.array(F.lit(-1)), F.slice(at, F.lit(1), F.size(at) - 1)), lambda a, b: a - b)
-    return held.select("token", "idx", "translation", steps.alias("steps"), F.col("places.gap").alias("gaps"))
+    """Rows (token, idx, translation, steps array<int>, gaps array<string>) from rows (idx, translation, text); made in Arrow in the row of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches):
+            texts = pc.fill_null(part.column("text"), "")
+            words = pc.split_pattern_regex(texts, pattern=f"[^{SIGNS}]+").flatten()
+            words = words.filter(pc.not_equal(words, ""))  # before and after the first and the last word
+            gaps = pc.split_pattern_regex(texts, pattern=f"[{SIGNS}]+")  # before the first word, then after each
+            n = np.asarray(pc.list_value_length(gaps)) - 1
+            text, pos = np.repeat(np.arange(len(part)), n), np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n)
+            coded = words.dictionary_encode()
+            size, blocks = max(1, len(coded.dictionary)), n.max(initial=0) // BLOCK + 1
+            key = (text * blocks + pos // BLOCK) * size + np.asarray(coded.indices)
+            order = np.argsort(key, kind="stable")
+            key, pos = key[order], pos[order]
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+            steps = np.diff(pos, prepend=-1)
+            steps[starts] = pos[starts] + 1
+            ends = pa.array(np.append(starts, len(key)), pa.int32())
+            after = np.arange(len(words)) + text + 1  # without what stands before the first word of each text
+            held = pa.ListArray.from_arrays(ends, pa.array(steps, pa.int32())), pa.ListArray.from_arrays(ends, gaps.flatten().take(pa.array(after[order])))
+            place = pa.array(text[order][starts])
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(key[starts] % size)), part.column("idx").take(place), part.column("translation").take(place), *held], ["token", "idx", "translation", "steps", "gaps"])
+
+    given = sides.select(F.col("idx").cast("bigint").alias("idx"), "translation", F.lower("text").alias("text"))
+    return given.mapInArrow(frugal(run), "token string, idx bigint, translation string, steps array<int>, gaps array<string>")
 
 
 def _places(steps: Column) -> Column:

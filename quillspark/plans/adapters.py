@@ -114,6 +114,14 @@ class Views:
             return bags.counted(self.verses()).drop("dl")
         return self.occurrences().groupBy("token", "idx", "translation").agg(F.count(F.lit(1)).alias("cnt"))
 
+    def tokens_by_text(self) -> DataFrame:
+        """Rows (idx, token, tf, new): how often a token is in a document, and how often in its new translation."""
+        if self.distinct_ids():
+            from ..operators import bags
+
+            return bags.by_text(self.verses())
+        return self.occurrences().groupBy("idx", "token").agg(F.count(F.lit(1)).alias("tf"), F.count_if(F.col("translation") == "new").alias("new"))
+
     def postings_of(self, forms: DataFrame) -> DataFrame:
         """The postings of some tokens (column ``form``): looked up, or counted after all others have gone."""
         if self.index:
@@ -178,6 +186,10 @@ class Views:
 
     def words_by_text(self) -> DataFrame:
         """``words`` of each text (column idx)."""
+        if self.distinct_ids():
+            from ..operators import bags
+
+            return bags.cased(self.verses().withColumns({c: tx.fold_script(F.col(c)) for c in ("new", "old")}), "book_slug string, testament string, noncanonical boolean")
         word = F.explode(tx.tokens(tx.fold_script(F.col("text")), tx.LEXICON_CLASS, lower=False)).alias("word")
         each = self.sides().select("idx", "book_slug", "testament", "noncanonical", "translation", word)
         return each.groupBy("idx", "word", "book_slug", "testament", "noncanonical", "translation").agg(F.count(F.lit(1)).alias("cnt"))

@@ -13,6 +13,9 @@ the sums of the tokens that they hold; it tokenises the changed texts only.
 When ``FAN_OUT`` neighbouring segments at the end are of one level (powers of ``FAN_OUT`` of their texts), they are merged into
 one, so every row is rewritten a logarithmic number of times and a reader meets a logarithmic number of segments.
 
+An index holds all tables, or those that its first commit was told: one that only has to know its tokens (``STATISTICS``) has
+neither postings by token, nor places, nor words by book, which are most of the work.  Queries use none that lacks a table.
+
 ``refresh`` finds by a hash of each document what has been added, changed or removed since the last commit.
 The ids of documents are keys and not null; documents that share an id are changed together.
 """
@@ -38,7 +41,7 @@ ROWS = {
     "positions": ("token string, idx bigint, translation string, steps array<int>, gaps array<string>", ("token", "idx")),
     "lengths": ("idx bigint, dl bigint", ("idx",)),
     "texts": ("idx bigint, mark bigint, rows bigint", ("idx",)),
-    "token_rows": ("idx bigint, token string, tf bigint", ("idx", "token")),
+    "token_rows": ("idx bigint, token string, tf bigint, new bigint", ("idx", "token")),
     "word_rows": (f"idx bigint, word string, {_BOOK}, cnt bigint", ("idx", "word")),
 }
 #: Sums: keys, and what is added up.
@@ -47,6 +50,11 @@ SUMS = {
     "word_sums": (f"letter string, word string, {_BOOK}, cnt bigint", ("letter", "word", "book_slug", "testament", "noncanonical", "translation"), ("cnt",)),
     "df_sums": ("df bigint, tokens bigint", ("df",), ("tokens",)),
 }
+ALL = (*ROWS, *SUMS)
+#: What the tables ``tokens`` and ``corpus`` are kept up to date by.
+STATISTICS = ("lengths", "texts", "token_rows", "token_sums", "df_sums")
+#: So many ids at most (8 MB) are sent to every task that looks for their rows; more meet these in a shuffle.
+SENT = 1 << 20
 
 
 class _Given(Views):
@@ -73,16 +81,20 @@ def _raw_idf(n: float, df: Column) -> Column:
 class Segments:
     """One version of a segmented index; ``table`` has the tables of a stored index."""
 
-    def __init__(self, spark: SparkSession, path: str, version: int | None = None):
+    def __init__(self, spark: SparkSession, path: str, version: int | None = None, holds: tuple[str, ...] = ALL):
+        """``holds``: the tables of an index that has no commit yet."""
         self.spark, self.path = spark, path
         self.version = _last_version(spark, path) if version is None else version
-        self.manifest = json.loads(_read(spark, f"{path}/manifest/{self.version:08d}.json")) if self.version else {"segments": [], "n": 0, "length": 0, "files": ""}
+        self.manifest = json.loads(_read(spark, f"{path}/manifest/{self.version:08d}.json")) if self.version else {"segments": [], "n": 0, "length": 0, "files": "", "holds": holds}
+        self.holds = tuple(self.manifest.get("holds", ALL))
 
     @property
     def segments(self) -> list[dict]:
         return self.manifest["segments"]
 
     def part(self, segment: dict, name: str) -> DataFrame:
+        if name not in (*self.holds, "gone"):
+            raise ValueError(f"{self.path} was built without {name}")
         schema = "idx bigint" if name == "gone" else (ROWS | SUMS)[name][0]
         return self.spark.read.schema(schema).parquet(f"{self.path}/segments/{segment['name']}/{name}")
 
@@ -138,32 +150,37 @@ class Segments:
         spark = self.spark
         if upserts is None:
             upserts = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint")
-        v, name = _Given(spark, upserts), uuid.uuid4().hex
+        # A table by text is made in the rows of the texts, so these are put in order and not its own, many more, rows.
+        v, name = _Given(spark, upserts.sortWithinPartitions("doc_id")), uuid.uuid4().hex
         ids = upserts.select(F.col("doc_id").alias("idx"))
         if removed is not None:
             ids = ids.unionByName(removed.select(F.col("doc_id").cast("bigint").alias("idx")))
         folder = f"{self.path}/segments/{name}"
 
-        def put(df: DataFrame, table: str) -> DataFrame:
+        def put(df: DataFrame, table: str, in_order: bool = False) -> DataFrame:
             schema, *order = (ROWS | SUMS | {"gone": ("idx bigint", ("idx",))})[table]
-            columns = [c.split()[0] for c in schema.split(", ")]
-            df.select(*columns).repartitionByRange(*order[0]).sortWithinPartitions(*order[0]).write.parquet(f"{folder}/{table}")
+            df = df.select(*(c.split()[0] for c in schema.split(", ")))
+            (df if in_order else df.repartitionByRange(*order[0]).sortWithinPartitions(*order[0])).write.parquet(f"{folder}/{table}")
             return spark.read.schema(schema).parquet(f"{folder}/{table}")
 
         known = self._of(ids.distinct(), "texts")
         gone = put(known.select("idx"), "gone")
-        postings = put(v.postings(), "postings")
-        put(v.positions(), "positions")
-        lengths = put(postings.groupBy("idx").agg(F.sum("cnt").alias("dl")), "lengths")
+        own_rows, holds = v.distinct_ids(), self.holds
         texts = put(_marked(upserts), "texts")
-        token_rows = put(postings.groupBy("idx", "token").agg(F.sum("cnt").alias("tf")), "token_rows")
-        word_rows = put(v.words_by_text(), "word_rows")
+        token_rows = put(v.tokens_by_text(), "token_rows", own_rows)
+        lengths = put(token_rows.groupBy("idx").agg(F.sum("tf").alias("dl")), "lengths")
+        sides = F.inline(F.array(F.struct(F.lit("new").alias("translation"), F.col("new").alias("cnt")), F.struct(F.lit("old").alias("translation"), (F.col("tf") - F.col("new")).alias("cnt"))))
+        if "postings" in holds:
+            put(token_rows.select("token", "idx", sides).where("cnt > 0"), "postings")
+        if "positions" in holds:
+            put(v.positions(), "positions")
 
         sign = lambda df, by: df.withColumn("sign", F.lit(by))
         both = lambda new, table: sign(new, 1).unionByName(sign(self._of(gone, table), -1))
         tokens = put(both(token_rows, "token_rows").groupBy("token").agg(F.sum("sign").alias("df"), F.sum(F.col("sign") * F.col("tf")).alias("total")), "token_sums")
-        words = both(word_rows, "word_rows").groupBy("word", "book_slug", "testament", "noncanonical", "translation").agg(F.sum(F.col("sign") * F.col("cnt")).alias("cnt"))
-        put(words.where("cnt <> 0").withColumn("letter", F.lower(F.substring("word", 1, 1))), "word_sums")
+        if "word_rows" in holds:
+            words = both(put(v.words_by_text(), "word_rows", own_rows), "word_rows").groupBy("word", "book_slug", "testament", "noncanonical", "translation").agg(F.sum(F.col("sign") * F.col("cnt")).alias("cnt"))
+            put(words.where("cnt <> 0").withColumn("letter", F.lower(F.substring("word", 1, 1))), "word_sums")
         before = self.sums("token_sums").select("token", F.col("df").alias("was"))
         moved = tokens.where("df <> 0").join(before, "token", "left").select(F.coalesce("was", F.lit(0)).alias("was"), (F.coalesce("was", F.lit(0)) + F.col("df")).alias("now"))
         bins = moved.select(F.inline(F.array(F.struct(F.col("was").alias("df"), F.lit(-1).alias("tokens")), F.struct(F.col("now").alias("df"), F.lit(1).alias("tokens")))))
@@ -182,11 +199,11 @@ class Segments:
         few = [r.idx for r in ids.limit(LISTED + 1).collect()]
         if len(few) <= LISTED:
             return rows.where(F.col("idx").isin(few)) if few else rows.limit(0)
-        ends = ids.agg(F.min("idx").alias("a"), F.max("idx").alias("b")).first()
-        return rows.where(F.col("idx").between(ends.a, ends.b)).join(ids, "idx", "left_semi")
+        ends = ids.agg(F.min("idx").alias("a"), F.max("idx").alias("b"), F.count("idx").alias("n")).first()
+        return rows.where(F.col("idx").between(ends.a, ends.b)).join(F.broadcast(ids) if ends.n <= SENT else ids, "idx", "left_semi")
 
     def _next(self, segments: list[dict], n: int, length: int, files: str) -> Segments:
-        _write(self.spark, f"{self.path}/manifest/{self.version + 1:08d}.json", json.dumps({"segments": segments, "n": n, "length": length, "files": files}))
+        _write(self.spark, f"{self.path}/manifest/{self.version + 1:08d}.json", json.dumps({"segments": segments, "n": n, "length": length, "files": files, "holds": self.holds}))
         return Segments(self.spark, self.path, self.version + 1)
 
     def _merged(self) -> Segments:
@@ -201,9 +218,9 @@ class Segments:
         head, tail = self.segments[:-last], self.segments[-last:]
         name = uuid.uuid4().hex
         folder = f"{self.path}/segments/{name}"
-        for table, (_, order) in ROWS.items():
+        for table, order in ((t, ROWS[t][1]) for t in ROWS if t in self.holds):
             self.rows(table, tail).repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{folder}/{table}")
-        for table, (_, keys, _) in SUMS.items():
+        for table, keys in ((t, SUMS[t][1]) for t in SUMS if t in self.holds):
             self.sums(table, tail).repartitionByRange(*keys).sortWithinPartitions(*keys).write.parquet(f"{folder}/{table}")
         gone = reduce(DataFrame.unionByName, [self.part(s, "gone") for s in tail]).distinct()
         (gone if head else gone.limit(0)).write.parquet(f"{folder}/gone")  # the first segment has nothing before it
@@ -220,9 +237,7 @@ def build(spark: SparkSession, sf_dir: str, out: str) -> Segments:
     """Write the index of an input folder to ``out``, which must not exist, and use it."""
     if _last_version(spark, out):
         raise ValueError(f"{out} has an index already")
-    made = Segments(spark, out).commit(Views(spark, sf_dir, index=None).table("documents"), None, index._files(spark, sf_dir))
-    index._USED[spark.sparkContext.applicationId, sf_dir] = made
-    return made
+    return _used(Segments(spark, out).commit(Views(spark, sf_dir, index=None).table("documents"), None, index._files(spark, sf_dir)), sf_dir)
 
 
 def refresh(spark: SparkSession, sf_dir: str, out: str) -> Segments:
@@ -237,8 +252,7 @@ def refresh(spark: SparkSession, sf_dir: str, out: str) -> Segments:
         changes = spark.read.parquet(path)
         upserts = documents.join(changes.where("not lost").select(F.col("idx").alias("doc_id")), "doc_id", "left_semi")
         now = now.commit(upserts, changes.where("lost").select(F.col("idx").alias("doc_id")), files)
-    index._USED[spark.sparkContext.applicationId, sf_dir] = now
-    return now
+    return _used(now, sf_dir)
 
 
 def use(spark: SparkSession, sf_dir: str, out: str) -> Segments:
@@ -246,7 +260,13 @@ def use(spark: SparkSession, sf_dir: str, out: str) -> Segments:
     now = Segments(spark, out)
     if now.manifest["files"] != index._files(spark, sf_dir):
         raise ValueError(f"{out} was not built from the files that {sf_dir} has now: refresh it")
-    index._USED[spark.sparkContext.applicationId, sf_dir] = now
+    return _used(now, sf_dir)
+
+
+def _used(now: Segments, sf_dir: str) -> Segments:
+    if set(ALL) - set(now.holds):
+        raise ValueError(f"{now.path} lacks tables that queries read: {sorted(set(ALL) - set(now.holds))}")
+    index._USED[now.spark.sparkContext.applicationId, sf_dir] = now
     return now
 
 
