@@ -128,3 +128,22 @@ def cased(sides: DataFrame, kept: str) -> DataFrame:
 
     given = sides.select(F.col("idx").cast("bigint").alias("idx"), *SIDES, *names)
     return given.mapInArrow(frugal(run), f"idx bigint, word string, {kept}, translation string, cnt bigint")
+
+
+def told_apart(sides: DataFrame, least: int, kept: str) -> DataFrame:
+    """Rows (tokens, the columns of the schema ``kept``), one of a text: its distinct tokens of so many letters at least, on both sides."""
+    names = [c.split()[0] for c in kept.split(", ")]
+
+    def run(batches: Batches) -> Batches:
+        for part in pieces(batches):
+            (a, at), (b, bt) = (_words(part.column(side)) for side in range(len(SIDES)))
+            words, at = pa.concat_arrays([a, b]), np.concatenate([at, bt])
+            some = pc.greater_equal(pc.utf8_length(words), least)
+            coded, at = words.filter(some).dictionary_encode(), at[np.asarray(some)]
+            size = max(1, len(coded.dictionary))
+            found, _ = _runs(at * size + np.asarray(coded.indices))
+            ends = np.append(0, np.cumsum(np.bincount(found // size, minlength=len(part))))
+            tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), coded.dictionary.take(pa.array(found % size)))
+            yield pa.RecordBatch.from_arrays([tokens, *(part.column(c) for c in names)], ["tokens", *names])
+
+    return sides.select(*SIDES, *names).mapInArrow(frugal(run), f"tokens array<string>, {kept}")

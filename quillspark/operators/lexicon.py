@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.graph import connected_components
-from ..plans.shared import written
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 
@@ -71,29 +70,3 @@ def prefix_groups(words: DataFrame, pairs: DataFrame) -> DataFrame:
     grouped = named.join(parts, named["id"] == parts["node"], "left").select(F.col("token").alias("form"), F.coalesce("component", "id").alias("group"))
     lemmas = grouped.groupBy("group").agg(F.min(F.struct(F.length("form").alias("n"), F.col("form").alias("form")))["form"].alias("lemma"))
     return grouped.join(lemmas, "group").select("form", "lemma")
-
-
-def alike(placed: DataFrame, vectors: DataFrame, least_prefix: int, least_share: float, least_cosine: float) -> DataFrame:
-    """(a, b, cosine) of words that share a prefix, ``least_share`` of the shorter one, and whose pooled vectors are near.
-
-    ``placed``: distinct (token, idx); ``vectors``: (idx, embedding), all of one length.
-    """
-    placed = written(placed)
-    words = placed.select("token").distinct()
-    # A shorter word meets the longer ones that begin as much of it as is asked for: no pair of words that only share a stem is made.
-    common = F.greatest(F.ceil(F.length("token") * F.lit(least_share)).cast("int"), F.lit(least_prefix))
-    x = words.select(F.col("token").alias("short"), F.substring("token", F.lit(1), common).alias("start"))
-    y = words.select(F.col("token").alias("long"), F.explode(F.transform(F.sequence(F.lit(least_prefix), common), lambda n: F.substring("token", F.lit(1), n))).alias("start"))
-    apart = (F.length("short") < F.length("long")) | ((F.length("short") == F.length("long")) & (F.col("short") < F.col("long")))
-    near = written(x.join(y, "start").where(apart).select(F.least("short", "long").alias("a"), F.greatest("short", "long").alias("b")))
-    used = near.select(F.explode(F.array("a", "b")).alias("token")).distinct()
-    size = F.max(F.size("embedding"))
-    dim = vectors.agg(size.alias("dim")).first().dim or 0
-    means = [F.avg(F.get("embedding", F.lit(i)).cast("double")) for i in range(dim)]
-    # Rows go to their word as they are: sums of every component, kept for each word of each partition, are many times their size.
-    rows = placed.join(used, "token", "left_semi").join(vectors, "idx").repartition("token")
-    pooled = rows.groupBy("token").agg(F.array(*means).alias("v"))
-    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda i, j: i * j), F.lit(0.0), lambda acc, z: acc + z)
-    scaled = pooled.select("token", "v", F.sqrt(dot("v", "v")).alias("norm"))
-    left, right = (scaled.select(F.col("token").alias(n), F.col("v").alias(f"v{n}"), F.col("norm").alias(f"n{n}")) for n in ("a", "b"))
-    return near.join(left, "a").join(right, "b").withColumn("cosine", dot("va", "vb") / (F.col("na") * F.col("nb"))).where(F.col("cosine") >= least_cosine).select("a", "b", "cosine")

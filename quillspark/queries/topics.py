@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import bags, lexicon
+from ..operators import bags
 from ..operators import topics as op
+from ..operators.alike import alike
 from ..plans.adapters import Views
 from ..plans.roster import Roster
+from ..plans.segments import SENT
 
 roster = Roster()
 query = roster.query
@@ -304,12 +306,17 @@ select a, b, round(list_dot_product(x.v, y.v) / (x.norm * y.norm), 6) as cosine
 def vec_pairs(v: Views) -> DataFrame:
     """Words alike in form and meaning: five letters in common, seven tenths of the shorter word, and a cosine of 0.9.
 
-    A word's vector is the mean over its verses.  The form comes first, as an equi-join on the common letters;
-    only words that have a partner are pooled.
+    A word's vector is the mean over its verses.  Verses without a vector are not looked at; words of one
+    stem meet with their vectors, once.
     """
-    vectors = v.table("embeddings").select(F.col("vec_id").alias("idx"), "embedding")
-    if not v.index and v.distinct_ids():  # only texts that have a vector are looked at
-        placed = bags.counted(v.verses().join(vectors.select("idx"), "idx", "left_semi"), apart=False).where("length(token) >= 5").select("token", "idx")
+    vectors = v.table("embeddings").select(F.col("vec_id").alias("idx"), "embedding").where("embedding is not null")
+    if not v.index and v.distinct_ids():
+        ends = vectors.agg(F.min("idx").alias("a"), F.max("idx").alias("b"), F.count("idx").alias("n")).first()
+        texts = v.verses().where(F.col("idx").between(ends.a, ends.b))
+        if ends.n <= SENT and ends.n < (ends.b or 0) - (ends.a or 0) >> 1:  # else most texts between have one
+            texts = texts.join(F.broadcast(vectors.select("idx")), "idx", "left_semi")
+        rows = bags.told_apart(texts.join(vectors, "idx"), 5, f"embedding {vectors.schema['embedding'].dataType.simpleString()}")
     else:
-        placed = v.postings().where("length(token) >= 5").select("token", "idx").distinct().join(vectors.select("idx"), "idx", "left_semi")
-    return lexicon.alike(placed, vectors, least_prefix=5, least_share=0.7, least_cosine=0.9).select("a", "b", F.round("cosine", 6).alias("cosine"))
+        placed = v.postings().where("length(token) >= 5").join(vectors.select("idx"), "idx", "left_semi")
+        rows = placed.groupBy("idx").agg(F.collect_set("token").alias("tokens")).join(vectors, "idx")
+    return alike(rows, least_prefix=5, least_share=0.7, least_cosine=0.9).select("a", "b", F.round("cosine", 6).alias("cosine"))
